@@ -34,11 +34,24 @@ MARGIN = 8
 OUT_BYTES = 4_000_000
 
 
+def load_ranks(ranks_path: str) -> dict[bytes, int]:
+    with open(ranks_path, "rb") as file:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+
+
+@lru_cache(maxsize=2)
+def token_bytes(ranks_path: str) -> list[bytes]:
+    """The bytes of each id; ids that the file leaves free have none."""
+    ranks = load_ranks(ranks_path)
+    table = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        table[rank] = token
+    return table
+
+
 @lru_cache(maxsize=2)
 def encoding(ranks_path: str, pattern: str) -> tuple[tiktoken.Encoding, UnitCache]:
-    with open(ranks_path, "rb") as file:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-    enc = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    enc = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=load_ranks(ranks_path), special_tokens={})
     return enc, UnitCache(lambda found: [enc.encode_ordinary(u) for u in found])
 
 
@@ -153,16 +166,16 @@ def encode(
     return short.unionByName(done)
 
 
-def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """Adds ``bytes``: the raw bytes of all ids, one after the other (they need not be valid UTF-8)."""
     names = [f.name for f in encoded.schema.fields]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields] + ["bytes binary"])
 
     def run(batches):
-        enc, _ = encoding(ranks_path, pattern)
+        table = token_bytes(ranks_path)
         for batch in batches:
             for part, ids in _slices(batch, "ids"):
-                raw = [enc.decode_bytes(np.frombuffer(x or b"", "<u4").tolist()) for x in ids]
+                raw = [b"".join(map(table.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in ids]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], names=[*names, "bytes"])
 
     return encoded.mapInArrow(run, schema)
@@ -173,5 +186,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    decoded = decode(encode(docs, ranks, pattern), ranks, pattern)
+    decoded = decode(encode(docs, ranks, pattern), ranks)
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))

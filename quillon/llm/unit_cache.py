@@ -26,20 +26,31 @@ def units(text: str) -> Iterator[str]:
 
 
 class UnitCache:
-    """``encode_units`` turns a list of units into a list of id lists; at most ``most`` units are kept."""
+    """``encode_units`` turns a list of units into a list of id lists. The cache keeps units of up to
+    ``longest`` characters and about ``most_bytes`` bytes in all; then it starts anew."""
 
-    def __init__(self, encode_units: Callable[[list[str]], list[list[int]]], most: int = 250_000):
-        self.encode_units, self.most, self.kept = encode_units, most, {}
+    def __init__(self, encode_units: Callable[[list[str]], list[list[int]]], most_bytes: int = 32_000_000, longest: int = 48):
+        self.encode_units, self.most_bytes, self.longest = encode_units, most_bytes, longest
+        self.kept: dict[str, bytes] = {}
+        self.size = 0
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of the whole text as little-endian unsigned 32-bit integers."""
         found = list(units(text))
         kept = self.kept
         missing = [u for u in dict.fromkeys(found) if u not in kept]
+        own = {}
         if missing:
-            if len(kept) + len(missing) > self.most:
-                kept.clear()
-                missing = list(dict.fromkeys(found))
             for u, ids in zip(missing, self.encode_units(missing), strict=True):
-                kept[u] = np.asarray(ids, "<u4").tobytes()
-        return np.frombuffer(b"".join([kept[u] for u in found]), "<u4")
+                own[u] = np.asarray(ids, "<u4").tobytes()
+            known = {u: kept[u] for u in found if u in kept} | own
+            short = {u: x for u, x in own.items() if len(u) <= self.longest}
+            added = sum(len(u) + len(x) + 220 for u, x in short.items())
+            if self.size + added > self.most_bytes:
+                kept.clear()
+                self.size = 0
+            kept.update(short)
+            self.size += added
+        else:
+            known = kept
+        return np.frombuffer(b"".join([known[u] for u in found]), "<u4")

@@ -22,7 +22,7 @@ def test_equals_whole_text_encoding(spark, chunk, overlap):
     rows = [(i, t, "extra") for i, t in enumerate(TEXTS)] + [(8, TEXTS[8], "again"), (None, "no id", "x"), (None, "no id " * 30, "x")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, ids string")
     encoded = byte_bpe.encode(docs, RANKS, PATTERN, chunk_chars=chunk, overlap=overlap)
-    got = byte_bpe.decode(encoded, RANKS, PATTERN).collect()
+    got = byte_bpe.decode(encoded, RANKS).collect()
     enc, _ = byte_bpe.encoding(RANKS, PATTERN)
     want = sorted((-1 if i is None else i, np.asarray(enc.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t, _ in rows)
     assert sorted((-1 if r.doc_id is None else r.doc_id, bytes(r.ids), bytes(r.bytes)) for r in got) == want
