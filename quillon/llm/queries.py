@@ -3,13 +3,24 @@
 from __future__ import annotations
 
 from quillon.llm.byte_bpe import op10_byte_bpe
+from quillon.llm.host_rules import OP7_SQL, op7_host_rules
+from quillon.llm.license_scan import op4_license_scan
+from quillon.llm.license_scan import oracle as license_sql
+from quillon.llm.sharding import op3_bin_packing
+from quillon.llm.token_orc import op6_token_orc
 from quillon.llm.url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
+    "op3_bin_packing": op3_bin_packing,
+    "op4_license_scan": op4_license_scan,
     "op5_url_filter": op5_url_filter,
+    "op6_token_orc": op6_token_orc,
+    "op7_host_rules": op7_host_rules,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLE_SQL = {
+    "op4_license_scan": license_sql(),
     "op5_url_filter": OP5_SQL,
+    "op7_host_rules": OP7_SQL,
 }
