@@ -10,11 +10,13 @@ from quillon.llm.license_scan import op4_license_scan
 from quillon.llm.license_scan import oracle as license_sql
 from quillon.llm.sharding import op3_bin_packing
 from quillon.llm.simhash import op8_simhash
+from quillon.llm.suffix_dedup import op2_suffix_dedup
 from quillon.llm.token_orc import op6_token_orc
 from quillon.llm.url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
     "op1_arc_to_warc": op1_arc_to_warc,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_bin_packing": op3_bin_packing,
     "op4_license_scan": op4_license_scan,
     "op5_url_filter": op5_url_filter,

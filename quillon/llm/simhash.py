@@ -42,18 +42,26 @@ BITS, RADIUS = 23, 3
 GENERATOR = 0b110001110101
 
 
-def fingerprint(text: str | None, shingle: int, seed: int) -> int:
+def shingle_hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
     words = WORD.findall((text or "").translate(LOWER))
-    if not words:
-        return 0
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(" ".join(words), seed)
     joined, digest = " ".join, xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined(w), seed) for w in zip(*[words[k:] for k in range(shingle)])), np.uint64)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 4096):
-        ones += np.unpackbits(hashes[at : at + 4096].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    if len(words) <= shingle:
+        return np.array([digest(joined(words), seed)] if words else [], np.uint64)
+    return np.fromiter((digest(joined(w), seed) for w in zip(*[words[k:] for k in range(shingle)])), np.uint64)
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """Rows of 64-bit words to one row: each bit is set if more than half of the rows have it."""
+    rows = np.ascontiguousarray(hashes, "<u8").view(np.uint8).reshape(len(hashes), -1)
+    ones = np.zeros(rows.shape[1] * 8, np.int64)
+    for at in range(0, len(rows), 255):  # 255 ones fit into a byte
+        ones += np.unpackbits(rows[at : at + 255], axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(rows), bitorder="little").view("<u8")
+
+
+def fingerprint(text: str | None, shingle: int, seed: int) -> int:
+    hashes = shingle_hashes(text, shingle, seed)
+    return int(majority(hashes.reshape(-1, 1))[0]) if len(hashes) else 0
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,9 +218,128 @@ def near_duplicates(docs: DataFrame, threshold: int = 3, shingle: int = 3, id_co
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, threshold: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that come first in their class, with all columns. Rows without an id stay."""
-    found = near_duplicates(docs, threshold, id_col=id_col, text_col=text_col)
+#: Wide fingerprints: four words, of which eleven blocks of 23 bits look for candidates.
+WIDE_WORDS, WIDE_BLOCKS, BLOCK_DIFFER = 4, 11, 2
+#: Added to the number of differing bits that the similarity stands for: about one standard deviation.
+WIDE_SLACK = 5
+
+
+def wide_limit(similarity: float) -> int:
+    """Differing bits of sets with that Jaccard similarity: their cosine is 2J / (1 + J)."""
+    return int(64 * WIDE_WORDS * np.arccos(2 * similarity / (1 + similarity)) / np.pi) + WIDE_SLACK
+
+
+def wide_fingerprint(text: str | None, shingle: int) -> np.ndarray:
+    hashes = shingle_hashes(text, shingle, 42)
+    if not len(hashes):
+        return np.zeros(WIDE_WORDS, np.uint64)
+    wide = (hashes[:, None] ^ np.arange(WIDE_WORDS, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x9E3779B97F4A7C15)
+    wide ^= wide >> np.uint64(32)
+    wide *= np.uint64(0xD6E8FEB86659FD93)
+    return majority(wide ^ (wide >> np.uint64(32)))
+
+
+def _node(wide: np.ndarray) -> np.ndarray:
+    """A 64-bit name for each row of words."""
+    h = np.zeros(len(wide), np.uint64)
+    for k in range(WIDE_WORDS):
+        h = (h ^ wide[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h.view(np.int64)
+
+
+def _wide_block(wide: np.ndarray, block: int) -> np.ndarray:
+    at, bit = divmod(block * BITS, 64)
+    out = wide[:, at] >> np.uint64(bit)
+    if bit + BITS > 64:
+        out = out | wide[:, at + 1] << np.uint64(64 - bit)
+    return (out & np.uint64((1 << BITS) - 1)).astype(np.uint32)
+
+
+def similar_links(classes: DataFrame, limit: int, n_fps: int) -> DataFrame:
+    """From distinct wide fingerprints (node, w0, w1, ...) to links (u, v) between nodes that differ in at
+    most ``limit`` bits in all and at most BLOCK_DIFFER in one of the blocks. Two such words have a word
+    halfway, whose anchor is within the covering radius plus half of BLOCK_DIFFER of either: both go there."""
+    names = [f"w{k}" for k in range(WIDE_WORDS)]
+    reach = RADIUS + (BLOCK_DIFFER + 1) // 2
+    shares, buckets = max(1, n_fps // 50_000), max(64, n_fps // 500)
+
+    def copies(batches):
+        at, offsets, _ = near_anchors(reach)
+        for batch in batches:
+            everything = np.stack([batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in names], 1)
+            for k in range(0, len(everything), 10_000):
+                wide, rows, keys = everything[k : k + 10_000], [], []
+                for block in range(WIDE_BLOCKS):
+                    word = _wide_block(wide, block)
+                    syndrome = _syndrome(word)
+                    row, nth = _ragged(np.diff(at)[syndrome])
+                    rows.append(row)
+                    keys.append(word[row] ^ offsets[at[syndrome[row]] + nth] | np.uint32(block << BITS))
+                row, key = np.concatenate(rows), np.concatenate(keys)
+                bucket = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                found, first = np.unique(bucket[order], return_index=True)
+                for b, part in zip(found, np.split(order, first[1:]), strict=True):
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(b)], pa.int64()), "anchors": pa.array([key[part].astype("<u4").tobytes()], pa.binary()), "fps": pa.array([wide[row[part]].astype("<u8").tobytes()], pa.binary())})
+
+    def compare(table):
+        key = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column("anchors")])
+        wide = np.concatenate([np.frombuffer(x.as_py(), "<u8").reshape(-1, WIDE_WORDS) for x in table.column("fps")])
+        order = np.argsort(key, kind="stable")
+        key, wide = key[order], wide[order]
+        node, first = _node(wide), np.unique(key, return_index=True)[1]
+        links = [(node[:0], node[:0])]
+        for a, b in zip(first, np.append(first[1:], len(key)), strict=True):
+            if b - a > 1:
+                links += _similar_in(wide[a:b], node[a:b], _wide_block(wide[a:b], int(key[a] >> BITS)), limit)
+        u, v = (np.concatenate(x) for x in zip(*links, strict=True))
+        return pa.Table.from_pydict({"u": pa.array(u), "v": pa.array(v)})
+
+    placed = classes.withColumn("share", F.pmod(F.xxhash64("node"), F.lit(shares)))
+    packed = placed.repartition("share").select(*names).mapInArrow(copies, "bucket bigint, anchors binary, fps binary")
+    return packed.groupBy("bucket").applyInArrow(compare, "u bigint, v bigint").distinct()
+
+
+def _similar_in(wide: np.ndarray, node: np.ndarray, word: np.ndarray, limit: int, block: int = 1 << 20) -> list:
+    """A spanning forest of the similar pairs at one anchor, a block of comparisons at a time."""
+    links, step = [], max(1, block // len(word))
+    for k in range(0, len(word), step):
+        i, j = np.nonzero(np.bitwise_count(word[k : k + step, None] ^ word[None, k:]) <= BLOCK_DIFFER)
+        i, j = i[j > i] + k, j[j > i] + k
+        if len(i):
+            near = np.bitwise_count(wide[i] ^ wide[j]).sum(1) <= limit
+            if near.any():
+                links.append(_forest(node[i[near]], node[j[near]]))
+    return links if len(links) < 2 else [_forest(*(np.concatenate(x) for x in zip(*links, strict=True)))]
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, component_id (the least doc_id of its class). Documents are linked
+    where wide fingerprints estimate at least the Jaccard similarity of their word shingles (64-bit
+    fingerprints within 3 bits would miss most pairs at 0.8, whose fingerprints differ in about 10 bits)."""
+    names = [f"w{k}" for k in range(WIDE_WORDS)]
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    schema = "doc_id bigint, node bigint, " + ", ".join(f"{c} bigint" for c in names)
+
+    def run(batches):
+        for batch in batches:
+            for part, texts in _slices(batch, "text"):
+                wide = np.array([wide_fingerprint(t, shingle) for t in texts], np.uint64).reshape(-1, WIDE_WORDS)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_node(wide)), *[pa.array(np.ascontiguousarray(wide[:, k]).view(np.int64)) for k in range(WIDE_WORDS)]], names=["doc_id", "node", *names])
+
+    rows = materialize(rows.mapInArrow(run, schema), "wide")
+    classes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in names]), "wide-classes")
+    found = components(similar_links(classes.select("node", *names), wide_limit(similarity), classes.count()))
+    classes = classes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    heads = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    classes = materialize(classes.join(heads, "component").select("node", "component_id"), "wide-components")
+    return rows.select("doc_id", "node").join(classes, "node").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that come first in their class of similar documents, with all columns. Rows without an id stay."""
+    found = similar_documents(docs, similarity, shingle, id_col, text_col)
     drop = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__dropped")).distinct()
     return docs.join(drop, docs[id_col] == drop["__dropped"], "left_anti")
 
