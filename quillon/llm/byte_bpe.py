@@ -31,7 +31,7 @@ CHUNK_CHARS, OVERLAP = 32_768, 1_024
 #: A match that ends this close to a chunk's end may be cut short (contractions look ahead).
 MARGIN = 8
 #: Rows handed back to Spark at a time.
-OUT_BYTES = 4_000_000
+OUT_BYTES = 2_000_000
 
 
 def load_ranks(ranks_path: str) -> dict[bytes, int]:
@@ -52,7 +52,7 @@ def token_bytes(ranks_path: str) -> list[bytes]:
 @lru_cache(maxsize=2)
 def encoding(ranks_path: str, pattern: str) -> tuple[tiktoken.Encoding, UnitCache]:
     enc = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=load_ranks(ranks_path), special_tokens={})
-    return enc, UnitCache(lambda found: [enc.encode_ordinary(u) for u in found])
+    return enc, UnitCache(lambda found: [np.asarray(enc.encode_ordinary(u), "<u4").tobytes() for u in found], 32_000_000)
 
 
 def _slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list]]:
@@ -77,7 +77,7 @@ def encode_rows(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         _, cache = encoding(ranks_path, pattern)
         for batch in batches:
             for part, texts in _slices(batch, "text"):
-                ids = [cache.encode(t or "") for t in texts]
+                ids = cache.encode_many([t or "" for t in texts])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(f.name) for f in keys] + [pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
                     names=[f.name for f in keys] + ["n_tokens", "ids"],

@@ -11,6 +11,7 @@ ordered by their text's hash and are documents of their own. Empty tables give e
 
 from __future__ import annotations
 
+import os
 import zlib
 from functools import lru_cache
 
@@ -31,15 +32,39 @@ STRIPE_BYTES = 64 << 20
 SCHEMA = "part int, seq bigint, doc_id bigint, n_tokens bigint, ids array<int>"
 
 
+#: So many units are joined to a text for the tokeniser: one call for each unit costs more.
+JOINED_UNITS = 400
+
+
 @lru_cache(maxsize=2)
 def unit_cache(tokenizer_path: str) -> UnitCache:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     tokenizer = Tokenizer.from_file(tokenizer_path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-
-    def encode_units(found: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast(found, add_special_tokens=False)]
-
-    return UnitCache(encode_units)
+    # byte-level vocabularies spell each byte as one character
+    n_bytes = np.array([len(tokenizer.id_to_token(i) or "") for i in range(tokenizer.get_vocab_size())], np.int64)
+
+    def encode_units(found: list[str]) -> list[bytes]:
+        """Units that start with a space and end without one are what a text is cut into, so they can be
+        joined to a text again; its ids are then cut where the units' bytes end."""
+        out: list[bytes] = [b""] * len(found)
+        whole = [k for k, u in enumerate(found) if u[:1] == " " and not u[-1].isspace()]
+        apart = [k for k, u in enumerate(found) if not (u[:1] == " " and not u[-1].isspace())]
+        for k, e in zip(apart, tokenizer.encode_batch_fast([found[k] for k in apart], add_special_tokens=False), strict=True):
+            out[k] = np.array(e.ids, "<u4").tobytes()
+        groups = [whole[k : k + JOINED_UNITS] for k in range(0, len(whole), JOINED_UNITS)]
+        joined = tokenizer.encode_batch_fast(["".join([found[k] for k in g]) for g in groups], add_special_tokens=False)
+        for group, e in zip(groups, joined, strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.cumsum([len(found[k].encode()) for k in group])
+            cuts = (4 * np.searchsorted(np.cumsum(n_bytes[ids]), ends) + 4).tolist()
+            raw, first = ids.tobytes(), 0
+            for k, last in zip(group, cuts, strict=True):
+                out[k] = raw[first:last]
+                first = last
+        return out
+
+    return UnitCache(encode_units, 160_000_000)
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -54,7 +79,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID,
         cache, part, seq = unit_cache(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
             for piece, texts in _slices(batch, "text"):
-                ids = [np.append(cache.encode(t or ""), np.uint32(end_id)) for t in texts]
+                ids = [np.append(x, np.uint32(end_id)) for x in cache.encode_many([t or "" for t in texts])]
                 sizes = np.array([len(x) for x in ids], np.int64)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(

@@ -8,6 +8,7 @@ library itself, once per worker while the cache holds it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,32 +26,44 @@ def units(text: str) -> Iterator[str]:
         yield held
 
 
+#: White space before a space: there a text can't simply be cut at every space.
+UNEVEN = re.compile(r"\s ")
+
+def cut(text: str) -> tuple[str, list[str]]:
+    """The first unit, and the others without the space that each starts with."""
+    if UNEVEN.search(text):
+        first, *rest = units(text) if text else [""]
+        return first, [u[1:] for u in rest]
+    first, *rest = text.split(" ")
+    return first, rest
+
+
 class UnitCache:
-    """``encode_units`` turns a list of units into a list of id lists. The cache keeps units of up to
-    ``longest`` characters and about ``most_bytes`` bytes in all; then it starts anew."""
+    """``encode_units`` turns texts into id arrays (little-endian uint32 bytes), each on its own. Units of up
+    to ``longest`` characters are kept in two generations of about ``most_bytes`` / 2 bytes each: when
+    the young one is full it becomes the old one, and what is used again moves to the young one."""
 
-    def __init__(self, encode_units: Callable[[list[str]], list[list[int]]], most_bytes: int = 32_000_000, longest: int = 48):
-        self.encode_units, self.most_bytes, self.longest = encode_units, most_bytes, longest
-        self.kept: dict[str, bytes] = {}
+    def __init__(self, encode_units: Callable[[list[str]], list[bytes]], most_bytes: int = 100_000_000, longest: int = 48):
+        self.encode_units, self.half, self.longest = encode_units, most_bytes // 2, longest
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.size = 0
 
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of the whole text as little-endian unsigned 32-bit integers."""
-        found = list(units(text))
-        kept = self.kept
-        missing = [u for u in dict.fromkeys(found) if u not in kept]
-        own = {}
-        if missing:
-            for u, ids in zip(missing, self.encode_units(missing), strict=True):
-                own[u] = np.asarray(ids, "<u4").tobytes()
-            known = {u: kept[u] for u in found if u in kept} | own
-            short = {u: x for u, x in own.items() if len(u) <= self.longest}
-            added = sum(len(u) + len(x) + 220 for u, x in short.items())
-            if self.size + added > self.most_bytes:
-                kept.clear()
-                self.size = 0
-            kept.update(short)
-            self.size += added
-        else:
-            known = kept
-        return np.frombuffer(b"".join([known[u] for u in found]), "<u4")
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of the whole texts as little-endian unsigned 32-bit integers."""
+        found = [cut(t) for t in texts]
+        known, old = self.young, self.old
+        wanted = set().union(*(rest for _, rest in found)) - known.keys()
+        added = {u: old[u] for u in wanted if u in old}
+        missing = list(wanted - added.keys())
+        new = self.encode_units([f" {u}" for u in missing] + [first for first, _ in found])
+        added.update(zip(missing, new[: len(missing)], strict=True))
+        known.update(added)
+        get = known.__getitem__
+        out = [np.frombuffer(head + b"".join(map(get, rest)), "<u4") for head, (_, rest) in zip(new[len(missing) :], found, strict=True)]
+        for u in [u for u in added if len(u) > self.longest]:
+            del known[u], added[u]
+        self.size += 250 * len(added)
+        if self.size > self.half:
+            self.old, self.young, self.size = known, {}, 0
+        return out
