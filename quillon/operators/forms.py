@@ -108,10 +108,16 @@ def illegal_transitions(events: DataFrame, legal: list[tuple[str, str]], keys: l
     return steps.join(F.broadcast(allowed), ["from_state", "to_state"], "left_anti")  # as long as the list of states
 
 
-def retention_due(created: Column, confirmed: Column, retention: Column, now: Column) -> Column:
-    """Why a session is to be purged, or null; days count from creation."""
+def audio_due(created: Column, confirmed: Column, retention: Column, now: Column) -> Column:
+    """Whether a session's audio is to go: at confirmation, or some days after the session."""
     days = F.regexp_extract(retention, r"^days:(\d+)$", 1).try_cast("int")
-    return (
-        F.when((retention == "none") & confirmed.isNotNull(), "confirmed").when((retention == "until_confirm") & confirmed.isNotNull(), "confirmed")
-        .when(days.isNotNull() & (F.date_add(created.cast("date"), days) <= now.cast("date")), "expired")
-    )
+    by_date = F.coalesce(F.date_add(created.cast("date"), days) <= now.cast("date"), F.lit(False))
+    return F.when(retention == "until_confirm", confirmed.isNotNull()).when(days.isNotNull(), by_date).otherwise(F.lit(False))
+
+
+def purge_reason(created: Column, confirmed: Column, purge_after: Column, stage: Column, now: Column, unreviewed_days: int | None) -> Column:
+    """Why a session is to be purged, the first reason that holds, or null."""
+    out = F.when(purge_after <= now, "retention").when((stage == "armed") & confirmed.isNull() & (created < now - F.expr("interval 1 hour")), "never_started")
+    if unreviewed_days is not None:
+        out = out.when(confirmed.isNull() & (created + F.make_dt_interval(F.lit(unreviewed_days)) <= now), "unreviewed")
+    return out

@@ -136,8 +136,8 @@ def gapless(df: DataFrame, keys: list[str], longest: float = 1.0) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("start")
     rows = df.select(*keys, "start", "end").withColumn("following", F.lead("start").over(w))
     gaps = rows.filter("following > end").withColumn("n", F.ceil((F.col("following") - F.col("end")) / longest).cast("int"))
-    gaps = gaps.select(*keys, "end", "following", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
-    silence = gaps.select(*keys, (F.col("end") + F.col("k") * longest).alias("start"), F.least(F.col("end") + (F.col("k") + 1) * longest, F.col("following")).alias("end"), F.lit("silence").alias("kind"))
+    gaps = gaps.select(*keys, "end", "following", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("__k"))
+    silence = gaps.select(*keys, (F.col("end") + F.col("__k") * longest).alias("start"), F.least(F.col("end") + (F.col("__k") + 1) * longest, F.col("following")).alias("end"), F.lit("silence").alias("kind"))
     return df.select(*keys, "start", "end", F.lit("sound").alias("kind")).unionByName(silence)
 
 
@@ -166,8 +166,10 @@ def append_chain(df: DataFrame, keys: list[str], order: list[str], fields: list[
     rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in fields if c not in order], entry.alias("__entry")))).alias("all"))
     step = lambda a, x: F.concat(a, F.array(F.sha2(F.concat_ws("|", x["__entry"], F.element_at(a, -1)), 256)))
     rows = rows.withColumn("hashes", F.aggregate("all", F.array(F.lit("")), step))
-    each = rows.select(*keys, F.posexplode("all").alias("k", "x"), "hashes")
-    return each.select(*keys, "x.*", (F.col("k") + 1).cast("bigint").alias("seq"), F.col("hashes")[F.col("k")].alias("prev"), F.col("hashes")[F.col("k") + 1].alias("hash")).drop("__entry")
+    each = rows.select(*keys, F.posexplode("all").alias("__k", "__x"), "hashes")
+    return each.select(
+        *keys, "__x.*", (F.col("__k") + 1).cast("bigint").alias("seq"), F.col("hashes")[F.col("__k")].alias("prev"), F.col("hashes")[F.col("__k") + 1].alias("hash")
+    ).drop("__entry")
 
 
 def broken_chains(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.operators import scoring, timeline
+from quillon.operators import forms, scoring, timeline
 from quillon.storage import read_table
 
 
@@ -68,13 +68,14 @@ def t18_gapless(spark, sf):
     return out.groupBy("user_id", "kind").agg(F.count("*").alias("n"), F.round(F.sum(F.col("end") - F.col("start")), 3).alias("seconds"))
 
 
-def t16_retention(spark, sf):
-    from quillon.operators.forms import retention_due
-
+def t16_t17_retention(spark, sf):
     rows = _events(spark, sf).withColumn("retention", F.element_at(F.array(F.lit("none"), F.lit("until_confirm"), F.lit("days:7"), F.lit("days:400")), (F.col("event_id") % 4 + 1).cast("int")))
-    confirmed = F.when(F.col("event_id") % 3 == 0, F.col("ts"))
-    due = retention_due(F.col("ts"), confirmed, F.col("retention"), F.lit("2024-06-30").cast("timestamp_ntz"))
-    return rows.groupBy("retention", due.alias("reason")).agg(F.count("*").alias("n"))
+    now = F.lit("2024-06-30 00:00:00").cast("timestamp_ntz")
+    confirmed, purge_after = F.when(F.col("event_id") % 3 == 0, F.col("ts")), F.when(F.col("event_id") % 6 == 0, F.col("ts") + F.expr("interval 30 days"))
+    stage = F.when(F.col("event_id") % 5 == 0, "armed").otherwise("reviewing")
+    reason = forms.purge_reason(F.col("ts"), confirmed, purge_after, stage, now, 90)
+    due = reason.isNull() & forms.audio_due(F.col("ts"), confirmed, F.col("retention"), now)
+    return rows.groupBy("retention", reason.alias("reason"), due.alias("audio_due")).agg(F.count("*").alias("n"))
 
 
 def o10_latest_type(spark, sf):
@@ -84,14 +85,12 @@ def o10_latest_type(spark, sf):
 
 
 def p18_transitions(spark, sf):
-    from quillon.operators.forms import illegal_transitions
-
     legal = [("view", "click"), ("click", "purchase"), ("view", "view"), ("click", "click")]
-    out = illegal_transitions(_events(spark, sf), legal, ["user_id"], ["at", "event_id"], "event_type")
+    out = forms.illegal_transitions(_events(spark, sf), legal, ["user_id"], ["at", "event_id"], "event_type")
     return out.groupBy("from_state", "to_state").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (w08_merge_spans, j11_missed, j12_overlapped, j15_as_of, a05_cache_check, a23_erle, a28_weighted_mean, a02_histogram, t18_gapless, t16_retention, o10_latest_type, p18_transitions)}
+QUERIES = {f.__name__: f for f in (w08_merge_spans, j11_missed, j12_overlapped, j15_as_of, a05_cache_check, a23_erle, a28_weighted_mean, a02_histogram, t18_gapless, t16_t17_retention, o10_latest_type, p18_transitions)}
 
 _E = "e AS (SELECT *, epoch_us(ts) / 1e6 AS tm FROM events), s AS (SELECT event_id, user_id, event_type, tm AS start, tm + 600 + event_id % 1200 AS \"end\" FROM e)"
 _MERGED = f"""{_E}, m AS (SELECT *, CASE WHEN start > max("end") OVER (PARTITION BY user_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS f FROM s),
@@ -114,9 +113,11 @@ CASE WHEN count(*) > 1 AND min(f) > 0 THEN round((sum(p) - min(f)) / (min(f) * (
     "t18_gapless": f"""WITH {_MERGED}, g2 AS (SELECT user_id, "end", lead(start) OVER (PARTITION BY user_id ORDER BY start) AS following FROM spans)
 SELECT user_id, 'sound' AS kind, count(*) AS n, round(sum("end" - start), 3) AS seconds FROM spans GROUP BY user_id
 UNION ALL SELECT user_id, 'silence', sum(ceil((following - "end") / 86400.0))::BIGINT, round(sum(following - "end"), 3) FROM g2 WHERE following > "end" GROUP BY user_id""",
-    "t16_retention": """WITH r AS (SELECT *, ['none', 'until_confirm', 'days:7', 'days:400'][event_id % 4 + 1] AS retention FROM events)
-SELECT retention, CASE WHEN retention IN ('none', 'until_confirm') AND event_id % 3 = 0 THEN 'confirmed'
-WHEN retention LIKE 'days:%' AND ts::DATE + split_part(retention, ':', 2)::INT <= DATE '2024-06-30' THEN 'expired' END AS reason, count(*) AS n FROM r GROUP BY ALL""",
+    "t16_t17_retention": """WITH r AS (SELECT *, ['none', 'until_confirm', 'days:7', 'days:400'][event_id % 4 + 1] AS retention, TIMESTAMP '2024-06-30' AS now FROM events),
+p AS (SELECT *, CASE WHEN event_id % 6 = 0 AND ts + INTERVAL 30 DAY <= now THEN 'retention' WHEN event_id % 5 = 0 AND event_id % 3 <> 0 AND ts < now - INTERVAL 1 HOUR THEN 'never_started'
+WHEN event_id % 3 <> 0 AND ts + INTERVAL 90 DAY <= now THEN 'unreviewed' END AS reason FROM r)
+SELECT retention, reason, reason IS NULL AND CASE WHEN retention = 'until_confirm' THEN event_id % 3 = 0
+WHEN retention LIKE 'days:%' THEN ts::DATE + split_part(retention, ':', 2)::INT <= now::DATE ELSE false END AS audio_due, count(*) AS n FROM p GROUP BY ALL""",
     "o10_latest_type": "SELECT user_id, event_type FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS r FROM events GROUP BY user_id, event_type) WHERE r = 1",
     "p18_transitions": """SELECT from_state, to_state, count(*) AS n FROM (SELECT event_type AS to_state, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_state FROM events)
 WHERE from_state IS NOT NULL AND (from_state, to_state) NOT IN (('view', 'click'), ('click', 'purchase'), ('view', 'view'), ('click', 'click')) GROUP BY ALL""",
