@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.plans import conversations, corpora, events
+from quillon.plans import conversations, corpora, events, stores
 
-_MODULES = (conversations, events, corpora)
+_MODULES = (conversations, events, corpora, stores)
 
 QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
