@@ -52,7 +52,10 @@ def token_bytes(ranks_path: str) -> list[bytes]:
 @lru_cache(maxsize=2)
 def encoding(ranks_path: str, pattern: str) -> tuple[tiktoken.Encoding, UnitCache]:
     enc = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=load_ranks(ranks_path), special_tokens={})
-    return enc, UnitCache(lambda found: [np.asarray(enc.encode_ordinary(u), "<u4").tobytes() for u in found], 32_000_000)
+    one = enc.encode_ordinary
+    return enc, UnitCache(
+        lambda units: [np.array(one(f" {u}"), "<u4").tobytes() for u in units], lambda texts: [np.array(one(t), "<u4").tobytes() for t in texts], 32_000_000
+    )
 
 
 def _slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list]]:

@@ -12,15 +12,17 @@ ordered by their text's hash and are documents of their own. Empty tables give e
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from quillon.llm.byte_bpe import _slices
 from quillon.llm.unit_cache import UnitCache
@@ -30,41 +32,67 @@ END_ID = 2
 INDEX_STRIDE = 1_000
 STRIPE_BYTES = 64 << 20
 SCHEMA = "part int, seq bigint, doc_id bigint, n_tokens bigint, ids array<int>"
+#: So many units are joined to a text for the tokeniser: one call for each unit costs more.
+JOINED_UNITS = 2_000
+#: A unit that starts with a word of these letters: with the space before it the word is one pre-token, and
+#: after marks that are no letters, digits or apostrophes others begin.
+WORD_FIRST = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+(?=[.,;:!?%#$*\n]|$(?!\n))")
 
 
-#: So many units are joined to a text for the tokeniser: one call for each unit costs more.
-JOINED_UNITS = 400
+def load(tokenizer_path: str) -> Tokenizer:
+    tokenizer = Tokenizer.from_file(tokenizer_path)
+    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    return tokenizer
 
 
 @lru_cache(maxsize=2)
 def unit_cache(tokenizer_path: str) -> UnitCache:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    tokenizer, plain = load(tokenizer_path), load(tokenizer_path)
+    # texts of plain words need no pattern to be cut into pre-tokens: line feeds, which they don't hold, mark the cuts
+    plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit("\n"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     # byte-level vocabularies spell each byte as one character
     n_bytes = np.array([len(tokenizer.id_to_token(i) or "") for i in range(tokenizer.get_vocab_size())], np.int64)
 
-    def encode_units(found: list[str]) -> list[bytes]:
-        """Units that start with a space and end without one are what a text is cut into, so they can be
-        joined to a text again; its ids are then cut where the units' bytes end."""
-        out: list[bytes] = [b""] * len(found)
-        whole = [k for k, u in enumerate(found) if u[:1] == " " and not u[-1].isspace()]
-        apart = [k for k, u in enumerate(found) if not (u[:1] == " " and not u[-1].isspace())]
-        for k, e in zip(apart, tokenizer.encode_batch_fast([found[k] for k in apart], add_special_tokens=False), strict=True):
-            out[k] = np.array(e.ids, "<u4").tobytes()
-        groups = [whole[k : k + JOINED_UNITS] for k in range(0, len(whole), JOINED_UNITS)]
-        joined = tokenizer.encode_batch_fast(["".join([found[k] for k in g]) for g in groups], add_special_tokens=False)
-        for group, e in zip(groups, joined, strict=True):
+    def encode_whole(texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_joined(units: list[str], by: Tokenizer, mark: str) -> list[bytes]:
+        """The units are joined to texts; the ids of a text are cut where the units' bytes end."""
+        groups, out = [units[k : k + JOINED_UNITS] for k in range(0, len(units), JOINED_UNITS)], []
+        for group, e in zip(groups, by.encode_batch_fast([mark + mark.join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
-            ends = np.cumsum([len(found[k].encode()) for k in group])
+            ends = np.cumsum(pc.binary_length(pa.array(group, pa.string())).to_numpy() + 1)
             cuts = (4 * np.searchsorted(np.cumsum(n_bytes[ids]), ends) + 4).tolist()
-            raw, first = ids.tobytes(), 0
-            for k, last in zip(group, cuts, strict=True):
-                out[k] = raw[first:last]
-                first = last
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
         return out
 
-    return UnitCache(encode_units, 160_000_000)
+    def encode_words(words: list[str]) -> list[bytes]:
+        return encode_joined(words, plain, "\n ")
+
+    def encode_others(units: list[str]) -> list[bytes]:
+        # a unit that ends with white space would run into the next
+        apart = [u for u in units if not u or u[-1].isspace()]
+        found = dict(zip(apart, encode_whole([f" {u}" for u in apart]), strict=True))
+        joined = [u for u in units if u not in found]
+        found.update(zip(joined, encode_joined(joined, tokenizer, " "), strict=True))
+        return [found[u] for u in units]
+
+    # words and what follows them are cached apart from whole units
+    words, tails = UnitCache(encode_words, encode_whole, 120_000_000), UnitCache(encode_whole, encode_whole, 10_000_000)
+
+    def encode_spaced(units: list[str]) -> list[bytes]:
+        cut = {u: len(m[0]) for u in units if (m := WORD_FIRST.match(u))}
+        heads, ends = [u[:n] for u, n in cut.items()], [u[n:] for u, n in cut.items()]
+        head_ids = dict(zip(names := list(set(heads)), words.ids_of(names), strict=True))
+        end_ids = dict(zip(names := list(set(ends)), tails.ids_of(names), strict=True))
+        found = {u: head_ids[h] + end_ids[e] for u, h, e in zip(cut, heads, ends, strict=True)}
+        others = [u for u in units if u not in found]
+        found.update(zip(others, encode_others(others), strict=True))
+        return [found[u] for u in units]
+
+    return UnitCache(encode_spaced, encode_whole, 80_000_000)
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:

@@ -3,67 +3,82 @@
 Byte-level pre-tokenisers of this family never let a match run from a non-space character into white
 space, so a text may be cut wherever a non-space character is followed by a space: the ids of the
 whole text are the ids of those units, one after the other. Each unit is encoded by the tokeniser
-library itself, once per worker while the cache holds it.
+library itself, once per worker while the cache holds it; the texts are cut, their units numbered and
+the ids put together as arrays.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-
-
-def units(text: str) -> Iterator[str]:
-    """Cut ``text`` before each space that follows a non-space character."""
-    held = None
-    for piece in text.split(" "):
-        held = piece if held is None else f"{held} {piece}"
-        if piece and not piece[-1].isspace():
-            yield held
-            held = ""
-    if held:
-        yield held
-
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space before a space: there a text can't simply be cut at every space.
 UNEVEN = re.compile(r"\s ")
+CUT = re.compile(r"(?<=\S) ")
+#: About what a kept unit takes, with its ids.
+UNIT_BYTES = 250
+Encoder = Callable[[list[str]], list[bytes]]
 
-def cut(text: str) -> tuple[str, list[str]]:
-    """The first unit, and the others without the space that each starts with."""
-    if UNEVEN.search(text):
-        first, *rest = units(text) if text else [""]
-        return first, [u[1:] for u in rest]
-    first, *rest = text.split(" ")
-    return first, rest
+
+def cut(texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
+    """The units of all texts, one after the other, and where each text's units begin. Each text has one
+    unit or more; all but its first have lost the space they start with."""
+    split = pc.split_pattern(pa.array(texts, pa.string()), " ")
+    uneven = [k for k, t in enumerate(texts) if UNEVEN.search(t)]
+    if uneven:
+        lists = split.to_pylist()
+        for k in uneven:
+            lists[k] = CUT.split(texts[k])
+        split = pa.array(lists, pa.list_(pa.string()))
+    begins = split.offsets.to_numpy()
+    return split.values, begins[:-1]
 
 
 class UnitCache:
-    """``encode_units`` turns texts into id arrays (little-endian uint32 bytes), each on its own. Units of up
-    to ``longest`` characters are kept in two generations of about ``most_bytes`` / 2 bytes each: when
-    the young one is full it becomes the old one, and what is used again moves to the young one."""
+    """``encode_whole`` turns texts into id arrays (little-endian uint32 bytes), each on its own; ``encode_spaced``
+    does so for units with a space put before them. Units of up to ``longest`` characters are kept in two
+    generations of about ``most_bytes`` / 2 bytes each: when the young one is full it becomes the old
+    one, and what is used again moves to the young one."""
 
-    def __init__(self, encode_units: Callable[[list[str]], list[bytes]], most_bytes: int = 100_000_000, longest: int = 48):
-        self.encode_units, self.half, self.longest = encode_units, most_bytes // 2, longest
+    def __init__(self, encode_spaced: Encoder, encode_whole: Encoder, most_bytes: int = 100_000_000, longest: int = 48):
+        self.encode_spaced, self.encode_whole = encode_spaced, encode_whole
+        self.most, self.longest = most_bytes // 2 // UNIT_BYTES, longest
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.size = 0
+
+    def ids_of(self, units: list[str]) -> list[bytes]:
+        """Ids of distinct units with a space put before each."""
+        young, old = self.young, self.old
+        absent = [u for u in units if u not in young]
+        again = {u: old[u] for u in absent if u in old}
+        missing = [u for u in absent if u not in again]
+        young.update(again)
+        young.update(zip(missing, self.encode_spaced(missing), strict=True))
+        found = [young[u] for u in units]
+        for u in [u for u in missing if len(u) > self.longest]:
+            del young[u]
+        if len(young) > self.most:
+            self.old, self.young = young, {}
+        return found
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of the whole texts as little-endian unsigned 32-bit integers."""
-        found = [cut(t) for t in texts]
-        known, old = self.young, self.old
-        wanted = set().union(*(rest for _, rest in found)) - known.keys()
-        added = {u: old[u] for u in wanted if u in old}
-        missing = list(wanted - added.keys())
-        new = self.encode_units([f" {u}" for u in missing] + [first for first, _ in found])
-        added.update(zip(missing, new[: len(missing)], strict=True))
-        known.update(added)
-        get = known.__getitem__
-        out = [np.frombuffer(head + b"".join(map(get, rest)), "<u4") for head, (_, rest) in zip(new[len(missing) :], found, strict=True)]
-        for u in [u for u in added if len(u) > self.longest]:
-            del known[u], added[u]
-        self.size += 250 * len(added)
-        if self.size > self.half:
-            self.old, self.young, self.size = known, {}, 0
-        return out
+        if not texts:
+            return []
+        units, begins = cut(texts)
+        is_first = np.zeros(len(units), bool)
+        is_first[begins] = True
+        rest = pc.if_else(pa.array(is_first), pa.scalar(None, pa.string()), units).dictionary_encode()
+        ids = self.ids_of(rest.dictionary.to_pylist()) + self.encode_whole(units.take(pa.array(begins)).to_pylist())
+        code = rest.indices.fill_null(0).to_numpy().copy()
+        code[begins] = len(rest.dictionary) + np.arange(len(texts))
+        pool, sizes = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        n = sizes[code]
+        ends = np.cumsum(n)
+        # for each id of the result its place in the pool
+        source = np.repeat((np.cumsum(sizes) - sizes)[code] - (ends - n), n) + np.arange(ends[-1])
+        return np.split(pool[source], (ends - n)[begins[1:]])
