@@ -98,11 +98,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns; texts aren't shuffled, rules run twice instead."""
+    """The rows of ``docs`` that pass, with all their columns; rules run twice so that texts needn't be shuffled:
+    rejected hosts are a table of their own, which Spark sends to the tasks if its size on disk allows it."""
     names = docs.columns
     failed = base_failed(text_metrics(F.col(text_col)))
     hosts = host_verdicts(docs.select(F.col(host_col).alias("host"), failed.alias("failed")), max_rate)
-    hosts = hosts.filter("host_rejected").select(F.col("host").alias("__rejected_host"))
+    hosts = materialize(hosts.filter("host_rejected").select(F.col("host").alias("__rejected_host")), "rejected-hosts")
     passed = docs.withColumn("__failed", failed).filter(~F.col("__failed"))
     left = passed.join(hosts, passed[host_col].eqNullSafe(hosts["__rejected_host"]), "left_anti")
     return left.select(*names)
