@@ -34,9 +34,8 @@ STRIPE_BYTES = 64 << 20
 SCHEMA = "part int, seq bigint, doc_id bigint, n_tokens bigint, ids array<int>"
 #: So many units are joined to a text for the tokeniser: one call for each unit costs more.
 JOINED_UNITS = 2_000
-#: A unit that starts with a word of these letters: with the space before it the word is one pre-token, and
-#: after marks that are no letters, digits or apostrophes others begin.
-WORD_FIRST = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+(?=[.,;:!?%#$*\n]|$(?!\n))")
+#: Words of these letters only are one pre-token with the space before them.
+PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 
 
 def load(tokenizer_path: str) -> Tokenizer:
@@ -79,20 +78,14 @@ def unit_cache(tokenizer_path: str) -> UnitCache:
         found.update(zip(joined, encode_joined(joined, tokenizer, " "), strict=True))
         return [found[u] for u in units]
 
-    # words and what follows them are cached apart from whole units
-    words, tails = UnitCache(encode_words, encode_whole, 120_000_000), UnitCache(encode_whole, encode_whole, 10_000_000)
-
     def encode_spaced(units: list[str]) -> list[bytes]:
-        cut = {u: len(m[0]) for u in units if (m := WORD_FIRST.match(u))}
-        heads, ends = [u[:n] for u, n in cut.items()], [u[n:] for u, n in cut.items()]
-        head_ids = dict(zip(names := list(set(heads)), words.ids_of(names), strict=True))
-        end_ids = dict(zip(names := list(set(ends)), tails.ids_of(names), strict=True))
-        found = {u: head_ids[h] + end_ids[e] for u, h, e in zip(cut, heads, ends, strict=True)}
+        words = [u for u in units if PLAIN.fullmatch(u)]
+        found = dict(zip(words, encode_words(words), strict=True))
         others = [u for u in units if u not in found]
         found.update(zip(others, encode_others(others), strict=True))
         return [found[u] for u in units]
 
-    return UnitCache(encode_spaced, encode_whole, 80_000_000)
+    return UnitCache(encode_spaced, encode_whole, 240_000_000)
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
