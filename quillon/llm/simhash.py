@@ -222,6 +222,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 3, shingle: int = 3, id_co
 WIDE_WORDS, WIDE_BLOCKS, BLOCK_DIFFER = 4, 11, 2
 #: Added to the number of differing bits that the similarity stands for: about one standard deviation.
 WIDE_SLACK = 5
+#: Rounds of the exact comparison before all pairs that are left are compared.
+MOST_TURNS = 8
 
 
 def wide_limit(similarity: float) -> int:
@@ -230,7 +232,11 @@ def wide_limit(similarity: float) -> int:
 
 
 def wide_fingerprint(text: str | None, shingle: int) -> np.ndarray:
-    hashes = shingle_hashes(text, shingle, 42)
+    """Of the set of shingles: one that repeats has no more weight than any other."""
+    return wide_of_set(np.unique(shingle_hashes(text, shingle, 42)))
+
+
+def wide_of_set(hashes: np.ndarray) -> np.ndarray:
     if not len(hashes):
         return np.zeros(WIDE_WORDS, np.uint64)
     wide = (hashes[:, None] ^ np.arange(WIDE_WORDS, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x9E3779B97F4A7C15)
@@ -239,13 +245,9 @@ def wide_fingerprint(text: str | None, shingle: int) -> np.ndarray:
     return majority(wide ^ (wide >> np.uint64(32)))
 
 
-def _node(wide: np.ndarray) -> np.ndarray:
-    """A 64-bit name for each row of words."""
-    h = np.zeros(len(wide), np.uint64)
-    for k in range(WIDE_WORDS):
-        h = (h ^ wide[:, k]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return h.view(np.int64)
+def _node(hashes: np.ndarray) -> int:
+    """A 64-bit name for a set of shingles (sorted hashes)."""
+    return xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), 42)
 
 
 def _wide_block(wide: np.ndarray, block: int) -> np.ndarray:
@@ -256,10 +258,12 @@ def _wide_block(wide: np.ndarray, block: int) -> np.ndarray:
     return (out & np.uint64((1 << BITS) - 1)).astype(np.uint32)
 
 
-def similar_links(classes: DataFrame, limit: int, n_fps: int) -> DataFrame:
-    """From distinct wide fingerprints (node, w0, w1, ...) to links (u, v) between nodes that differ in at
-    most ``limit`` bits in all and at most BLOCK_DIFFER in one of the blocks. Two such words have a word
-    halfway, whose anchor is within the covering radius plus half of BLOCK_DIFFER of either: both go there."""
+def similar_links(classes: DataFrame, limit: int, n_fps: int, turn: int = 0, every: bool = False) -> DataFrame:
+    """From classes (node, label, w0, w1, ...) to candidate pairs (u, v) of nodes with different labels that
+    differ in at most ``limit`` bits in all and at most BLOCK_DIFFER in one of the blocks. Two such words have a
+    word halfway, whose anchor is within the covering radius plus half of BLOCK_DIFFER of either: both go there.
+    Each anchor hands on either all such pairs, or as many as join the labels there; ``turn`` says in which order
+    pairs are preferred."""
     names = [f"w{k}" for k in range(WIDE_WORDS)]
     reach = RADIUS + (BLOCK_DIFFER + 1) // 2
     shares, buckets = max(1, n_fps // 50_000), max(64, n_fps // 500)
@@ -267,11 +271,11 @@ def similar_links(classes: DataFrame, limit: int, n_fps: int) -> DataFrame:
     def copies(batches):
         at, offsets, _ = near_anchors(reach)
         for batch in batches:
-            everything = np.stack([batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in names], 1)
+            everything = np.stack([batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in (*names, "node", "label")], 1)
             for k in range(0, len(everything), 10_000):
-                wide, rows, keys = everything[k : k + 10_000], [], []
+                part, rows, keys = everything[k : k + 10_000], [], []
                 for block in range(WIDE_BLOCKS):
-                    word = _wide_block(wide, block)
+                    word = _wide_block(part[:, :WIDE_WORDS], block)
                     syndrome = _syndrome(word)
                     row, nth = _ragged(np.diff(at)[syndrome])
                     rows.append(row)
@@ -280,57 +284,133 @@ def similar_links(classes: DataFrame, limit: int, n_fps: int) -> DataFrame:
                 bucket = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
                 found, first = np.unique(bucket[order], return_index=True)
-                for b, part in zip(found, np.split(order, first[1:]), strict=True):
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(b)], pa.int64()), "anchors": pa.array([key[part].astype("<u4").tobytes()], pa.binary()), "fps": pa.array([wide[row[part]].astype("<u8").tobytes()], pa.binary())})
+                for b, some in zip(found, np.split(order, first[1:]), strict=True):
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(b)], pa.int64()), "anchors": pa.array([key[some].astype("<u4").tobytes()], pa.binary()), "fps": pa.array([part[row[some]].astype("<u8").tobytes()], pa.binary())})
 
     def compare(table):
         key = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column("anchors")])
-        wide = np.concatenate([np.frombuffer(x.as_py(), "<u8").reshape(-1, WIDE_WORDS) for x in table.column("fps")])
-        order = np.argsort(key, kind="stable")
-        key, wide = key[order], wide[order]
-        node, first = _node(wide), np.unique(key, return_index=True)[1]
-        links = [(node[:0], node[:0])]
+        rows = np.concatenate([np.frombuffer(x.as_py(), "<u8").reshape(-1, WIDE_WORDS + 2) for x in table.column("fps")])
+        # the same order at all anchors, so that most of them prefer the same pairs
+        order = np.lexsort((rows[:, WIDE_WORDS] * np.uint64(0x9E3779B97F4A7C15 ** (2 * turn) % 2**64), key))
+        key, rows = key[order], rows[order]
+        wide, node, label, first = rows[:, :WIDE_WORDS], rows[:, WIDE_WORDS].view(np.int64), rows[:, WIDE_WORDS + 1], np.unique(key, return_index=True)[1]
+        u, v = [node[:0]], [node[:0]]
         for a, b in zip(first, np.append(first[1:], len(key)), strict=True):
             if b - a > 1:
-                links += _similar_in(wide[a:b], node[a:b], _wide_block(wide[a:b], int(key[a] >> BITS)), limit)
-        u, v = (np.concatenate(x) for x in zip(*links, strict=True))
-        return pa.Table.from_pydict({"u": pa.array(u), "v": pa.array(v)})
+                i, j = _similar_in(wide[a:b], label[a:b], _wide_block(wide[a:b], int(key[a] >> BITS)), limit, every)
+                u.append(np.minimum(node[a + i], node[a + j]))
+                v.append(np.maximum(node[a + i], node[a + j]))
+        return pa.Table.from_pydict({"u": pa.array(np.concatenate(u)), "v": pa.array(np.concatenate(v))})
 
     placed = classes.withColumn("share", F.pmod(F.xxhash64("node"), F.lit(shares)))
-    packed = placed.repartition("share").select(*names).mapInArrow(copies, "bucket bigint, anchors binary, fps binary")
+    packed = placed.repartition("share").select(*names, "node", "label").mapInArrow(copies, "bucket bigint, anchors binary, fps binary")
     return packed.groupBy("bucket").applyInArrow(compare, "u bigint, v bigint").distinct()
 
 
-def _similar_in(wide: np.ndarray, node: np.ndarray, word: np.ndarray, limit: int, block: int = 1 << 20) -> list:
-    """A spanning forest of the similar pairs at one anchor, a block of comparisons at a time."""
-    links, step = [], max(1, block // len(word))
+def _spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Positions of pairs (a, b) that connect all that the pairs connect; fewer than two for each node and step."""
+    at, picked = np.arange(max(a.max(), b.max()) + 1), []
+    while True:
+        low, high = at[a], at[b]
+        apart = np.flatnonzero(low != high)
+        if not len(apart):
+            return np.unique(np.concatenate(picked))
+        some = apart[np.unique(np.concatenate([high[apart], low[apart]]), return_index=True)[1] % len(apart)]
+        picked.append(some)
+        least, node = _forest(low[some], high[some])
+        to = np.arange(len(at))
+        to[node] = least
+        at = to[at]
+
+
+def _similar_in(wide: np.ndarray, label: np.ndarray, word: np.ndarray, limit: int, every: bool, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs at one anchor, all or as many as join the labels, a block of comparisons at a time."""
+    label = np.unique(label, return_inverse=True)[1]
+    found, step = [], max(1, block // len(word))
     for k in range(0, len(word), step):
         i, j = np.nonzero(np.bitwise_count(word[k : k + step, None] ^ word[None, k:]) <= BLOCK_DIFFER)
         i, j = i[j > i] + k, j[j > i] + k
+        near = label[i] != label[j]
+        i, j = i[near], j[near]
+        near = np.bitwise_count(wide[i] ^ wide[j]).sum(1) <= limit
+        i, j = i[near], j[near]
         if len(i):
-            near = np.bitwise_count(wide[i] ^ wide[j]).sum(1) <= limit
-            if near.any():
-                links.append(_forest(node[i[near]], node[j[near]]))
-    return links if len(links) < 2 else [_forest(*(np.concatenate(x) for x in zip(*links, strict=True)))]
+            pick = slice(None) if every else _spanning(label[i], label[j])
+            found.append((i[pick], j[pick]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    pick = slice(None) if every or len(found) == 1 else _spanning(label[i], label[j])
+    return i[pick], j[pick]
+
+
+def _judge(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Candidate pairs (u, v) with ``similar``: whether the exact Jaccard similarity of their shingle sets is
+    at least ``similarity``. Only texts that stand for a class in a pair are cut into shingles again."""
+    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    wanted = materialize(classes.select("node", "least").join(nodes, "node"), "wide-wanted")
+    ids = wanted.select("least").distinct()
+
+    def run(batches):
+        for batch in batches:
+            for _, texts in _slices(batch, "text"):
+                sets = [np.unique(shingle_hashes(t, shingle, 42)) for t in texts]
+                node = np.array([_node(x) for x in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["least"]), "left_semi").select("text")
+    sets = texts.mapInArrow(run, "node bigint, shingles array<bigint>").join(wanted.select("node"), "node", "left_semi")
+    sets = materialize(sets.dropDuplicates(["node"]), "wide-sets")
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
+    both = both.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    same = F.size(F.array_intersect("a", "b"))
+    return both.select("u", "v", (same / (F.size("a") + F.size("b") - same) >= similarity).alias("similar"))
+
+
+def _exact_links(docs: DataFrame, classes: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Links (u, v) that connect the candidate pairs of classes whose similarity is exact. At first each anchor
+    hands on only as many pairs as join its labels, so that a large group of near copies isn't squared; where
+    one of them turns out not to be similar, other pairs are tried around it, with what is linked so far as
+    labels, and in the end all that are left."""
+    n, limit = classes.count(), wide_limit(similarity)
+    now, good, bad, every = classes.withColumn("label", F.col("node")), None, None, False
+    for turn in range(MOST_TURNS + 1):
+        pairs = materialize(similar_links(now, limit, n, turn, every), "wide-pairs")
+        judged = materialize(_judge(pairs, docs, classes, similarity, shingle), "wide-judged")
+        yes, no = judged.filter("similar").select("u", "v"), judged.filter("not similar").select("u", "v")
+        good, bad = (yes, no) if good is None else (good.unionByName(yes), bad.unionByName(no))
+        n_yes, n_no = judged.agg(F.count_if("similar"), F.count_if(~F.col("similar"))).first()
+        if every or not n_no:
+            break
+        every = turn + 1 == MOST_TURNS or turn > 0 and 4 * n_yes < n_no
+        around = components(good.unionByName(bad)).withColumnRenamed("component", "around")
+        open_ = around.join(no.select(F.col("u").alias("node")), "node").select("around").distinct()
+        linked = components(good).withColumnRenamed("component", "linked")
+        around = around.join(open_, "around", "left_semi").join(linked, "node", "left").select("node", F.coalesce("linked", "node").alias("label"))
+        now = materialize(classes.join(around, "node"), "wide-open")
+    return good
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, component_id (the least doc_id of its class). Documents are linked
-    where wide fingerprints estimate at least the Jaccard similarity of their word shingles (64-bit
-    fingerprints within 3 bits would miss most pairs at 0.8, whose fingerprints differ in about 10 bits)."""
+    """One row per input row: doc_id, component_id (the least doc_id of its class). Documents are linked where
+    the Jaccard similarity of their sets of word shingles is at least ``similarity``. Wide fingerprints find
+    the candidates (64-bit fingerprints within 3 bits would miss most pairs at 0.8, whose fingerprints differ
+    in about 10 bits); shingles are told apart by 64-bit hashes."""
     names = [f"w{k}" for k in range(WIDE_WORDS)]
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id bigint, node bigint, " + ", ".join(f"{c} bigint" for c in names)
 
     def run(batches):
         for batch in batches:
-            for part, texts in _slices(batch, "text"):
-                wide = np.array([wide_fingerprint(t, shingle) for t in texts], np.uint64).reshape(-1, WIDE_WORDS)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_node(wide)), *[pa.array(np.ascontiguousarray(wide[:, k]).view(np.int64)) for k in range(WIDE_WORDS)]], names=["doc_id", "node", *names])
+            for part, some in _slices(batch, "text"):
+                sets = [np.unique(shingle_hashes(t, shingle, 42)) for t in some]
+                node = np.array([_node(x) for x in sets], np.uint64).view(np.int64)
+                wide = np.array([wide_of_set(x) for x in sets], np.uint64).reshape(-1, WIDE_WORDS)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(node), *[pa.array(np.ascontiguousarray(wide[:, k]).view(np.int64)) for k in range(WIDE_WORDS)]], names=["doc_id", "node", *names])
 
-    rows = materialize(rows.mapInArrow(run, schema), "wide")
+    rows = materialize(texts.mapInArrow(run, schema), "wide")
     classes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in names]), "wide-classes")
-    found = components(similar_links(classes.select("node", *names), wide_limit(similarity), classes.count()))
+    found = components(_exact_links(texts, classes, similarity, shingle))
     classes = classes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = materialize(classes.join(heads, "component").select("node", "component_id"), "wide-components")

@@ -115,6 +115,39 @@ def test_similar_documents(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {c for c in got.values() if c is not None} | {None}
 
 
+def test_a_repeated_line_links_nothing(spark):
+    """Own words each, and one line that makes up 40 % of both texts."""
+    rng = random.Random(4)
+    own = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300))
+    line = " ".join(["one footer line of ten words stands on every page"] * 20)
+    rows = [(i, f"{own()} {line}") for i in range(12)]
+    assert max(jaccard(rows[0][1], t) for _, t in rows[1:]) < 0.05
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, i) for i in range(12)]
+
+
+def test_links_are_exact(spark):
+    """Pairs of 0.70 to 0.79 are candidates as well, and groups hold both kinds: no false link, no lost group."""
+    rng = random.Random(6)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{k}" for k in range(300)]
+        for _ in range(6):
+            w = list(base)
+            for k in rng.sample(range(300), rng.randrange(2, 8)):
+                w[k] = f"x{rng.random()}"
+            rows.append((len(rows), " ".join(w)))
+    pairs = [(a, b, jaccard(s, t)) for a, s in rows for b, t in rows if a < b]
+    assert sum(0.7 <= x < 0.8 for _, _, x in pairs) > 20 and sum(x >= 0.8 for _, _, x in pairs) > 30
+    label = list(range(len(rows)))
+    for a, b, x in pairs:
+        if x >= 0.8:
+            low, high = sorted((label[a], label[b]))
+            label = [low if c == high else c for c in label]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(label[i] == label[c] for i, c in got.items())
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(6, 40)] + [(-3, 5), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
