@@ -218,17 +218,18 @@ def near_duplicates(docs: DataFrame, threshold: int = 3, shingle: int = 3, id_co
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Wide fingerprints: four words, of which eleven blocks of 23 bits look for candidates.
-WIDE_WORDS, WIDE_BLOCKS, BLOCK_DIFFER = 4, 11, 2
-#: Added to the number of differing bits that the similarity stands for: about one standard deviation.
-WIDE_SLACK = 5
+#: Wide fingerprints: four words. Eleven blocks of 23 bits look for candidates, and eleven of the bits in another order.
+WIDE_WORDS, WIDE_BLOCKS, BLOCK_DIFFER = 4, 22, 2
+#: Standard deviations of the estimate by which candidates may differ more than the similarity stands for.
+WIDE_DEVIATIONS = 4
 #: Rounds of the exact comparison before all pairs that are left are compared.
 MOST_TURNS = 8
 
 
 def wide_limit(similarity: float) -> int:
-    """Differing bits of sets with that Jaccard similarity: their cosine is 2J / (1 + J)."""
-    return int(64 * WIDE_WORDS * np.arccos(2 * similarity / (1 + similarity)) / np.pi) + WIDE_SLACK
+    """Most differing bits of candidates: sets with that Jaccard similarity have a cosine of 2J / (1 + J)."""
+    n, share = 64 * WIDE_WORDS, np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(n * share + WIDE_DEVIATIONS * np.sqrt(n * share * (1 - share)))
 
 
 def wide_fingerprint(text: str | None, shingle: int) -> np.ndarray:
@@ -251,7 +252,11 @@ def _node(hashes: np.ndarray) -> int:
 
 
 def _wide_block(wide: np.ndarray, block: int) -> np.ndarray:
-    at, bit = divmod(block * BITS, 64)
+    if block >= WIDE_BLOCKS // 2:
+        bits = np.unpackbits(np.ascontiguousarray(wide, "<u8").view(np.uint8), axis=1, bitorder="little")
+        # an odd step visits all bits, and takes those of a block from different ones of the first eleven
+        wide = np.ascontiguousarray(np.packbits(bits[:, np.arange(64 * WIDE_WORDS) * 97 % (64 * WIDE_WORDS)], axis=1, bitorder="little")).view("<u8")
+    at, bit = divmod(block % (WIDE_BLOCKS // 2) * BITS, 64)
     out = wide[:, at] >> np.uint64(bit)
     if bit + BITS > 64:
         out = out | wide[:, at + 1] << np.uint64(64 - bit)
