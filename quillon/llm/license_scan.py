@@ -7,6 +7,8 @@ sequence of identifiers; the licence rules, in their order, are looked for in th
 rule has matched is gone for the rules after it. All of it is expressions on one row: nothing is
 shuffled, and texts without any cue word are skipped (every known sentence holds one).
 
+Line ends may be any of line feed, carriage return or both, and any white space may follow a mark.
+
 Nulls: a null text holds no licence; a null id stays null. Repeated rows give repeated results. A text
 without licences gives no row. An empty table gives an empty result.
 """
@@ -103,6 +105,11 @@ def rule_sequences() -> list[tuple[str, str]]:
     return [(licence, "".join(f";{p};" for i in ids for p in parts[i])) for licence, ids in RULES]
 
 
+def plain_breaks(text: Column) -> Column:
+    """Line feeds for all line ends, and blanks for all other white space, as the cuts expect them."""
+    return F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"[^\S\n]", " ")
+
+
 def sequence(text: Column, pattern: str, known: Column) -> Column:
     """The identifiers of the known sentences in text order, as ``;a;;b;``."""
     sentences = F.split(text, pattern)
@@ -118,7 +125,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     licences = sorted({licence for licence, _ in RULES})
     counts = {}
     for cut, pattern in (("by_line", BY_LINE), ("across", ACROSS_LINES)):
-        rows = rows.withColumn(f"{cut}_0", sequence(F.col("text"), pattern, known))
+        rows = rows.withColumn(f"{cut}_0", sequence(plain_breaks(F.col("text")), pattern, known))
     rows = rows.drop("text").filter("by_line_0 <> '' or across_0 <> ''")
     for cut in ("by_line", "across"):
         for k, (licence, ids) in enumerate(rule_sequences()):

@@ -30,3 +30,15 @@ def test_rules_in_order(spark):
         (6, "Apache-2.0", 1), (6, "CC-BY-NC-4.0", 2), (6, "MIT", 1),
     ]
     assert ls.scan(docs.limit(0)).count() == 0
+
+
+def test_line_ends_and_white_space(spark):
+    """Wrapped texts give the same with line feeds, carriage returns, both, and tabs after marks."""
+    S = ls.SENTENCES
+    wrap = lambda x: "\n".join(__import__("textwrap").wrap(x, 60))
+    mit = f"{wrap(S['mit_grant'])}:\n\n{wrap(S['mit_condition'])}.\n\n{wrap(S['as_is'])}."
+    gpl = f"{wrap(S['gpl2_free'])}.\n\n{wrap(S['gpl_hope'])}.\n"
+    texts = [(k, form(t)) for k, (t, form) in enumerate((t, f) for t in (mit, gpl) for f in (
+        lambda x: x, lambda x: x.replace("\n", "\r\n"), lambda x: x.replace("\n", "\r"), lambda x: x.replace(".\n", ".\t\n").replace(":\n", ":\t\n").replace("; ", ";\t")))]
+    got = sorted((r.doc_id, r.license, r.n_matches) for r in ls.scan(spark.createDataFrame(texts, "doc_id bigint, text string")).collect())
+    assert got == [(k, "MIT" if k < 4 else "GPL-2.0-or-later", 1) for k in range(8)]
