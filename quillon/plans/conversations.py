@@ -56,6 +56,12 @@ def p11_p12_short_answers(spark, sf):
     return rows
 
 
+def p11_p12_sentences(spark, sf):
+    """Every sentence of every turn, judged as a short answer."""
+    rows = _turns(spark, sf).select("conv_id", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), "[.!?]+")).alias("sentence", "t"))
+    return rows.select("conv_id", "turn", "sentence", T.is_negated_short_answer(F.col("t")).alias("negated"), T.is_bare_affirmation(F.col("t")).alias("affirmed"))
+
+
 def a20_text_by_role(spark, sf):
     rows = _turns(spark, sf).groupBy("conv_id", "role").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x"))
     joined = F.array_join(F.transform("x", lambda r: r["text"]), " ")
@@ -77,6 +83,10 @@ def f13_redact(spark, sf):
     return _turns(spark, sf).select("conv_id", "turn", F.md5(T.redact(F.substring("text", 1, 200))).alias("digest"))
 
 
+def f13_redact_whole(spark, sf):
+    return _turns(spark, sf).select("conv_id", "turn", F.length(T.redact(F.col("text"))).alias("n"), F.md5(T.redact(F.col("text"))).alias("digest"))
+
+
 def w03_backwards(spark, sf):
     rows = _turns(spark, sf).withColumn("start", (F.col("turn") * 7 % 5).cast("double"))
     return timeline.backwards(rows, S, O, "start").select("conv_id", "turn", "start")
@@ -109,7 +119,7 @@ def t14_chain(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     w01_j16_turn_context, w01_numbering, w02_segment_ends, w03_backwards, w04_context, w05_running_clock, w09_islands, f01_normalize,
-    p11_p12_short_answers, f13_redact, a20_text_by_role, a22_main_speaker, a10_role_summary, u01_u06_timeline_union, t14_chain,
+    p11_p12_short_answers, p11_p12_sentences, f13_redact, f13_redact_whole, a20_text_by_role, a22_main_speaker, a10_role_summary, u01_u06_timeline_union, t14_chain,
     t15_rising_edges, t23_silence,
 )}
 
@@ -146,6 +156,16 @@ SELECT conv_id, turn, len(w) BETWEEN 1 AND 5 AND regexp_matches(t, '^(?:(?:{_FIL
   len(w) BETWEEN 1 AND 4 AND regexp_matches(t, '^(?:(?:{_FILLERS}) )*(?:{"|".join(T.AFFIRMATIONS)})(?: |$)')
   AND len(list_filter(w, lambda x: x NOT IN ({", ".join(repr(x) for x in T.AFFIRMATION_WORDS)}))) = 0 AS affirmed FROM w""",
     "f13_redact": r"SELECT conv_id, turn, md5(regexp_replace(regexp_replace(substring(text, 1, 200), '\p{L}', 'x', 'g'), '\p{N}', '#', 'g')) AS digest FROM conversations",
+    "p11_p12_sentences": f"""
+WITH s AS (SELECT conv_id, turn, generate_subscripts(s, 1)::INT - 1 AS sentence, unnest(s) AS x FROM (SELECT conv_id, turn, regexp_split_to_array(coalesce(text, ''), '[.!?]+') AS s FROM conversations)),
+n AS (SELECT conv_id, turn, sentence, {_PLAIN.format("x")} AS t FROM s),
+w AS (SELECT *, list_filter(string_split(t, ' '), lambda x: x <> '') AS w FROM n)
+SELECT conv_id, turn, sentence, len(w) BETWEEN 1 AND 5 AND regexp_matches(t, '^(?:(?:{_FILLERS}) )*(?:{"|".join(T.NEGATIONS)})(?: |$)') AS negated,
+  len(w) BETWEEN 1 AND 4 AND regexp_matches(t, '^(?:(?:{_FILLERS}) )*(?:{"|".join(T.AFFIRMATIONS)})(?: |$)')
+  AND len(list_filter(w, lambda x: x NOT IN ({", ".join(repr(x) for x in T.AFFIRMATION_WORDS)}))) = 0 AS affirmed FROM w""",
+    "f13_redact_whole": r"""
+WITH r AS (SELECT conv_id, turn, regexp_replace(regexp_replace(text, '\p{L}', 'x', 'g'), '\p{N}', '#', 'g') AS t FROM conversations)
+SELECT conv_id, turn, length(t) AS n, md5(t) AS digest FROM r""",
     "a20_text_by_role": """
 SELECT conv_id, role, md5(string_agg(text, ' ' ORDER BY turn)) AS digest, length(string_agg(text, ' ' ORDER BY turn))::BIGINT AS n FROM conversations GROUP BY conv_id, role""",
     "a22_main_speaker": """

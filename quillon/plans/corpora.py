@@ -84,7 +84,14 @@ def o06_top_similar(spark, sf):
 
 
 def a17_a18_derivations(spark, sf):
-    rows = read_table(spark, sf, "lineitem").filter("l_linenumber <= 2")
+    return _derivations(read_table(spark, sf, "lineitem").filter("l_linenumber <= 2"))
+
+
+def a17_a18_derivations_whole(spark, sf):
+    return _derivations(read_table(spark, sf, "lineitem"))
+
+
+def _derivations(rows):
     rows = rows.withColumn("item", F.when(F.col("l_quantity") > 45, "n/a").otherwise(F.floor(F.col("l_quantity") / 4).cast("int").cast("string")))
     n = rows.groupBy("l_orderkey").agg(F.count("*").alias("n"))
     out = scoring.strict_sum(rows.join(n, "l_orderkey"), ["l_orderkey"], F.col("item"), F.col("n"))
@@ -132,6 +139,12 @@ def j08_best_tab(spark, sf):
     return forms.best_url_match(wanted, pages, "url", "page_id", "page_id")
 
 
+def j08_best_tab_whole(spark, sf):
+    pages = read_table(spark, sf, "pages").select("page_id", "url")
+    wanted = pages.select(F.regexp_replace("url", r"[?#].*$", "").alias("url")).distinct()
+    return forms.best_url_match(wanted, pages, "url", "page_id", "page_id")
+
+
 def j14_fill_outcomes(spark, sf):
     rows = read_table(spark, sf, "orders").select(
         F.col("o_orderstatus").alias("intended"), F.when(F.col("o_orderkey") % 5 == 0, F.lit("F")).alias("prior"), F.when(F.col("o_orderkey") % 10 == 0, F.lit("F")).alias("dflt"),
@@ -228,7 +241,7 @@ def a32_fingerprint(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     a01_must_fill, a08_a09_three_way, a03_traps, a13_invariance, a15_multi_select, a16_threshold, a12_nll, f24_f25_temper_decide, o06_top_similar,
-    a17_a18_derivations, j02_first_result, j25_last_report, j04_override, j05_volatile_options, j06_rematch, j07_chart_forms, j08_best_tab,
+    a17_a18_derivations, a17_a18_derivations_whole, j08_best_tab_whole, j02_first_result, j25_last_report, j04_override, j05_volatile_options, j06_rematch, j07_chart_forms, j08_best_tab,
     j14_fill_outcomes, j20_precedence, j22_resolver, p01_plan, p21_p22_pii, g09_split, g08_epoch, a26_export_counts, a27_agreement,
     a30_unreferenced, o11_batches, f15_generalize_path, f07_f04_dates, f05_f06_clock, u05_except, a32_fingerprint,
 )}
@@ -266,6 +279,13 @@ SELECT label, vec_id, rank, similarity FROM (SELECT *, row_number() OVER (PARTIT
 t AS (SELECT l_orderkey, CASE WHEN count(x) = count(*) THEN sum(x)::BIGINT END AS total FROM i GROUP BY l_orderkey)
 SELECT l_orderkey, total, CASE WHEN total <= 4 THEN 'MINIMAL' WHEN total <= 9 THEN 'MILD' WHEN total <= 14 THEN 'MODERATE' WHEN total <= 19 THEN 'MODERATELY_SEVERE' WHEN total <= 27 THEN 'SEVERE' END AS phq9,
 CASE WHEN total <= 4 THEN 'MINIMAL' WHEN total <= 9 THEN 'MILD' WHEN total <= 14 THEN 'MODERATE' WHEN total <= 21 THEN 'SEVERE' END AS gad7 FROM t""",
+    "a17_a18_derivations_whole": """WITH i AS (SELECT l_orderkey, CASE WHEN l_quantity > 45 THEN NULL ELSE floor(l_quantity / 4)::BIGINT END AS x FROM lineitem),
+t AS (SELECT l_orderkey, CASE WHEN count(x) = count(*) THEN sum(x)::BIGINT END AS total FROM i GROUP BY l_orderkey)
+SELECT l_orderkey, total, CASE WHEN total <= 4 THEN 'MINIMAL' WHEN total <= 9 THEN 'MILD' WHEN total <= 14 THEN 'MODERATE' WHEN total <= 19 THEN 'MODERATELY_SEVERE' WHEN total <= 27 THEN 'SEVERE' END AS phq9,
+CASE WHEN total <= 4 THEN 'MINIMAL' WHEN total <= 9 THEN 'MILD' WHEN total <= 14 THEN 'MODERATE' WHEN total <= 21 THEN 'SEVERE' END AS gad7 FROM t""",
+    "j08_best_tab_whole": r"""WITH w AS (SELECT DISTINCT regexp_replace(url, '[?#].*$', '') AS url FROM pages),
+b AS (SELECT w.url, page_id AS tab, CASE WHEN w.url = p.url THEN 0 WHEN w.url = regexp_replace(p.url, '#.*$', '') THEN 1 ELSE 2 END AS rank FROM w JOIN pages p ON w.url = regexp_replace(p.url, '[?#].*$', ''))
+SELECT url, tab, rank FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY rank, tab) AS r FROM b) WHERE r = 1""",
     "j02_first_result": "SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS r FROM lineitem) WHERE r = 1",
     "j25_last_report": "SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY o_custkey",
     "j04_override": "SELECT p_partkey, CASE WHEN p_partkey % 14 = 0 THEN 'own' ELSE p_brand END AS p_brand, p_size FROM part",

@@ -39,6 +39,11 @@ def p05_p07_labels(spark, sf):
     return rows.select("item_id", V.is_questionnaire(F.lit("radio_group"), F.substring("text", 1, 24)).alias("questionnaire"), V.says_something(F.substring("text", 1, 3)).alias("speaks"))
 
 
+def p05_p07_labels_whole(spark, sf):
+    rows = read_table(spark, sf, "benchmark").select("item_id", "text")
+    return rows.select("item_id", V.is_questionnaire(F.lit("radio_group"), F.col("text")).alias("questionnaire"), V.says_something(F.col("text")).alias("speaks"))
+
+
 def p08_normalise(spark, sf):
     rows = read_table(spark, sf, "part")
     mode = F.element_at(F.array(*[F.lit(x) for x in ("narrative", "discrete", "other", "derived")]), (F.col("p_partkey") % 4 + 1).cast("int"))
@@ -114,7 +119,7 @@ def g10_middle_cut(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    f18_frequency_band, f26_label_match, f34_weekday, f40_meter, p05_p07_labels, p08_normalise, j24_clip, j26_rekey, j27_recover, j28_prefix,
+    f18_frequency_band, f26_label_match, f34_weekday, f40_meter, p05_p07_labels, p05_p07_labels_whole, p08_normalise, j24_clip, j26_rekey, j27_recover, j28_prefix,
     k09_seal, k11_upsert, a24_groups, a33_verify_blobs, a34_r20_preflight, t22_chunks, g10_middle_cut,
 )}
 
@@ -126,6 +131,7 @@ SELECT period, CASE WHEN m BETWEEN 0 AND 4 THEN 'a_rare' WHEN m BETWEEN 4 AND 60
     "f34_weekday": "SELECT dayname(o_orderdate) AS day, count(*) AS n FROM orders GROUP BY ALL",
     "f40_meter": "SELECT event_id, round(greatest(0, least(1, (20 * log10(greatest(abs(value) / 1000, 1e-9)) + 60) / 60)), 6) AS level FROM events",
     "p05_p07_labels": r"SELECT item_id, len(list_filter(string_split(substring(text, 1, 24), ' '), lambda w: w <> '')) >= 5 AS questionnaire, regexp_matches(substring(text, 1, 3), '[\p{L}\p{N}]') AS speaks FROM benchmark",
+    "p05_p07_labels_whole": r"SELECT item_id, len(list_filter(string_split(text, ' '), lambda w: w <> '')) >= 5 AS questionnaire, regexp_matches(text, '[\p{L}\p{N}]') AS speaks FROM benchmark",
     "p08_normalise": """WITH p AS (SELECT ['narrative', 'discrete', 'other', 'derived'][p_partkey % 4 + 1] AS m, p_size > 20 AS t, least(greatest((p_size - 25) * 200, 1), 4000) AS max_chars FROM part)
 SELECT CASE WHEN m = 'other' THEN 'discrete' WHEN m = 'narrative' AND NOT t THEN 'discrete' ELSE m END AS mode, max_chars, count(*) AS n FROM p GROUP BY ALL""",
     "j24_clip": """SELECT l_linenumber, count(*) AS n, round(sum(least(l_quantity + 10, 40) - greatest(l_quantity, 15)), 4) AS seconds FROM lineitem WHERE l_quantity < 40 AND l_quantity + 10 > 15 GROUP BY ALL""",

@@ -160,3 +160,18 @@ def test_fill_and_undo(spark):
     assert one(spark, forms.fill_outcome(c("a"), c("b"), c("d"), c("b"), F.lit(False), F.lit(True)), t="") == "conflict_skipped"
     assert one(spark, forms.fill_outcome(c("a"), c("d"), c("d"), c("x"), F.lit(False), F.lit(True)), t="") == "reverted"
     assert one(spark, forms.undo_outcome(c("a"), c("b"), c("p"), c("p"), F.lit(True)), t="") == "changed_since"
+
+
+def test_whole_texts_and_tables(spark):
+    """The queries named _whole and _sentences leave out no rows and no ends of texts."""
+    from quillon.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    table = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
+    chars = table("conversations").selectExpr("sum(length(text))", "max(length(text))").first()
+    assert chars[1] > 200 and QUERIES["f13_redact_whole"](spark, sf).selectExpr("sum(n)").first()[0] == chars[0]
+    assert QUERIES["p11_p12_sentences"](spark, sf).count() > table("conversations").count()
+    long_ = table("benchmark").filter("size(filter(split(text, ' '), w -> w <> '')) >= 5").count()
+    assert QUERIES["p05_p07_labels_whole"](spark, sf).filter("questionnaire").count() == long_
+    assert QUERIES["a17_a18_derivations_whole"](spark, sf).count() == table("lineitem").select("l_orderkey").distinct().count()
+    assert QUERIES["j08_best_tab_whole"](spark, sf).count() == table("pages").selectExpr("regexp_replace(url, '[?#].*$', '')").distinct().count()
