@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -58,16 +59,14 @@ def encoding(ranks_path: str, pattern: str) -> tuple[tiktoken.Encoding, UnitCach
     )
 
 
-def _slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Parts of a batch of about OUT_BYTES of text each, with the column's values."""
-    at = 0
+def _slices(batch: pa.RecordBatch, column: str, most: int = OUT_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Parts of a batch of about ``most`` bytes of text each, with the column's values."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False) + 64
+    ends, at = np.cumsum(sizes, dtype=np.int64), 0
     while at < batch.num_rows:
-        end, size, values = at, 0, []
-        while end < batch.num_rows and size < OUT_BYTES:
-            values.append(batch.column(column)[end].as_py())
-            size += len(values[-1] or "") + 64
-            end += 1
-        yield batch.slice(at, end - at), values
+        end = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most)) + 1
+        part = batch.slice(at, end - at)
+        yield part, part.column(column).to_pylist()
         at = end
 
 

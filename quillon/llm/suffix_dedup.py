@@ -1,28 +1,34 @@
-"""Removal of repeated passages by longest-previous-factor tests in suffix order.
+"""Removal of repeated passages by longest-previous-factor arrays.
 
 A byte is removed if it is covered by a string of ``LENGTH`` bytes that also starts in a document with a
-smaller id. For that, each text position is a suffix of which the first ``LENGTH`` bytes matter. Suffixes
-are put in suffix order, ties by document; the previous smaller document in that order then shares
-``LENGTH`` bytes with a suffix exactly if the longest previous factor at that position is that long (the
-next smaller one never does, because of the tie order).
+smaller id. Each text position is a suffix; its longest previous factor is the longest prefix that it
+shares with a suffix of a document with a smaller id. In suffix order that is shared with the previous
+or the next position of a smaller id, so both are found, the prefixes shared with them are measured, and
+the longer one is the factor. Where it reaches ``LENGTH`` bytes, those bytes go. Factors are measured up
+to ``LENGTH``, which is all the rule asks.
 
-Suffix order is needed only among suffixes that can be equal, so the work is split by content. The
-minimiser of a window (its leftmost ``GRAM``-byte string with the least hash) depends on the window alone
-and is shared by a run of neighbouring windows; equal windows have equal minimisers. The steps:
+Suffix order is needed only among suffixes that can share ``LENGTH`` bytes, so the work is split by
+content. The minimiser of a window of ``LENGTH`` bytes (its leftmost ``GRAM``-byte string with the least
+hash) depends on the window alone and is shared by a run of neighbouring windows; equal windows have
+equal minimisers. The steps:
 
 1. Texts are dealt into batches by their hash, equal texts once (copies of a whole text are settled by
    the least id of the text). Each batch sends its distinct minimisers, packed by bucket.
-2. A bucket tells each batch which of its minimisers occur in two documents or more.
-3. Each batch sends the windows of those, as the bytes of a run with the least id that has it.
-4. A bucket puts the windows in suffix order and answers, for each, whether a smaller id has it.
-5. Each batch removes the bytes under all such windows.
+2. A bucket tells each batch which of its minimisers occur in two documents or more, and which of them
+   in more than ``WIDESPREAD`` batches.
+3. Each batch sends the bytes under the runs of those, each string once with the least id that has it.
+   Strings of widespread minimisers take one step more: groups of batches put equal strings together, so
+   that a bucket gets them once for each group.
+4. A bucket puts equal strings together under their least id, and builds the longest-previous-factor
+   array of all strings that share a minimiser with another. The answers go back the same way.
+5. Each batch removes the bytes under all windows whose factor reaches ``LENGTH``.
 
 All steps are one Spark plan in which the shuffled texts are written once and read three times; what
-the buckets exchange are packed arrays. A passage that a third of all documents share reaches a bucket
-once for each batch. Matches never cross documents; lengths are judged on the input.
+the buckets exchange are packed arrays. Matches never cross documents; lengths are judged on the input.
 
 Nulls: a null text has no bytes; a null id counts as greater than all others. Rows with one id and one
-text are one document; all of them come back. Empty tables give empty results.
+text are one document; all of them come back. Empty tables give empty results. Columns of the input may
+have any names.
 """
 
 from __future__ import annotations
@@ -40,9 +46,18 @@ from quillon.llm.byte_bpe import _slices
 from quillon.storage import read_table
 
 LENGTH, GRAM = 50, 24
-BATCH_BYTES, BUCKET_BYTES, SLICE_BYTES = 8_000_000, 8_000_000, 1_000_000
+BATCH_BYTES, BUCKET_BYTES, SLICE_BYTES = 4_000_000, 4_000_000, 200_000
+#: Windows put in suffix order at a time; equal windows are always in one such part.
+SORTED_WINDOWS = 400_000
+#: A minimiser in more batches than this is widespread; batches are then answered in groups of so many.
+WIDESPREAD = 128
+MOST_PARTITIONS = 50_000
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 LAST_KEY = 2**63 - 1
+#: Low bits of a hash that are given up for the place of its gram.
+PLACE = np.uint64((1 << 24) - 1)
+#: Where the words lie that a window is compared by.
+WORDS = (*range(0, LENGTH - 7, 8), LENGTH - 8)
 
 
 def _words(buffer: np.ndarray) -> np.ndarray:
@@ -54,27 +69,20 @@ def _gram_hashes(buffer: np.ndarray) -> np.ndarray:
     words = _words(buffer)
     n = len(words) - 16
     h = words[:n] * ODD[0]
+    h += words[8 : n + 8] * ODD[1]
+    h += words[16 : n + 16] * ODD[2]
     h ^= h >> np.uint64(32)
-    h += words[8 : n + 8]
-    h *= ODD[1]
-    h ^= h >> np.uint64(29)
-    h += words[16 : n + 16]
-    h *= ODD[2]
-    h ^= h >> np.uint64(32)
+    h *= ODD[3]
     return h
 
 
-def _leftmost_least(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each position the least of the next ``width`` values and the offset of its first place."""
-    value, offset, have = h, np.zeros(len(h), np.uint8), 1
+def _least_of_next(values: np.ndarray, width: int) -> np.ndarray:
+    have = 1
     while have < width:
         step = min(have, width - have)
-        left, right = value[:-step], value[step:]
-        better = right < left
-        value = np.where(better, right, left)
-        offset = np.where(better, offset[step:] + np.uint8(step), offset[:-step])
+        values = np.minimum(values[:-step], values[step:])
         have += step
-    return value, offset
+    return values
 
 
 def window_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -82,28 +90,32 @@ def window_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     pieces = []  # (document, offset, length) with LENGTH - 1 bytes of overlap
     for d, t in enumerate(texts):
         pieces += [(d, o, min(len(t) - o, SLICE_BYTES + LENGTH - 1)) for o in range(0, max(0, len(t) - LENGTH + 1), SLICE_BYTES)]
-    out, k = [], 0
+    out, k, rest = [], 0, np.arange(1 - LENGTH, 0)
     while k < len(pieces):
         group, size = [], 0
         while k < len(pieces) and size < SLICE_BYTES:
             group.append(pieces[k])
             size += pieces[k][2]
             k += 1
-        joined = b"".join([texts[d][o : o + n] for d, o, n in group]) + bytes(GRAM)
-        value, offset = _leftmost_least(_gram_hashes(np.frombuffer(joined, np.uint8)), LENGTH - GRAM + 1)
-        lengths = np.array([n for _, _, n in group])
-        begins = np.cumsum(lengths) - lengths
-        piece = np.repeat(np.arange(len(group)), lengths - LENGTH + 1)
-        start = np.arange(len(piece)) + np.repeat(np.arange(len(group)) * (LENGTH - 1), lengths - LENGTH + 1)
-        anchor = start + offset[start]
-        first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1])]))
-        owner, at = np.array([d for d, _, _ in group]), np.array([o for _, o, _ in group])
-        here = piece[first]
-        # hashes of minimisers are small numbers: mixed once more before they are dealt by value
-        mixed = value[start[first]] * ODD[3]
-        out.append((owner[here], start[first] - begins[here] + at[here], np.diff(np.append(first, len(piece))), mixed ^ (mixed >> np.uint64(31))))
+        joined = b"".join([texts[d][o : o + n] for d, o, n in group]) + bytes(GRAM + LENGTH)
+        h = _gram_hashes(np.frombuffer(joined, np.uint8))
+        # the least hash, and of equal ones the leftmost: places take the low bits
+        least = _least_of_next(h & ~PLACE | np.arange(len(h), dtype=np.uint64), LENGTH - GRAM + 1)
+        owner, at, lengths = np.array(group).T
+        ends = np.cumsum(lengths)
+        begins = ends - lengths
+        changes = np.empty(size, bool)
+        changes[1:] = least[1:size] != least[: size - 1]
+        changes[begins] = True
+        changes[(ends[:, None] + rest).ravel()] = False  # no window starts there
+        first = np.flatnonzero(changes)
+        here = np.searchsorted(begins, first, "right") - 1
+        windows = np.diff(np.append(first, size))
+        windows[np.searchsorted(first, ends) - 1] -= LENGTH - 1
+        mixed = h[least[first] & PLACE] * ODD[1]  # hashes of minimisers are small: mixed once more before they are dealt by value
+        out.append((owner[here].astype(np.int32), (first - begins[here] + at[here]).astype(np.int32), windows.astype(np.int32), mixed ^ (mixed >> np.uint64(31))))
     if not out:
-        none = np.zeros(0, np.int64)
+        none = np.zeros(0, np.int32)
         return none, none, none, none.astype(np.uint64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
@@ -119,15 +131,14 @@ def _by_bucket(ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
         return
     bucket = ids >> np.uint64(32)
     first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    for a, b in zip(first, [*first[1:], len(ids)], strict=True):
-        yield int(bucket[a]), int(a), int(b)
+    yield from zip(bucket[first].tolist(), first.tolist(), [*first[1:].tolist(), len(ids)], strict=True)
 
 
 class Batch:
     """The distinct texts of a batch, each with its least key, and their runs."""
 
     def __init__(self, table: pa.Table, buckets: int):
-        least: dict[str, tuple[int, bytes]] = {}
+        least: dict[bytes, tuple[int, bytes]] = {}
         for h, key, text in zip(table.column("h").to_pylist(), table.column("key").to_pylist(), table.column("text").to_pylist(), strict=True):
             if h not in least or key < least[h][0]:
                 least[h] = (key, text)
@@ -136,212 +147,352 @@ class Batch:
         self.texts = [least[h][1] for h in self.h]
         self.document, self.first, self.windows, hashes = window_runs(self.texts)
         self.run_ids = minimiser_ids(hashes, buckets)
-        self.ids, self.place = np.unique(self.run_ids, return_inverse=True)
+        self.ids, place = np.unique(self.run_ids, return_inverse=True)
+        self.place = place.astype(np.int32)
 
     def in_two_documents(self) -> np.ndarray:
-        low, high = np.full(len(self.ids), len(self.h)), np.full(len(self.ids), -1)
+        low, high = np.full(len(self.ids), len(self.h), np.int32), np.full(len(self.ids), -1, np.int32)
         np.minimum.at(low, self.place, self.document)
         np.maximum.at(high, self.place, self.document)
         return low < high
 
     def repeated(self, masks: dict[int, bytes]) -> None:
-        """Keeps the runs whose minimiser is repeated, and finds the distinct byte strings under them."""
+        """Keeps the runs whose minimiser is repeated, and finds the distinct byte strings under them, in
+        the order of their minimisers."""
         alive = np.zeros(len(self.ids), bool)
         for bucket, a, b in _by_bucket(self.ids):
             if bucket in masks:
-                alive[a:b] = np.unpackbits(np.frombuffer(masks[bucket], np.uint8), count=b - a).astype(bool)
-        self.runs = np.flatnonzero(alive[self.place])
-        bucket = (self.run_ids[self.runs] >> np.uint64(32)).tolist()
-        spans = zip(self.document[self.runs].tolist(), self.first[self.runs].tolist(), (self.first + self.windows)[self.runs].tolist(), strict=True)
-        strings = [(b, self.texts[d][s : e + LENGTH - 1]) for b, (d, s, e) in zip(bucket, spans, strict=True)]
-        self.strings = sorted(set(strings))
-        number = {x: k for k, x in enumerate(self.strings)}
-        self.string = np.fromiter((number[x] for x in strings), np.int64, len(strings))
+                alive[a:b] = _unpack(masks[bucket], b - a)
+        runs = np.flatnonzero(alive[self.place])
+        self.document, self.first, self.windows, self.run_ids = (x[runs] for x in (self.document, self.first, self.windows, self.run_ids))
+        spans = zip(self.document.tolist(), self.first.tolist(), (self.first + (self.windows + LENGTH - 1)).tolist(), strict=True)
+        number: dict[bytes, int] = {}
+        string = np.array([number.setdefault(self.texts[d][s:e], len(number)) for d, s, e in spans], np.int64)
+        ids = np.empty(len(number), np.uint64)
+        ids[string] = self.run_ids
+        order = np.argsort(ids, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.string, self.string_ids, found = place[string], ids[order], list(number)
+        self.strings = [found[k] for k in order.tolist()]
         self.least = np.full(len(self.strings), LAST_KEY)
-        np.minimum.at(self.least, self.string, self.keys[self.document[self.runs]])
+        np.minimum.at(self.least, self.string, self.keys[self.document])
+
+
+def _nearest_smaller(owner: np.ndarray) -> np.ndarray:
+    """For each position the nearest one before it with a smaller owner, or -1. All positions look at once: one
+    whose candidate isn't smaller takes over the candidate of that, which skips no smaller one."""
+    found = np.arange(-1, len(owner) - 1)
+    open_ = np.arange(1, len(owner))
+    while len(open_):
+        open_ = open_[owner[found[open_]] >= owner[open_]]
+        found[open_] = found[found[open_]]
+        open_ = open_[found[open_] >= 0]
+    return found
 
 
-def earlier_windows(strings: list[bytes], keys: np.ndarray) -> np.ndarray:
-    """For all windows of all strings, one after the other: does a string with a smaller key have it?"""
-    n = np.array([len(s) - LENGTH + 1 for s in strings])
-    buffer = np.frombuffer(b"".join(strings) + bytes(8), np.uint8)
+def _shared(suffixes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bytes that suffixes a and b share at their start, up to LENGTH; b may be -1 (none)."""
+    out = np.zeros(len(a), np.uint8)
+    left = np.flatnonzero(b >= 0)
+    for word, place in zip(suffixes, WORDS, strict=True):
+        apart = word[a[left]] ^ word[b[left]]
+        differ = apart != 0
+        at = left[differ]
+        # the words are big-endian numbers: equal leading bytes are leading zeros
+        out[at] = place + sum((apart[differ] >> np.uint64(8 * k) == 0).astype(np.uint8) for k in range(1, 8))
+        left = left[~differ]
+    out[left] = LENGTH
+    return out
+
+
+def longest_previous_factors(strings: list[bytes], keys: np.ndarray) -> np.ndarray:
+    """For all windows of all strings, one after the other: how many bytes, up to LENGTH, a window shares with
+    one of a string with a smaller key. 0 stands for less than LENGTH where no other window has the same hash."""
+    n = np.fromiter((len(s) - LENGTH + 1 for s in strings), np.int64, len(strings))
+    words = _words(np.frombuffer(b"".join(strings) + bytes(8), np.uint8))
     start = np.arange(n.sum()) + np.repeat(np.arange(len(n)) * (LENGTH - 1), n)
-    owner = np.repeat(keys, n)
-    words, places = _words(buffer), (*range(0, LENGTH - 7, 8), LENGTH - 8)
-    # windows whose hash occurs once can't match: only the others are put in suffix order
     h = np.zeros(len(start), np.uint64)
-    for p in places:
-        h = (h ^ words[start + p]) * ODD[p // 8 % 4]
+    for p in WORDS:
+        h ^= words[start + p]
+        h *= ODD[p // 8 % 4]
         h ^= h >> np.uint64(31)
-    order = np.argsort(h)
-    same = h[order][1:] == h[order][:-1]
-    twice = np.zeros(len(start), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    del h, order, same
-    left = np.flatnonzero(twice)
-    found = np.zeros(len(start), bool)
-    if not len(left):
-        return found
-    suffixes = [words[start[left] + p].byteswap() for p in places]  # big-endian: numbers compare as bytes do
-    owner = owner[left]
-    order = np.lexsort((owner, *suffixes[::-1]))
-    shares = np.ones(len(order) - 1, bool)
-    for s in suffixes:
-        shares &= s[order[1:]] == s[order[:-1]]
-    owner = owner[order]
-    # inside a stretch that shares LENGTH bytes, the previous smaller document is the stretch's first, if smaller
-    head = np.flatnonzero(np.concatenate([[True], ~shares]))
-    before = np.repeat(owner[head], np.diff(np.append(head, len(order))))
-    found[left[order]] = before < owner
-    return found
+    by_hash = np.argsort(h)
+    h = h[by_hash]
+    same = h[1:] == h[:-1]
+    twice = np.zeros(len(h), bool)
+    twice[1:] |= same
+    twice[:-1] |= same
+    by_hash, h = by_hash[twice], h[twice]
+    out, owner = np.zeros(len(start), np.uint8), np.repeat(keys, n)
+    cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    a = 0
+    while a < len(h):
+        later = cuts[np.searchsorted(cuts, a + SORTED_WINDOWS) :]
+        b = int(later[0]) if len(later) else len(h)
+        some = by_hash[a:b]
+        suffixes = np.stack([words[start[some] + p].byteswap() for p in WORDS])  # big-endian: numbers compare as bytes do
+        order = np.lexsort(suffixes[::-1])
+        suffixes, owners = suffixes[:, order], owner[some[order]]
+        here = np.arange(len(some))
+        following = _nearest_smaller(owners[::-1])[::-1]
+        following = np.where(following < 0, -1, len(some) - 1 - following)
+        out[some[order]] = np.maximum(_shared(suffixes, here, _nearest_smaller(owners)), _shared(suffixes, here, following))
+        a = b
+    return out
+
+
+class Strings:
+    """Packed strings of several senders as distinct strings, each with its minimiser and its least key.
+    Strings are numbered as the senders, in their order, name them."""
+
+    def __init__(self, table: pa.Table, sender: str = "batch"):
+        self.table = table = table.sort_by(sender)
+        number: dict[bytes, int] = {}
+        places, keys, ids, n = [], [], [], []
+        for i, k, lengths, raw in zip(*(table.column(c).to_pylist() for c in ("ids", "keys", "lengths", "bytes")), strict=True):
+            n.append(np.frombuffer(lengths, np.uint8).astype(np.int64))
+            ends = np.cumsum(n[-1]).tolist()
+            places.append(np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip([0, *ends], ends, strict=False)], np.int64))
+            keys.append(np.frombuffer(k, "<i8"))
+            ids.append(np.frombuffer(i, "<u4"))
+        self.senders = [len(x) for x in places]
+        self.place, self.keys, self.windows = np.concatenate(places), np.concatenate(keys), np.concatenate(n) - (LENGTH - 1)
+        self.strings = list(number)
+        self.ids = np.empty(len(number), np.uint32)
+        self.ids[self.place] = np.concatenate(ids)
+        self.least = np.full(len(number), LAST_KEY)
+        np.minimum.at(self.least, self.place, self.keys)
+        self.lengths = np.empty(len(number), np.int64)
+        self.lengths[self.place] = self.windows
+
+    def earlier(self) -> np.ndarray:
+        """For all windows of the distinct strings: does a string with a smaller key have it?"""
+        # a string whose minimiser no other distinct string has shares no window with any
+        with_others = np.unique(self.ids, return_inverse=True, return_counts=True)
+        some = np.flatnonzero(with_others[2][with_others[1]] > 1)
+        out = np.zeros(self.lengths.sum(), bool)
+        if len(some):
+            factors = longest_previous_factors([self.strings[k] for k in some.tolist()], self.least[some])
+            out[_expand(self.begins()[some], self.lengths[some])] = factors >= LENGTH
+        return out
+
+    def begins(self) -> np.ndarray:
+        return np.cumsum(self.lengths) - self.lengths
+
+    def answers(self, earlier: np.ndarray) -> list[bytes]:
+        """For each sender the flags of its windows, packed."""
+        flags = np.repeat(self.least[self.place] < self.keys, self.windows)
+        flags |= earlier[_expand(self.begins()[self.place], self.windows)]
+        ends = np.cumsum(self.windows)[np.cumsum(self.senders) - 1]
+        return [_pack(f) for f in np.split(flags, ends[:-1])]
+
+
+def _expand(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begins[0], begins[0] + 1, ... (sizes[0] of them), begins[1], ..."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - (ends - sizes), sizes)
+
+
+def _unpack(bits: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
 
 
 def _pack(bits: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
+def _schema(fields: str) -> tuple[str, pa.Schema]:
+    kinds = {"bigint": pa.int64(), "binary": pa.binary()}
+    return fields, pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in fields.split(", "))])
+
+
+MINIMISERS = _schema("bucket bigint, batch bigint, ids binary, two binary")
+MASKS = _schema("batch bigint, bucket bigint, mask binary, wide binary")
+WINDOWS = _schema("bucket bigint, batch bigint, team bigint, mask binary, wide binary, ids binary, keys binary, lengths binary, bytes binary")
+MERGED = _schema("bucket bigint, team bigint, ids binary, keys binary, lengths binary, bytes binary")
+ANSWERS = _schema("batch bigint, bucket bigint, team bigint, mask binary, wide binary, flags binary")
+FLAGS = _schema("bucket bigint, team bigint, flags binary")
+KEPT = _schema("h binary, least_key bigint, n_removed bigint, n_spans bigint, kept binary")
+
+
 def dedup_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row for each distinct text: h, its_key (the least id), n_removed, n_spans, kept (bytes)."""
+    """One row for each distinct text: h (SHA-256), least_key (the least id), n_removed, n_spans, kept (bytes)."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_KEY)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    batches, buckets = max(64, size // BATCH_BYTES), max(64, size // BUCKET_BYTES)
+    batches, buckets = max(16, size // BATCH_BYTES), max(16, size // BUCKET_BYTES)
 
     def deal(parts):
-        seen: dict[str, int] = {}
+        seen: dict[bytes, int] = {}
         for batch in parts:
             for part, texts in _slices(batch, "text"):
                 out = []
                 for key, text in zip(part.column("key").to_pylist(), texts, strict=True):
                     raw = text.encode()
-                    h = hashlib.sha256(raw).hexdigest()
+                    h = hashlib.sha256(raw).digest()
                     if key < seen.get(h, LAST_KEY + 1):
                         seen[h] = key
-                        out.append({"batch": int(h[:12], 16) % batches, "h": h, "key": key, "text": raw})
-                yield pa.RecordBatch.from_pylist(out, pa.schema([("batch", pa.int64()), ("h", pa.string()), ("key", pa.int64()), ("text", pa.binary())]))
+                        out.append((int.from_bytes(h[:6]) % batches, h, key, raw))
+                number, h, key, raw = zip(*out, strict=True) if out else ([],) * 4
+                yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(h, pa.binary()), pa.array(key, pa.int64()), pa.array(raw, pa.binary())], names=["batch", "h", "key", "text"])
 
-    texts = rows.mapInArrow(deal, "batch bigint, h string, key bigint, text binary").repartition(batches, "batch")
+    texts = rows.mapInArrow(deal, "batch bigint, h binary, key bigint, text binary").repartition(min(batches, MOST_PARTITIONS), "batch")
 
     def send_minimisers(table):
         b, out = Batch(table, buckets), []
-        two = b.in_two_documents()
+        two, batch = b.in_two_documents(), table.column("batch")[0].as_py()
         for bucket, i, j in _by_bucket(b.ids):
-            out.append({"bucket": bucket, "batch": table.column("batch")[0].as_py(), "ids": b.ids[i:j].astype("<u4").tobytes(), "two": _pack(two[i:j])})
-        return pa.Table.from_pylist(out, pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("ids", pa.binary()), ("two", pa.binary())]))
+            out.append({"bucket": bucket, "batch": batch, "ids": b.ids[i:j].astype("<u4").tobytes(), "two": _pack(two[i:j])})
+        return pa.Table.from_pylist(out, MINIMISERS[1])
 
     def find_repeated(table):
         parts = [np.frombuffer(x, "<u4") for x in table.column("ids").to_pylist()]
-        two = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)).astype(bool) for x, p in zip(table.column("two").to_pylist(), parts, strict=True)]
+        two = [_unpack(x, len(p)) for x, p in zip(table.column("two").to_pylist(), parts, strict=True)]
         ids, place, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
         alive = n > 1
         alive[place[np.concatenate(two)]] = True
-        alive = np.split(alive[place], np.cumsum([len(p) for p in parts])[:-1])
-        return pa.Table.from_pydict({"batch": table.column("batch"), "bucket": table.column("bucket"), "mask": pa.array([_pack(a) for a in alive], pa.binary())})
+        ends = np.cumsum([len(p) for p in parts])[:-1]
+        masks = [pa.array([_pack(x) for x in np.split(flag[place], ends)], pa.binary()) for flag in (alive, n > WIDESPREAD)]
+        return pa.Table.from_arrays([table.column("batch"), table.column("bucket"), *masks], schema=MASKS[1])
+
+    def widespread(b: Batch, wide: dict[int, bytes]) -> np.ndarray:
+        """Whether the strings of a batch have a widespread minimiser."""
+        flags = np.concatenate([_unpack(wide[bucket], j - i) if bucket in wide else np.zeros(j - i, bool) for bucket, i, j in _by_bucket(b.ids)] or [np.zeros(0, bool)])
+        return flags[np.searchsorted(b.ids, b.string_ids)]
+
+    def messages(b: Batch, wide: dict[int, bytes]):
+        """(bucket, is widespread, positions of strings) of all that a batch sends."""
+        far = widespread(b, wide)
+        for bucket, i, j in _by_bucket(b.string_ids):
+            for is_wide in (False, True):
+                some = i + np.flatnonzero(far[i:j] == is_wide)
+                if len(some):
+                    yield bucket, is_wide, some
 
     def send_windows(table, masks):
         if not len(table):
-            return pa.Table.from_pylist([], WINDOWS)
+            return WINDOWS[1].empty_table()
         b, out = Batch(table, buckets), []
-        masks = dict(zip(masks.column("bucket").to_pylist(), masks.column("mask").to_pylist(), strict=True))
-        b.repeated(masks)
-        ids = np.array([x for x, _ in b.strings], np.uint64) << np.uint64(32)
-        for bucket, i, j in _by_bucket(ids):
-            own = [s for _, s in b.strings[i:j]]
-            lengths = np.array([len(s) for s in own], "<u4").tobytes()
-            out.append({"bucket": bucket, "batch": table.column("batch")[0].as_py(), "mask": masks[bucket], "keys": b.least[i:j].astype("<i8").tobytes(), "lengths": lengths, "bytes": b"".join(own)})
-        return pa.Table.from_pylist(out, WINDOWS)
-
-    def answer(table):
-        strings, keys, sizes = [], [], []
-        for k, n, raw in zip(*(table.column(c).to_pylist() for c in ("keys", "lengths", "bytes")), strict=True):
-            ends = np.cumsum(np.frombuffer(n, "<u4").astype(np.int64)).tolist()
-            strings += [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-            keys.append(np.frombuffer(k, "<i8"))
-            sizes.append(ends[-1] - len(ends) * (LENGTH - 1))
-        flags = np.split(earlier_windows(strings, np.concatenate(keys)), np.cumsum(sizes)[:-1])
-        return pa.Table.from_pydict({"batch": table.column("batch"), "bucket": table.column("bucket"), "mask": table.column("mask"), "flags": pa.array([_pack(f) for f in flags], pa.binary())})
+        batch, names = table.column("batch")[0].as_py(), masks.column("bucket").to_pylist()
+        mask, wide = (dict(zip(names, masks.column(c).to_pylist(), strict=True)) for c in ("mask", "wide"))
+        b.repeated(mask)
+        for bucket, is_wide, some in messages(b, wide):
+            own = [b.strings[k] for k in some.tolist()]
+            out.append({
+                "bucket": bucket, "batch": batch, "team": batch // WIDESPREAD if is_wide else -1, "mask": mask[bucket], "wide": wide[bucket],
+                "ids": b.string_ids[some].astype("<u4").tobytes(), "keys": b.least[some].astype("<i8").tobytes(), "lengths": bytes(map(len, own)), "bytes": b"".join(own),
+            })
+        return pa.Table.from_pylist(out, WINDOWS[1])
+
+    def merge(table):
+        s = Strings(table)
+        row = {"bucket": table.column("bucket")[0].as_py(), "team": table.column("team")[0].as_py(), "ids": s.ids.astype("<u4").tobytes(), "keys": s.least.astype("<i8").tobytes()}
+        return pa.Table.from_pylist([row | {"lengths": bytes(map(len, s.strings)), "bytes": b"".join(s.strings)}], MERGED[1])
+
+    def judge_merged(table):
+        s = Strings(table, "team")
+        return pa.Table.from_arrays([s.table.column("bucket"), s.table.column("team"), pa.array(s.answers(s.earlier()), pa.binary())], schema=FLAGS[1])
+
+    def answers_to(s, flags):
+        return pa.Table.from_arrays([*(s.table.column(c) for c in ("batch", "bucket", "team", "mask", "wide")), pa.array(flags, pa.binary())], schema=ANSWERS[1])
+
+    def judge(table):
+        s = Strings(table)
+        return answers_to(s, s.answers(s.earlier()))
+
+    def hand_on(table, flags):
+        if not len(table):
+            return ANSWERS[1].empty_table()
+        s = Strings(table)
+        return answers_to(s, s.answers(_unpack(flags.column("flags")[0].as_py(), int(s.lengths.sum()))))
 
     def remove(table, answers):
         if not len(table):
-            return pa.Table.from_pylist([], KEPT)
+            return KEPT[1].empty_table()
         b = Batch(table, buckets)
-        buckets_, masks, flags = (answers.column(c).to_pylist() for c in ("bucket", "mask", "flags"))
-        b.repeated(dict(zip(buckets_, masks, strict=True)))
-        n = np.array([len(s) - LENGTH + 1 for _, s in b.strings], np.int64)
+        names, is_wide = answers.column("bucket").to_pylist(), [t >= 0 for t in answers.column("team").to_pylist()]
+        mask, wide = (dict(zip(names, answers.column(c).to_pylist(), strict=True)) for c in ("mask", "wide"))
+        flags = dict(zip(zip(names, is_wide, strict=True), answers.column("flags").to_pylist(), strict=True))
+        b.repeated(mask)
+        n = np.fromiter((len(s) - LENGTH + 1 for s in b.strings), np.int64, len(b.strings))
         at = np.cumsum(n) - n
         earlier = np.zeros(n.sum(), bool)
-        ids = np.array([x for x, _ in b.strings], np.uint64) << np.uint64(32)
-        flags = dict(zip(buckets_, flags, strict=True))
-        for bucket, i, j in _by_bucket(ids):
-            total = int(n[i:j].sum())
-            earlier[at[i] : at[i] + total] = np.unpackbits(np.frombuffer(flags[bucket], np.uint8), count=total).astype(bool)
+        for bucket, far, some in messages(b, wide):
+            earlier[_expand(at[some], n[some])] = _unpack(flags[bucket, far], int(n[some].sum()))
+        hits = np.concatenate([[0], np.cumsum(earlier)])
+        hits = (hits[at + n] - hits[at])[b.string]
         # a run is the string's first owner's, or else all its windows have a smaller owner in this batch
-        documents, windows = b.document[b.runs], b.windows[b.runs]
-        k = np.repeat(np.arange(len(b.runs)), windows)
-        inside = np.arange(len(k)) - np.repeat(np.cumsum(windows) - windows, windows)
-        later = b.keys[documents] > b.least[b.string]
-        hit = later[k] | earlier[at[b.string[k]] + inside]
+        whole = (b.keys[b.document] > b.least[b.string]) | (hits == b.windows)
         begins = np.cumsum([0, *map(len, b.texts)])
-        starts = begins[documents[k[hit]]] + b.first[b.runs][k[hit]] + inside[hit]
+        start = begins[b.document] + b.first
+        parts = np.flatnonzero(~whole & (hits > 0))
+        single = _expand(start[parts], b.windows[parts])[earlier[_expand(at[b.string[parts]], b.windows[parts])]]
         change = np.zeros(begins[-1] + 1, np.int32)
-        np.add.at(change, starts, 1)
-        np.add.at(change, starts + LENGTH, -1)
-        gone, out = np.cumsum(change) > 0, []
+        np.add.at(change, np.concatenate([start[whole], single]), 1)
+        np.add.at(change, np.concatenate([start[whole] + b.windows[whole] - 1, single]) + LENGTH, -1)
+        gone, out = np.cumsum(change, out=change) > 0, []
         for d, h in enumerate(b.h):
             g = gone[begins[d] : begins[d + 1]]
-            kept = np.frombuffer(b.texts[d], np.uint8)[~g].tobytes()
-            spans = int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if len(g) else 0
-            out.append({"h": h, "its_key": int(b.keys[d]), "n_removed": int(g.sum()), "n_spans": spans, "kept": kept})
-        return pa.Table.from_pylist(out, KEPT)
-
-    sent = texts.groupBy("batch").applyInArrow(send_minimisers, "bucket bigint, batch bigint, ids binary, two binary")
-    masks = sent.groupBy("bucket").applyInArrow(find_repeated, "batch bigint, bucket bigint, mask binary")
-    windows = texts.groupBy("batch").cogroup(masks.groupBy("batch")).applyInArrow(send_windows, "bucket bigint, batch bigint, mask binary, keys binary, lengths binary, bytes binary")
-    answers = windows.groupBy("bucket").applyInArrow(answer, "batch bigint, bucket bigint, mask binary, flags binary")
-    return texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(remove, "h string, its_key bigint, n_removed bigint, n_spans bigint, kept binary")
+            removed = int(np.count_nonzero(g))
+            kept = np.frombuffer(b.texts[d], np.uint8)[~g].tobytes() if removed else b.texts[d]
+            spans = int(g[0]) + int(np.count_nonzero(g[1:] & ~g[:-1])) if removed else 0
+            out.append({"h": h, "least_key": int(b.keys[d]), "n_removed": removed, "n_spans": spans, "kept": kept})
+        return pa.Table.from_pylist(out, KEPT[1])
+
+    sent = texts.groupBy("batch").applyInArrow(send_minimisers, MINIMISERS[0])
+    masks = sent.groupBy("bucket").applyInArrow(find_repeated, MASKS[0])
+    windows = texts.groupBy("batch").cogroup(masks.groupBy("batch")).applyInArrow(send_windows, WINDOWS[0])
+    near, far = windows.filter("team < 0"), windows.filter("team >= 0")
+    answers = near.groupBy("bucket").applyInArrow(judge, ANSWERS[0])
+    flags = far.groupBy("bucket", "team").applyInArrow(merge, MERGED[0]).groupBy("bucket").applyInArrow(judge_merged, FLAGS[0])
+    handed = far.groupBy("bucket", "team").cogroup(flags.groupBy("bucket", "team")).applyInArrow(hand_on, ANSWERS[0])
+    return texts.groupBy("batch").cogroup(answers.unionByName(handed).groupBy("batch")).applyInArrow(remove, KEPT[0])
 
 
-WINDOWS = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("mask", pa.binary()), ("keys", pa.binary()), ("lengths", pa.binary()), ("bytes", pa.binary())])
-KEPT = pa.schema([("h", pa.string()), ("its_key", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+def _row_keys(id_col: str, text_col: str) -> list:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return [
+        F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_KEY)).alias("__key"), F.unhex(F.sha2(text, 256)).alias("__h"),
+        F.octet_length(text).cast("bigint").alias("__n"),
+    ]
 
 
 def _with_results(rows: DataFrame, results: DataFrame) -> DataFrame:
-    """rows (__key, __h, __n) with the result of their text; later copies of a whole text lose all of it."""
-    copy = (F.col("__key") > F.col("its_key")) & (F.col("__n") >= LENGTH)
-    joined = rows.join(results.withColumnRenamed("h", "__h"), "__h", "left")
+    """rows (__key, __h, __n) with what became of their text: __removed, __spans, and the other columns of
+    ``results`` (names begin with two underscores); ``__copy`` is true for later copies of a whole text, which
+    lose all of it."""
+    joined = rows.join(results, "__h", "left").withColumn("__copy", (F.col("__key") > F.col("__least")) & (F.col("__n") >= LENGTH))
     return joined.withColumns({
-        "n_removed": F.when(copy, F.col("__n")).otherwise(F.col("n_removed")),
-        "n_spans": F.when(copy, F.lit(1).cast("bigint")).otherwise(F.col("n_spans")),
-        "kept": F.when(~copy, F.col("kept")).otherwise(F.lit("").cast("binary")),
+        "__removed": F.when(F.col("__copy"), F.col("__n")).otherwise(F.col("__removed")),
+        "__spans": F.when(F.col("__copy"), F.lit(1).cast("bigint")).otherwise(F.col("__spans")),
     })
 
 
-def _row_keys(id_col: str, text_col: str) -> list:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return [
-        F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_KEY)).alias("__key"), F.sha2(text, 256).alias("__h"),
-        F.octet_length(text).cast("bigint").alias("__n"),
-    ]
+def _results(docs: DataFrame, id_col: str, text_col: str, kept) -> DataFrame:
+    found = dedup_texts(docs, id_col, text_col)
+    return found.select(F.col("h").alias("__h"), F.col("least_key").alias("__least"), F.col("n_removed").alias("__removed"), F.col("n_spans").alias("__spans"), kept.alias("__kept"))
 
 
 def spans_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
     rows = docs.select(F.col(id_col).alias("__id"), *_row_keys(id_col, text_col))
-    done = _with_results(rows, dedup_texts(docs, id_col, text_col))
-    return done.select(F.col("__id").alias("doc_id"), F.col("__n").alias("n_bytes"), "n_removed", "n_spans", "kept")
+    done = _with_results(rows, _results(docs, id_col, text_col, F.col("kept")))
+    kept = F.when(~F.col("__copy"), F.col("__kept")).otherwise(F.lit("").cast("binary"))
+    return done.select(F.col("__id").alias("doc_id"), F.col("__n").alias("n_bytes"), F.col("__removed").alias("n_removed"), F.col("__spans").alias("n_spans"), kept.alias("kept"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with what is left of their texts (a character that is cut is left out) and its length in
-    characters; a document of which nothing is left goes. A null text stays null."""
+    characters; a document of which nothing is left goes. A null text stays null. Columns whose names begin
+    with two underscores may not be in ``docs``."""
     names = docs.columns
-    results = dedup_texts(docs, id_col, text_col).select("h", "its_key", "n_removed", "n_spans", "kept")
     others = docs.withColumn("__null", F.col(text_col).isNull()).select(*[c for c in names if c != text_col], "__null", *_row_keys(id_col, text_col))
-    done = _with_results(others, results).filter("n_removed = 0 or octet_length(kept) > 0")
-    done = done.withColumn(text_col, F.when(~F.col("__null"), whole_characters(F.col("kept"))))
+    done = _with_results(others, _results(docs, id_col, text_col, F.col("kept")))
+    done = done.filter("not __copy and (__removed = 0 or octet_length(__kept) > 0)")
+    done = done.withColumn(text_col, F.when(~F.col("__null"), whole_characters(F.col("__kept"))))
     if length_col in names:
         kind = docs.schema[length_col].dataType
-        done = done.withColumn(length_col, F.when(F.col("n_removed") > 0, F.length(text_col)).otherwise(F.col(length_col)).cast(kind))
+        done = done.withColumn(length_col, F.when(F.col("__removed") > 0, F.length(text_col)).otherwise(F.col(length_col)).cast(kind))
     return done.select(*names)
 
 
@@ -352,11 +503,6 @@ def whole_characters(raw: pa.Array) -> pa.Array:
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    results = dedup_texts(docs, "doc_id", "text").withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
-    rows = docs.select("doc_id", *_row_keys("doc_id", "text")).join(results.withColumnRenamed("h", "__h"), "__h", "left")
-    copy = (F.col("__key") > F.col("its_key")) & (F.col("__n") >= LENGTH)
-    return rows.select(
-        "doc_id", F.col("__n").alias("n_bytes"), F.when(copy, F.col("__n")).otherwise(F.col("n_removed")).alias("n_removed"),
-        F.when(copy, F.lit(1).cast("bigint")).otherwise(F.col("n_spans")).alias("n_spans"),
-        F.when(copy, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
-    )
+    done = _with_results(docs.select("doc_id", *_row_keys("doc_id", "text")), _results(docs, "doc_id", "text", F.sha2("kept", 256)))
+    kept = F.when(~F.col("__copy"), F.col("__kept")).otherwise(F.sha2(F.lit("").cast("binary"), 256))
+    return done.select("doc_id", F.col("__n").alias("n_bytes"), F.col("__removed").alias("n_removed"), F.col("__spans").alias("n_spans"), kept.alias("kept_sha256"))

@@ -1,7 +1,9 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -42,8 +44,10 @@ def sample(seed, n):
     return texts
 
 
-def test_documents_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("widespread", [128, 1])
+def test_documents_against_brute_force(spark, monkeypatch, widespread):
     monkeypatch.setattr(sd, "SLICE_BYTES", 700)
+    monkeypatch.setattr(sd, "WIDESPREAD", widespread)
     texts = sample(1, 120)
     rng = random.Random(9)
     ids = list(range(len(texts)))
@@ -57,17 +61,39 @@ def test_documents_against_brute_force(spark, monkeypatch):
     assert sum(r[2] for r in want) > 5000
 
 
-def test_windows_in_suffix_order():
+def shared(a, b):
+    n = 0
+    while n < min(len(a), len(b), sd.LENGTH) and a[n] == b[n]:
+        n += 1
+    return n
+
+
+@pytest.mark.parametrize("part", [400_000, 40])
+def test_longest_previous_factors(monkeypatch, part):
+    """Against the definition, for all windows that occur twice; others have less than LENGTH."""
+    monkeypatch.setattr(sd, "SORTED_WINDOWS", part)
     rng = random.Random(3)
-    strings = [bytes(rng.choice(b"ab") for _ in range(60)) for _ in range(20)]
-    strings += [s[k:] + b"tail" * 5 for k, s in enumerate(strings[:10])] + strings[:5]
-    keys = np.array([rng.randrange(12) for _ in strings])
-    least = {}
-    for s, k in zip(strings, keys, strict=True):
-        for i in range(len(s) - 49):
-            least[s[i : i + 50]] = min(k, least.get(s[i : i + 50], k))
-    want = [least[s[i : i + 50]] < k for s, k in zip(strings, keys, strict=True) for i in range(len(s) - 49)]
-    assert sd.earlier_windows(strings, keys).tolist() == want and any(want)
+    strings = [bytes(rng.choice(b"ab") for _ in range(60)) for _ in range(14)]
+    strings += [s[k:] + b"tail" * 5 for k, s in enumerate(strings[:7])] + strings[:4]
+    keys = np.array([rng.randrange(9) for _ in strings])
+    windows = [(s[i:], s[i : i + 50], k) for s, k in zip(strings, keys.tolist(), strict=True) for i in range(len(s) - 49)]
+    got = sd.longest_previous_factors(strings, keys).tolist()
+    often = Counter(w for _, w, _ in windows)
+    known = [(s, k) for s, w, k in windows if often[w] > 1]
+    full = 0
+    for g, (s, w, k) in zip(got, windows, strict=True):
+        longest = max((shared(s, t) for t, j in known if j < k), default=0)
+        assert (g == 50) == (longest == 50)
+        full += g == 50
+        assert g == 0 if often[w] == 1 else part < 1000 or g == longest
+    assert full > 50
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 6), max_size=60))
+def test_nearest_smaller(owners):
+    want = [max((j for j in range(i) if owners[j] < o), default=-1) for i, o in enumerate(owners)]
+    assert sd._nearest_smaller(np.array(owners, np.int64)).tolist() == want
 
 
 @settings(max_examples=60, deadline=None)
@@ -94,6 +120,16 @@ def test_remaining_text_keeps_columns(spark):
     assert sd.remove_repeats(docs).columns == docs.columns
 
 
+def test_clashing_names(spark):
+    """Columns named like results and inner columns come back as they are."""
+    text = "word " * 30
+    names = ["kept", "n_removed", "n_spans", "its_key", "least_key", "h", "key", "batch", "bucket", "n_bytes"]
+    docs = spark.createDataFrame([(i, text + tail, *range(10)) for i, tail in enumerate(("", "tail", "", ""))], ", ".join(["doc_id int", "text string", *(f"{c} int" for c in names)]))
+    got = {r.doc_id: r for r in sd.remove_repeats(docs).collect()}
+    assert {i: r.text for i, r in got.items()} == {0: text, 1: "tail"} and [got[1][c] for c in names] == list(range(10))
+    assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in sd.spans_removed(docs).collect()} == {(0, 150, 0, 0), (1, 154, 150, 1), (2, 150, 150, 1), (3, 150, 150, 1)}
+
+
 def test_empty(spark):
     assert sd.spans_removed(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
