@@ -5,6 +5,8 @@ writer: integer columns are run-length encoded in stripes, each stripe carries a
 maximum and positions for every ``INDEX_STRIDE`` rows) and a Bloom filter on ``doc_id``, so readers
 split a file by stripes and a filter on ``doc_id`` skips stripes and row groups from metadata alone.
 
+Strings of the vocabulary's added tokens are those tokens wherever the library, called on the whole text, says so.
+
 Nulls: a null text has no ids but its end id. Null ids come first in the order. Rows with equal ids are
 ordered by their text's hash and are documents of their own. Empty tables give empty files and results.
 """
@@ -19,6 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,60 +35,88 @@ END_ID = 2
 INDEX_STRIDE = 1_000
 STRIPE_BYTES = 64 << 20
 SCHEMA = "part int, seq bigint, doc_id bigint, n_tokens bigint, ids array<int>"
-#: So many units are joined to a text for the tokeniser: one call for each unit costs more.
-JOINED_UNITS = 2_000
 #: Words of these letters only are one pre-token with the space before them.
 PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: So many pre-tokens are joined to a text for the tokeniser: one call for each costs more.
+JOINED = 200
+#: Bytes of text encoded at a time, and about what the caches of units and of pre-tokens may take.
+SLICE_BYTES, UNIT_CACHE_BYTES, PIECE_CACHE = 4_000_000, 160_000_000, 300_000
+#: Fixed value: the pre-tokens of this family of vocabularies.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Characters whose classes don't change with the version of Unicode; other units are cut by the library.
+LATIN = re.compile("[\x00-\u024f]*")
+
+
+def byte_characters() -> dict[int, str]:
+    """How byte-level vocabularies spell bytes: printable ones as themselves, others as the characters from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+SPELLED = byte_characters()
 
 
 def load(tokenizer_path: str) -> Tokenizer:
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tokenizer
-
-
-@lru_cache(maxsize=2)
-def unit_cache(tokenizer_path: str) -> UnitCache:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    tokenizer, plain = load(tokenizer_path), load(tokenizer_path)
-    # texts of plain words need no pattern to be cut into pre-tokens: line feeds, which they don't hold, mark the cuts
-    plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit("\n"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-    # byte-level vocabularies spell each byte as one character
-    n_bytes = np.array([len(tokenizer.id_to_token(i) or "") for i in range(tokenizer.get_vocab_size())], np.int64)
-
-    def encode_whole(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode_joined(units: list[str], by: Tokenizer, mark: str) -> list[bytes]:
-        """The units are joined to texts; the ids of a text are cut where the units' bytes end."""
-        groups, out = [units[k : k + JOINED_UNITS] for k in range(0, len(units), JOINED_UNITS)], []
-        for group, e in zip(groups, by.encode_batch_fast([mark + mark.join(g) for g in groups], add_special_tokens=False), strict=True):
+    return Tokenizer.from_file(tokenizer_path)
+
+
+class Encoder:
+    """Ids of whole texts. Texts that hold the string of an added token are handed to the library as they are; all
+    others are cut into units, units into pre-tokens, and each pre-token is encoded by the library once."""
+
+    def __init__(self, tokenizer_path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.whole, self.spelled = load(tokenizer_path), load(tokenizer_path)
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        # spelled pre-tokens need no more cutting than at line feeds, which they don't hold, and don't come twice
+        self.spelled.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        if hasattr(self.spelled.model, "_resize_cache"):
+            self.spelled.model._resize_cache(0)
+        self.n_bytes = np.array([len(self.whole.id_to_token(i) or "") for i in range(self.whole.get_vocab_size())], np.int64)
+        self.pieces: dict[str, bytes] = {}
+        self.cache = UnitCache(self.encode_spaced, self.encode_whole, UNIT_CACHE_BYTES)
+
+    def encode_whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Distinct pre-tokens are spelled and joined to texts; the ids of a text are cut where their bytes end."""
+        spelled = [p.encode().decode("latin-1").translate(SPELLED) for p in pieces]
+        groups, out = [spelled[k : k + JOINED] for k in range(0, len(spelled), JOINED)], []
+        for group, e in zip(groups, self.spelled.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
-            ends = np.cumsum(pc.binary_length(pa.array(group, pa.string())).to_numpy() + 1)
-            cuts = (4 * np.searchsorted(np.cumsum(n_bytes[ids]), ends) + 4).tolist()
+            cuts = (4 * np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(np.fromiter(map(len, group), np.int64))) + 4).tolist()
             raw = ids.tobytes()
             out += [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
         return out
 
-    def encode_words(words: list[str]) -> list[bytes]:
-        return encode_joined(words, plain, "\n ")
-
-    def encode_others(units: list[str]) -> list[bytes]:
-        # a unit that ends with white space would run into the next
-        apart = [u for u in units if not u or u[-1].isspace()]
-        found = dict(zip(apart, encode_whole([f" {u}" for u in apart]), strict=True))
-        joined = [u for u in units if u not in found]
-        found.update(zip(joined, encode_joined(joined, tokenizer, " "), strict=True))
-        return [found[u] for u in units]
-
-    def encode_spaced(units: list[str]) -> list[bytes]:
-        words = [u for u in units if PLAIN.fullmatch(u)]
-        found = dict(zip(words, encode_words(words), strict=True))
-        others = [u for u in units if u not in found]
-        found.update(zip(others, encode_others(others), strict=True))
-        return [found[u] for u in units]
-
-    return UnitCache(encode_spaced, encode_whole, 240_000_000)
+    def encode_spaced(self, units: list[str]) -> list[bytes]:
+        """Ids of distinct units with a space put before each."""
+        if len(self.pieces) > PIECE_CACHE:
+            self.pieces = {}
+        known, is_plain, is_latin, find = self.pieces, PLAIN.fullmatch, LATIN.fullmatch, PIECES.findall
+        # a unit is one pre-token, a list of them, or nothing if the library has to cut it
+        cut = [f" {u}" if is_plain(u) else find(f" {u}") if is_latin(u) else None for u in units]
+        new = [c for c in cut if type(c) is str and c not in known]
+        new = list(dict.fromkeys(new + [p for c in cut if type(c) is list for p in c if p not in known]))
+        known.update(zip(new, self.encode_pieces(new), strict=True))
+        others = [u for u, c in zip(units, cut, strict=True) if c is None]
+        apart = iter(self.encode_whole([f" {u}" for u in others]))
+        return [known[c] if type(c) is str else next(apart) if c is None else b"".join([known[p] for p in c]) for c in cut]
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        array, special = pa.array(texts, pa.string()), np.zeros(len(texts), bool)
+        for content in self.added:
+            special |= pc.match_substring(array, content).to_numpy(zero_copy_only=False)
+        plain = iter(self.cache.encode_many([t for t, s in zip(texts, special, strict=True) if not s]))
+        whole = iter(self.encode_whole([t for t, s in zip(texts, special, strict=True) if s]))
+        return [np.frombuffer(next(whole), "<u4") if s else next(plain) for s in special]
+
+
+@lru_cache(maxsize=1)
+def encoder(tokenizer_path: str) -> Encoder:
+    return Encoder(tokenizer_path)
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -97,9 +128,9 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID,
     ranged = rows.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
 
     def run(batches):
-        cache, part, seq = unit_cache(tokenizer_path), TaskContext.get().partitionId(), 0
+        cache, part, seq = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for piece, texts in _slices(batch, "text"):
+            for piece, texts in _slices(batch, "text", SLICE_BYTES):
                 ids = [np.append(x, np.uint32(end_id)) for x in cache.encode_many([t or "" for t in texts])]
                 sizes = np.array([len(x) for x in ids], np.int64)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)

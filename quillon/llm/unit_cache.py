@@ -9,6 +9,7 @@ the ids put together as arrays.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: White space before a space: there a text can't simply be cut at every space.
-UNEVEN = re.compile(r"\s ")
+UNEVEN = r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 CUT = re.compile(r"(?<=\S) ")
 #: About what a kept unit takes, with its ids.
 UNIT_BYTES = 250
@@ -27,8 +28,9 @@ Encoder = Callable[[list[str]], list[bytes]]
 def cut(texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
     """The units of all texts, one after the other, and where each text's units begin. Each text has one
     unit or more; all but its first have lost the space they start with."""
-    split = pc.split_pattern(pa.array(texts, pa.string()), " ")
-    uneven = [k for k, t in enumerate(texts) if UNEVEN.search(t)]
+    array = pa.array(texts, pa.string())
+    split = pc.split_pattern(array, " ")
+    uneven = np.flatnonzero(pc.match_substring_regex(array, UNEVEN)).tolist()
     if uneven:
         lists = split.to_pylist()
         for k in uneven:
@@ -52,33 +54,41 @@ class UnitCache:
 
     def ids_of(self, units: list[str]) -> list[bytes]:
         """Ids of distinct units with a space put before each."""
-        young, old = self.young, self.old
-        absent = [u for u in units if u not in young]
-        again = {u: old[u] for u in absent if u in old}
-        missing = [u for u in absent if u not in again]
-        young.update(again)
-        young.update(zip(missing, self.encode_spaced(missing), strict=True))
-        found = [young[u] for u in units]
-        for u in [u for u in missing if len(u) > self.longest]:
-            del young[u]
-        if len(young) > self.most:
-            self.old, self.young = young, {}
+        found = list(map(self.young.get, units))
+        holes = [k for k, ids in enumerate(found) if ids is None]
+        absent = [units[k] for k in holes]
+        ids = list(map(self.old.get, absent))
+        fresh = iter(self.encode_spaced([u for u, x in zip(absent, ids, strict=True) if x is None]))
+        ids = [next(fresh) if x is None else x for x in ids]
+        for k, x in zip(holes, ids, strict=True):
+            found[k] = x
+        self.young.update((u, x) for u, x in zip(absent, ids, strict=True) if len(u) <= self.longest)
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
         return found
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of the whole texts as little-endian unsigned 32-bit integers."""
         if not texts:
             return []
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here is in a cycle, and looking for some takes as long as the work
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         units, begins = cut(texts)
         is_first = np.zeros(len(units), bool)
         is_first[begins] = True
         rest = pc.if_else(pa.array(is_first), pa.scalar(None, pa.string()), units).dictionary_encode()
         ids = self.ids_of(rest.dictionary.to_pylist()) + self.encode_whole(units.take(pa.array(begins)).to_pylist())
         code = rest.indices.fill_null(0).to_numpy().copy()
-        code[begins] = len(rest.dictionary) + np.arange(len(texts))
-        pool, sizes = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        n = sizes[code]
-        ends = np.cumsum(n)
-        # for each id of the result its place in the pool
-        source = np.repeat((np.cumsum(sizes) - sizes)[code] - (ends - n), n) + np.arange(ends[-1])
-        return np.split(pool[source], (ends - n)[begins[1:]])
+        code[begins] = len(rest.dictionary) + np.arange(len(texts), dtype=code.dtype)
+        joined = pa.array(ids, pa.large_binary()).take(pa.array(code))
+        offsets = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset :] // 4
+        pool = np.frombuffer(joined.buffers()[2] or b"", "<u4")
+        ends = np.append(offsets[begins[1:]], offsets[len(joined)])
+        return [pool[a:b] for a, b in zip([offsets[0], *ends[:-1]], ends, strict=True)]

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -12,7 +13,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def reference(rows):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return [tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for _, t in rows]
 
 
@@ -32,6 +32,21 @@ def test_round_trip(spark):
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,4)]" in plan and stored.filter("doc_id = 4").count() == 1
 
 
+def test_added_tokens_are_those_of_the_library():
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y <|endoftext |>", "plain text"]
+    got = [x.tolist() for x in token_orc.Encoder(PATH).encode_many(texts)]
+    assert got == [ids[:-1] for ids in reference(enumerate(texts))] and got[0] == [64, 220, 50256, 275]
+
+
+def test_pre_tokens_equal_whole_texts(monkeypatch):
+    monkeypatch.setattr(token_orc, "PIECE_CACHE", 50)
+    rng, parts = random.Random(2), ["we'll", "it's", "'S", "l'été", "naïve,", "x.\nY", "3.14", "a1b2", "\n\n", "\t", " ", "  ", "...", "?!", "漢字", "かな", "🙂", "ﬁ", "½", "\u00a0", "\u2028", "Ĳ", "Straße", "###", "don’t", "word"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " ", "\n"]) for _ in range(rng.randrange(60))) for _ in range(400)]
+    encoder = token_orc.Encoder(PATH)
+    for k in range(0, 400, 50):
+        assert [x.tolist() for x in encoder.encode_many(texts[k : k + 50])] == [ids[:-1] for ids in reference(enumerate(texts[k : k + 50]))]
+
+
 def test_nulls_repeats_and_empty(spark):
     rows = [(None, "a"), (None, "b"), (1, "c"), (1, "c"), (1, None)]
     path = new_path(spark, "t")
