@@ -29,28 +29,34 @@ NUMBER_WORDS = {
     "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18,
     "nineteen": 19, "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90,
 }
+#: Characters that join, and the date formats, in the order they are tried.
 APOSTROPHES = "'‘’ʼ`´"
 DATE_FORMATS = ["M/d/yyyy", "MMMM d, yyyy", "MMMM d yyyy", "MMM d, yyyy", "MMM d yyyy", "d MMMM yyyy", "yyyy/MM/dd"]
 
 
-def normalize(text: Column) -> Column:
-    """F01 without folding accents: lower case, apostrophes join, everything but letters and digits parts words."""
-    joined = F.regexp_replace(F.lower(text), f"[{APOSTROPHES}]", "")
-    return F.trim(F.regexp_replace(joined, r"[^\p{L}\p{N}]+", " "))
+def _folds() -> dict[str, str]:
+    """Letters with accents to the plain letter, and wide characters to narrow ones, by their decompositions."""
+    found = {}
+    for code in range(0x80, 0x3000):
+        plain = unicodedata.normalize("NFD", chr(code))
+        if len(plain) > 1 and all(unicodedata.category(c) == "Mn" for c in plain[1:]):
+            found[chr(code)] = plain[0]
+    found.update({chr(code): unicodedata.normalize("NFKC", chr(code)).lower() for code in range(0xFF01, 0xFF5F)})
+    return found
 
 
-def _fold(text: str | None) -> str | None:
-    if text is None:
-        return None
-    plain = unicodedata.normalize("NFKD", text.casefold())
-    kept = ("" if c in APOSTROPHES or unicodedata.combining(c) else c if c.isalpha() or unicodedata.category(c)[0] == "N" else " " for c in plain)
-    return " ".join("".join(kept).split())
+FOLDS = _folds()
 
 
-@F.arrow_udf(StringType())
-def normalize_folded(text: pa.Array) -> pa.Array:
-    """F01 in full: accents and widths are folded too."""
-    return pa.array([_fold(t) for t in text.to_pylist()], pa.string())
+def fold_accents(text: Column) -> Column:
+    """Accents and widths folded; marks that stand for themselves go."""
+    return F.regexp_replace(F.translate(text, "".join(FOLDS), "".join(FOLDS.values())), r"\p{Mn}", "")
+
+
+def normalize(text: Column) -> Column:
+    """lower case, accents and widths folded, apostrophes join, everything but letters and digits parts words."""
+    folded = F.replace(fold_accents(F.lower(text)), F.lit("ß"), F.lit("ss"))
+    return F.trim(F.regexp_replace(F.regexp_replace(folded, f"[{APOSTROPHES}]", ""), r"[^\p{L}\p{N}]+", " "))
 
 
 def contains_words(haystack: Column, needle: Column) -> Column:
@@ -165,9 +171,19 @@ def generalize_path(path: Column) -> Column:
     return F.array_join(F.transform(F.split(path, "/"), part), "/")
 
 
+#: What ids that a framework makes look like.
+GENERATED_IDS = [
+    "^:r[0-9a-z]+:$",
+    r"^(mui|ember|ext-gen|react-select|headlessui|radix|downshift|rc_select|cdk|mat-[a-z-]+|p-[a-z]+)[-_:]?\w*\d+",
+    "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}",
+    "[0-9a-f]{12,}",
+    r"\d{5,}",
+]
+
+
 def is_generated_id(name: Column) -> Column:
-    """Ids that a framework made: long digit runs, hex tails, colons, framework prefixes."""
-    return name.rlike(r"\d{4,}|[0-9a-f]{8,}|^:|^(ember|react|mui|radix|headlessui|ng-)|^[0-9]")
+    """Ids that a framework makes anew for each page."""
+    return name.rlike("(?i)" + "|".join(GENERATED_IDS))
 
 
 PII = r"\b\d{3}[-. ]\d{2}[-. ]\d{4}\b|\b(?:\+?1[-. ])?\(?\d{3}\)?[-. ]\d{3}[-. ]\d{4}\b|[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -224,31 +240,67 @@ def spelled_numbers_as_digits(text: pa.Array) -> pa.Array:
     return pa.array([None if t is None else _spelled(t) for t in text.to_pylist()], pa.string())
 
 
-#: Kinds of personal data, the earlier ones win where matches overlap.
+#: Kinds of personal data; the earlier ones win where matches overlap. All but the first zip ignore case.
+_MONTHS = "(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+_STREETS = "(?:street|st|avenue|ave|road|rd|boulevard|blvd|lane|ln|drive|dr|court|ct|way|place|pl|terrace|ter|circle|cir|highway|hwy|parkway|pkwy|square|sq|trail|trl|apt|suite|ste|unit)"
 SCRUB_PATTERNS = [
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
-    ("ssn", r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)"),
-    ("phone", r"(?<!\d)(?:\+?1[-. ])?\(?\d{3}\)?[-. ]\d{3}[-. ]\d{4}(?!\d)"),
-    ("card", r"(?<!\d)(?:\d[ -]?){13,16}(?!\d)"),
-    ("ip", r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.])"),
-    ("date", r"(?<!\d)\d{1,2}/\d{1,2}/\d{2,4}(?!\d)"),
-    ("url", r"https?://\S+"),
-    ("long_number", r"(?<!\d)\d{6,}(?!\d)"),
+    ("email", r"[A-Z0-9._%+\-]+@[A-Z0-9.\-]+\.[A-Z]{2,}"),
+    ("ssn", r"(?<!\d)\d{3}[- ]\d{2}[- ]\d{4}(?!\d)"),
+    ("phone", r"(?<![\d+])(?:\+?1[\s.\-]?)?(?:\(\d{3}\)\s?|\d{3}[\s.\-])\d{3}[\s.\-]\d{4}(?!\d)"),
+    ("phone", r"\+\d{1,3}[\s.\-]?\d{2,4}[\s.\-]?\d{3,4}[\s.\-]?\d{3,4}(?!\d)"),
+    ("date", r"(?<!\d)\d{1,2}[/.\-]\d{1,2}[/.\-](?:\d{4}|\d{2})(?!\d)"),
+    ("date", r"(?<!\d)\d{4}[/.\-]\d{1,2}[/.\-]\d{1,2}(?!\d)"),
+    ("date", rf"\b{_MONTHS}\.?\s+\d{{1,2}}(?:st|nd|rd|th)?\b(?:,?\s+\d{{4}})?"),
+    ("date", rf"\b\d{{1,2}}(?:st|nd|rd|th)?\s+(?:of\s+)?{_MONTHS}\b\.?(?:,?\s+\d{{4}})?"),
+    ("date", rf"\b{_MONTHS}\.?,?\s+\d{{4}}\b"),
+    ("street_address", rf"(?<![\d.])\d{{1,6}}[A-Z]?\s+(?:[NSEW]\.?\s+)?(?:[A-Z0-9][A-Z0-9.'\-]*\s+){{1,4}}{_STREETS}\b\.?"),
+    ("street_address", r"\bP\.?\s?O\.?\s+Box\s+\d+"),
+    ("zip", r"\b[A-Z]{2}\s+\d{5}(?:-\d{4})?(?!\d)"),
+    ("zip", r"(?<!\d)\d{5}-\d{4}(?!\d)"),
+    ("zip", r"\bzip(?:\s*code)?\s*[:#]?\s*\d{5}(?!\d)"),
+    ("zip", r",\s*\d{5}(?:-\d{4})?(?!\d)"),
+    ("record_number", r"(?<![A-Z0-9])[A-Z]{1,4}[-_ #:]{0,2}\d{5,}(?!\d)"),
+    ("record_number", r"#\s?\d{4,}(?!\d)"),
+    ("long_digit_run", r"(?<!\d)\d{6,}(?!\d)"),
 ]
+RESERVED_EMAIL = r"@(?:[A-Z0-9\-]+\.)*(?:example\.(?:com|net|org)|[A-Z0-9\-]+\.(?:example|test|invalid))$"
+HASH_KEY = "^f_[0-9a-f]{10}$"
+ENUM_CODE = "^(?:[0-9]{1,3}|[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*)$"
+
+_SCRUB = [(kind, re.compile(pattern, 0 if pattern.startswith(r"\b[A-Z]{2}") else re.I)) for kind, pattern in SCRUB_PATTERNS]
+_RESERVED = re.compile(RESERVED_EMAIL, re.I)
 HITS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("kind", StringType())]))
 
 
 def scrub_hits(text: str | None) -> list[tuple[int, int, str]]:
     taken: list[tuple[int, int, str]] = []
-    for kind, pattern in SCRUB_PATTERNS:
-        for m in re.finditer(pattern, text or ""):
-            if not any(m.start() < b and a < m.end() for a, b, _ in taken) and not (kind == "email" and re.search(r"@(?:[\w-]+\.)*example\.(?:com|org|net)$", m[0], re.I)):
+    for kind, pattern in _SCRUB:
+        for m in pattern.finditer(text or ""):
+            digits = {c for c in m[0] if c in "0123456789"}
+            if digits in ({"0"}, {"9"}) or kind == "email" and _RESERVED.search(m[0]):
+                continue  # a format example, or an address that nobody has
+            if not any(m.start() < b and a < m.end() for a, b, _ in taken):
                 taken.append((m.start(), m.end(), kind))
     return sorted(taken)
 
 
 @F.arrow_udf(HITS)
-def scrub_scan(text: pa.Array) -> pa.Array:
-    """(start, end, kind) of personal data."""
+def _scrub_scan(text: pa.Array) -> pa.Array:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
     return pa.array([[dict(zip(("start", "end", "kind"), h, strict=True)) for h in scrub_hits(t)] for t in text.to_pylist()], kind)
+
+
+def scrub_scan(text: Column) -> Column:
+    """(start, end, kind) of personal data, in text order. All patterns hold a digit or an @, so texts without
+    either aren't handed to Python."""
+    return F.when(text.rlike(r"[\d@]"), _scrub_scan(text)).otherwise(F.array().cast(HITS))
+
+
+def is_enum_code(value: Column) -> Column:
+    """Short numbers and upper-case names are codes, unless they hold five digits in a row."""
+    return value.rlike(ENUM_CODE) & ~value.rlike("[0-9]{5}")
+
+
+def scrub_excerpt(text: Column, hit: Column) -> Column:
+    """What a hit looks like: ASCII digits as #, letters as x."""
+    return F.regexp_replace(F.regexp_replace(F.substring(text, hit["start"] + 1, hit["end"] - hit["start"]), "[0-9]", "#"), r"\p{L}", "x")

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillon.functions.text import normalize
-
-ATTESTATIONS = ["i certify", "i attest", "electronic signature", "sign here", "under penalty", "i acknowledge", "signature of"]
+#: What labels of attestations hold.
+ATTESTATIONS = ["attest", "signature", "sign here", "i certify", "e-sign", "esign", "electronically sign"]
 SAFE_PART = r"^[A-Za-z0-9][A-Za-z0-9._-]*$"
 
 
@@ -60,9 +59,10 @@ def json_object_in(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
 
 
-def is_attestation(label: Column) -> Column:
-    """P07."""
-    return F.lower(label).rlike("|".join(ATTESTATIONS))
+def is_attestation(label: Column, option_labels: Column | None = None) -> Column:
+    """The label, or a label of the options, speaks of signing."""
+    whole = label if option_labels is None else F.concat_ws(" ", label, option_labels)
+    return F.lower(whole).rlike("|".join(ATTESTATIONS))
 
 
 def is_questionnaire(kind: Column, label: Column) -> Column:
@@ -75,6 +75,20 @@ def without_options(options: Column, excluded: Column) -> Column:
     return F.filter(options, lambda o: ~F.array_contains(excluded, o["value"]))
 
 
+def normalise_proposal(proposal: Column, kind: Column, options: Column) -> Column:
+    """A proposal (intent, mode, evidence_speaker, option_semantics map, max_chars) for a field, cleaned; null if it
+    lacks an intent or a known mode. Prose into a field of options is a choice; prose needs no speaker; semantics of
+    unknown options go; only fields of free text have a length."""
+    free = kind.isin("text", "textarea")
+    mode = F.when((proposal["mode"] == "narrative") & ~free, "discrete").otherwise(proposal["mode"])
+    speaker = F.when((mode == "narrative") | mode.isin("clinician_only", "skip"), "any").when(proposal["evidence_speaker"].isin("client", "worker", "any"), proposal["evidence_speaker"]).otherwise("any")
+    kept = F.map_filter(proposal["option_semantics"], lambda value, _: F.array_contains(options, value))
+    semantics = F.when((F.size(options) > 0) & ~mode.isin("clinician_only", "skip") & (F.size(kept) > 0), kept)
+    length = F.when(free & ~mode.isin("clinician_only", "skip"), clamp_chars(proposal["max_chars"]))
+    valid = (proposal["intent"] != "") & proposal["mode"].isin("discrete", "narrative", "clinician_only", "skip")
+    return F.when(valid, F.struct(proposal["intent"].alias("intent"), mode.alias("mode"), speaker.alias("evidence_speaker"), semantics.alias("option_semantics"), length.alias("max_chars")))
+
+
 def clean_mode(mode: Column, kind: Column) -> Column:
     """Known modes only; prose into a field of options is a choice after all."""
     known = F.when(mode.isin("discrete", "narrative", "derived", "clinician_only"), mode).otherwise("discrete")
@@ -96,9 +110,13 @@ def is_sha256(text: Column) -> Column:
     return text.rlike("^[0-9a-f]{64}$")
 
 
-def is_forbidden_control(tag: Column, kind: Column, label: Column) -> Column:
-    """Controls that submit, sign or delete are never touched."""
-    return ((tag == "button") & (F.coalesce(kind, F.lit("submit")) == "submit")) | (kind.isin("submit", "image", "reset")) | normalize(label).rlike(r"\b(submit|sign|delete|discard|finali[sz]e)\b")
+def is_forbidden_control(tag: Column, kind: Column, in_form: Column, href: Column, in_actions: Column) -> Column:
+    """Controls that may submit a form or leave the page: submitting buttons (one without a type submits the
+    form it is in), links with an address, and all that is in a bar of form actions."""
+    tag, kind = F.lower(tag), F.lower(F.coalesce(kind, F.lit("")))
+    button = (tag == "button") & ((kind == "submit") | ((kind == "") & F.coalesce(in_form, F.lit(False))))
+    link = (tag == "a") & (F.coalesce(href, F.lit("")) != "")
+    return button | ((tag == "input") & kind.isin("submit", "image")) | link | F.coalesce(in_actions, F.lit(False))
 
 
 def seal(payload: Column, key: Column, aad: Column) -> Column:
@@ -120,3 +138,9 @@ def middle_cut(tokens: Column, budget: int) -> Column:
     """The head and the tail of a token list, the middle left out."""
     head = budget // 2
     return F.when(F.size(tokens) <= budget, tokens).otherwise(F.concat(F.slice(tokens, 1, head), F.slice(tokens, -(budget - head), budget - head)))
+
+
+def round_away(x: Column, places: int) -> Column:
+    """halves go away from zero."""
+    scale = 10.0**places
+    return F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.text import HASH_KEY, is_enum_code, scrub_excerpt, scrub_scan
+
 
 def plan_field(kind: Column, mode: Column, computed: Column, derive: Column) -> Column:
     """How a field gets its value."""
@@ -121,3 +123,53 @@ def purge_reason(created: Column, confirmed: Column, purge_after: Column, stage:
     if unreviewed_days is not None:
         out = out.when(confirmed.isNull() & (created + F.make_dt_interval(F.lit(unreviewed_days)) <= now), "unreviewed")
     return out
+
+
+def scan_payload(fields: DataFrame, key: str) -> DataFrame:
+    """Personal data in all that a payload says of its fields (key, step, label, help, options): one row for each hit,
+    with its part, kind and redacted excerpt. Keys made from a hash and option values that are codes aren't scanned."""
+    text = lambda part, value: F.struct(F.lit(part).alias("part"), value.alias("text"))
+    plain = F.array(text("key", F.when(~F.col("key").rlike(HASH_KEY), F.col("key"))), *[text(c, F.col(c)) for c in ("step", "label", "help")])
+    values = F.transform("options", lambda o: text("option.value", F.when(~is_enum_code(o["value"]), o["value"])))
+    labels = F.transform("options", lambda o: text("option.label", o["label"]))
+    rows = fields.select(F.col(key).alias("__key"), F.explode(F.concat(plain, values, labels)).alias("x")).select("__key", "x.*").filter("text is not null")
+    hits = rows.select("__key", "part", "text", F.explode(scrub_scan(F.col("text"))).alias("hit"))
+    return hits.select(F.col("__key").alias(key), "part", F.col("hit.kind").alias("kind"), F.col("hit.start").alias("start"), scrub_excerpt(F.col("text"), F.col("hit")).alias("excerpt"))
+
+
+def egress_gate(fields: DataFrame, form: list[str], hit: str, withheld: str, dry_run: Column, confirmed: Column) -> DataFrame:
+    """By form the exit code of sending it: 1 where anything was hit, 2 where nobody confirmed, else 0."""
+    out = fields.groupBy(*form).agg(F.count_if(hit).alias("n_hits"), F.count_if(withheld).alias("n_withheld"))
+    return out.withColumn("exit_code", F.when(F.col("n_hits") > 0, 1).when(~dry_run & ~confirmed, 2).otherwise(0))
+
+
+def _json_text(value: Column) -> Column:
+    listed = F.to_json(F.array(value))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def fingerprints(fields: DataFrame, form: str, key: str, kind: str, options: str) -> DataFrame:
+    """SHA-256 over the compact JSON [[key, kind, [option values]], ...] of a form's fields in key order."""
+    one = F.concat(F.lit("["), _json_text(F.col(key)), F.lit(","), _json_text(F.col(kind)), F.lit(","), F.to_json(options), F.lit("]"))
+    rows = fields.groupBy(form).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), one.alias("j")))).alias("x"))  # a form's fields
+    text = F.concat(F.lit("["), F.array_join(F.transform("x", lambda f: f["j"]), ","), F.lit("]"))
+    return rows.select(form, F.concat(F.lit("sha256:"), F.sha2(text, 256)).alias("fingerprint"))
+
+
+def lookup(urls: DataFrame, patterns: list[tuple[str, str, str]], tabs: DataFrame, clients: DataFrame, url: str = "url") -> DataFrame:
+    """What becomes of a given address: not_an_address, not_learned (no pattern fits), not_open (no tab shows it),
+    no_client (the tab's banner names none), or found. tabs (url, tab, place), clients (tab, client)."""
+    distinct = url_patterns_match(urls.select(F.trim(url).alias(url)).distinct(), patterns, url)
+    scheme, host = F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))), F.try_parse_url(url, F.lit("HOST"))
+    valid = F.coalesce(scheme.isin("http", "https") & host.isNotNull(), F.lit(False))
+    shown = best_url_match(distinct.filter(valid & F.col("form").isNotNull()).select(url), tabs, url, "tab", "place").join(clients.select("tab", "client"), "tab", "left")
+    out = distinct.withColumn("valid", valid).join(shown.select(url, "tab", "client"), url, "left")
+    outcome = F.when(~F.col("valid"), "not_an_address").when(F.col("form").isNull(), "not_learned").when(F.col("tab").isNull(), "not_open").when(F.col("client").isNull(), "no_client").otherwise("found")
+    found = out.select(F.col(url).alias("__url"), outcome.alias("outcome"), F.when(F.col("valid"), F.col("form")).alias("form"), "tab", "client")
+    rows = urls.join(found, F.trim(url) == F.col("__url"), "left").drop("__url")
+    return rows.withColumn("outcome", F.coalesce("outcome", F.lit("not_an_address")))
+
+
+def fill_commands(results: DataFrame) -> DataFrame:
+    """What a page is told: key, status and value of results to be filled in or derived, never the evidence."""
+    return results.filter(F.col("status").isin("filled", "derived")).select("key", "status", "value")

@@ -6,8 +6,15 @@ tables give empty results.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType
+
+from quillon.functions.text import NUMBER_WORDS, word_error_rate
 
 
 def review_rows(results: DataFrame, reports: DataFrame, fields: DataFrame, keys: list[str], field_key: str) -> DataFrame:
@@ -108,3 +115,75 @@ def count_by(df: DataFrame, column: str) -> DataFrame:
 def mean_by(df: DataFrame, key: str, values: list[str]) -> DataFrame:
     """Means by key that leave out what is missing."""
     return df.groupBy(key).agg(*[F.avg(v).alias(v) for v in values])
+
+
+#: Titles whose full stop ends no sentence, words that are numbers or dates, and capitals that name nobody.
+TITLES = ["Dr.", "Mr.", "Mrs.", "Ms.", "St.", "Jr.", "Sr."]
+ORDINALS = {"first": "1", "second": "2", "third": "3"}
+CALENDAR = "january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday".split()
+NOT_NAMES = ["i", "i'm", "i've", "i'll", "i'd", "okay", "ok", "yeah", "um", "uh", "mm", "oh", "dr", "mr", "mrs", "ms", "st", "jr", "sr"]
+_NUMBERS = {w: str(n) for w, n in NUMBER_WORDS.items()} | ORDINALS
+_EDGES = re.compile(r"^[^\w'/:-]+|[^\w'/:-]+$")
+
+
+def heard_word(word: str) -> str:
+    """A word as entities are compared: numbers as digits, no hyphens, slashes, colons and commas."""
+    word = word.lower().replace("’", "'")
+    return _NUMBERS.get(word) or re.sub("[-/:,]", "", word)
+
+
+def entities_of(text: str | None) -> list[str]:
+    text, out = text or "", []
+    for title in TITLES:
+        text = text.replace(title, title[:-1])
+    for sentence in re.split("[.?!]", text):
+        for place, token in enumerate(sentence.split()):
+            word = _EDGES.sub("", token.replace("_", " ").strip()) if "_" in token else _EDGES.sub("", token)
+            if not word:
+                continue
+            plain = heard_word(word)
+            has_number = any(c.isnumeric() for c in word) or word.lower() in _NUMBERS or word.lower() in CALENDAR
+            acronym = len(word) >= 2 and word == word.upper() and any(c.isalpha() for c in word)
+            if has_number or acronym or (place and word[0].isupper() and plain not in NOT_NAMES):
+                out.append(plain)
+    return out
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def entities(text: pa.Array) -> pa.Array:
+    """the words a note depends on: numbers, dates, acronyms and capitals inside a sentence."""
+    return pa.array([entities_of(t) for t in text.to_pylist()], pa.list_(pa.string()))
+
+
+def entity_error(reference: str | None, heard: str | None) -> float:
+    wanted = entities_of(reference)
+    given, missing = Counter(filter(None, (heard_word(_EDGES.sub("", w)) for w in (heard or "").split()))), 0
+    for word in wanted:
+        missing += given[word] == 0
+        given[word] = max(0, given[word] - 1)
+    return missing / len(wanted) if wanted else 0.0
+
+
+@F.arrow_udf(DoubleType())
+def entity_error_rate(reference: pa.Array, heard: pa.Array) -> pa.Array:
+    """share of the reference's entities that weren't heard; what is said twice has to be heard twice."""
+    return pa.array([entity_error(a, b) for a, b in zip(reference.to_pylist(), heard.to_pylist(), strict=True)], pa.float64())
+
+
+def transcript_errors(reference: DataFrame, heard: DataFrame, keys: list[str], engine: str, text: str) -> DataFrame:
+    """Word and entity error rates of each engine's text for each key; a key that an engine lacks has null rates."""
+    engines = heard.select(engine).distinct()  # a handful of names
+    rows = reference.select(*keys, F.col(text).alias("__reference")).join(F.broadcast(engines)).join(heard.select(*keys, engine, F.col(text).alias("__heard")), [*keys, engine], "left")
+    missing = F.col("__heard").isNull()
+    rates = F.when(~missing, word_error_rate("__reference", "__heard")).alias("wer"), F.when(~missing, entity_error_rate("__reference", "__heard")).alias("entity_error")
+    return rows.select(*keys, engine, *rates)
+
+
+def status_histogram(results: DataFrame) -> DataFrame:
+    """Results by status and reason, every row counted."""
+    return results.groupBy("status", "reason").agg(F.count("*").alias("n"))
+
+
+def without_placeholders(mapping: DataFrame, intent: str, placeholder: str) -> DataFrame:
+    """Fields whose intent somebody has written."""
+    return mapping.filter(~F.col(intent).eqNullSafe(F.lit(placeholder)))

@@ -51,8 +51,9 @@ def accuracy(checks: DataFrame, by: list[str]) -> DataFrame:
 
 
 def trap_status(traps: DataFrame, checks: DataFrame, key: str) -> DataFrame:
-    """Traps (id, fields): fail if any check of its fields fails, pass if any was checked, else manual."""
-    each = traps.select("id", F.explode("fields").alias(key)).join(checks.groupBy(key).agg(F.bool_and("pass").alias("ok")), key, "left")
+    """Traps (id and ``key``, a row for each field): fail if any check of its fields fails, pass if any was
+    checked, else manual."""
+    each = traps.select("id", key).join(checks.groupBy(key).agg(F.bool_and("pass").alias("ok")), key, "left")
     out = each.groupBy("id").agg(F.count_if(~F.col("ok")).alias("failed"), F.count("ok").alias("checked"))
     return out.withColumn("status", F.when(F.col("failed") > 0, "fail").when(F.col("checked") > 0, "pass").otherwise("manual"))
 
@@ -163,3 +164,36 @@ def main_speaker(df: DataFrame, keys: list[str], speaker: str, length: str) -> D
     """Who talks most; of equals the least name."""
     talk = df.groupBy(*keys, speaker).agg(F.sum(length).alias("talk"))
     return talk.groupBy(*keys).agg(F.min_by(F.struct(speaker, "talk"), F.struct(-F.col("talk"), F.col(speaker))).alias("x")).select(*keys, "x.*")
+
+
+def derive_all(values: DataFrame, derived: list[tuple[str, str, list[str]]], keys: list[str]) -> DataFrame:
+    """Derived fields (key, function, inputs) of each session, from given values (key, value) and from each other,
+    in any order; what lacks an input has no row. The list of derivations is short, so it is put in order here and
+    becomes expressions on one row for each session."""
+    left, ready, order = {k: (f, i) for k, f, i in derived}, set(), []
+    while True:
+        now = [k for k, (_, inputs) in left.items() if not any(i in left and i not in ready for i in inputs)]
+        if not now:
+            break  # what is left waits for itself
+        order += [(k, *left.pop(k)) for k in now]
+        ready.update(now)
+    wanted = sorted({i for _, _, inputs in order for i in inputs} - ready)
+    given = values.filter(F.col("key").isin(wanted)).groupBy(*keys, "key").agg(F.min("value").alias("value"))
+    rows = given.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("m"))
+    found = {}
+    for key, function, inputs in order:
+        texts = [found.get(i, F.element_at("m", i)) for i in inputs]
+        numbers = [F.when(F.trim(t).rlike(r"^\+?\d+$"), F.trim(t).try_cast("bigint")) for t in texts]
+        total = sum(numbers[1:], numbers[0])
+        bands = {"phq9_band": PHQ9, "gad7_band": GAD7}.get(function)
+        found[key] = band(total, bands) if bands else total.cast("string") if function in ("phq9_total", "gad7_total") else F.lit(None).cast("string")
+    out = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in found.items()])).alias("x"))
+    return out.select(*keys, "x.*").filter("value is not null")
+
+
+def score_items(fields: DataFrame, form: str, key: str) -> DataFrame:
+    """The items ``<family>_<n>`` of each score field ``<family>_total`` or ``<family>_band``, in the order of n."""
+    scores = fields.select(form, F.col(key).alias("score"), F.regexp_extract(key, "^(.*)_(?:total|band)$", 1).alias("family")).filter("family <> ''")
+    items = fields.select(form, F.regexp_extract(key, r"^(.*)_\d+$", 1).alias("family"), F.struct(F.regexp_extract(key, r"_(\d+)$", 1).try_cast("int").alias("n"), F.col(key).alias("k")).alias("item"))
+    both = scores.join(items.filter("family <> ''"), [form, "family"])
+    return both.groupBy(form, "score").agg(F.transform(F.array_sort(F.collect_list("item")), lambda i: i["k"]).alias("inputs"))

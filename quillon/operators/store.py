@@ -88,3 +88,11 @@ def problems(files: DataFrame, model: str) -> DataFrame:
     folders = files.filter(F.size(parts) > 1).select(model, F.explode(above).alias("path")).distinct()
     folder = files.select(model, "path").distinct().join(folders, [model, "path"], "left_semi").select(model, "path", F.lit("file_is_folder").alias("problem"))
     return own.unionByName(twice).unionByName(folder)
+
+
+def live_digests(*registrations: DataFrame) -> DataFrame:
+    """The distinct digests that any registration names."""
+    out = registrations[0].select("sha256")
+    for more in registrations[1:]:
+        out = out.unionByName(more.select("sha256"))
+    return out.filter("sha256 is not null").distinct()

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructType
 
 from quillon.functions.text import segment_id, word_error_rate
 
@@ -99,11 +103,16 @@ def _with_buckets(df: DataFrame, low: Column, high: Column, width: float) -> Dat
     return df.withColumn("__bucket", F.explode(F.sequence(first, F.greatest(first, last))))
 
 
+def _with_row_ids(df: DataFrame) -> DataFrame:
+    """``__id`` from the row's own values, which stay the same if a task runs again; equal rows share it, and their fate."""
+    return df.withColumn("__id", F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256))
+
+
 def overlapping(left: DataFrame, right: DataFrame, keys: list[str], width: float, slack: float = 0.0, how: str = "left_semi", extra: Column | None = None) -> DataFrame:
     """Left rows (start, end) with (left_semi) or without (left_anti) a right row of their keys that
     overlaps within ``slack``. Time is cut into buckets, so the join is by equal keys; each left row meets
     the rows of its own buckets only. ``extra`` may refer to ``l`` and ``r``."""
-    left = left.withColumn("__id", F.monotonically_increasing_id())
+    left = _with_row_ids(left)
     l_side = _with_buckets(left, F.col("start") - slack, F.col("end") + slack, width).alias("l")
     r_side = _with_buckets(right, F.col("start"), F.col("end"), width).alias("r")
     on = F.col("l.__bucket") == F.col("r.__bucket")
@@ -118,7 +127,7 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str], width: float
 
 def without_bleed(segments: DataFrame, keys: list[str], worker: str, client: str, width: float = 60.0) -> DataFrame:
     """Drops worker segments that overlap a client segment for half their length and say nearly the same."""
-    s = segments.withColumn("__id", F.monotonically_increasing_id())
+    s = _with_row_ids(segments)
     w = _with_buckets(s.filter(F.col("speaker") == worker), F.col("start"), F.col("end"), width).alias("w")
     c = _with_buckets(s.filter(F.col("speaker") == client), F.col("start"), F.col("end"), width).alias("c")
     on = F.col("w.__bucket") == F.col("c.__bucket")
@@ -161,15 +170,29 @@ def chain_digest(*columns: str) -> Column:
 
 
 def append_chain(df: DataFrame, keys: list[str], order: list[str], fields: list[str]) -> DataFrame:
-    """Adds seq, prev and hash; sequential inside a key, parallel over keys."""
+    """Adds seq, prev and hash. Keys are dealt to partitions, sorted, and read row by row: of a key, only the last
+    digest is kept."""
     entry = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields])
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in fields if c not in order], entry.alias("__entry")))).alias("all"))
-    step = lambda a, x: F.concat(a, F.array(F.sha2(F.concat_ws("|", x["__entry"], F.element_at(a, -1)), 256)))
-    rows = rows.withColumn("hashes", F.aggregate("all", F.array(F.lit("")), step))
-    each = rows.select(*keys, F.posexplode("all").alias("__k", "__x"), "hashes")
-    return each.select(
-        *keys, "__x.*", (F.col("__k") + 1).cast("bigint").alias("seq"), F.col("hashes")[F.col("__k")].alias("prev"), F.col("hashes")[F.col("__k") + 1].alias("hash")
-    ).drop("__entry")
+    names = list(dict.fromkeys([*keys, *order, *fields]))
+    rows = df.select(*names, entry.alias("__entry")).repartition(*keys).sortWithinPartitions(*keys, *order, "__entry")
+    schema = StructType([f for f in rows.schema.fields if f.name != "__entry"]).add("seq", LongType()).add("prev", StringType()).add("hash", StringType())
+
+    def run(batches):
+        last, seq, digest = None, 0, ""
+        for batch in batches:
+            columns = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+            numbers, before, after = [], [], []
+            for key, text in zip(columns, batch.column("__entry").to_pylist(), strict=True):
+                if key != last:
+                    last, seq, digest = key, 0, ""
+                seq += 1
+                before.append(digest)
+                digest = hashlib.sha256(f"{text}|{digest}".encode()).hexdigest()
+                numbers.append(seq)
+                after.append(digest)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(numbers, pa.int64()), pa.array(before, pa.string()), pa.array(after, pa.string())], names=[*names, "seq", "prev", "hash"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def broken_chains(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:

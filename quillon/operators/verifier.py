@@ -1,6 +1,7 @@
 """Verification of cited evidence: does a quote appear where it is said to, and can it support the answer?
 
-Inputs: segments (session, seq, speaker, text), answers (answer_id, session, wanted_speaker, positive,
+``verify_outputs`` judges whole model outputs (JSON) for fields; the functions before it are its rules, and
+can be used alone. Inputs of ``verify``: segments (session, seq, speaker, text), answers (answer_id, session, wanted_speaker, positive,
 questionnaire) and evidence (answer_id, ordinal, seq, quote). The first failing rule names the reason:
 no evidence, unknown segment, quote not found, speaker, negated answer, missing question.
 """
@@ -10,8 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.text import contains_words, is_bare_affirmation, is_negated_short_answer, normalize, words_of
+from quillon.functions.text import contains_words, is_bare_affirmation, is_iso_date, is_negated_short_answer, is_negative_option, normalize, words_of
+from quillon.functions.values import frequency_band
+from quillon.storage import materialize
 
+#: Fixed value: what a transcript line begins with.
 LINE_PREFIX = r"(?i)^\s*(\[[0-9]{1,3}:[0-9]{2}(:[0-9]{2})?\]\s*)?(s[0-9]{4}\s+)?(WORKER|CLIENT)\s*:\s*"
 REASONS = ["segment_not_found", "quote_not_found", "speaker_mismatch", "negated_answer", "missing_question_context"]
 
@@ -78,7 +82,7 @@ def relocate(segments: DataFrame, evidence: DataFrame, least_words: int = 6) ->
     wanted = e.filter(F.size(words_of(F.col("needle"))) >= least_words).withColumn("word", longest)
     words = s.select("session", "at", "plain", F.explode(F.array_distinct(words_of(F.col("plain")))).alias("word"))
     hits = wanted.join(words, ["session", "word"]).filter(contains_words(F.col("plain"), F.col("needle")))
-    only = hits.groupBy("answer_id", "ordinal").agg(F.count("*").alias("n"), F.min("at").alias("to"), F.bool_or(F.col("at") == F.col("seq")).alias("there"))
+    only = hits.groupBy("answer_id", "ordinal").agg(F.count("*").alias("n"), F.min("at").alias("to"), F.bool_or(F.col("at").eqNullSafe(F.col("seq"))).alias("there"))
     out = e.join(only, ["answer_id", "ordinal"], "left")
     moved = F.when(~F.col("there") & (F.col("n") == 1), F.col("to")).otherwise(F.col("seq"))
     return out.select("answer_id", "ordinal", "session", moved.alias("seq"), "quote")
@@ -89,10 +93,11 @@ def question_answered(segments: DataFrame, questions: list[tuple[str, str]], loo
     segments back; the nearest segment that fits wins, then the best share of words, then the least key."""
     content = lambda t: F.array_distinct(F.filter(words_of(normalize(t)), lambda w: F.length(w) >= 4))
     q = segments.sparkSession.createDataFrame(questions, "item string, question string").select("item", content(F.col("question")).alias("q"))
-    worker = segments.filter("speaker = 'worker'").select("session", "seq", content(F.col("text")).alias("words"))
-    shared = worker.join(F.broadcast(q), F.arrays_overlap("words", "q"))  # the list of items is given by the caller
-    share = F.size(F.array_intersect("q", "words")) / F.greatest(F.size("q"), F.lit(1))
-    read = shared.withColumn("share", share).filter(F.col("share") >= least).groupBy("session", "seq").agg(F.min_by("item", F.struct(-F.col("share"), F.col("item"))).alias("item"))
+    q = q.select("item", F.size("q").alias("n_words"), F.explode("q").alias("word"))
+    said = segments.filter("speaker = 'worker'").select("session", "seq", F.explode(content(F.col("text"))).alias("word"))
+    share = F.count("*") / F.first("n_words")
+    read = said.join(q, "word").groupBy("session", "seq", "item").agg(share.alias("share")).filter(F.col("share") >= least)
+    read = read.groupBy("session", "seq").agg(F.min_by("item", F.struct(-F.col("share"), F.col("item"))).alias("item"))
     n_worker = F.count(F.when(F.col("speaker") == "worker", 1)).over(Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
     rows = segments.select("session", "seq", "speaker").join(read, ["session", "seq"], "left").withColumn("n_worker", n_worker)
     before = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
@@ -105,3 +110,155 @@ def keep_sentences(sentences: DataFrame, max_chars: int) -> DataFrame:
     """Sentences (answer_id, ordinal, text) in order while their joined length fits; the first that doesn't ends it."""
     w = Window.partitionBy("answer_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
     return sentences.withColumn("__length", F.sum(F.length("text") + 1).over(w) - 1).filter(F.col("__length") <= max_chars).drop("__length")
+
+
+_EVIDENCE = "array<struct<segment:string,quote:string>>"
+#: What an output may hold.
+OUTPUT = (
+    "discussed string, raised_at struct<segment:string,quote:string>, status string, value string, count double, period string, "
+    f"evidence {_EVIDENCE}, selections array<struct<value:string,evidence:{_EVIDENCE}>>, sentences array<struct<text:string,evidence:{_EVIDENCE}>>"
+)
+#: Fixed value: characters of a narrative where the field sets none.
+NARRATIVE_CHARS = 900
+CHOICES = ("select", "radio_group", "combobox")
+
+
+def _cite(segments: DataFrame, evidence: DataFrame) -> DataFrame:
+    """evidence (answer_id, ordinal, session, segment, quote) with seq, null where the segment is unknown."""
+    ids = segments.select("session", F.col("segment_id").alias("segment"), "seq")
+    return evidence.join(ids, ["session", "segment"], "left").select("answer_id", "ordinal", "session", "segment", "seq", "quote")
+
+
+def find_quotes(segments: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Evidence (answer_id, ordinal, session, seq, quote) with ``found``: the quote is in its segment, or in
+    the run of neighbouring cited segments of one speaker that its segment is in."""
+    e = evidence.join(prepared_segments(segments), ["session", "seq"], "left").withColumn("needle", normalize(strip_line_prefix(F.col("quote"))))
+    e = e.join(cited_runs(e), ["answer_id", "seq"], "left")
+    found = contains_words(F.col("plain"), F.col("needle")) | contains_words(F.coalesce("run_text", F.lit("")), F.col("needle"))
+    return e.withColumn("found", F.coalesce(found, F.lit(False))).select(*evidence.columns, "found")
+
+
+def relocate_all(segments: DataFrame, evidence: DataFrame) -> DataFrame:
+    """evidence as for ``find_quotes``; a quote that isn't found where it is cited moves to the client segment right
+    after the cited worker segment if that has it, else to the only segment of the session that has it, if it is
+    long and no bare answer (J19)."""
+    e = materialize(find_quotes(segments, evidence), "quotes")
+    plain = segments.select("session", "seq", "speaker", normalize(F.col("text")).alias("plain"))
+    here = plain.select("session", "seq", F.col("speaker").alias("here"))
+    following = plain.select("session", (F.col("seq") - 1).alias("seq"), F.col("speaker").alias("next"), F.col("plain").alias("next_plain"))
+    e = e.join(here, ["session", "seq"], "left").join(following, ["session", "seq"], "left")
+    answers = (F.col("here") == "worker") & (F.col("next") == "client") & contains_words(F.col("next_plain"), normalize(strip_line_prefix(F.col("quote"))))
+    e = e.withColumn("answers", F.coalesce(answers, F.lit(False)))
+    lost = e.filter(~F.col("found") & ~F.col("answers") & ~F.coalesce(is_negated_short_answer(strip_line_prefix(F.col("quote"))) | is_bare_affirmation(strip_line_prefix(F.col("quote"))), F.lit(False)))
+    moved = relocate(segments, lost.select("answer_id", "ordinal", "session", "seq", "quote")).select("answer_id", "ordinal", F.col("seq").alias("to"))
+    e = e.join(moved, ["answer_id", "ordinal"], "left")
+    seq = F.when(F.col("found"), F.col("seq")).when(F.col("answers"), F.col("seq") + 1).otherwise(F.coalesce("to", "seq"))
+    return e.select("answer_id", "ordinal", "session", seq.alias("seq"), "quote")
+
+
+def _malformed(evidence):
+    """One malformed piece spoils all."""
+    return evidence.isNull() | F.exists(evidence, lambda e: e["segment"].isNull() | e["quote"].isNull())
+
+
+def _gate(segments: DataFrame, a: DataFrame) -> DataFrame:
+    """Outputs of gated fields: ``gate`` says how one fails, ``raised`` is the cited place where it was discussed."""
+    raised = a.filter("out.discussed = 'yes'").select("answer_id", F.lit(0).alias("ordinal"), "session", F.col("out.raised_at.segment").alias("segment"), F.col("out.raised_at.quote").alias("quote"))
+    found = find_quotes(segments, relocate_all(segments, _cite(segments, raised.filter("segment is not null and quote is not null")).drop("segment")))
+    found = found.filter("found").join(segments.select("session", "seq", "segment_id"), ["session", "seq"])
+    found = found.select("answer_id", F.struct(F.col("segment_id").alias("segment"), strip_line_prefix(F.col("quote")).alias("quote")).alias("raised"))
+    gate = F.when(F.col("out.discussed") != "yes", "insufficient_evidence").when((F.col("out.discussed") == "yes") & F.col("raised").isNull(), "quote_not_found")
+    return a.join(found, "answer_id", "left").withColumn("gate", gate)
+
+
+def _groups(a: DataFrame) -> DataFrame:
+    """One row for each value, selection or sentence: answer_id, ordinal, group, part, evidence, positive, early (a reason
+    that needs no transcript) and skip (it says nothing)."""
+    with_raised = lambda e: F.when(F.col("raised").isNull() | F.array_contains(e, F.col("raised")), e).otherwise(F.concat(F.array("raised"), F.coalesce(e, F.array().cast(_EVIDENCE))))
+    known = lambda v: F.exists("options", lambda o: o["value"] == v)
+    label = lambda v: F.get(F.filter("options", lambda o: o["value"] == v), F.lit(0))["label"]
+    semantics = lambda v: F.when(F.col("option_semantics").isNotNull(), F.try_element_at("option_semantics", v))
+    positive = lambda v: ~F.coalesce(is_negative_option(v, label(v), semantics(v)), F.lit(False))
+    part = F.trim(F.col("value"))
+    choice = F.col("kind").isin(*CHOICES)
+    one = a.filter("shape = 'discrete'").withColumn("part", part).select(
+        "answer_id", F.lit(0).alias("ordinal"), "part", with_raised(F.col("out.evidence")).alias("evidence"), F.coalesce(choice & positive(F.col("part")), F.lit(False)).alias("positive"),
+        F.when(F.col("part").isNull() | (choice & ~known(F.col("part"))) | ((F.col("kind") == "date") & ~is_iso_date(F.col("part"))), "invalid_option").alias("early"),
+        (~choice & (F.col("kind") != "date") & (F.col("part") == "")).alias("skip"),
+    )
+    many = a.filter("shape = 'checkbox'").select("*", F.posexplode("out.selections").alias("ordinal", "x")).withColumn("part", F.col("x.value"))
+    again = F.row_number().over(Window.partitionBy("answer_id", "part").orderBy("ordinal")) > 1
+    bad = F.col("part").isNull() | ~known(F.col("part"))
+    many = many.select(
+        "answer_id", "ordinal", "part", with_raised(F.col("x.evidence")).alias("evidence"), F.coalesce(positive(F.col("part")), F.lit(True)).alias("positive"),
+        F.when(bad, "invalid_option").alias("early"), (~bad & again).alias("skip"),
+    )
+    prose = a.filter("shape = 'narrative'").select("*", F.posexplode("out.sentences").alias("ordinal", "x")).withColumn("part", F.trim(F.coalesce("x.text", F.lit(""))))
+    prose = prose.select("answer_id", "ordinal", "part", F.col("x.evidence").alias("evidence"), F.lit(False).alias("positive"), F.lit(None).cast("string").alias("early"), (F.col("part") == "").alias("skip"))
+    rows = one.unionByName(many).unionByName(prose)
+    early = F.coalesce("early", F.when(_malformed(F.col("evidence")) & ~F.col("skip"), "quote_not_found"))
+    return rows.withColumn("early", early).withColumn("group", F.concat_ws("/", "answer_id", "ordinal"))
+
+
+def verify_outputs(segments: DataFrame, fields: DataFrame, outputs: DataFrame, questions: list[tuple[str, str]] | None = None) -> DataFrame:
+    """The whole verifier. segments (session, segment_id, seq, speaker, text); fields (key, kind, mode, options
+    array<struct<value,label>>, option_semantics map<string,string>, wanted_speaker, max_chars int, bands
+    map<string,array<double>>); outputs (answer_id, session, key, output), the output being JSON. ``questions`` are
+    questionnaire items by field key; an answer to one has to follow that question.
+
+    Returns answer_id, key, status (filled, rejected, insufficient_evidence), reason, value (array) and evidence. The first
+    rule that fails names the reason. Of checkboxes and narratives, parts that fail are left out, and the first
+    reason is kept; "none" options go once a positive one stays; a narrative ends before the first sentence that
+    would make it too long. Steps that are read more than once are written to the shared folder."""
+    a = outputs.select("answer_id", "session", "key", F.from_json("output", OUTPUT).alias("out")).join(fields, "key")
+    a = _gate(segments, a)
+    band = F.when(F.col("bands").isNotNull() & (F.col("out.status") == "filled"), F.coalesce(frequency_band(F.col("out.count"), F.col("out.period"), F.col("bands")), F.lit("")))
+    a = a.withColumn("band", band).withColumn("value", F.coalesce("band", "out.value"))
+    known_status = F.coalesce(F.col("out.status").isin("filled", "insufficient_evidence"), F.lit(False))
+    a = a.withColumn("early_status", F.when(F.col("gate") == "quote_not_found", "rejected").when(F.col("gate").isNotNull() | (F.col("band") == ""), "insufficient_evidence")
+                     .when(~known_status, "rejected").when(F.col("out.status") == "insufficient_evidence", "insufficient_evidence"))
+    a = a.withColumn("early_reason", F.when(F.col("gate") == "quote_not_found", "quote_not_found").when(F.col("gate").isNotNull(), F.lit(None)).when(F.col("band") == "", "invalid_option").when(~known_status, "malformed_output"))
+    a = a.withColumn("shape", F.when(F.col("early_status").isNotNull(), "none").when(F.col("mode") == "narrative", "narrative").when(F.col("kind") == "checkbox_group", "checkbox").otherwise("discrete"))
+    a = materialize(a.withColumn("questionnaire", (F.col("shape") == "discrete") & F.col("key").isin([k for k, _ in questions or []])), "outputs")
+    groups = _groups(a).filter(~F.col("skip")).join(a.select("answer_id", "session", "key", "wanted_speaker", "questionnaire"), "answer_id")
+    groups = materialize(groups, "output-parts")
+    # pieces of evidence, one row each, under their group
+    pieces = groups.filter("early is null").select(F.col("group").alias("answer_id"), "session", F.posexplode("evidence").alias("ordinal", "x"))
+    pieces = pieces.select("answer_id", "ordinal", "session", F.col("x.segment").alias("segment"), strip_line_prefix(F.col("x.quote")).alias("quote"))
+    cited = materialize(_cite(segments, pieces), "cited")
+    moved = materialize(relocate_all(segments, cited.drop("segment")), "moved")
+    judged = verify(segments, groups.filter("early is null").select(F.col("group").alias("answer_id"), "session", "wanted_speaker", "positive", "questionnaire"), moved.drop("session"))
+    found = judged.select(F.col("answer_id").alias("group"), F.col("reason").alias("late"))
+    if questions:
+        asked = question_answered(segments, questions).withColumnRenamed("item", "asked")
+        near = moved.join(asked, ["session", "seq"]).join(groups.select(F.col("group").alias("answer_id"), "key"), "answer_id")
+        near = near.groupBy(F.col("answer_id").alias("group")).agg(F.bool_or(F.coalesce(F.col("asked") == F.col("key"), F.lit(False))).alias("same"), F.count("asked").alias("n_asked"))
+        found = found.join(near, "group", "left")
+        wrong = F.when(F.col("same"), F.lit(None)).when(F.coalesce("n_asked", F.lit(0)) == 0, "question_not_asked").otherwise("question_mismatch")
+    else:
+        wrong = F.lit(None).cast("string")
+    groups = groups.join(found.withColumn("wrong", wrong), "group", "left")
+    groups = materialize(groups.withColumn("reason", F.coalesce("early", "late", F.when(F.col("questionnaire"), F.col("wrong")))), "judged-parts")
+    quoted = moved.join(segments.select("session", "seq", "segment_id"), ["session", "seq"], "left").join(cited.select("answer_id", "ordinal", "segment"), ["answer_id", "ordinal"])
+    quoted = quoted.groupBy(F.col("answer_id").alias("group")).agg(F.array_sort(F.collect_list(F.struct("ordinal", F.coalesce("segment_id", "segment").alias("segment"), "quote"))).alias("q"))
+    groups = groups.join(quoted, "group", "left").withColumn("q", F.coalesce(F.transform("q", lambda x: F.struct(x["segment"].alias("segment"), x["quote"].alias("quote"))), F.array().cast(_EVIDENCE)))
+    # a narrative's sentences while they fit; what comes after the first that doesn't isn't looked at
+    so_far = Window.partitionBy("answer_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
+    shape = a.select("answer_id", "shape", F.coalesce("max_chars", F.lit(NARRATIVE_CHARS)).alias("most"), "options")
+    groups = groups.join(shape, "answer_id").withColumn("ok", F.col("reason").isNull())
+    length = F.sum(F.when(F.col("ok"), F.length("part") + 1).otherwise(0)).over(so_far) - 1
+    groups = groups.withColumn("over", F.max(F.when(F.col("ok") & (length > F.col("most")), 1).otherwise(0)).over(so_far)).filter("shape <> 'narrative' or over = 0")
+    some_positive = F.max(F.when(F.col("ok") & F.col("positive"), 1).otherwise(0)).over(Window.partitionBy("answer_id")) == 1
+    groups = groups.withColumn("stays", F.col("ok") & ((F.col("shape") != "checkbox") | F.col("positive") | ~some_positive))
+    place = F.when(F.col("shape") == "checkbox", F.array_position(F.transform("options", lambda o: o["value"]), F.col("part"))).otherwise(F.col("ordinal").cast("bigint"))
+    kept = F.array_sort(F.collect_list(F.when(F.col("stays") | (F.col("shape") == "discrete"), F.struct(place.alias("place"), "part", "q"))))
+    per = groups.groupBy("answer_id").agg(kept.alias("kept"), F.min_by("reason", F.when(~F.col("ok"), F.col("ordinal"))).alias("first_reason"), F.bool_or("stays").alias("any_stays"))
+    out = a.join(per, "answer_id", "left")
+    stays = F.coalesce("any_stays", F.lit(False))
+    status = F.coalesce("early_status", F.when(stays, "filled").when((F.col("shape") == "discrete") & F.col("first_reason").isNotNull(), "rejected").otherwise("insufficient_evidence"))
+    parts = F.filter(F.transform("kept", lambda k: k["part"]), lambda p: p.isNotNull())
+    value = F.when(F.size(parts) == 0, F.lit(None)).when(F.col("shape") == "narrative", F.array(F.array_join(parts, " "))).otherwise(parts)
+    return out.select(
+        "answer_id", "key", status.alias("status"), F.coalesce("early_reason", "first_reason").alias("reason"),
+        value.alias("value"), F.coalesce(F.flatten(F.transform("kept", lambda k: k["q"])), F.array().cast(_EVIDENCE)).alias("evidence"),
+    )

@@ -51,8 +51,7 @@ def f01_normalize(spark, sf):
 
 
 def p11_p12_short_answers(spark, sf):
-    first = F.substring_index("text", ".", 1)
-    rows = _turns(spark, sf).select("conv_id", "turn", T.is_negated_short_answer(first).alias("negated"), T.is_bare_affirmation(first).alias("affirmed"))
+    rows = _turns(spark, sf).select("conv_id", "turn", T.is_negated_short_answer(F.col("text")).alias("negated"), T.is_bare_affirmation(F.col("text")).alias("affirmed"))
     return rows
 
 
@@ -80,7 +79,7 @@ def a10_role_summary(spark, sf):
 
 
 def f13_redact(spark, sf):
-    return _turns(spark, sf).select("conv_id", "turn", F.md5(T.redact(F.substring("text", 1, 200))).alias("digest"))
+    return _turns(spark, sf).select("conv_id", "turn", F.md5(T.redact(F.col("text"))).alias("digest"))
 
 
 def f13_redact_whole(spark, sf):
@@ -123,7 +122,7 @@ QUERIES = {f.__name__: f for f in (
     t15_rising_edges, t23_silence,
 )}
 
-_PLAIN = r"trim(regexp_replace(regexp_replace(lower({0}), '[''‘’ʼ`´]', '', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+_PLAIN = r"trim(regexp_replace(regexp_replace(replace(strip_accents(lower({0})), 'ß', 'ss'), '[''‘’ʼ`´]', '', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 _WORDS = "len(list_filter(string_split(text, ' '), lambda w: w <> ''))"
 _FILLERS = "|".join(T.FILLERS)
 
@@ -150,12 +149,12 @@ i AS (SELECT *, sum(s) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS isla
 SELECT conv_id, island, min(turn) AS first_turn, count(*) AS n FROM i GROUP BY ALL""",
     "f01_normalize": f"SELECT conv_id, turn, length({_PLAIN.format('text')}) AS n, md5({_PLAIN.format('text')}) AS digest FROM conversations",
     "p11_p12_short_answers": f"""
-WITH n AS (SELECT conv_id, turn, {_PLAIN.format("split_part(text, '.', 1)")} AS t FROM conversations),
+WITH n AS (SELECT conv_id, turn, {_PLAIN.format("text")} AS t FROM conversations),
 w AS (SELECT *, list_filter(string_split(t, ' '), lambda x: x <> '') AS w FROM n)
 SELECT conv_id, turn, len(w) BETWEEN 1 AND 5 AND regexp_matches(t, '^(?:(?:{_FILLERS}) )*(?:{"|".join(T.NEGATIONS)})(?: |$)') AS negated,
   len(w) BETWEEN 1 AND 4 AND regexp_matches(t, '^(?:(?:{_FILLERS}) )*(?:{"|".join(T.AFFIRMATIONS)})(?: |$)')
   AND len(list_filter(w, lambda x: x NOT IN ({", ".join(repr(x) for x in T.AFFIRMATION_WORDS)}))) = 0 AS affirmed FROM w""",
-    "f13_redact": r"SELECT conv_id, turn, md5(regexp_replace(regexp_replace(substring(text, 1, 200), '\p{L}', 'x', 'g'), '\p{N}', '#', 'g')) AS digest FROM conversations",
+    "f13_redact": r"SELECT conv_id, turn, md5(regexp_replace(regexp_replace(text, '\p{L}', 'x', 'g'), '\p{N}', '#', 'g')) AS digest FROM conversations",
     "p11_p12_sentences": f"""
 WITH s AS (SELECT conv_id, turn, generate_subscripts(s, 1)::INT - 1 AS sentence, unnest(s) AS x FROM (SELECT conv_id, turn, regexp_split_to_array(coalesce(text, ''), '[.!?]+') AS s FROM conversations)),
 n AS (SELECT conv_id, turn, sentence, {_PLAIN.format("x")} AS t FROM s),

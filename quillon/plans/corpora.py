@@ -41,7 +41,7 @@ def a08_a09_three_way(spark, sf):
 def a03_traps(spark, sf):
     rows = _answers(spark, sf)
     checks = rows.select(F.col("doc_id").alias("key"), (F.col("values") == F.col("want")).alias("pass"))
-    traps = read_table(spark, sf, "documents").groupBy(F.concat("source", F.lit("/"), "lang").alias("id")).agg(F.collect_list("doc_id").alias("fields"))
+    traps = read_table(spark, sf, "documents").select(F.concat("source", F.lit("/"), "lang").alias("id"), F.col("doc_id").alias("key"))
     return scoring.trap_status(traps, checks, "key")
 
 
@@ -69,9 +69,11 @@ def a12_nll(spark, sf):
 
 
 def f24_f25_temper_decide(spark, sf):
-    e = read_table(spark, sf, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 4), lambda x: F.abs(x.cast("double")) + 0.01).alias("p"))
+    e = read_table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double")) + 0.01).alias("p"))
     z = scoring.temper(F.col("p"), 1.5)
-    return e.select("vec_id", F.round(F.array_max(z), 6).alias("top"), F.array_position(z, F.array_max(z)).alias("option"))
+    options = F.transform("p", lambda p, i: F.struct(F.concat(F.lit("o"), i).alias("name"), (p * 3).alias("prob")))
+    chosen = F.array_join(scoring.decide_options(options, 0.6, ["o0", "o1"]), "|")
+    return e.select("vec_id", F.round(F.array_max(z), 6).alias("top"), F.array_position(z, F.array_max(z)).alias("option"), chosen.alias("chosen"))
 
 
 def o06_top_similar(spark, sf):
@@ -84,7 +86,7 @@ def o06_top_similar(spark, sf):
 
 
 def a17_a18_derivations(spark, sf):
-    return _derivations(read_table(spark, sf, "lineitem").filter("l_linenumber <= 2"))
+    return _derivations(read_table(spark, sf, "lineitem"))
 
 
 def a17_a18_derivations_whole(spark, sf):
@@ -135,7 +137,7 @@ def j07_chart_forms(spark, sf):
 
 def j08_best_tab(spark, sf):
     pages = read_table(spark, sf, "pages").select("page_id", "url")
-    wanted = pages.filter("page_id % 3 = 0").select(F.regexp_replace("url", r"[?#].*$", "").alias("url")).distinct()
+    wanted = pages.select(F.regexp_replace("url", r"[?#].*$", "").alias("url")).distinct()
     return forms.best_url_match(wanted, pages, "url", "page_id", "page_id")
 
 
@@ -269,13 +271,14 @@ SELECT p_partkey, CASE WHEN len(list_filter(got, lambda x: NOT list_contains(wan
 SELECT t AS threshold FROM g WHERE acc >= 0.95 * (SELECT max(acc) FROM g) ORDER BY uns, t LIMIT 1""".replace("avg((n_chars >= t) = (quality = 1))", "avg(CASE WHEN (n_chars >= t) = (quality = 1) THEN 1.0 ELSE 0 END)").replace("avg(n_chars >= t AND quality <> 1)", "avg(CASE WHEN n_chars >= t AND quality <> 1 THEN 1.0 ELSE 0 END)"),
     "a12_nll": f"""WITH {_A}, p AS (SELECT lang, CASE WHEN want = 'good' THEN 1.0 / (1 + exp(-(n_chars - 1000) / 1000.0)) ELSE 1 - 1.0 / (1 + exp(-(n_chars - 1000) / 1000.0)) END AS p FROM a)
 SELECT lang, round(avg(-ln(greatest(p, 1e-9))), 6) AS nll FROM p GROUP BY lang""",
-    "f24_f25_temper_decide": """WITH p AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: ln(abs(x::DOUBLE) + 0.01) / 1.5) AS z FROM embeddings),
-e AS (SELECT vec_id, list_transform(z, lambda v: exp(v - list_max(z))) AS e FROM p)
-SELECT vec_id, round(1 / list_sum(e), 6) AS top, list_position(e, list_max(e))::BIGINT AS option FROM e""",
+    "f24_f25_temper_decide": """WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: ln(abs(x::DOUBLE) + 0.01) / 1.5) AS z,
+list_transform(list_filter(range(len(embedding)), lambda i: (abs(embedding[i + 1]::DOUBLE) + 0.01) * 3 >= 0.6), lambda i: 'o' || i) AS c FROM embeddings),
+e AS (SELECT vec_id, list_transform(z, lambda v: exp(v - list_max(z))) AS e, list_sort(CASE WHEN len(c) > 1 THEN list_filter(c, lambda x: x NOT IN ('o0', 'o1')) ELSE c END) AS c FROM p)
+SELECT vec_id, round(1 / list_sum(e), 6) AS top, list_position(e, list_max(e))::BIGINT AS option, array_to_string(c, '|') AS chosen FROM e""",
     "o06_top_similar": """WITH h AS (SELECT label, arg_min(embedding, vec_id) AS head FROM embeddings GROUP BY label),
 s AS (SELECT label, vec_id, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: embedding[i]::DOUBLE * head[i]::DOUBLE)), 5) AS similarity FROM embeddings JOIN h USING (label))
 SELECT label, vec_id, rank, similarity FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 3""",
-    "a17_a18_derivations": """WITH i AS (SELECT l_orderkey, CASE WHEN l_quantity > 45 THEN NULL ELSE floor(l_quantity / 4)::BIGINT END AS x FROM lineitem WHERE l_linenumber <= 2),
+    "a17_a18_derivations": """WITH i AS (SELECT l_orderkey, CASE WHEN l_quantity > 45 THEN NULL ELSE floor(l_quantity / 4)::BIGINT END AS x FROM lineitem),
 t AS (SELECT l_orderkey, CASE WHEN count(x) = count(*) THEN sum(x)::BIGINT END AS total FROM i GROUP BY l_orderkey)
 SELECT l_orderkey, total, CASE WHEN total <= 4 THEN 'MINIMAL' WHEN total <= 9 THEN 'MILD' WHEN total <= 14 THEN 'MODERATE' WHEN total <= 19 THEN 'MODERATELY_SEVERE' WHEN total <= 27 THEN 'SEVERE' END AS phq9,
 CASE WHEN total <= 4 THEN 'MINIMAL' WHEN total <= 9 THEN 'MILD' WHEN total <= 14 THEN 'MODERATE' WHEN total <= 21 THEN 'SEVERE' END AS gad7 FROM t""",
@@ -302,7 +305,7 @@ FROM ol FULL JOIN nl ON ol.form = nl.form AND ol.kind = nl.kind AND ol.label = n
     "j07_chart_forms": r"""WITH u AS (SELECT lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages)
 SELECT CASE WHEN regexp_matches(host, '^.*\.example\.com$') AND regexp_matches(path, '^/en/.*$') THEN 'shop' WHEN regexp_matches(host, '^.*\.example\.org$') AND regexp_matches(path, '^/.*/1.*$') THEN 'wiki'
 WHEN regexp_matches(host, '^.*\.example\.net$') THEN 'any_net' END AS form, count(*) AS n FROM u GROUP BY ALL""",
-    "j08_best_tab": r"""WITH w AS (SELECT DISTINCT regexp_replace(url, '[?#].*$', '') AS url FROM pages WHERE page_id % 3 = 0),
+    "j08_best_tab": r"""WITH w AS (SELECT DISTINCT regexp_replace(url, '[?#].*$', '') AS url FROM pages),
 b AS (SELECT w.url, page_id AS tab, CASE WHEN w.url = p.url THEN 0 WHEN w.url = regexp_replace(p.url, '#.*$', '') THEN 1 ELSE 2 END AS rank FROM w JOIN pages p ON w.url = regexp_replace(p.url, '[?#].*$', ''))
 SELECT url, tab, rank FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY rank, tab) AS r FROM b) WHERE r = 1""",
     "j14_fill_outcomes": """WITH r AS (SELECT o_orderstatus AS i, CASE WHEN o_orderkey % 5 = 0 THEN 'F' END AS p, CASE WHEN o_orderkey % 10 = 0 THEN 'F' END AS d,

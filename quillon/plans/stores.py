@@ -36,7 +36,7 @@ def f40_meter(spark, sf):
 
 def p05_p07_labels(spark, sf):
     rows = read_table(spark, sf, "benchmark").select("item_id", "text")
-    return rows.select("item_id", V.is_questionnaire(F.lit("radio_group"), F.substring("text", 1, 24)).alias("questionnaire"), V.says_something(F.substring("text", 1, 3)).alias("speaks"))
+    return rows.select("item_id", V.is_questionnaire(F.lit("radio_group"), F.col("text")).alias("questionnaire"), V.says_something(F.col("text")).alias("speaks"), V.is_attestation(F.col("text")).alias("attests"))
 
 
 def p05_p07_labels_whole(spark, sf):
@@ -130,7 +130,7 @@ SELECT period, CASE WHEN m BETWEEN 0 AND 4 THEN 'a_rare' WHEN m BETWEEN 4 AND 60
     "f26_label_match": "SELECT p_size % 2 = 0 OR p_size % 3 = 0 AS good, count(*) AS n FROM part GROUP BY ALL",
     "f34_weekday": "SELECT dayname(o_orderdate) AS day, count(*) AS n FROM orders GROUP BY ALL",
     "f40_meter": "SELECT event_id, round(greatest(0, least(1, (20 * log10(greatest(abs(value) / 1000, 1e-9)) + 60) / 60)), 6) AS level FROM events",
-    "p05_p07_labels": r"SELECT item_id, len(list_filter(string_split(substring(text, 1, 24), ' '), lambda w: w <> '')) >= 5 AS questionnaire, regexp_matches(substring(text, 1, 3), '[\p{L}\p{N}]') AS speaks FROM benchmark",
+    "p05_p07_labels": r"SELECT item_id, len(list_filter(string_split(text, ' '), lambda w: w <> '')) >= 5 AS questionnaire, regexp_matches(text, '[\p{L}\p{N}]') AS speaks, regexp_matches(lower(text), 'attest|signature|sign here|i certify|e-sign|esign|electronically sign') AS attests FROM benchmark",
     "p05_p07_labels_whole": r"SELECT item_id, len(list_filter(string_split(text, ' '), lambda w: w <> '')) >= 5 AS questionnaire, regexp_matches(text, '[\p{L}\p{N}]') AS speaks FROM benchmark",
     "p08_normalise": """WITH p AS (SELECT ['narrative', 'discrete', 'other', 'derived'][p_partkey % 4 + 1] AS m, p_size > 20 AS t, least(greatest((p_size - 25) * 200, 1), 4000) AS max_chars FROM part)
 SELECT CASE WHEN m = 'other' THEN 'discrete' WHEN m = 'narrative' AND NOT t THEN 'discrete' ELSE m END AS mode, max_chars, count(*) AS n FROM p GROUP BY ALL""",

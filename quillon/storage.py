@@ -16,9 +16,11 @@ _CREATED: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one where none is set (tests on one machine)."""
+    """The shared folder of the session; where none is set, a temporary one if the session runs on this machine alone."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -53,7 +55,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._quillon_path = path
+    return stored
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Removes the files of materialised tables that nothing reads any more; others are left alone."""
+    for table in tables:
+        path = getattr(table, "_quillon_path", None)
+        if path in _CREATED:
+            remove(table.sparkSession, path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

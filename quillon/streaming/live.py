@@ -28,12 +28,18 @@ def chunk_totals(df: DataFrame, key: str, at: str, length: str, value: str, late
     return out.select(key, F.col("window.start").alias("start"), "n", "total")
 
 
+def segment_writer(path: str):
+    """Writes a micro-batch to a folder of its own; one that is played again replaces it."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return write
+
+
 def append_segments(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Each micro-batch is appended to the partial transcript at ``path``."""
-    def append(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(path)
-
-    return df.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "20 seconds"})).start()
+    return df.writeStream.foreachBatch(segment_writer(path)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "20 seconds"})).start()
 
 
 def live_view(segments: DataFrame, session: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 Each machine is a small class that sees the rows of one key in time order. ``run_batch`` gives each key's
 rows to a new machine; ``run_stream`` keeps the machine's state between micro-batches, so that a stream
-and a batch of the same rows give the same result. Only one key's rows of a micro-batch are in memory.
+and a batch of the same rows give the same result. ``finish`` gives what is still open when a key's rows
+end (in a stream: when a key has been quiet for a while). Batches are read in sorted partitions row by row,
+so a key may have any number of rows; of a stream, one key's rows of a micro-batch are in memory.
 """
 
 from __future__ import annotations
@@ -90,6 +92,16 @@ class VoiceSegments:
     def _span(self, n: int) -> tuple:
         return round(self.first * self.frame, 4), round((self.first + n) * self.frame, 4)
 
+    def finish(self) -> Iterator[tuple]:
+        """Ends what is open, without the quiet at its end."""
+        if self.first is not None and self.speech >= self.least:
+            yield self._span(min(len(self.energies), self.last_speech + self.tail))
+        self.first, self.energies, self.held, self.onsets = None, [], 0, 0
+
+    def settled_through(self, frames_seen: int) -> float:
+        """Nothing that comes later starts before this."""
+        return (self.first if self.first is not None else frames_seen - self.held) * self.frame
+
     def see(self, row) -> Iterator[tuple]:
         db, loud = row.db, row.db > max(self.floor + self.margin, self.loud)
         if self.first is None:
@@ -117,10 +129,12 @@ class VoiceSegments:
             self.speech, self.last_speech = sum(e > self.loud for e in self.energies), len(self.energies)
 
 
-def _feed(machine, key: tuple, keys: list[str], order: str, rows: pd.DataFrame) -> pd.DataFrame:
-    names = [x.split()[0] for x in machine.schema.split(", ")]
-    out = [(*key, *event) for row in rows.sort_values(order).itertuples(index=False) for event in machine.see(row)]
-    return pd.DataFrame(out, columns=[*keys, *names])
+def _names(machine: type) -> list[str]:
+    return [x.split()[0] for x in machine.schema.split(", ")]
+
+
+def _finish(machine) -> list[tuple]:
+    return list(machine.finish()) if hasattr(machine, "finish") else []
 
 
 def _schema(df: DataFrame, keys: list[str], machine: type) -> str:
@@ -128,16 +142,39 @@ def _schema(df: DataFrame, keys: list[str], machine: type) -> str:
 
 
 def run_batch(df: DataFrame, keys: list[str], order: str, machine: type) -> DataFrame:
-    return df.groupBy(*keys).applyInPandas(lambda key, rows: _feed(machine(), key, keys, order, rows), _schema(df, keys, machine))
+    """Rows with a null in a key are a key of their own."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, key, now = [*keys, *_names(machine)], None, None
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                its_key = tuple(None if pd.isna(getattr(row, k)) else getattr(row, k) for k in keys)
+                if now is None or its_key != key:
+                    out += [(*key, *event) for event in _finish(now)] if now else []
+                    key, now = its_key, machine()
+                out += [(*key, *event) for event in now.see(row)]
+            yield pd.DataFrame(out, columns=names)
+        if now:
+            yield pd.DataFrame([(*key, *event) for event in _finish(now)], columns=names)
 
-def run_stream(df: DataFrame, keys: list[str], order: str, machine: type) -> DataFrame:
-    """Rows of a key have to arrive in order between micro-batches; inside one they are sorted."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, _schema(df, keys, machine))
+
+
+def run_stream(df: DataFrame, keys: list[str], order: str, machine: type, quiet_ms: int = 60_000) -> DataFrame:
+    """Rows of a key have to arrive in order between micro-batches; inside one they are sorted. A key without rows
+    for ``quiet_ms`` is finished."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         m = machine(json.loads(state.get[0]) if state.exists else None)
-        rows = pd.concat(list(parts))
-        yield _feed(m, key, keys, order, rows)
-        state.update((json.dumps(m.state()),))
+        if state.hasTimedOut:
+            events = _finish(m)
+            state.remove()
+        else:
+            rows = pd.concat(list(parts)).sort_values(order)
+            events = [event for row in rows.itertuples(index=False) for event in m.see(row)]
+            state.update((json.dumps(m.state()),))
+            state.setTimeoutDuration(quiet_ms)
+        yield pd.DataFrame([(*key, *event) for event in events], columns=[*keys, *_names(machine)])
 
-    return df.groupBy(*keys).applyInPandasWithState(step, _schema(df, keys, machine), "state string", "append", "NoTimeout")
+    return df.groupBy(*keys).applyInPandasWithState(step, _schema(df, keys, machine), "state string", "append", "ProcessingTimeTimeout")

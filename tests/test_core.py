@@ -1,11 +1,15 @@
+import json
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators import forms, scoring, timeline, verifier
+from quillon.functions import values as V
+from quillon.operators import forms, review, scoring, timeline, verifier
 from quillon.sources import transcripts
-from quillon.streaming import stateful
+from quillon.streaming import live, stateful
 
 
 def one(spark, column, **values):
@@ -31,7 +35,7 @@ def test_short_answers(spark, text, negated, affirmed):
 
 def test_text_functions(spark):
     assert one(spark, T.normalize(F.col("t")), t="Don’t  STOP—now!") == "dont stop now"
-    assert one(spark, T.normalize_folded(F.col("t")), t="Café ＡＢ") == "cafe ab"
+    assert one(spark, T.normalize(F.col("t")), t="Café ＡＢ e\u0301 Straße Ĳ") == "cafe ab e strasse ĳ"
     assert one(spark, T.contains_words(F.col("a"), F.col("b")), a="nothing at all", b="no") is False
     assert one(spark, T.spelled_numbers_as_digits(F.col("t")), t="twenty-one, four and seventy") == "21 4 and 70"
     assert one(spark, T.parse_date(F.col("t")), t="March 3rd, 1989") == "1989-03-03"
@@ -44,6 +48,39 @@ def test_text_functions(spark):
     assert one(spark, T.is_negative_option(F.col("v"), F.col("l"), F.lit(None).cast("string")), v="x", l="Not at all") is True
     assert one(spark, F.size(T.pii_hits(F.col("t"))), t="call 212-555-0199 or 212-444-1234, a@b.co, x@mail.example.com") == 2
     assert [h[2] for h in T.scrub_hits("mail a@b.co or 123-45-6789 on 1/2/2020")] == ["email", "ssn", "date"]
+    text = "MRN 1234567 at 12 Main Street, Springfield, IL 62704 born March 3rd, 1989"
+    assert [(text[a:b], kind) for a, b, kind in T.scrub_hits(text)] == [("MRN 1234567", "record_number"), ("12 Main Street", "street_address"), ("IL 62704", "zip"), ("March 3rd, 1989", "date")]
+    assert T.scrub_hits("000-00-0000, 99/99/9999, AB-000000, x@mail.example.com, y@host.test, PHQ-9 past 2 weeks") == []
+    assert [k for _, _, k in T.scrub_hits("P.O. Box 12, zip code: 12345, (212) 555-0142, #48213, 3rd of May 1980")] == ["street_address", "zip", "phone", "record_number", "date"]
+    ids = {"input-2024": False, "1stName": False, "deadbeef": False, "ext-gen42": True, "mat-input-7": True, ":r3:": True, "a12345": True, "first_name": False, "deadbeefdead": True}
+    assert {i: one(spark, T.is_generated_id(F.col("t")), t=i) for i in ids} == ids
+
+
+def test_forbidden_controls_and_attestations(spark):
+    rows = [("button", None, True, None, False), ("button", None, False, None, False), ("button", "button", True, None, False), ("button", "submit", False, None, False), ("input", "image", True, None, False),
+            ("input", "reset", True, None, False), ("a", None, False, "/next", False), ("a", None, False, None, False), ("div", None, True, None, True)]
+    df = spark.createDataFrame(rows, "tag string, type string, in_form boolean, href string, bar boolean")
+    got = [r[0] for r in df.select(V.is_forbidden_control(*map(F.col, df.columns))).collect()]
+    assert got == [True, False, False, True, True, False, True, False, True]
+    labels = spark.createDataFrame([("Name", ["a"]), ("I ATTEST that", []), ("Done", ["Electronically signed"]), ("I acknowledge", ["under penalty"])], "label string, options array<string>")
+    assert [r[0] for r in labels.select(V.is_attestation(F.col("label"), F.col("options"))).collect()] == [False, True, True, False]
+
+
+def test_normalise_proposal(spark):
+    kinds = "intent string, mode string, evidence_speaker string, option_semantics map<string,string>, max_chars int"
+    rows = [(("say", "narrative", "client", {"a": "x", "z": "y"}, 9000), "select", ["a"]), (("say", "narrative", "client", None, 0), "text", []), (("", "discrete", None, None, None), "text", []),
+            (("say", "derived", None, None, None), "text", []), (("say", "skip", "client", {"a": "x"}, 5), "select", ["a"]), (("say", "discrete", "nobody", {"z": "y"}, 7), "radio_group", ["a"])]
+    df = spark.createDataFrame(rows, f"p struct<{kinds.replace(' ', ':').replace(',:', ', ')}>, kind string, options array<string>")
+    got = [r[0] and tuple(r[0]) for r in df.select(V.normalise_proposal(F.col("p"), F.col("kind"), F.col("options"))).collect()]
+    assert got == [("say", "discrete", "client", {"a": "x"}, None), ("say", "narrative", "any", None, 1), None, None, ("say", "skip", "any", None, None), ("say", "discrete", "any", None, None)]
+
+
+def test_overlaps_do_not_depend_on_row_order(spark):
+    rows = [(i % 3, float(i), i + 0.4, None) for i in range(60)] + [(1, 7.0, 7.4, None)]
+    left = spark.createDataFrame(rows, "k int, start double, `end` double, extra string").repartition(7)
+    right = spark.createDataFrame([(1, 6.9, 7.1)], "k int, start double, `end` double")
+    assert [(r.k, r.start) for r in timeline.overlapping(left, right, ["k"], 5.0).collect()] == [(1, 7.0)] * 2
+    assert timeline.overlapping(left, right, ["k"], 5.0, how="left_anti").count() == 59
 
 
 def test_bleed_and_numbering(spark):
@@ -98,6 +135,33 @@ def test_voice_segments_in_stream_and_batch(spark, tmp_path):
     assert sorted((r.start, r.end) for r in spark.table("voice").collect()) == want
 
 
+def test_an_open_utterance_is_flushed(spark, tmp_path):
+    schema = "speaker string, frame_no int, db double"
+    frames = [(k, i, -20.0 if i >= 50 else -70.0) for k in "ab" for i in range(150 + 50)]
+    df = spark.createDataFrame(frames, schema)
+    want = [("a", 0.74, 4.0), ("b", 0.74, 4.0)]
+    assert sorted(tuple(r) for r in stateful.run_batch(df.repartition(3), ["speaker"], "frame_no", stateful.VoiceSegments).collect()) == want
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = stateful.run_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), ["speaker"], "frame_no", stateful.VoiceSegments, 1_000)
+    q = stream.writeStream.format("memory").queryName("flushed").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    try:
+        for _ in range(60):
+            if spark.table("flushed").count() == 2:
+                break
+            time.sleep(1)
+    finally:
+        q.stop()
+    assert sorted(tuple(r) for r in spark.table("flushed").collect()) == want
+
+
+def test_a_replayed_batch_is_written_once(spark, tmp_path):
+    write = live.segment_writer(str(tmp_path / "out"))
+    df = spark.createDataFrame([("s", 1.0)], "session string, start double")
+    for epoch in (0, 1, 1):
+        write(df, epoch)
+    assert sorted(r.epoch for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1]
+
+
 def test_transcripts(spark, tmp_path):
     (tmp_path / "a.txt").write_text("# session_date: 2026-09-17\n[00:04] WORKER: Hi there\n\n[00:07] CLIENT: Yes: I can\n[1:00:00] worker: Bye\n")
     lines = transcripts.lines(spark, str(tmp_path))
@@ -141,6 +205,69 @@ def test_verifier(spark):
     assert {r.seq: r.item for r in items.collect()} == {1: "phq9_9", 3: "med", 4: "med", 5: "med"}
 
 
+def test_verify_outputs(spark):
+    talk = [("worker", "Over the last weeks, little interest or pleasure in doing things?"), ("client", "Nearly every day, honestly."), ("worker", "Feeling down, depressed or hopeless?"), ("client", "No, never."),
+            ("worker", "How often do you drink?"), ("client", "Two times a week, I would say."), ("worker", "Do you take anything?"), ("client", "Yeah."), ("client", "I take sertraline in the morning and trazodone at night")]
+    segments = spark.createDataFrame([("s", f"s{i + 1:04d}", i, who, t) for i, (who, t) in enumerate(talk)], "session string, segment_id string, seq int, speaker string, text string")
+    opts = lambda *v: [(x, x.replace("_", " ").lower()) for x in v]
+    days = opts("NOT_AT_ALL", "NEARLY_EVERY_DAY")
+    fields = [("phq1", "radio_group", "discrete", days, None, "client", None, None), ("phq2", "radio_group", "discrete", days, None, "client", None, None), ("drinks", "select", "discrete", opts("RARE", "OFTEN"), None, "client", None, {"RARE": [0.0, 4.0], "OFTEN": [4.1, 60.0]}),
+              ("meds", "checkbox_group", "discrete", opts("NONE", "TRAZODONE", "SERTRALINE"), None, "client", None, None), ("note", "textarea", "narrative", [], None, "any", 30, None), ("since", "date", "discrete", [], None, "any", None, None), ("name", "text", "discrete", [], None, "any", None, None)]
+    fields = spark.createDataFrame(fields, "key string, kind string, mode string, options array<struct<value:string,label:string>>, option_semantics map<string,string>, wanted_speaker string, max_chars int, bands map<string,array<double>>")
+    ev = lambda *e: [{"segment": s, "quote": q} for s, q in e]
+    day, take = ("s0002", "nearly every day"), ("s0009", "I take sertraline in the morning")
+    filled = lambda key, **x: (key, json.dumps({"status": "filled"} | x))
+    cases = {
+        "ok": (filled("phq1", value=" NEARLY_EVERY_DAY ", evidence=ev(day)), ("filled", None, ["NEARLY_EVERY_DAY"])),
+        "to_answer": (filled("phq1", value="NEARLY_EVERY_DAY", evidence=ev(("s0001", "nearly every day"))), ("filled", None, ["NEARLY_EVERY_DAY"])),
+        "mismatch": (filled("phq2", value="NEARLY_EVERY_DAY", evidence=ev(day)), ("rejected", "question_mismatch", ["NEARLY_EVERY_DAY"])),
+        "negated": (filled("phq2", value="NEARLY_EVERY_DAY", evidence=ev(("s0004", "No, never."))), ("rejected", "negated_answer", ["NEARLY_EVERY_DAY"])),
+        "no": (filled("phq2", value="NOT_AT_ALL", evidence=ev(("s0004", "CLIENT: No, never."))), ("filled", None, ["NOT_AT_ALL"])),
+        "option": (filled("phq1", value="SOMETIMES", evidence=ev(day)), ("rejected", "invalid_option", ["SOMETIMES"])),
+        "no_value": (filled("phq1", evidence=ev(day)), ("rejected", "invalid_option", None)),
+        "malformed": (("phq1", "{not json"), ("rejected", "malformed_output", None)),
+        "no_evidence": (filled("name", value="Ann"), ("rejected", "quote_not_found", ["Ann"])),
+        "half_evidence": (filled("name", value="Ann", evidence=[{"segment": "s0001"}]), ("rejected", "quote_not_found", ["Ann"])),
+        "nothing": (("phq1", '{"status": "insufficient_evidence"}'), ("insufficient_evidence", None, None)),
+        "blank": (filled("name", value="  ", evidence=ev(day)), ("insufficient_evidence", None, None)),
+        "date": (filled("since", value="2023-02-29", evidence=ev(day)), ("rejected", "invalid_option", ["2023-02-29"])),
+        "band": (filled("drinks", count=2, period="week", evidence=ev(("s0006", "two times a week"))), ("filled", None, ["OFTEN"])),
+        "no_band": (filled("drinks", count=900, period="week", evidence=ev(("s0006", "two times a week"))), ("insufficient_evidence", "invalid_option", None)),
+        "unknown": (filled("name", value="Ann", evidence=ev(("s0099", "who knows"))), ("rejected", "segment_not_found", ["Ann"])),
+        "moved": (filled("name", value="Ann", evidence=ev(("s0003", "take sertraline in the morning and trazodone"))), ("filled", None, ["Ann"])),
+        "moved_from_nowhere": (filled("name", value="Ann", evidence=ev(("s0077", "take sertraline in the morning and trazodone"))), ("filled", None, ["Ann"])),
+        "boxes": (filled("meds", selections=[{"value": "SERTRALINE", "evidence": ev(take)}, {"value": "NONE", "evidence": ev(take)}, {"value": "X", "evidence": ev(take)}, {"value": "TRAZODONE", "evidence": ev(("s0009", "trazodone at night"))}, {"value": "SERTRALINE"}]), ("filled", "invalid_option", ["TRAZODONE", "SERTRALINE"])),
+        "no_boxes": (filled("meds", selections=[{"value": "NONE", "evidence": ev(("s0001", "nobody said that"))}]), ("insufficient_evidence", "quote_not_found", None)),
+        "prose": (filled("note", sentences=[{"text": "Takes pills.", "evidence": ev(take)}, {"text": "Lies.", "evidence": ev(("s0001", "not there"))}, {"text": "Drinks.", "evidence": ev(("s0006", "a week"))}, {"text": "Far too long to stay in here.", "evidence": ev(take)}, {"text": "Ok.", "evidence": ev(take)}]), ("filled", "quote_not_found", ["Takes pills. Drinks."])),
+        "late_lie": (filled("note", sentences=[{"text": "Takes pills.", "evidence": ev(take)}, {"text": "Far too long to stay in here.", "evidence": ev(take)}, {"text": "Lies.", "evidence": ev(("s0001", "not there"))}]), ("filled", None, ["Takes pills."])),
+        "not_discussed": (("name", json.dumps({"discussed": "no"})), ("insufficient_evidence", None, None)),
+        "raised": (("meds", json.dumps({"discussed": "yes", "raised_at": ev(("s0007", "do you take anything"))[0], "status": "filled", "selections": [{"value": "SERTRALINE", "evidence": ev(("s0008", "Yeah."))}]})), ("filled", None, ["SERTRALINE"])),
+        "not_raised": (("meds", json.dumps({"discussed": "yes", "raised_at": ev(("s0007", "never said"))[0], "status": "filled", "selections": []})), ("rejected", "quote_not_found", None)),
+        "bare": (filled("meds", selections=[{"value": "SERTRALINE", "evidence": ev(("s0008", "Yeah."))}]), ("insufficient_evidence", "missing_question_context", None)),
+    }
+    outputs = spark.createDataFrame([(k, "s", *x) for k, (x, _) in cases.items()], "answer_id string, session string, key string, output string")
+    questions = [("phq1", "Little interest or pleasure in doing things"), ("phq2", "Feeling down, depressed, or hopeless")]
+    got = {r.answer_id: r for r in verifier.verify_outputs(segments, fields, outputs, questions).collect()}
+    assert {k: (r.status, r.reason, r.value) for k, r in got.items()} == {k: c[1] for k, c in cases.items()}
+    assert [tuple(e) for e in got["moved"].evidence] == [("s0009", "take sertraline in the morning and trazodone")] and [tuple(e) for e in got["to_answer"].evidence] == [day]
+    assert [e.segment for e in got["raised"].evidence] == ["s0007", "s0008"] and [e.segment for e in got["boxes"].evidence] == ["s0009", "s0009"] and got["no_boxes"].evidence == []
+
+
+def test_entities():
+    text = "So Dr. Okafor saw Maria Lopez on March 3rd. She takes Zoloft, twenty mg, at the VA. I'm told It works."
+    assert review.entities_of(text) == ["okafor", "maria", "lopez", "march", "3rd", "zoloft", "20", "va", "it"]
+    assert review.entity_error(text, "so doctor okafor saw maria lopez in march") == pytest.approx(5 / 9)
+    assert review.entity_error("On Monday, Monday!", "monday") == pytest.approx(0.5) and review.entity_error("nothing here", "") == 0
+
+
+def test_score_items_and_derivations(spark):
+    fields = spark.createDataFrame([("f", k) for k in ("gad7_10", "gad7_2", "gad7_1", "gad7_total", "gad7_band", "name")], "form string, key string")
+    assert {r.score: r.inputs for r in scoring.score_items(fields, "form", "key").collect()} == {k: ["gad7_1", "gad7_2", "gad7_10"] for k in ("gad7_total", "gad7_band")}
+    values = spark.createDataFrame([("s", "a", " 7 "), ("s", "b", "8"), ("t", "a", "x"), ("t", "b", "1")], "session string, key string, value string")
+    derived = [("band", "phq9_band", ["total"]), ("total", "phq9_total", ["a", "b"]), ("loop", "phq9_total", ["loop"])]
+    assert sorted(tuple(r) for r in scoring.derive_all(values, derived, ["session"]).collect()) == [("s", "band", "MODERATELY_SEVERE"), ("s", "total", "15")]
+
+
 def test_sentence_prefix_and_bands(spark):
     rows = spark.createDataFrame([("a", 1, "12345"), ("a", 2, "123456789"), ("a", 3, "1")], "answer_id string, ordinal int, text string")
     assert [r.ordinal for r in verifier.keep_sentences(rows, 8).collect()] == [1]
