@@ -5,7 +5,8 @@ are often wrapped). Each sentence is normalised (ASCII letters and digits, lower
 and mapped to the identifier of a known licence sentence, if it is one. What is left of a text is a
 sequence of identifiers; the licence rules, in their order, are looked for in that sequence, and what a
 rule has matched is gone for the rules after it. All of it is expressions on one row: nothing is
-shuffled, and texts without any cue word are skipped (every known sentence holds one).
+shuffled, and texts without any cue word are skipped (the cues are found from the table of sentences, so
+that every sentence holds one). Sentences and rules are parameters.
 
 Line ends may be any of line feed, carriage return or both, and any white space may follow a mark.
 
@@ -16,6 +17,7 @@ without licences gives no row. An empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,7 +79,6 @@ RULES = [
     ("Unlicense", ["unlicense"]),
 ]
 
-CUE = "(?i)licen[sc]e|permission|redistribut|distributed in the hope|warranty|public domain"
 #: A sentence ends at marks before white space or the end of the text, and at line ends.
 BY_LINE = r"[.!?:;]+(?:[ \n]+|$)|\n+"
 ACROSS_LINES = r"[.!?:;]+(?:[ \n]+|$)|\n\n+"
@@ -87,22 +88,33 @@ def normal(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
-def known_sentences() -> dict[str, str]:
+def known_sentences(sentences: dict[str, str] = SENTENCES) -> dict[str, str]:
     """Normalised sentence to identifier; the sentences are cut like any text, their last part counts."""
     found = {}
-    for name, sentence in SENTENCES.items():
+    for name, sentence in sentences.items():
         for n, part in enumerate(p for p in re.split(ACROSS_LINES, sentence) if normal(p)):
             found[normal(part)] = name if n == 0 else f"{name}_{n}"
     return found
 
 
-def rule_sequences() -> list[tuple[str, str]]:
+def cue(sentences: dict[str, str] = SENTENCES) -> str:
+    """A pattern that all texts with a known sentence fit: words, one of which each sentence holds. The word that most
+    sentences hold comes first, of equals the longest."""
+    left, words = [set(s.split()) for s in known_sentences(sentences)], []
+    while left:
+        count = Counter(w for s in left for w in s)
+        words.append(max(count, key=lambda w: (count[w] if len(w) > 5 else 0, len(w), w)))
+        left = [s for s in left if words[-1] not in s]
+    return "(?i)" + "|".join(words)
+
+
+def rule_sequences(sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> list[tuple[str, str]]:
     """(licence, its identifiers as ``;a;;b;``); a sentence that is cut counts with all its parts."""
     parts: dict[str, list[str]] = {}
-    for name, sentence in SENTENCES.items():
+    for name, sentence in sentences.items():
         n = sum(1 for p in re.split(ACROSS_LINES, sentence) if normal(p))
         parts[name] = [name if k == 0 else f"{name}_{k}" for k in range(n)]
-    return [(licence, "".join(f";{p};" for i in ids for p in parts[i])) for licence, ids in RULES]
+    return [(licence, "".join(f";{p};" for i in ids for p in parts[i])) for licence, ids in rules]
 
 
 def plain_breaks(text: Column) -> Column:
@@ -118,24 +130,32 @@ def sequence(text: Column, pattern: str, known: Column) -> Column:
     return F.array_join(F.transform(ids, lambda i: F.concat(F.lit(";"), i, F.lit(";"))), "")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def matches(identifiers: Column, rules: Column) -> Column:
+    """(licence, n) of each rule that is found, in the order of the rules; what a rule matches is gone for the others."""
+    start = F.struct(identifiers.alias("left"), F.array().cast("array<struct<license:string,n:bigint>>").alias("found"))
+
+    def step(state: Column, rule: Column) -> Column:
+        left = F.replace(state["left"], rule["ids"], F.lit("|"))
+        n = ((F.length(state["left"]) - F.length(left)) / (F.length(rule["ids"]) - 1)).cast("bigint")
+        more = F.concat(state["found"], F.array(F.struct(rule["license"].alias("license"), n.alias("n"))))
+        return F.struct(left.alias("left"), F.when(n > 0, more).otherwise(state["found"]).alias("found"))
+
+    return F.aggregate(rules, start, step)["found"]
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
     """One row for each document and licence found: doc_id, license, n_matches (the larger count of both cuts)."""
-    known = F.create_map(*[F.lit(x) for pair in known_sentences().items() for x in pair])
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").rlike(CUE))
-    licences = sorted({licence for licence, _ in RULES})
-    counts = {}
+    known = F.create_map(*[F.lit(x) for pair in known_sentences(sentences).items() for x in pair])
+    table = F.array(*[F.struct(F.lit(licence).alias("license"), F.lit(ids).alias("ids")) for licence, ids in rule_sequences(sentences, rules)])
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").rlike(cue(sentences)))
     for cut, pattern in (("by_line", BY_LINE), ("across", ACROSS_LINES)):
-        rows = rows.withColumn(f"{cut}_0", sequence(plain_breaks(F.col("text")), pattern, known))
-    rows = rows.drop("text").filter("by_line_0 <> '' or across_0 <> ''")
-    for cut in ("by_line", "across"):
-        for k, (licence, ids) in enumerate(rule_sequences()):
-            left = F.replace(F.col(f"{cut}_{k}"), F.lit(ids), F.lit("|"))
-            n = ((F.length(f"{cut}_{k}") - F.length(f"{cut}_{k + 1}")) / (len(ids) - 1)).cast("bigint")
-            rows = rows.withColumn(f"{cut}_{k + 1}", left)
-            counts.setdefault((cut, licence), []).append(n)
-    total = lambda cut, licence: sum(counts[cut, licence][1:], counts[cut, licence][0])
-    found = F.array(*[F.struct(F.lit(x).alias("license"), F.greatest(total("by_line", x), total("across", x)).alias("n_matches")) for x in licences])
-    return rows.select("doc_id", F.explode(F.filter(found, lambda x: x["n_matches"] > 0)).alias("x")).select("doc_id", "x.license", "x.n_matches")
+        rows = rows.withColumn(cut, sequence(plain_breaks(F.col("text")), pattern, known))
+    rows = rows.drop("text").filter("by_line <> '' or across <> ''")
+    rows = rows.withColumns({cut: matches(F.col(cut), table) for cut in ("by_line", "across")})
+    total = lambda cut, licence: F.aggregate(F.filter(cut, lambda x: x["license"] == licence), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+    found = F.array_distinct(F.transform(F.concat("by_line", "across"), lambda x: x["license"]))
+    found = rows.select("doc_id", "by_line", "across", F.explode(found).alias("license"))
+    return found.select("doc_id", "license", F.greatest(total("by_line", F.col("license")), total("across", F.col("license"))).alias("n_matches"))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
