@@ -38,6 +38,8 @@ ARC_FIELDS = {
 }
 KEY_HEADER = "X-Page-Id"
 MIN_REVISIT = 100
+#: An archive is read by one task, so it is closed after so many records.
+FILE_RECORDS = 10_000
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:quillon:archive")
 
 
@@ -172,12 +174,13 @@ def warc_record(r: dict) -> bytes:
 
 
 def convert(records: DataFrame, path: str, min_revisit: int = MIN_REVISIT) -> None:
-    """ARC records (``read_arc``) to WARC files, one for each task."""
+    """ARC records (``read_arc``) to WARC files of at most ``FILE_RECORDS`` records each."""
     firsts = records.filter(F.col("n_bytes") >= min_revisit).groupBy("digest").agg(F.count("*").alias("n"), F.min_by(F.struct("key", "url", "date"), F.struct(F.col("key").isNull(), "key", "url")).alias("first"))
     # a table of its own, so that the join below can split a payload that many records share
     firsts = materialize(firsts.filter("n > 1 and first.key is not null").select(F.col("digest").alias("its_digest"), "first"), "arc-firsts")
-    same = (F.col("digest") == F.col("its_digest")) & (F.col("n_bytes") >= min_revisit)
-    joined = records.join(firsts, same, "left").select(
+    # short payloads, however many are equal, are dealt by their records and meet nothing
+    wanted = F.when(F.col("n_bytes") >= min_revisit, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("key", "url", "date")))
+    joined = records.join(firsts, wanted == F.col("its_digest"), "left").select(
         "key", "url", "ip", "date", "mime", "http", "payload", "digest",
         *[F.when(~F.col("first.key").eqNullSafe(F.col("key")), F.col(f"first.{c}")).alias(f"first_{c}") for c in ("key", "url", "date")],
     )
@@ -187,7 +190,8 @@ def convert(records: DataFrame, path: str, min_revisit: int = MIN_REVISIT) -> No
             for k in range(0, batch.num_rows, 200):
                 yield pa.RecordBatch.from_pydict({"value": pa.array([warc_record(r) for r in batch.slice(k, 200).to_pylist()], pa.binary())})
 
-    joined.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.options(compression="gzip", lineSep="\n").text(path)
+    lines = joined.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+    lines.write.options(compression="gzip", lineSep="\n", maxRecordsPerFile=str(FILE_RECORDS)).text(path)
 
 
 def parse_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
