@@ -40,7 +40,7 @@ PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 #: So many pre-tokens are joined to a text for the tokeniser: one call for each costs more.
 JOINED = 200
 #: Bytes of text encoded at a time, and about what the caches of units and of pre-tokens may take.
-SLICE_BYTES, UNIT_CACHE_BYTES, PIECE_CACHE = 4_000_000, 160_000_000, 300_000
+SLICE_BYTES, UNIT_CACHE_BYTES, PIECE_CACHE = 3_000_000, 110_000_000, 200_000
 #: Fixed value: the pre-tokens of this family of vocabularies.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Characters whose classes don't change with the version of Unicode; other units are cut by the library.
