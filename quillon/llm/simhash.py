@@ -378,21 +378,22 @@ def _exact_links(docs: DataFrame, classes: DataFrame, similarity: float, shingle
     one of them turns out not to be similar, other pairs are tried around it, with what is linked so far as
     labels, and in the end all that are left."""
     n, limit = classes.count(), wide_limit(similarity)
-    now, good, bad, every = classes.withColumn("label", F.col("node")), None, None, False
+    now, good, every = classes.withColumn("label", F.col("node")), None, False
     for turn in range(MOST_TURNS + 1):
         pairs = materialize(similar_links(now, limit, n, turn, every), "wide-pairs")
         judged = materialize(_judge(pairs, docs, classes, similarity, shingle), "wide-judged")
         yes, no = judged.filter("similar").select("u", "v"), judged.filter("not similar").select("u", "v")
-        good, bad = (yes, no) if good is None else (good.unionByName(yes), bad.unionByName(no))
+        good = yes if good is None else good.unionByName(yes)
         n_yes, n_no = judged.agg(F.count_if("similar"), F.count_if(~F.col("similar"))).first()
         if every or not n_no:
             break
         every = turn + 1 == MOST_TURNS or turn > 0 and 4 * n_yes < n_no
-        around = components(good.unionByName(bad)).withColumnRenamed("component", "around")
-        open_ = around.join(no.select(F.col("u").alias("node")), "node").select("around").distinct()
-        linked = components(good).withColumnRenamed("component", "linked")
-        around = around.join(open_, "around", "left_semi").join(linked, "node", "left").select("node", F.coalesce("linked", "node").alias("label"))
-        now = materialize(classes.join(around, "node"), "wide-open")
+        # pairs that were left out lead out of what is linked so far only where a pair that was tried has failed
+        linked = components(good)
+        labels = classes.join(linked, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+        ends = no.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(linked, "node", "left")
+        open_ = ends.select(F.coalesce("component", "node").alias("label")).distinct()
+        now = materialize(labels.join(open_, "label", "left_semi"), "wide-open")
     return good
 
 

@@ -186,5 +186,12 @@ def test_components_of_chains_and_stars(spark):
     assert got == {i: 100 for i in range(100, 161)} | {i: -3 for i in [-3, *range(5, 40)]}
 
 
+def test_query_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    fps = [(r.doc_id, brute_fingerprint(r.text)) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = {d: (f"{f:016x}", c) for (d, f), c in brute_components(fps).items()}
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op8_simhash(spark, sf).collect()} == want
+
+
 def test_empty(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
