@@ -384,7 +384,10 @@ def dedup_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             })
         return pa.Table.from_pylist(out, WINDOWS[1])
 
+    # near strings (team -1) and those of teams come in one exchange; each step takes its own
     def merge(table):
+        if table.column("team")[0].as_py() < 0:
+            return MERGED[1].empty_table()
         s = Strings(table)
         row = {"bucket": table.column("bucket")[0].as_py(), "team": table.column("team")[0].as_py(), "ids": s.ids.astype("<u4").tobytes(), "keys": s.least.astype("<i8").tobytes()}
         return pa.Table.from_pylist([row | {"lengths": bytes(map(len, s.strings)), "bytes": b"".join(s.strings)}], MERGED[1])
@@ -397,11 +400,13 @@ def dedup_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return pa.Table.from_arrays([*(s.table.column(c) for c in ("batch", "bucket", "team", "mask", "wide")), pa.array(flags, pa.binary())], schema=ANSWERS[1])
 
     def judge(table):
+        if table.column("team")[0].as_py() >= 0:
+            return ANSWERS[1].empty_table()
         s = Strings(table)
         return answers_to(s, s.answers(s.earlier()))
 
     def hand_on(table, flags):
-        if not len(table):
+        if not len(table) or not len(flags):
             return ANSWERS[1].empty_table()
         s = Strings(table)
         return answers_to(s, s.answers(_unpack(flags.column("flags")[0].as_py(), int(s.lengths.sum()))))
@@ -442,10 +447,10 @@ def dedup_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     sent = texts.groupBy("batch").applyInArrow(send_minimisers, MINIMISERS[0])
     masks = sent.groupBy("bucket").applyInArrow(find_repeated, MASKS[0])
     windows = texts.groupBy("batch").cogroup(masks.groupBy("batch")).applyInArrow(send_windows, WINDOWS[0])
-    near, far = windows.filter("team < 0"), windows.filter("team >= 0")
-    answers = near.groupBy("bucket").applyInArrow(judge, ANSWERS[0])
-    flags = far.groupBy("bucket", "team").applyInArrow(merge, MERGED[0]).groupBy("bucket").applyInArrow(judge_merged, FLAGS[0])
-    handed = far.groupBy("bucket", "team").cogroup(flags.groupBy("bucket", "team")).applyInArrow(hand_on, ANSWERS[0])
+    teams = windows.groupBy("bucket", "team")
+    answers = teams.applyInArrow(judge, ANSWERS[0])
+    flags = teams.applyInArrow(merge, MERGED[0]).groupBy("bucket").applyInArrow(judge_merged, FLAGS[0])
+    handed = teams.cogroup(flags.groupBy("bucket", "team")).applyInArrow(hand_on, ANSWERS[0])
     return texts.groupBy("batch").cogroup(answers.unionByName(handed).groupBy("batch")).applyInArrow(remove, KEPT[0])
 
 
