@@ -15,7 +15,7 @@ from quillon.llm.decontaminate import keep_clean
 from quillon.llm.host_rules import keep_good
 from quillon.llm.simhash import keep_one
 from quillon.llm.suffix_dedup import remove_repeats
-from quillon.storage import materialize, read_table
+from quillon.storage import materialize, read_table, release
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +59,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = materialize(docs, f"stage-{k}")
+            release(before)
     return docs
