@@ -1,31 +1,36 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups.
 
 Rows with equal texts are one group. Groups, largest first, enter the bin with the tightest remaining
-capacity that still holds them; bins are kept in a balanced tree by remaining capacity. Groups of one
-size are interchangeable, so the packing is worked out on the histogram of group sizes (one entry per
-size and salt, at most about the square root of twice the total bytes sizes) and the groups then look
-up their bin by their rank among the groups of their size, all of it as joins and windows on Spark.
-
-``pack_fixed`` opens bins of a fixed capacity as needed and so minimises their number. ``pack_into``
-fits a fixed number of bins: it seeks the smallest capacity at which best-fit-decreasing needs no more
+capacity that still holds them; bins are kept in a balanced tree by remaining capacity. Groups that are
+tiny beside a bin are tied to bundles by a hash first, whole groups all of them, and a bundle is packed
+like one group: what is packed are then at most ``2 * PIECES`` items for each bin, however many groups
+there are. Items of one size are interchangeable, so the packing works on runs of them.
+
+``capacity=`` opens bins of a fixed capacity as needed and so minimises their number; groups are dealt to
+parts of about ``PART_BINS`` bins by their hash, each of which is packed by a task of its own. ``shards=``
+fits a fixed number of bins: the smallest capacity is sought at which best-fit-decreasing needs no more
 bins than that, which makes the bins' sizes nearly equal. A group larger than an even share gets a bin
-of its own and the others share the rest.
+of its own and the others share the rest. Only a sum reaches the driver.
 
-Size of a row: UTF-8 bytes of the text plus 1; null texts count no bytes and form one group. Null ids
-stay null. Repeated rows are rows of their own in the same group. Empty tables give empty results.
+Size of a row: UTF-8 bytes of the text plus 1; a null text counts no bytes and is in one group with empty
+texts. Null ids stay null. Repeated rows are rows of their own in the same group. Empty tables give empty
+results. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.storage import materialize, read_table
 
-#: Cells of the histogram by size; more of them only split the ranking of groups of one size.
-SALTS = 8
+#: A group below 1 / PIECES of a bin goes into a bundle; there are so many bundles for each bin.
+PIECES = 512
+PART_BINS = 64
 
 
 class CapacityTree:
@@ -129,24 +134,49 @@ def pack_into(cells: list[tuple[int, int, int]], bins: int) -> list[tuple[int, i
     return runs
 
 
+def pack_items(sizes: list[int], shards: int | None, capacity: int | None) -> list[int]:
+    """The bin of each item."""
+    of_size = defaultdict(list)
+    for k, size in enumerate(sizes):
+        of_size[size].append(k)
+    cells = [(size, 0, len(items)) for size, items in of_size.items()]
+    runs = pack_into(cells, shards) if shards else pack_fixed(cells, capacity)
+    out = [0] * len(sizes)
+    for size, _, first, last, bin_no in runs:
+        for k in of_size[size][first : last + 1]:
+            out[k] = bin_no
+    return out
+
+
 def assign(docs: DataFrame, shards: int | None = None, capacity: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, shard, slot (from 0 in each shard, no gaps).
     Give either the number of ``shards`` or the ``capacity`` of each in bytes."""
-    spark = docs.sparkSession
-    text = F.col(text_col)
+    text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("bigint").alias("size"),
-        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.coalesce(F.sha2(text, 256), F.lit("")).alias("h"),
+        F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.sha2(text, 256).alias("h"),
     )
     rows = materialize(rows, "shard-rows")
-    groups = rows.groupBy("h").agg(F.sum("size").alias("group_size")).withColumn("salt", F.pmod(F.xxhash64("h"), F.lit(SALTS)).cast("int"))
-    groups = materialize(groups, "shard-groups")
-    cells = [tuple(r) for r in groups.groupBy("group_size", "salt").count().collect()]
-    runs = pack_into(cells, shards) if shards else pack_fixed(cells, capacity or 1)
-    runs = spark.createDataFrame(runs or [(0, 0, 0, 0, 0)], "group_size bigint, salt int, low bigint, high bigint, shard int")
-    rank = F.row_number().over(Window.partitionBy("group_size", "salt").orderBy("h")) - 1
-    placed = groups.withColumn("rank", rank).join(runs, ["group_size", "salt"]).filter("rank between low and high").select("h", "shard")
-    placed = materialize(rows.join(placed, "h"), "shard-placed")
+    groups = materialize(rows.groupBy("h").agg(F.sum("size").alias("group_size")), "shard-groups")
+    total = groups.agg(F.sum("group_size")).first()[0] or 0
+    bins = shards or -(-total // capacity) or 1
+    parts = 1 if shards else -(-bins // PART_BINS)
+    # groups are tied to bundles of their part by other bits of the hash than those that choose the part
+    part, bundle = F.pmod(F.xxhash64("h"), F.lit(parts)), F.pmod(F.xxhash64("h", F.lit("bundle")), F.lit(max(1, bins * PIECES // parts)))
+    item = F.when(F.col("group_size") * PIECES * bins < total, F.concat(F.lit("bundle "), bundle)).otherwise(F.col("h"))
+    groups = groups.select("h", "group_size", part.cast("bigint").alias("part"), item.alias("item"))
+
+    def pack(table):
+        table = table.sort_by([("item_size", "descending"), ("item", "ascending")])
+        found = pack_items(table.column("item_size").to_pylist(), shards, capacity)
+        return pa.Table.from_arrays([table.column("part"), table.column("item"), pa.array(found, pa.int64())], names=["part", "item", "bin"])
+
+    items = groups.groupBy("part", "item").agg(F.sum("group_size").alias("item_size"))
+    packed = materialize(items.groupBy("part").applyInArrow(pack, "part bigint, item string, bin bigint"), "shard-items")
+    # one row for each part: the bins of the parts before it
+    used = packed.groupBy("part").agg((F.max("bin") + 1).alias("n"))
+    used = used.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    bin_of = packed.join(used, "part").select("part", "item", (F.col("before") + F.col("bin")).cast("int").alias("shard"))
+    placed = materialize(rows.join(groups.join(bin_of, ["part", "item"]).select("h", "shard"), "h"), "shard-placed")
     # slots: a running number inside small blocks of a shard, from the sum of the blocks before
     blocks = max(64, placed.count() // 100_000)
     placed = placed.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(blocks)).cast("int"))

@@ -57,7 +57,7 @@ def test_assign(spark):
     by_id = dict((r[0], r[1]) for r in rows)
     shards, slots, load = defaultdict(set), defaultdict(list), Counter()
     for r in got:
-        text = by_id[r.doc_id]
+        text = by_id[r.doc_id] or ""  # null and empty texts are one group
         assert r.size == len((text or "").encode()) + 1 and r.text_crc32 == zlib.crc32((text or "").encode())
         shards[text].add(r.shard)
         slots[r.shard].append(r.slot)
@@ -69,6 +69,47 @@ def test_assign(spark):
     assert max(others) - min(others) <= 402
 
 
+def test_query_against_its_rules(spark):
+    """Every row of sf0.01 once, equal texts together, no gaps, sizes near equal, and the tree's packing of the query's items."""
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = sharding.op3_bin_packing(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts) and {r.law for r in got} == {"bytes"} and {r.grown_shard for r in got} == {None}
+    shards, slots, load = defaultdict(set), defaultdict(list), Counter()
+    for r in got:
+        text = texts[r.doc_id]
+        assert (r.size, r.text_crc32) == (len(text.encode()) + 1, zlib.crc32(text.encode()))
+        shards[text].add(r.shard)
+        slots[r.shard].append(r.slot)
+        load[r.shard] += r.size
+    assert all(len(x) == 1 for x in shards.values()) and set(load) == set(range(16))
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert max(load.values()) <= 1.01 * min(load.values())
+
+
+@given(st.lists(st.integers(1, 90), max_size=80), st.integers(30, 120))
+def test_items_against_plain_packing(sizes, capacity):
+    found, load = sharding.pack_items(sizes, None, capacity), Counter()
+    for size, bin_no in zip(sizes, found, strict=True):
+        load[bin_no] += size
+    assert sorted(max(capacity, n) - n for n in load.values()) == best_fit_decreasing(sizes, capacity)
+
+
+def test_parts_and_bundles(spark, monkeypatch):
+    """Few pieces and bins for each part: most groups are in bundles, and shards of all parts are numbered on."""
+    monkeypatch.setattr(sharding, "PIECES", 8)
+    monkeypatch.setattr(sharding, "PART_BINS", 2)
+    rng = random.Random(5)
+    docs = [(i, "".join(rng.choice("abcd") for _ in range(rng.randint(0, 60)))) for i in range(900)] + [(2000, "x" * 5000), (2001, None)]
+    got = sharding.assign(spark.createDataFrame(docs, "doc_id bigint, text string"), capacity=2000).collect()
+    load, seen = Counter(), defaultdict(set)
+    for r in got:
+        load[r.shard] += r.size
+        seen[dict(docs)[r.doc_id] or ""].add(r.shard)
+    assert len(got) == len(docs) and set(load) == set(range(len(load))) and all(len(x) == 1 for x in seen.values())
+    assert sum(n > 2000 for n in load.values()) == 1 and len(load) <= sum(load.values()) / 2000 * 1.5 + 1
+
+
 def test_fixed_capacity_and_empty(spark):
     docs = spark.createDataFrame([(i, "x" * (i % 9 + 1) + str(i)) for i in range(100)], "doc_id bigint, text string")
     load = Counter()
