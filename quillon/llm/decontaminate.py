@@ -56,7 +56,7 @@ class _WordHashes(dict):
     """A 64-bit hash for each word; the words met last are remembered."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
+        if len(self) > 60_000:
             self.clear()
         found = self[word] = xxhash.xxh64_intdigest(word.encode(), 7)
         return found

@@ -148,7 +148,7 @@ def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[label[apart]], nodes[apart]
 
 
-def _links(home: np.ndarray, came: np.ndarray, threshold: int, block: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+def _links(home: np.ndarray, came: np.ndarray, threshold: int, block: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the pairs within the threshold, a block of comparisons at a time."""
     u, v = [], []
     step = max(1, block // max(1, len(came)))
@@ -277,8 +277,8 @@ def similar_links(classes: DataFrame, limit: int, n_fps: int, turn: int = 0, eve
         at, offsets, _ = near_anchors(reach)
         for batch in batches:
             everything = np.stack([batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in (*names, "node", "label")], 1)
-            for k in range(0, len(everything), 10_000):
-                part, rows, keys = everything[k : k + 10_000], [], []
+            for k in range(0, len(everything), 2_500):  # each has some 117 copies
+                part, rows, keys = everything[k : k + 2_500], [], []
                 for block in range(WIDE_BLOCKS):
                     word = _wide_block(part[:, :WIDE_WORDS], block)
                     syndrome = _syndrome(word)
@@ -328,7 +328,7 @@ def _spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         at = to[at]
 
 
-def _similar_in(wide: np.ndarray, label: np.ndarray, word: np.ndarray, limit: int, every: bool, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def _similar_in(wide: np.ndarray, label: np.ndarray, word: np.ndarray, limit: int, every: bool, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs at one anchor, all or as many as join the labels, a block of comparisons at a time."""
     label = np.unique(label, return_inverse=True)[1]
     found, step = [], max(1, block // len(word))
