@@ -391,7 +391,7 @@ def _exact_links(docs: DataFrame, classes: DataFrame, similarity: float, shingle
         # pairs that were left out lead out of what is linked so far only where a pair that was tried has failed
         linked = components(good)
         labels = classes.join(linked, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-        ends = no.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(linked, "node", "left")
+        ends = no.select(F.col("u").alias("node")).distinct().unionByName(no.select(F.col("v").alias("node")).distinct()).distinct().join(linked, "node", "left")
         open_ = ends.select(F.coalesce("component", "node").alias("label")).distinct()
         now = materialize(labels.join(open_, "label", "left_semi"), "wide-open")
     return good
