@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillon.llm.archive import OP1_SQL, op1_arc_to_warc
+from quillon.llm.bpe_automaton import op11_bpe_automaton
 from quillon.llm.byte_bpe import op10_byte_bpe
 from quillon.llm.decontaminate import op9_decontaminate
 from quillon.llm.host_rules import OP7_SQL, op7_host_rules
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_decontaminate": op9_decontaminate,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_bpe_automaton": op11_bpe_automaton,
 }
 
 ORACLE_SQL = {
