@@ -43,8 +43,11 @@ from quillon.storage import read_table
 
 #: Fixed value: the pre-tokens of this family of vocabularies.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Joins units that are cut together: white space that they don't hold.
+BREAK, NOT_LATIN = "\u2028", "[^\\x{00}-\\x{24f}]"
+WORDS_AND_BREAKS = regex.compile(BREAK + "|" + WORDS.pattern)
 #: What a worker keeps: rows of the transition table, words of so many bytes at most, bytes of units.
-MOST_ROWS, MOST_WORDS, LONGEST_KEPT, CACHE_BYTES = 150_000, 150_000, 48, 50_000_000
+MOST_ROWS, MOST_WORDS, LONGEST_KEPT, CACHE_BYTES = 120_000, 80_000, 48, 30_000_000
 NEVER = 1 << 40
 
 
@@ -176,7 +179,7 @@ class WordEncoder:
         self.library = Tokenizer.from_file(tokenizer_path)
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
-        self.known: dict[bytes, list[int]] = {}
+        self.known: dict[bytes, bytes] = {}
         self.cache = UnitCache(self.encode_units, self.encode_units, CACHE_BYTES)
 
     def words(self, text: str) -> list[bytes]:
@@ -187,29 +190,51 @@ class WordEncoder:
         byte_of = {c: b for b, c in SPELLED.items()}
         return [bytes(map(byte_of.__getitem__, w)) for w, _ in cut]
 
-    def encode_unit(self, unit: str) -> list[int]:
+    def word_ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words, as bytes."""
+        if len(self.known) > MOST_WORDS:
+            self.known = {}
+        out, known = list(map(self.known.get, words)), self.known
+        for k, ids in enumerate(out):
+            if ids is None:
+                spelled = list(words[k])
+                if self.end:
+                    spelled[-1] += 256
+                ids = out[k] = np.array(self.automaton.encode(spelled), "<u4").tobytes()
+                if len(spelled) <= LONGEST_KEPT:
+                    known[words[k]] = ids
+        return out
+
+    def encode_whole(self, text: str) -> bytes:
+        """A text by itself: it may hold added tokens and any characters."""
         ids = []
-        for part in self.split.split(unit) if self.split else [unit]:
+        for part in self.split.split(text) if self.split else [text]:
             if part in self.added:
-                ids.append(self.added[part])
+                ids.append(np.array([self.added[part]], "<u4").tobytes())
             elif part:
-                for word in self.words(part):
-                    ids += self.known.get(word) or self.encode_word(word)
-        return ids
-
-    def encode_word(self, word: bytes) -> list[int]:
-        spelled = list(word)
-        if self.end:
-            spelled[-1] += 256
-        ids = self.automaton.encode(spelled)
-        if len(word) <= LONGEST_KEPT:
-            if len(self.known) >= MOST_WORDS:
-                self.known.clear()
-            self.known[word] = ids
-        return ids
+                ids += self.word_ids(self.words(part))
+        return b"".join(ids)
 
     def encode_units(self, units: list[str]) -> list[bytes]:
-        return [np.array(self.encode_unit(u), "<u4").tobytes() for u in units]
+        """Units with plain characters and without added tokens are cut into words together, the others one by one."""
+        array = pa.array(units, pa.string())
+        odd = pc.match_substring_regex(array, NOT_LATIN)
+        for content in self.added:
+            odd = pc.or_(odd, pc.match_substring(array, content))
+        odd = odd.to_numpy(zero_copy_only=False)
+        plain = [u for u, x in zip(units, odd, strict=True) if not x]
+        words = pa.array(WORDS_AND_BREAKS.findall(BREAK.join(plain).lower()), pa.string())
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        ids = self.word_ids([w.encode() for w in distinct if w != BREAK])
+        if BREAK in distinct:
+            ids.insert(distinct.index(BREAK), b"")
+        joined = pa.array(ids, pa.binary()).cast(pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset + 1 :][: len(joined)]
+        ends = np.append(ends[pc.equal(words, BREAK).to_numpy(zero_copy_only=False)], ends[-1:] if len(ends) else [0]).tolist()
+        raw = (joined.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
+        found = iter([raw[a:b] for a, b in zip([0, *ends], ends, strict=False)])
+        return [self.encode_whole(u) if x else next(found) for u, x in zip(units, odd, strict=True)]
 
 
 @lru_cache(maxsize=1)
@@ -227,23 +252,33 @@ def labels(tokenizer_path: str) -> pa.StringArray:
     return pa.array(table, pa.string())
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_tokens, ids (array of int, in text order)."""
+def _list(ids: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array((np.concatenate(ids) if ids else np.zeros(0)).astype(np.int32)))
+
+
+def _labelled(ids: pa.ListArray, table: pa.StringArray) -> pa.StringArray:
+    starts = ids.offsets.to_numpy()
+    found = table.take(ids.values.slice(starts[0], starts[-1] - starts[0]))
+    lists = pa.LargeListArray.from_arrays(pa.array((starts - starts[0]).astype(np.int64)), found.cast(pa.large_string()), mask=ids.is_null())
+    return pc.binary_join(lists, pa.scalar(" ", pa.large_string())).cast(pa.string())
+
+
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """One row per input row: doc_id, n_tokens, ids (array of int, in text order), and with ``decoded`` what ``decode``
+    makes of the ids, in the same pass."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    names = ["doc_id", "n_tokens", "ids"] + ["decoded"] * decoded
 
     def run(batches):
-        cache = word_encoder(tokenizer_path).cache
+        cache, table = word_encoder(tokenizer_path).cache, labels(tokenizer_path) if decoded else None
         for batch in batches:
             for part, texts in _slices(batch, "text"):
-                ids = cache.encode_many(texts)
-                sizes = np.array([len(x) for x in ids], np.int64)
-                flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))], names=["doc_id", "n_tokens", "ids"]
-                )
+                ids = _list(cache.encode_many(texts))
+                columns = [part.column("doc_id"), pc.list_value_length(ids).cast(pa.int64()), ids]
+                yield pa.RecordBatch.from_arrays(columns + [_labelled(ids, table)] if decoded else columns, names=names)
 
-    return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids array<int>")
+    return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -256,11 +291,7 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                ids = part.column("ids")
-                starts = ids.offsets.to_numpy()
-                found = table.take(ids.values.slice(starts[0], starts[-1] - starts[0]))
-                lists = pa.LargeListArray.from_arrays(pa.array((starts - starts[0]).astype(np.int64)), found.cast(pa.large_string()), mask=ids.is_null())
-                yield pa.RecordBatch.from_arrays([*part.columns, pc.binary_join(lists, pa.scalar(" ", pa.large_string())).cast(pa.string())], names=[*names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, _labelled(part.column("ids"), table)], names=[*names, "decoded"])
 
     return encoded.mapInArrow(run, schema)
 
@@ -269,6 +300,6 @@ def op11_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    decoded = decode(encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    decoded = encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return decoded.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

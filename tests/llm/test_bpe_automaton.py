@@ -82,6 +82,8 @@ def test_round_trip(spark, library):
         ids = library.encode(t or "", add_special_tokens=False).ids
         want.append((-1 if i is None else i, len(ids), ids, library.decode(ids, skip_special_tokens=False)))
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.ids, r.decoded) for r in got) == sorted(want)
+    at_once = encode(docs, PATH, decoded=True).collect()
+    assert sorted(map(repr, at_once)) == sorted(map(repr, got))
 
 
 def test_null_ids_decode_to_null(spark):
