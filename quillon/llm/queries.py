@@ -12,6 +12,7 @@ from quillon.llm.license_scan import oracle as license_sql
 from quillon.llm.sharding import op3_bin_packing
 from quillon.llm.simhash import op8_simhash
 from quillon.llm.suffix_dedup import op2_suffix_dedup
+from quillon.llm.token_alignment import op13_alignment
 from quillon.llm.token_orc import op6_token_orc
 from quillon.llm.url_filter import OP5_SQL, op5_url_filter
 
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_bpe_automaton": op11_bpe_automaton,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE_SQL = {

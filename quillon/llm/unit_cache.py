@@ -25,12 +25,13 @@ UNIT_BYTES = 250
 Encoder = Callable[[list[str]], list[bytes]]
 
 
-def cut(texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
+def cut(texts: list[str], spaced: bool = False) -> tuple[pa.StringArray, np.ndarray]:
     """The units of all texts, one after the other, and where each text's units begin. Each text has one
-    unit or more; all but its first have lost the space they start with."""
+    unit or more; all but its first have lost the space they start with. ``spaced``: the texts have lost one too."""
     array = pa.array(texts, pa.string())
     split = pc.split_pattern(array, " ")
-    uneven = np.flatnonzero(pc.match_substring_regex(array, UNEVEN)).tolist()
+    uneven = pc.match_substring_regex(array, UNEVEN)
+    uneven = np.flatnonzero(pc.or_(uneven, pc.starts_with(array, " ")) if spaced else uneven).tolist()
     if uneven:
         lists = split.to_pylist()
         for k in uneven:
