@@ -59,17 +59,22 @@ def encoding(ranks_path: str, pattern: str) -> tuple[tiktoken.Encoding, UnitCach
     )
 
 
-def _slices(batch: pa.RecordBatch, column: str, most: int = OUT_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Parts of a batch of about ``most`` bytes of text each, with the column's values."""
+def _parts(batch: pa.RecordBatch, column: str, most: int = OUT_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``most`` bytes of text each."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False) + 64
     ends, at = np.cumsum(sizes, dtype=np.int64), 0
     while at < batch.num_rows:
         end = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most)) + 1
-        part = batch.slice(at, end - at)
-        yield part, part.column(column).to_pylist()
+        yield batch.slice(at, end - at)
         at = end
 
 
+def _slices(batch: pa.RecordBatch, column: str, most: int = OUT_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Parts of a batch of about ``most`` bytes of text each, with the column's values."""
+    for part in _parts(batch, column, most):
+        yield part, part.column(column).to_pylist()
+
+
 def encode_rows(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """``df`` has a string column ``text``; it is replaced by ``n_tokens`` and ``ids`` (little-endian uint32)."""
     keys = [f for f in df.schema.fields if f.name != "text"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from quillon.llm.archive import OP1_SQL, op1_arc_to_warc
 from quillon.llm.bpe_automaton import op11_bpe_automaton
 from quillon.llm.byte_bpe import op10_byte_bpe
+from quillon.llm.collocations import op12_collocations
 from quillon.llm.decontaminate import op9_decontaminate
 from quillon.llm.host_rules import OP7_SQL, op7_host_rules
 from quillon.llm.license_scan import op4_license_scan
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_bpe_automaton": op11_bpe_automaton,
+    "op12_collocations": op12_collocations,
     "op13_alignment": op13_alignment,
 }
 
