@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.byte_bpe import _slices
 from quillon.llm.connected import components
-from quillon.storage import materialize, read_table
+from quillon.storage import materialize, read_table, release
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -220,16 +220,17 @@ def near_duplicates(docs: DataFrame, threshold: int = 3, shingle: int = 3, id_co
 
 #: Wide fingerprints: four words. Eleven blocks of 23 bits look for candidates, and eleven of the bits in another order.
 WIDE_WORDS, WIDE_BLOCKS, BLOCK_DIFFER = 4, 22, 2
-#: Standard deviations of the estimate by which candidates may differ more than the similarity stands for.
-WIDE_DEVIATIONS = 4
-#: Rounds of the exact comparison before all pairs that are left are compared.
-MOST_TURNS = 8
+#: Standard deviations of the estimate by which candidates may differ more than the similarity stands for, in the first
+#: turn and in those after it, which try other pairs of what the first has found to be close.
+WIDE_DEVIATIONS, LATER_DEVIATIONS = 3, 1
+#: Differing bits by which the order of candidates is shuffled after the first turn.
+SHUFFLED = 12
 
 
-def wide_limit(similarity: float) -> int:
+def wide_limit(similarity: float, deviations: float = WIDE_DEVIATIONS) -> int:
     """Most differing bits of candidates: sets with that Jaccard similarity have a cosine of 2J / (1 + J)."""
     n, share = 64 * WIDE_WORDS, np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(n * share + WIDE_DEVIATIONS * np.sqrt(n * share * (1 - share)))
+    return int(n * share + deviations * np.sqrt(n * share * (1 - share)))
 
 
 def wide_fingerprint(text: str | None, shingle: int) -> np.ndarray:
@@ -263,12 +264,12 @@ def _wide_block(wide: np.ndarray, block: int) -> np.ndarray:
     return (out & np.uint64((1 << BITS) - 1)).astype(np.uint32)
 
 
-def similar_links(classes: DataFrame, limit: int, n_fps: int, turn: int = 0, every: bool = False) -> DataFrame:
+def similar_links(classes: DataFrame, limit: int, n_fps: int, turn: int = 0) -> DataFrame:
     """From classes (node, label, w0, w1, ...) to candidate pairs (u, v) of nodes with different labels that
     differ in at most ``limit`` bits in all and at most BLOCK_DIFFER in one of the blocks. Two such words have a
     word halfway, whose anchor is within the covering radius plus half of BLOCK_DIFFER of either: both go there.
-    Each anchor hands on either all such pairs, or as many as join the labels there; ``turn`` says in which order
-    pairs are preferred."""
+    Each anchor hands on as many such pairs as join the labels there, fewer than twice its labels, those with the
+    fewest differing bits first; after the first ``turn`` in another order each time among pairs of about as many bits."""
     names = [f"w{k}" for k in range(WIDE_WORDS)]
     reach = RADIUS + (BLOCK_DIFFER + 1) // 2
     shares, buckets = max(1, n_fps // 50_000), max(64, n_fps // 500)
@@ -295,14 +296,13 @@ def similar_links(classes: DataFrame, limit: int, n_fps: int, turn: int = 0, eve
     def compare(table):
         key = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column("anchors")])
         rows = np.concatenate([np.frombuffer(x.as_py(), "<u8").reshape(-1, WIDE_WORDS + 2) for x in table.column("fps")])
-        # the same order at all anchors, so that most of them prefer the same pairs
-        order = np.lexsort((rows[:, WIDE_WORDS] * np.uint64(0x9E3779B97F4A7C15 ** (2 * turn) % 2**64), key))
+        order = np.argsort(key, kind="stable")
         key, rows = key[order], rows[order]
         wide, node, label, first = rows[:, :WIDE_WORDS], rows[:, WIDE_WORDS].view(np.int64), rows[:, WIDE_WORDS + 1], np.unique(key, return_index=True)[1]
         u, v = [node[:0]], [node[:0]]
         for a, b in zip(first, np.append(first[1:], len(key)), strict=True):
             if b - a > 1:
-                i, j = _similar_in(wide[a:b], label[a:b], _wide_block(wide[a:b], int(key[a] >> BITS)), limit, every)
+                i, j = _similar_in(wide[a:b], label[a:b], _wide_block(wide[a:b], int(key[a] >> BITS)), limit, node[a:b].view(np.uint64), turn)
                 u.append(np.minimum(node[a + i], node[a + j]))
                 v.append(np.maximum(node[a + i], node[a + j]))
         return pa.Table.from_pydict({"u": pa.array(np.concatenate(u)), "v": pa.array(np.concatenate(v))})
@@ -313,14 +313,15 @@ def similar_links(classes: DataFrame, limit: int, n_fps: int, turn: int = 0, eve
 
 
 def _spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Positions of pairs (a, b) that connect all that the pairs connect; fewer than two for each node and step."""
+    """Positions of pairs (a, b) that connect all that the pairs connect; fewer than two for each node. Pairs that come
+    first are preferred: each part takes the first that leads out of it, again and again."""
     at, picked = np.arange(max(a.max(), b.max()) + 1), []
     while True:
         low, high = at[a], at[b]
         apart = np.flatnonzero(low != high)
         if not len(apart):
             return np.unique(np.concatenate(picked))
-        some = apart[np.unique(np.concatenate([high[apart], low[apart]]), return_index=True)[1] % len(apart)]
+        some = apart[np.unique(np.stack([high[apart], low[apart]], 1).ravel(), return_index=True)[1] // 2]
         picked.append(some)
         least, node = _forest(low[some], high[some])
         to = np.arange(len(at))
@@ -328,8 +329,14 @@ def _spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         at = to[at]
 
 
-def _similar_in(wide: np.ndarray, label: np.ndarray, word: np.ndarray, limit: int, every: bool, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs at one anchor, all or as many as join the labels, a block of comparisons at a time."""
+def _preferred(differ: np.ndarray, u: np.ndarray, v: np.ndarray, turn: int) -> np.ndarray:
+    """The order in which pairs are taken."""
+    mix = ((u ^ v) * np.uint64(2 * turn + 1) + (np.minimum(u, v) >> np.uint64(7))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+    return np.lexsort((mix, differ + (mix % np.uint64(SHUFFLED)).astype(np.int64) * (turn > 0)))
+
+
+def _similar_in(wide: np.ndarray, label: np.ndarray, word: np.ndarray, limit: int, node: np.ndarray, turn: int, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs at one anchor, as many as join the labels, a block of comparisons at a time."""
     label = np.unique(label, return_inverse=True)[1]
     found, step = [], max(1, block // len(word))
     for k in range(0, len(word), step):
@@ -337,16 +344,22 @@ def _similar_in(wide: np.ndarray, label: np.ndarray, word: np.ndarray, limit: in
         i, j = i[j > i] + k, j[j > i] + k
         near = label[i] != label[j]
         i, j = i[near], j[near]
-        near = np.bitwise_count(wide[i] ^ wide[j]).sum(1) <= limit
-        i, j = i[near], j[near]
-        if len(i):
-            pick = slice(None) if every else _spanning(label[i], label[j])
-            found.append((i[pick], j[pick]))
+        differ = np.bitwise_count(wide[i] ^ wide[j]).sum(1, dtype=np.int64)
+        near = differ <= limit
+        if near.any():
+            found.append(_thinned(i[near], j[near], differ[near], label, node, turn))
+            if sum(len(f[0]) for f in found) > 4 * len(word):
+                found = [_thinned(*map(np.concatenate, zip(*found, strict=True)), label, node, turn)]
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-    pick = slice(None) if every or len(found) == 1 else _spanning(label[i], label[j])
-    return i[pick], j[pick]
+    return _thinned(*map(np.concatenate, zip(*found, strict=True)), label, node, turn)[:2]
+
+
+def _thinned(i: np.ndarray, j: np.ndarray, differ: np.ndarray, label: np.ndarray, node: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = _preferred(differ, node[i], node[j], turn)
+    i, j, differ = i[order], j[order], differ[order]
+    pick = _spanning(label[i], label[j])
+    return i[pick], j[pick], differ[pick]
 
 
 def _judge(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similarity: float, shingle: int) -> DataFrame:
@@ -373,28 +386,27 @@ def _judge(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similarity: fl
 
 
 def _exact_links(docs: DataFrame, classes: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Links (u, v) that connect the candidate pairs of classes whose similarity is exact. At first each anchor
-    hands on only as many pairs as join its labels, so that a large group of near copies isn't squared; where
-    one of them turns out not to be similar, other pairs are tried around it, with what is linked so far as
-    labels, and in the end all that are left."""
-    n, limit = classes.count(), wide_limit(similarity)
-    now, good, every = classes.withColumn("label", F.col("node")), None, False
-    for turn in range(MOST_TURNS + 1):
-        pairs = materialize(similar_links(now, limit, n, turn, every), "wide-pairs")
+    """Links (u, v) that connect the candidate pairs of classes whose similarity is exact. Each anchor hands on only as
+    many pairs as join its labels, nearest first, so that a large group of near copies isn't squared and few pairs turn
+    out not to be similar. Where one does, other pairs are tried around it, with what is linked so far as labels, until
+    a turn finds no link that joins anything."""
+    n, now, good, bad, turn = classes.count(), classes.withColumn("label", F.col("node")), None, None, 0
+    while True:
+        pairs = similar_links(now, wide_limit(similarity, LATER_DEVIATIONS if turn else WIDE_DEVIATIONS), n, turn)
+        pairs = materialize(pairs.join(bad, ["u", "v"], "left_anti") if bad is not None else pairs, "wide-pairs")
         judged = materialize(_judge(pairs, docs, classes, similarity, shingle), "wide-judged")
+        release(pairs, now)
         yes, no = judged.filter("similar").select("u", "v"), judged.filter("not similar").select("u", "v")
-        good = yes if good is None else good.unionByName(yes)
+        good, bad = (yes, no) if good is None else (good.unionByName(yes), bad.unionByName(no))
         n_yes, n_no = judged.agg(F.count_if("similar"), F.count_if(~F.col("similar"))).first()
-        if every or not n_no:
-            break
-        every = turn + 1 == MOST_TURNS or turn > 0 and 4 * n_yes < n_no
+        if not n_no or turn and not n_yes:
+            return good
         # pairs that were left out lead out of what is linked so far only where a pair that was tried has failed
         linked = components(good)
         labels = classes.join(linked, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
         ends = no.select(F.col("u").alias("node")).distinct().unionByName(no.select(F.col("v").alias("node")).distinct()).distinct().join(linked, "node", "left")
         open_ = ends.select(F.coalesce("component", "node").alias("label")).distinct()
-        now = materialize(labels.join(open_, "label", "left_semi"), "wide-open")
-    return good
+        now, turn = materialize(labels.join(open_, "label", "left_semi"), "wide-open"), turn + 1
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
