@@ -26,6 +26,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +40,15 @@ from tokenizers import Tokenizer
 from quillon.llm.byte_bpe import _slices
 from quillon.llm.simhash import _ragged
 from quillon.llm.token_orc import SPELLED
-from quillon.llm.unit_cache import cut
+from quillon.llm.unit_cache import UNEVEN, cut
 from quillon.storage import materialize, read_table, release
 
 BUCKETS, TEAM, MOST_BYTES = 256, 64, 64 << 20
-#: Bytes of text aligned at a time, units joined for one call of a tokeniser, pairs a task holds before it hands some on.
-SLICE_BYTES, JOINED, MOST_PAIRS = 6_000_000, 400, 2_000_000
+#: Bytes of text aligned at a time, units joined to one text for the tokenisers and such texts in one call, pairs a task
+#: holds before it hands some on.
+SLICE_BYTES, JOINED, AT_ONCE, MOST_PAIRS = 7_000_000, 400, 40, 2_000_000
+#: White space of any kind at the end.
+ENDS_IN_SPACE = UNEVEN.removesuffix(" ") + r"\z"
 #: A piece vocabulary writes spaces as this character.
 MARK = "▁"
 #: Bits for each pair that is left at a level of the hash, and the salt that deals pairs to buckets.
@@ -146,6 +150,20 @@ class Aligned:
         return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(self.group_at.astype(np.int64)), groups), pa.scalar(";", pa.large_string()))
 
 
+def _bytes_of(array: pa.BinaryArray | pa.StringArray) -> pa.Buffer:
+    """All values of an array one after the other."""
+    if not len(array):
+        return pa.py_buffer(b"")
+    ends = np.frombuffer(array.buffers()[1], np.int32)[array.offset : array.offset + len(array) + 1]
+    return (array.buffers()[2] or pa.py_buffer(b""))[int(ends[0]) : int(ends[-1])]
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; sorting is quicker here than hashing."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 class Aligner:
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -162,23 +180,30 @@ class Aligner:
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of both sides of texts (B puts a space before each itself), one after the other."""
-        a = self.tokenizer.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)
-        # B puts no space before an empty text
-        b = [x or [self.pieces.piece_to_id(MARK)] for x in self.pieces.encode(texts, num_threads=1)]
-        flat = [np.fromiter((i for x in side for i in x), np.int32) for side in ([e.ids for e in a], b)]
-        return flat[0], flat[1]
+        a, b = [], []
+        for at in range(0, len(texts), AT_ONCE):
+            some = texts[at : at + AT_ONCE]
+            found = self.tokenizer.encode_batch_fast([f" {t}" for t in some], add_special_tokens=False)
+            a.append(np.fromiter(chain.from_iterable([e.ids for e in found]), np.int32))
+            # B puts no space before an empty text
+            found = [x or [self.pieces.piece_to_id(MARK)] for x in self.pieces.encode(some, num_threads=1)]
+            b.append(np.fromiter(chain.from_iterable(found), np.int32))
+        return np.concatenate([np.zeros(0, np.int32), *a]), np.concatenate([np.zeros(0, np.int32), *b])
 
     def _same(self, ids: tuple[np.ndarray, np.ndarray], raw: bytes) -> bool:
-        return all(b"".join(table.take(pa.array(side)).to_pylist()) == raw for table, side in zip(self.bytes_of, ids, strict=True))
+        given = np.frombuffer(raw, np.uint8)
+        return all(np.array_equal(np.frombuffer(_bytes_of(table.take(pa.array(side))), np.uint8), given) for table, side in zip(self.bytes_of, ids, strict=True))
 
     def align(self, units: list[str]) -> tuple[Aligned, np.ndarray]:
         """Units with a space put before each; and which of them have tokens whose bytes are theirs. Others have none."""
         # a joined text has to be cut again at the spaces between its units, so what ends in white space stays alone
-        joint = [k for k, u in enumerate(units) if u and not u[-1].isspace() and MARK not in u]
-        apart = [k for k, u in enumerate(units) if (not u or u[-1].isspace()) and MARK not in u]
+        array = pa.array(units, pa.string())
+        marked = pc.match_substring(array, MARK).to_numpy(zero_copy_only=False)
+        alone = pc.or_(pc.equal(pc.binary_length(array), 0), pc.match_substring_regex(array, ENDS_IN_SPACE)).to_numpy(zero_copy_only=False)
+        joint, apart = np.flatnonzero(~marked & ~alone).tolist(), np.flatnonzero(~marked & alone).tolist()
         texts = [" ".join([units[k] for k in joint[at : at + JOINED]]) for at in range(0, len(joint), JOINED)]
         order, ids = joint + apart, self._ids(texts + [units[k] for k in apart])
-        if not self._same(ids, b"".join(b" " + units[k].encode() for k in order)):
+        if not self._same(ids, "".join([f" {units[k]}" for k in order]).encode()):
             each = [self._ids([units[k]]) for k in order]
             good = [self._same(x, b" " + units[k].encode()) for k, x in zip(order, each, strict=True)]
             order = [k for k, g in zip(order, good, strict=True) if g]
@@ -186,7 +211,7 @@ class Aligner:
             ids = tuple(np.concatenate([np.zeros(0, np.int32), *[x[side] for x in each]]) for side in (0, 1))
         a_end, b_end = (np.cumsum(n[i]) for n, i in zip(self.lengths, ids, strict=True))
         ends = np.intersect1d(a_end, b_end, assume_unique=True)
-        unit_end = np.cumsum([len(units[k].encode()) + 1 for k in order])
+        unit_end = np.cumsum(pc.binary_length(array).to_numpy().astype(np.int64)[order] + 1)
         # groups are numbered along the stream; units are put back into their own order at the end
         found = Aligned(*ids, np.searchsorted(ends, a_end), np.searchsorted(ends, b_end), np.concatenate([[0], np.searchsorted(ends, unit_end) + 1]).astype(np.int64), self.n_b)
         place = np.full(len(units), -1, np.int64)
@@ -247,13 +272,13 @@ def pair_parts(docs: DataFrame, a_path: str, b_path: str, buckets: int = BUCKETS
                 found, at, begins = _per_text(texts, by)
                 text = np.repeat(np.arange(len(texts)), np.diff(begins))
                 # a unit that a text repeats brings nothing new
-                once = np.unique(text.astype(np.int64) * (len(found.link_at) or 1) + at)
+                once = _distinct(text.astype(np.int64) * (len(found.link_at) or 1) + at)
                 text, at = np.divmod(once, len(found.link_at) or 1)
                 row, nth = _ragged(np.diff(found.link_at)[at])
                 link = found.link_at[at[row]] + nth
                 code, pair = np.unique(found.link_key, return_inverse=True)
                 n = max(1, len(code))
-                seen = np.unique(text[row] * n + pair[link]) % n
+                seen = _distinct(text[row] * n + pair[link]) % n
                 held.append((code, np.bincount(seen, minlength=len(code))))
                 if sum(len(k) for k, _ in held) > MOST_PAIRS:
                     held = [_merged(*map(np.concatenate, zip(*held, strict=True)))]
