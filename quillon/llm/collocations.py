@@ -44,7 +44,7 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 COVERED_PCT = 80
 HOT_PAIRS = 1000
 #: Bytes of text split at a time, slots and suffixes a task holds before it hands them on, words of a bucket.
-SLICE_BYTES, MOST_HELD, BUCKET_WORDS, LEAST_BUCKETS = 8_000_000, 3_000_000, 2_000_000, 128
+SLICE_BYTES, MOST_HELD, BUCKET_WORDS, LEAST_BUCKETS = 3_000_000, 1_000_000, 2_000_000, 128
 SLOT_BITS = 40
 #: Bytes: 0 is in words, 1 between words, 2 between pieces.
 KINDS = np.zeros(256, np.uint8)
