@@ -75,19 +75,24 @@ def _slices(batch: pa.RecordBatch, column: str, most: int = OUT_BYTES) -> Iterat
         yield part, part.column(column).to_pylist()
 
 
-def encode_rows(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """``df`` has a string column ``text``; it is replaced by ``n_tokens`` and ``ids`` (little-endian uint32)."""
+def _raw(ids: np.ndarray, table: list[bytes]) -> bytes:
+    return b"".join(map(table.__getitem__, ids.tolist()))
+
+
+def encode_rows(df: DataFrame, ranks_path: str, pattern: str, decoded: bool = False) -> DataFrame:
+    """``df`` has a string column ``text``; it is replaced by ``n_tokens`` and ``ids`` (little-endian uint32), and with
+    ``decoded`` by the ``bytes`` that ``decode`` makes of them, in the same pass."""
     keys = [f for f in df.schema.fields if f.name != "text"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keys] + ["n_tokens bigint", "ids binary"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keys] + ["n_tokens bigint", "ids binary"] + ["bytes binary"] * decoded)
 
     def run(batches):
-        _, cache = encoding(ranks_path, pattern)
+        (_, cache), table = encoding(ranks_path, pattern), token_bytes(ranks_path) if decoded else []
         for batch in batches:
             for part, texts in _slices(batch, "text"):
                 ids = cache.encode_many([t or "" for t in texts])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(f.name) for f in keys] + [pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
-                    names=[f.name for f in keys] + ["n_tokens", "ids"],
+                    [part.column(f.name) for f in keys] + [pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())] + ([pa.array([_raw(x, table) for x in ids], pa.binary())] if decoded else []),
+                    names=[f.name for f in keys] + ["n_tokens", "ids"] + ["bytes"] * decoded,
                 )
 
     return df.mapInArrow(run, schema)
@@ -139,11 +144,13 @@ def encode(
     text_col: str = "text",
     chunk_chars: int = CHUNK_CHARS,
     overlap: int = OVERLAP,
+    decoded: bool = False,
 ) -> DataFrame:
-    """One row per input row: doc_id, n_tokens, ids (binary: little-endian uint32, in text order)."""
+    """One row per input row: doc_id, n_tokens, ids (binary: little-endian uint32, in text order), and with ``decoded``
+    the ``bytes`` that ``decode`` makes of them."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     is_long = F.length("text") > chunk_chars
-    short = encode_rows(rows.filter(~is_long), ranks_path, pattern)
+    short = encode_rows(rows.filter(~is_long), ranks_path, pattern, decoded)
     long = rows.filter(is_long).withColumn("h", F.sha2("text", 256))
     # equal long rows are encoded once and repeated at the end, so that (doc_id, h) names a text
     long = long.groupBy("doc_id", "h").agg(F.count("*").alias("n_rows"), F.first("text").alias("text"))
@@ -170,7 +177,7 @@ def encode(
         F.explode(F.expr("array_repeat(doc_id, int(n_rows))")).alias("doc_id"), "n_tokens",
         F.expr("aggregate(all, cast('' as binary), (a, x) -> concat(a, x.ids))").alias("ids"),
     )
-    return short.unionByName(done)
+    return short.unionByName(decode(done, ranks_path) if decoded else done)
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -182,7 +189,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
         table = token_bytes(ranks_path)
         for batch in batches:
             for part, ids in _slices(batch, "ids"):
-                raw = [b"".join(map(table.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in ids]
+                raw = [_raw(np.frombuffer(x or b"", "<u4"), table) for x in ids]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], names=[*names, "bytes"])
 
     return encoded.mapInArrow(run, schema)
@@ -193,5 +200,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    decoded = decode(encode(docs, ranks, pattern), ranks)
+    decoded = encode(docs, ranks, pattern, decoded=True)
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))

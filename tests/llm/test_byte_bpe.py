@@ -27,6 +27,8 @@ def test_equals_whole_text_encoding(spark, chunk, overlap):
     want = sorted((-1 if i is None else i, np.asarray(enc.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t, _ in rows)
     assert sorted((-1 if r.doc_id is None else r.doc_id, bytes(r.ids), bytes(r.bytes)) for r in got) == want
     assert all(r.n_tokens * 4 == len(r.ids) for r in got)
+    at_once = byte_bpe.encode(docs, RANKS, PATTERN, chunk_chars=chunk, overlap=overlap, decoded=True).collect()
+    assert sorted(map(repr, at_once)) == sorted(map(repr, got))
 
 
 def test_units_join_back():
