@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.byte_bpe import decode, encode
+from quillon.llm.byte_bpe import encode
 from quillon.llm.decontaminate import keep_clean
 from quillon.llm.host_rules import keep_good
 from quillon.llm.simhash import keep_one
@@ -41,7 +41,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left (little-endian uint32), and the digest of the bytes they decode to."""
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return decode(encode(docs, ranks, pattern), ranks).select("doc_id", "n_tokens", "ids", F.sha2("bytes", 256).alias("decoded_sha256"))
+    return encode(docs, ranks, pattern, decoded=True).select("doc_id", "n_tokens", "ids", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
 STAGES = [
