@@ -127,7 +127,7 @@ def _pairs(names: np.ndarray, follows: np.ndarray, words: np.ndarray) -> np.ndar
 
 
 def pair_counts(docs: DataFrame, seed: int, words, buckets: int, least: int) -> DataFrame:
-    """(lang, text) to slots of pairs with at least ``least`` occurrences: slot, n."""
+    """(lang, text) to slots of pairs with at least ``least`` occurrences: slot, seed (what the filter knows it by), n."""
     low = np.uint64((1 << SLOT_BITS) - 1)
 
     def packed(slots: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -153,15 +153,16 @@ def pair_counts(docs: DataFrame, seed: int, words, buckets: int, least: int) ->
                     held, size = [], 0
         if held:
             yield packed(*_merged(*map(np.concatenate, zip(*held, strict=True))))
+        pa.default_memory_pool().release_unused()
 
     def add(table):
         joined = lambda c, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(c)])
         key = joined("low", "<u4").astype(np.uint64) | joined("high", "u1").astype(np.uint64) << np.uint64(32)
         key, n = _merged(key, joined("n", "<i8"))
         key, n = key[n >= least] | np.uint64(table.column("bucket")[0].as_py() << SLOT_BITS), n[n >= least]
-        return pa.Table.from_pydict({"slot": pa.array(key.view(np.int64)), "n": pa.array(n)})
+        return pa.Table.from_pydict({"slot": pa.array(key.view(np.int64)), "seed": pa.array(mixed(key, 0).view(np.int64)), "n": pa.array(n)})
 
-    return docs.mapInArrow(run, "bucket bigint, low binary, high binary, n binary").groupBy("bucket").applyInArrow(add, "slot bigint, n bigint")
+    return docs.mapInArrow(run, "bucket bigint, low binary, high binary, n binary").groupBy("bucket").applyInArrow(add, "slot bigint, seed bigint, n bigint")
 
 
 def multikey_counts(names: np.ndarray, weights: np.ndarray, least: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -251,6 +252,7 @@ def phrase_counts(docs: DataFrame, seed: int, words, pairs, hot, buckets: int, s
                     rows, weights, size = [], [], 0
         if size:
             yield packed(rows, weights, hot_slots)
+        pa.default_memory_pool().release_unused()
 
     def sort(table):
         names = np.concatenate([np.frombuffer(x.as_py(), "<u8").reshape(longest, -1).T for x in table.column("names")])
@@ -300,11 +302,7 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     shared_words = spark.sparkContext.broadcast(_filter_of(frequent.select(F.col("name").alias("seed"))))
     slots = materialize(pair_counts(texts, seed, shared_words, buckets, least), "pair-slots")
 
-    def seeds(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(mixed(batch.column("slot").to_numpy(zero_copy_only=False).view(np.uint64), 0).view(np.int64))], names=["seed"])
-
-    shared_pairs = spark.sparkContext.broadcast(_filter_of(slots.select("slot").mapInArrow(seeds, "seed bigint")))
+    shared_pairs = spark.sparkContext.broadcast(_filter_of(slots.select("seed")))
     hot = spark.sparkContext.broadcast(np.array([r["slot"] for r in slots.filter(F.col("n") * hot_pairs >= total).collect()], np.int64).view(np.uint64))
     phrases = materialize(phrase_counts(texts, seed, shared_words, shared_pairs, hot, buckets, buckets, least), "phrases")
     release(slots)
