@@ -263,6 +263,7 @@ SCRUB_PATTERNS = [
     ("record_number", r"#\s?\d{4,}(?!\d)"),
     ("long_digit_run", r"(?<!\d)\d{6,}(?!\d)"),
 ]
+#: Addresses that nobody has, keys made by hashing, and values that are codes.
 RESERVED_EMAIL = r"@(?:[A-Z0-9\-]+\.)*(?:example\.(?:com|net|org)|[A-Z0-9\-]+\.(?:example|test|invalid))$"
 HASH_KEY = "^f_[0-9a-f]{10}$"
 ENUM_CODE = "^(?:[0-9]{1,3}|[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*)$"
@@ -287,13 +288,14 @@ def scrub_hits(text: str | None) -> list[tuple[int, int, str]]:
 @F.arrow_udf(HITS)
 def _scrub_scan(text: pa.Array) -> pa.Array:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
-    return pa.array([[dict(zip(("start", "end", "kind"), h, strict=True)) for h in scrub_hits(t)] for t in text.to_pylist()], kind)
+    return pa.array([None if t is None else [dict(zip(("start", "end", "kind"), h, strict=True)) for h in scrub_hits(t)] for t in text.to_pylist()], kind)
 
 
 def scrub_scan(text: Column) -> Column:
-    """(start, end, kind) of personal data, in text order. All patterns hold a digit or an @, so texts without
-    either aren't handed to Python."""
-    return F.when(text.rlike(r"[\d@]"), _scrub_scan(text)).otherwise(F.array().cast(HITS))
+    """(start, end, kind) of personal data, in text order. All patterns hold a digit of any script or an @; of texts
+    without either only a null is handed to Python."""
+    hits = _scrub_scan(F.when(text.rlike(r"(?U)[\d@]"), text))
+    return F.coalesce(hits, F.array().cast(HITS))
 
 
 def is_enum_code(value: Column) -> Column:

@@ -61,3 +61,60 @@ def batches(df: DataFrame, keys: list[str], order: list, size: int) -> DataFrame
     """Rows of each key in batches of ``size``."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("batch", F.floor((rank - 1) / size).cast("bigint"))
+
+
+#: Reasons why a session isn't in a dataset, the first that holds.
+NO_TRUTH, NO_TURNS, FLAGGED = "no truth", "no turns", "flagged"
+
+
+def records(sessions: DataFrame, truths: DataFrame, turns: DataFrame, labels: DataFrame, flagged: DataFrame, scope: list[str]) -> DataFrame:
+    """One row for each session: id, reason (null for those in the dataset) and the record (null for others).
+
+    sessions (id, kind, language, minutes), truths (id, origin), turns (id, turn, speaker, text), labels (id, field,
+    value array, agreed, mode, acceptable array) and flagged (id). A record's group is its origin, else itself, and names
+    its split; its turns are in order; its labels are those of ``scope``, in that order, nulls among what is accepted
+    being empty strings."""
+    said = turns.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("turn", "speaker", "text"))).alias("said"))
+    said = said.select("id", F.transform("said", lambda t: F.struct(t["speaker"].alias("speaker"), t["text"].alias("text"))).alias("transcript"))
+    place = F.array_position(F.array(*[F.lit(f) for f in scope]), F.col("field"))
+    accepted = F.transform(F.coalesce("acceptable", F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("")))
+    own = labels.filter(F.col("field").isin(scope)).groupBy("id").agg(
+        F.array_sort(F.collect_list(F.struct(place.alias("place"), "field", F.coalesce("value", F.array().cast("array<string>")).alias("value"), F.coalesce("agreed", F.lit(False)).alias("agreed"), F.coalesce("mode", F.lit("")).alias("mode"), accepted.alias("acceptable")))).alias("own")
+    )
+    own = own.select("id", F.transform("own", lambda x: x.dropFields("place")).alias("labels"))
+    rows = sessions.join(truths.select("id", "origin", F.lit(True).alias("__truth")), "id", "left").join(said, "id", "left").join(own, "id", "left")
+    rows = rows.join(flagged.select("id").distinct().withColumn("__flagged", F.lit(True)), "id", "left")
+    reason = F.when(F.col("__truth").isNull(), NO_TRUTH).when(F.col("transcript").isNull(), NO_TURNS).when(F.col("__flagged"), FLAGGED)
+    group = F.coalesce("origin", F.col("id").cast("string"))
+    split = F.when(in_validation(group), "validation").otherwise("train")
+    none = F.array().cast(own.schema["labels"].dataType)
+    record = F.struct("id", group.alias("group"), "kind", split.alias("split"), "language", F.coalesce("minutes", F.lit(0)).alias("minutes"), "transcript", F.coalesce("labels", none).alias("labels"))
+    return rows.select("id", reason.alias("reason"), F.when(reason.isNull(), record).alias("record"))
+
+
+def record_counts(rows: DataFrame) -> DataFrame:
+    """How many records there are by kind and split, and how many sessions were left out for which reason."""
+    return rows.groupBy("record.kind", "record.split", "reason").agg(F.count("*").alias("n"), F.sum("record.minutes").alias("minutes"), F.sum(F.size("record.labels")).alias("labels"))
+
+
+def carry_over(truths: DataFrame, heard: DataFrame, checks: DataFrame) -> DataFrame:
+    """Labels of a session carried over to its restyled version: session, field, label, mode, origin_mode, heard, agree,
+    verified.
+
+    truths (session, field, label array or null, agree, mode), heard (session, field, value array or null): what a blind
+    reader found in the new version, and checks (session, field, yes, line, n_lines). A label still agrees if the reader
+    found the same; one that was only missed agrees if a check names a line of the new version for it. Arrays are compared
+    in order of their values, empty ones are nothing."""
+    plain = lambda c: F.when(F.size(c) > 0, F.array_sort(c))
+    rows = truths.select("session", "field", plain(F.col("label")).alias("label"), F.coalesce("agree", F.lit(False)).alias("was"), F.col("mode").alias("origin_mode"))
+    rows = rows.join(heard.select("session", "field", plain(F.col("value")).alias("heard")), ["session", "field"], "left").join(checks, ["session", "field"], "left")
+    same, missed = F.col("label").eqNullSafe(F.col("heard")), F.col("was") & F.col("label").isNotNull() & F.col("heard").isNull()
+    found = missed & F.coalesce(F.col("yes") & F.col("line").between(1, F.col("n_lines")), F.lit(False))
+    verified = F.when(found, F.concat(F.lit("targeted L"), F.col("line").cast("string")))
+    return rows.select("session", "field", "label", F.lit("RESTYLED").alias("mode"), "origin_mode", "heard", ((F.col("was") & same) | found).alias("agree"), verified.alias("verified"), "was")
+
+
+def kept_share(carried: DataFrame) -> DataFrame:
+    """Session, kept, candidates (labels that agreed before) and their share."""
+    out = carried.groupBy("session").agg(F.count_if("agree").alias("kept"), F.count_if("was").alias("candidates"))
+    return out.withColumn("share", F.when(F.col("candidates") > 0, F.col("kept") / F.col("candidates")))

@@ -87,6 +87,12 @@ def url_patterns_match(urls: DataFrame, patterns: list[tuple[str, str, str]], ur
     return urls.withColumn("form", out)
 
 
+def path_matches(path: Column, glob: Column) -> Column:
+    """Whether a path fits a pattern of its row, in which * stands for anything."""
+    pattern = F.regexp_replace(glob, r"([^A-Za-z0-9/_*-])", r"\\$1")
+    return F.regexp_like(path, F.concat(F.lit("^"), F.regexp_replace(pattern, r"\*", ".*"), F.lit("$")))
+
+
 def _quoted(text: str) -> str:
     return "".join(c if c.isalnum() or c in "/_-" else f"\\{c}" for c in text)
 

@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions import dynamic
 from quillon.functions.text import contains_words, is_bare_affirmation, is_iso_date, is_negated_short_answer, is_negative_option, normalize, words_of
 from quillon.functions.values import frequency_band
-from quillon.storage import materialize
+from quillon.storage import materialize, release
 
 #: Fixed value: what a transcript line begins with.
 LINE_PREFIX = r"(?i)^\s*(\[[0-9]{1,3}:[0-9]{2}(:[0-9]{2})?\]\s*)?(s[0-9]{4}\s+)?(WORKER|CLIENT)\s*:\s*"
@@ -113,16 +114,26 @@ def keep_sentences(sentences: DataFrame, max_chars: int) -> DataFrame:
 
 
 _EVIDENCE = "array<struct<segment:string,quote:string>>"
-#: What an output may hold.
-OUTPUT = (
-    "discussed string, raised_at struct<segment:string,quote:string>, status string, value string, count double, period string, "
-    f"evidence {_EVIDENCE}, selections array<struct<value:string,evidence:{_EVIDENCE}>>, sentences array<struct<text:string,evidence:{_EVIDENCE}>>"
-)
 #: Fixed value: characters of a narrative where the field sets none.
 NARRATIVE_CHARS = 900
 CHOICES = ("select", "radio_group", "combobox")
 
 
+def output_of(text):
+    """An output's members, each only if it has the type that it must have: a number isn't a value, a string no count.
+    What isn't JSON has no status."""
+    v = dynamic.parse(text)
+    word = lambda x, *path: dynamic.string_value(dynamic.at(x, *path))
+    piece = lambda x: F.struct(word(x, "segment").alias("segment"), word(x, "quote").alias("quote"))
+    evidence = lambda x: F.transform(dynamic.items(dynamic.at(x, "evidence")), piece)
+    return F.struct(
+        word(v, "discussed").alias("discussed"), piece(dynamic.at(v, "raised_at")).alias("raised_at"), word(v, "status").alias("status"), word(v, "value").alias("value"),
+        dynamic.double_value(dynamic.at(v, "count")).alias("count"), word(v, "period").alias("period"), evidence(v).alias("evidence"),
+        F.transform(dynamic.items(dynamic.at(v, "selections")), lambda x: F.struct(word(x, "value").alias("value"), evidence(x).alias("evidence"))).alias("selections"),
+        F.transform(dynamic.items(dynamic.at(v, "sentences")), lambda x: F.struct(word(x, "text").alias("text"), evidence(x).alias("evidence"))).alias("sentences"),
+    )
+
+
 def _cite(segments: DataFrame, evidence: DataFrame) -> DataFrame:
     """evidence (answer_id, ordinal, session, segment, quote) with seq, null where the segment is unknown."""
     ids = segments.select("session", F.col("segment_id").alias("segment"), "seq")
@@ -210,7 +221,7 @@ def verify_outputs(segments: DataFrame, fields: DataFrame, outputs: DataFrame, q
     rule that fails names the reason. Of checkboxes and narratives, parts that fail are left out, and the first
     reason is kept; "none" options go once a positive one stays; a narrative ends before the first sentence that
     would make it too long. Steps that are read more than once are written to the shared folder."""
-    a = outputs.select("answer_id", "session", "key", F.from_json("output", OUTPUT).alias("out")).join(fields, "key")
+    a = outputs.select("answer_id", "session", "key", output_of(F.col("output")).alias("out")).join(fields, "key")
     a = _gate(segments, a)
     band = F.when(F.col("bands").isNotNull() & (F.col("out.status") == "filled"), F.coalesce(frequency_band(F.col("out.count"), F.col("out.period"), F.col("bands")), F.lit("")))
     a = a.withColumn("band", band).withColumn("value", F.coalesce("band", "out.value"))
@@ -222,6 +233,7 @@ def verify_outputs(segments: DataFrame, fields: DataFrame, outputs: DataFrame, q
     a = materialize(a.withColumn("questionnaire", (F.col("shape") == "discrete") & F.col("key").isin([k for k, _ in questions or []])), "outputs")
     groups = _groups(a).filter(~F.col("skip")).join(a.select("answer_id", "session", "key", "wanted_speaker", "questionnaire"), "answer_id")
     groups = materialize(groups, "output-parts")
+    held = [groups]
     # pieces of evidence, one row each, under their group
     pieces = groups.filter("early is null").select(F.col("group").alias("answer_id"), "session", F.posexplode("evidence").alias("ordinal", "x"))
     pieces = pieces.select("answer_id", "ordinal", "session", F.col("x.segment").alias("segment"), strip_line_prefix(F.col("x.quote")).alias("quote"))
@@ -258,7 +270,10 @@ def verify_outputs(segments: DataFrame, fields: DataFrame, outputs: DataFrame, q
     status = F.coalesce("early_status", F.when(stays, "filled").when((F.col("shape") == "discrete") & F.col("first_reason").isNotNull(), "rejected").otherwise("insufficient_evidence"))
     parts = F.filter(F.transform("kept", lambda k: k["part"]), lambda p: p.isNotNull())
     value = F.when(F.size(parts) == 0, F.lit(None)).when(F.col("shape") == "narrative", F.array(F.array_join(parts, " "))).otherwise(parts)
-    return out.select(
+    result = out.select(
         "answer_id", "key", status.alias("status"), F.coalesce("early_reason", "first_reason").alias("reason"),
         value.alias("value"), F.coalesce(F.flatten(F.transform("kept", lambda k: k["q"])), F.array().cast(_EVIDENCE)).alias("evidence"),
     )
+    result = materialize(result, "verified")
+    release(a, groups, cited, moved, *held)
+    return result

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,6 +12,8 @@ FIELDS = ["details", "event", "hash", "prev", "seq", "session", "time"]
 SCHEMA = "details map<string,string>, event string, hash string, prev string, seq bigint, session string, time string"
 #: Fixed value: what the first entry follows.
 GENESIS = "0" * 64
+#: Where the chain puts the digest before and the place.
+_PREV, _SEQ = "prev", -1
 
 
 def canonical(entry: Column) -> Column:
@@ -28,10 +29,10 @@ def digest(entry: Column) -> Column:
 
 def write_entries(rows: DataFrame, path: str, order: str) -> None:
     """Rows (session, time, event, details) chained inside each session in ``order``, as JSON lines in a folder for
-    each session. Sessions are dealt to partitions and read row by row."""
-    names = ["session", "time", "event", "details"]
-    body = F.to_json(F.struct(*[(F.map_from_entries(F.array_sort(F.map_entries("details"))) if c == "details" else F.col(c)).alias(c) for c in sorted(names)]), {"ignoreNullFields": "false"})
-    dealt = rows.select("session", body.alias("body"), F.col(order).alias("o")).repartition("session").sortWithinPartitions("session", "o")
+    each session. Sessions are dealt to partitions and read row by row. The text of an entry is made by the same
+    expression that ``verify`` digests, with room left for what only the chain knows: the digest before and the place."""
+    entry = F.struct("details", "event", F.lit("").alias("hash"), F.lit(_PREV).alias("prev"), F.lit(_SEQ).alias("seq"), "session", "time")
+    dealt = rows.select("session", canonical(entry).alias("body"), F.col(order).alias("o")).repartition("session").sortWithinPartitions("session", "o")
 
     def run(batches):
         last, seq, prev = None, 0, GENESIS
@@ -41,10 +42,12 @@ def write_entries(rows: DataFrame, path: str, order: str) -> None:
                 if session != last:
                     last, seq, prev = session, 0, GENESIS
                 seq += 1
-                entry = json.loads(text) | {"hash": "", "prev": prev, "seq": seq}
-                plain = lambda e: json.dumps(e, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-                prev = hashlib.sha256(plain(entry).encode()).hexdigest()
-                lines.append(plain(entry | {"hash": prev}))
+                # the marks stand between keys that can't be in a string, where quotes are escaped
+                head, rest = text.split(f'"hash":"","prev":"{_PREV}","seq":{_SEQ},', 1)
+                filled = lambda own: f'{head}"hash":"{own}","prev":"{prev}","seq":{seq},{rest}'  # noqa: B023, E731
+                digest_ = hashlib.sha256(filled("").encode()).hexdigest()
+                lines.append(filled(digest_))
+                prev = digest_
             yield pa.RecordBatch.from_arrays([pa.array(sessions, pa.string()), pa.array(lines, pa.string())], names=["folder", "value"])
 
     dealt.mapInArrow(run, "folder string, value string").write.partitionBy("folder").text(path)
