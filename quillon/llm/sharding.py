@@ -1,16 +1,16 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups.
 
-Rows with equal texts are one group. Groups, largest first, enter the bin with the tightest remaining
-capacity that still holds them; bins are kept in a balanced tree by remaining capacity. Groups that are
-tiny beside a bin are tied to bundles by a hash first, whole groups all of them, and a bundle is packed
-like one group: what is packed are then at most ``2 * PIECES`` items for each bin, however many groups
-there are. Items of one size are interchangeable, so the packing works on runs of them.
+Rows with equal texts are one group. Groups, largest first, enter the bin with the tightest remaining capacity that still
+holds them; bins are kept in a balanced tree by remaining capacity. Groups of one size are interchangeable, so what is
+packed is the histogram of their sizes: runs of equal sizes go to bins, and each group takes its place by its rank among
+the groups of its size. Every group is packed with its own size. There are at most sqrt(2 * bytes) different sizes,
+however many groups; sizes that many groups have are split by a hash, so that ranks aren't counted in one task.
 
 ``capacity=`` opens bins of a fixed capacity as needed and so minimises their number; groups are dealt to
 parts of about ``PART_BINS`` bins by their hash, each of which is packed by a task of its own. ``shards=``
-fits a fixed number of bins: the smallest capacity is sought at which best-fit-decreasing needs no more
-bins than that, which makes the bins' sizes nearly equal. A group larger than an even share gets a bin
-of its own and the others share the rest. Only a sum reaches the driver.
+fits a fixed number of bins: capacities are tried from an even share upward, in steps that double, until
+best-fit-decreasing needs no more bins than that, which makes the bins' sizes nearly equal. A group larger than an even
+share gets a bin of its own and the others share the rest. Only a sum reaches the driver.
 
 Size of a row: UTF-8 bytes of the text plus 1; a null text counts no bytes and is in one group with empty
 texts. Null ids stay null. Repeated rows are rows of their own in the same group. Empty tables give empty
@@ -20,17 +20,15 @@ results. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.storage import materialize, read_table
+from quillon.storage import materialize, read_table, release
 
-#: A group below 1 / PIECES of a bin goes into a bundle; there are so many bundles for each bin.
-PIECES = 512
-PART_BINS = 64
+#: Bins that are packed together, and groups of one size whose ranks are counted together, about.
+PART_BINS, RANKED = 64, 20_000
 
 
 class CapacityTree:
@@ -118,36 +116,16 @@ def pack_into(cells: list[tuple[int, int, int]], bins: int) -> list[tuple[int, i
     skip = {}
     for size, salt, _, last, _ in runs:
         skip[size, salt] = last + 1
-    rest = bins - used
-    low, high = max(left[0][0], -(-total // rest)), max(left[0][0], -(-total // rest)) * 2
-    while pack_fixed(left, high, rest) is None:
-        low, high = high + 1, high * 2
-    while low < high:
-        middle = (low + high) // 2
-        if pack_fixed(left, middle, rest) is None:
-            low = middle + 1
-        else:
-            high = middle
-    for size, salt, first, last, bin_no in pack_fixed(left, high, rest):
+    rest, step = bins - used, 1
+    capacity = max(left[0][0], -(-total // rest))
+    while (found := pack_fixed(left, capacity, rest)) is None:
+        capacity, step = capacity + step, 2 * step
+    for size, salt, first, last, bin_no in found:
         n = skip.get((size, salt), 0)
         runs.append((size, salt, first + n, last + n, bin_no + used))
     return runs
 
 
-def pack_items(sizes: list[int], shards: int | None, capacity: int | None) -> list[int]:
-    """The bin of each item."""
-    of_size = defaultdict(list)
-    for k, size in enumerate(sizes):
-        of_size[size].append(k)
-    cells = [(size, 0, len(items)) for size, items in of_size.items()]
-    runs = pack_into(cells, shards) if shards else pack_fixed(cells, capacity)
-    out = [0] * len(sizes)
-    for size, _, first, last, bin_no in runs:
-        for k in of_size[size][first : last + 1]:
-            out[k] = bin_no
-    return out
-
-
 def assign(docs: DataFrame, shards: int | None = None, capacity: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, shard, slot (from 0 in each shard, no gaps).
     Give either the number of ``shards`` or the ``capacity`` of each in bytes."""
@@ -160,23 +138,29 @@ def assign(docs: DataFrame, shards: int | None = None, capacity: int | None = No
     total = groups.agg(F.sum("group_size")).first()[0] or 0
     bins = shards or -(-total // capacity) or 1
     parts = 1 if shards else -(-bins // PART_BINS)
-    # groups are tied to bundles of their part by other bits of the hash than those that choose the part
-    part, bundle = F.pmod(F.xxhash64("h"), F.lit(parts)), F.pmod(F.xxhash64("h", F.lit("bundle")), F.lit(max(1, bins * PIECES // parts)))
-    item = F.when(F.col("group_size") * PIECES * bins < total, F.concat(F.lit("bundle "), bundle)).otherwise(F.col("h"))
-    groups = groups.select("h", "group_size", part.cast("bigint").alias("part"), item.alias("item"))
+    part = F.pmod(F.xxhash64("h"), F.lit(parts)).cast("bigint")
+    groups = groups.withColumn("part", part)
+    # a size that many groups have gets several salts, whose ranks are counted apart
+    often = groups.groupBy("part", "group_size").agg(F.count("*").alias("n")).select("part", "group_size", (F.expr(f"n div {RANKED}") + 1).alias("salts"))
+    groups = groups.join(often, ["part", "group_size"]).withColumn("salt", F.pmod(F.xxhash64("h", F.lit("salt")), F.col("salts")))
+    rank = F.row_number().over(Window.partitionBy("part", "group_size", "salt").orderBy("h")) - 1
+    groups = materialize(groups.select("h", "part", "group_size", "salt", rank.alias("rank")), "shard-ranks")
 
     def pack(table):
-        table = table.sort_by([("item_size", "descending"), ("item", "ascending")])
-        found = pack_items(table.column("item_size").to_pylist(), shards, capacity)
-        return pa.Table.from_arrays([table.column("part"), table.column("item"), pa.array(found, pa.int64())], names=["part", "item", "bin"])
+        cells = list(zip(*(table.column(c).to_pylist() for c in ("group_size", "salt", "n")), strict=True))
+        runs = list(zip(*(pack_into(cells, shards) if shards else pack_fixed(cells, capacity)), strict=True))
+        names = ("group_size", "salt", "first", "last", "bin")
+        return pa.Table.from_pydict({"part": pa.array([table.column("part")[0].as_py()] * len(runs[0]), pa.int64())} | {c: pa.array(x, pa.int64()) for c, x in zip(names, runs, strict=True)})
 
-    items = groups.groupBy("part", "item").agg(F.sum("group_size").alias("item_size"))
-    packed = materialize(items.groupBy("part").applyInArrow(pack, "part bigint, item string, bin bigint"), "shard-items")
+    cells = groups.groupBy("part", "group_size", "salt").agg(F.count("*").alias("n"))
+    packed = materialize(cells.groupBy("part").applyInArrow(pack, "part bigint, group_size bigint, salt bigint, first bigint, last bigint, bin bigint"), "shard-runs")
     # one row for each part: the bins of the parts before it
     used = packed.groupBy("part").agg((F.max("bin") + 1).alias("n"))
     used = used.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    bin_of = packed.join(used, "part").select("part", "item", (F.col("before") + F.col("bin")).cast("int").alias("shard"))
-    placed = materialize(rows.join(groups.join(bin_of, ["part", "item"]).select("h", "shard"), "h"), "shard-placed")
+    bin_of = packed.join(used, "part").select("part", "group_size", "salt", "first", "last", (F.col("before") + F.col("bin")).cast("int").alias("shard"))
+    in_bins = groups.join(bin_of, ["part", "group_size", "salt"]).filter(F.col("rank").between(F.col("first"), F.col("last")))
+    placed = materialize(rows.join(in_bins.select("h", "shard"), "h"), "shard-placed")
+    release(groups, packed, rows)
     # slots: a running number inside small blocks of a shard, from the sum of the blocks before
     blocks = max(64, placed.count() // 100_000)
     placed = placed.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(blocks)).cast("int"))

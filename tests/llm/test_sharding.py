@@ -87,17 +87,25 @@ def test_query_against_its_rules(spark):
     assert max(load.values()) <= 1.01 * min(load.values())
 
 
-@given(st.lists(st.integers(1, 90), max_size=80), st.integers(30, 120))
-def test_items_against_plain_packing(sizes, capacity):
-    found, load = sharding.pack_items(sizes, None, capacity), Counter()
-    for size, bin_no in zip(sizes, found, strict=True):
-        load[bin_no] += size
-    assert sorted(max(capacity, n) - n for n in load.values()) == best_fit_decreasing(sizes, capacity)
-
-
-def test_parts_and_bundles(spark, monkeypatch):
-    """Few pieces and bins for each part: most groups are in bundles, and shards of all parts are numbered on."""
-    monkeypatch.setattr(sharding, "PIECES", 8)
+def test_bins_against_plain_packing_of_all_groups(spark):
+    """The query's bins at sf0.1 are those of best-fit-decreasing over every group with its own size."""
+    sf = "/root/testdata/sf0.1"
+    load, sizes = Counter(), Counter()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    for r in sharding.op3_bin_packing(spark, sf).select("doc_id", "shard", "size").collect():
+        load[r.shard] += r.size
+        sizes[texts[r.doc_id]] += r.size
+    even = sum(sizes.values()) / 16
+    assert max(sizes.values()) < even  # no group needs a bin alone, so one capacity holds for all
+    capacity, step = -(-sum(sizes.values()) // 16), 1
+    while len(want := best_fit_decreasing(sizes.values(), capacity)) > 16:
+        capacity, step = capacity + step, 2 * step
+    assert sorted(capacity - n for n in load.values()) == want
+
+
+def test_parts_and_salts(spark, monkeypatch):
+    """Few bins for each part and few groups for each salt: shards of all parts are numbered on."""
+    monkeypatch.setattr(sharding, "RANKED", 3)
     monkeypatch.setattr(sharding, "PART_BINS", 2)
     rng = random.Random(5)
     docs = [(i, "".join(rng.choice("abcd") for _ in range(rng.randint(0, 60)))) for i in range(900)] + [(2000, "x" * 5000), (2001, None)]
