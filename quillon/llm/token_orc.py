@@ -13,36 +13,35 @@ ordered by their text's hash and are documents of their own. Empty tables give e
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer, pre_tokenizers
+from tokenizers import Tokenizer
 
 from quillon.llm.byte_bpe import _slices
-from quillon.llm.unit_cache import UnitCache
+from quillon.llm.unit_cache import UNEVEN, cut
 from quillon.storage import materialize, new_path, read_table
 
 END_ID = 2
 INDEX_STRIDE = 1_000
 STRIPE_BYTES = 64 << 20
 SCHEMA = "part int, seq bigint, doc_id bigint, n_tokens bigint, ids array<int>"
-#: Words of these letters only are one pre-token with the space before them.
-PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
-#: So many pre-tokens are joined to a text for the tokeniser: one call for each costs more.
-JOINED = 200
-#: Bytes of text encoded at a time, and about what the caches of units and of pre-tokens may take.
-SLICE_BYTES, UNIT_CACHE_BYTES, PIECE_CACHE = 3_000_000, 110_000_000, 200_000
-#: Fixed value: the pre-tokens of this family of vocabularies.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Units joined to one text for the library, and such texts in one call.
+JOINED, AT_ONCE = 300, 40
+#: Bytes of text encoded at a time.
+SLICE_BYTES = 8_000_000
+#: White space of any kind at the end.
+ENDS_IN_SPACE = UNEVEN.removesuffix(" ") + r"\z"
 #: Characters whose classes don't change with the version of Unicode; other units are cut by the library.
 LATIN = re.compile("[\x00-\u024f]*")
 
@@ -62,54 +61,64 @@ def load(tokenizer_path: str) -> Tokenizer:
 
 
 class Encoder:
-    """Ids of whole texts. Texts that hold the string of an added token are handed to the library as they are; all
-    others are cut into units, units into pre-tokens, and each pre-token is encoded by the library once."""
+    """Ids of whole texts. Where the file has a byte-level pre-tokeniser and no normaliser, texts are cut into units, and
+    each distinct unit is encoded by the library once, many of them joined to one text; texts that hold the string of an
+    added token, and all texts of other files, are handed to the library as they are."""
 
     def __init__(self, tokenizer_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.whole, self.spelled = load(tokenizer_path), load(tokenizer_path)
+        self.whole = load(tokenizer_path)
+        with open(tokenizer_path, encoding="utf-8") as file:
+            spec = json.load(file)
+        pre = spec["pre_tokenizer"] or {}
+        self.cuttable = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        # spelled pre-tokens need no more cutting than at line feeds, which they don't hold, and don't come twice
-        self.spelled.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
-        if hasattr(self.spelled.model, "_resize_cache"):
-            self.spelled.model._resize_cache(0)
         self.n_bytes = np.array([len(self.whole.id_to_token(i) or "") for i in range(self.whole.get_vocab_size())], np.int64)
-        self.pieces: dict[str, bytes] = {}
-        self.cache = UnitCache(self.encode_spaced, self.encode_whole, UNIT_CACHE_BYTES)
 
     def encode_whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Distinct pre-tokens are spelled and joined to texts; the ids of a text are cut where their bytes end."""
-        spelled = [p.encode().decode("latin-1").translate(SPELLED) for p in pieces]
-        groups, out = [spelled[k : k + JOINED] for k in range(0, len(spelled), JOINED)], []
-        for group, e in zip(groups, self.spelled.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            cuts = (4 * np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(np.fromiter(map(len, group), np.int64))) + 4).tolist()
-            raw = ids.tobytes()
-            out += [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
-        return out
-
-    def encode_spaced(self, units: list[str]) -> list[bytes]:
-        """Ids of distinct units with a space put before each."""
-        if len(self.pieces) > PIECE_CACHE:
-            self.pieces = {}
-        known, is_plain, is_latin, find = self.pieces, PLAIN.fullmatch, LATIN.fullmatch, PIECES.findall
-        # a unit is one pre-token, a list of them, or nothing if the library has to cut it
-        cut = [f" {u}" if is_plain(u) else find(f" {u}") if is_latin(u) else None for u in units]
-        new = [c for c in cut if type(c) is str and c not in known]
-        new = list(dict.fromkeys(new + [p for c in cut if type(c) is list for p in c if p not in known]))
-        known.update(zip(new, self.encode_pieces(new), strict=True))
-        others = [u for u, c in zip(units, cut, strict=True) if c is None]
-        apart = iter(self.encode_whole([f" {u}" for u in others]))
-        return [known[c] if type(c) is str else next(apart) if c is None else b"".join([known[p] for p in c]) for c in cut]
+    def encode_spaced(self, units: pa.StringArray) -> pa.LargeBinaryArray:
+        """Ids of distinct units with a space put before each. Units that end in a non-space character are joined; the
+        joined text is cut at the same places again, so its ids are the units' ids, and end where their bytes end."""
+        alone = pc.or_(pc.equal(pc.binary_length(units), 0), pc.match_substring_regex(units, ENDS_IN_SPACE)).to_numpy(zero_copy_only=False)
+        order = np.concatenate([np.flatnonzero(~alone), np.flatnonzero(alone)])
+        given, n, ids = units.take(pa.array(order)).to_pylist(), int((~alone).sum()), [np.zeros(0, "<u4")]
+        texts = [" " + " ".join(given[at : min(at + JOINED, n)]) for at in range(0, n, JOINED)] + [f" {u}" for u in given[n:]]
+        for at in range(0, len(texts), AT_ONCE):
+            ids.append(np.fromiter(chain.from_iterable([e.ids for e in self.whole.encode_batch_fast(texts[at : at + AT_ONCE], add_special_tokens=False)]), "<u4"))
+        flat = np.concatenate(ids)
+        sizes = pc.binary_length(units).to_numpy().astype(np.int64)[order] + 1
+        ends = np.searchsorted(np.cumsum(self.n_bytes[flat]), np.cumsum(sizes)) + 1
+        offsets = 4 * np.concatenate([[0], ends])
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(order), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(flat.tobytes())])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return found.take(pa.array(place))
+
+    def encode_plain(self, texts: list[str]) -> list[np.ndarray]:
+        """Texts without added tokens, as units: each distinct one is encoded once for all of them."""
+        if not texts:
+            return []
+        units, begins = cut(texts)
+        is_first = np.zeros(len(units), bool)
+        is_first[begins] = True
+        rest = pc.if_else(pa.array(is_first), pa.scalar(None, pa.string()), units).dictionary_encode()
+        firsts = self.encode_whole(units.take(pa.array(begins)).to_pylist())  # no space stands before these
+        pool = pa.concat_arrays([self.encode_spaced(rest.dictionary), pa.array(firsts, pa.large_binary())])
+        code = rest.indices.fill_null(0).to_numpy().copy()
+        code[begins] = len(rest.dictionary) + np.arange(len(texts), dtype=code.dtype)
+        joined = pool.take(pa.array(code))
+        offsets = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset :] // 4
+        flat = np.frombuffer(joined.buffers()[2] or b"", "<u4")
+        ends = np.append(offsets[begins[1:]], offsets[len(joined)])
+        return [flat[a:b] for a, b in zip([offsets[0], *ends[:-1]], ends, strict=True)]
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        array, special = pa.array(texts, pa.string()), np.zeros(len(texts), bool)
+        array, special = pa.array(texts, pa.string()), np.full(len(texts), not self.cuttable)
         for content in self.added:
             special |= pc.match_substring(array, content).to_numpy(zero_copy_only=False)
-        plain = iter(self.cache.encode_many([t for t, s in zip(texts, special, strict=True) if not s]))
+        plain = iter(self.encode_plain([t for t, s in zip(texts, special, strict=True) if not s]))
         whole = iter(self.encode_whole([t for t, s in zip(texts, special, strict=True) if s]))
         return [np.frombuffer(next(whole), "<u4") if s else next(plain) for s in special]
 

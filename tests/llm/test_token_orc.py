@@ -38,8 +38,17 @@ def test_added_tokens_are_those_of_the_library():
     assert got == [ids[:-1] for ids in reference(enumerate(texts))] and got[0] == [64, 220, 50256, 275]
 
 
-def test_pre_tokens_equal_whole_texts(monkeypatch):
-    monkeypatch.setattr(token_orc, "PIECE_CACHE", 50)
+def test_files_with_other_pre_tokenisers_get_whole_texts():
+    """A vocabulary whose texts can't be cut like that is given to the library as it is."""
+    path, texts = public_tokenizers.path("word_bpe_49k.json"), ["Some words  here", "", "<|endoftext|> É e\u0301"]
+    encoder = token_orc.Encoder(path)
+    assert not encoder.cuttable and token_orc.Encoder(PATH).cuttable
+    assert [x.tolist() for x in encoder.encode_many(texts)] == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_units_equal_whole_texts(monkeypatch):
+    monkeypatch.setattr(token_orc, "JOINED", 7)
+    monkeypatch.setattr(token_orc, "AT_ONCE", 2)
     rng, parts = random.Random(2), ["we'll", "it's", "'S", "l'été", "naïve,", "x.\nY", "3.14", "a1b2", "\n\n", "\t", " ", "  ", "...", "?!", "漢字", "かな", "🙂", "ﬁ", "½", "\u00a0", "\u2028", "Ĳ", "Straße", "###", "don’t", "word"]
     texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " ", "\n"]) for _ in range(rng.randrange(60))) for _ in range(400)]
     encoder = token_orc.Encoder(PATH)
