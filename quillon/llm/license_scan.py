@@ -2,8 +2,9 @@
 
 Texts are cut into sentences twice, once at line ends and once across single line ends (licence texts
 are often wrapped). Each sentence is normalised (ASCII letters and digits, lower case, single spaces)
-and mapped to the identifier of a known licence sentence, if it is one. What is left of a text is a
-sequence of identifiers; the licence rules, in their order, are looked for in that sequence, and what a
+and mapped to the identifier of a known licence sentence, if it is one; any other sentence of more than ``GAP_WORDS`` words is a gap, shorter ones (the number of a clause) part
+nothing. What is left of a text is a sequence of identifiers and gaps; the licence rules, in their order, are looked for
+in that sequence, so their sentences have to follow each other without a gap, and what a
 rule has matched is gone for the rules after it. All of it is expressions on one row: nothing is
 shuffled, and texts without any cue word are skipped (the cues are found from the table of sentences, so
 that every sentence holds one). Sentences and rules are parameters.
@@ -79,6 +80,8 @@ RULES = [
     ("Unlicense", ["unlicense"]),
 ]
 
+#: Longer sentences that no rule knows part what stands around them.
+GAP_WORDS = 3
 #: A sentence ends at marks before white space or the end of the text, and at line ends.
 BY_LINE = r"[.!?:;]+(?:[ \n]+|$)|\n+"
 ACROSS_LINES = r"[.!?:;]+(?:[ \n]+|$)|\n\n+"
@@ -123,11 +126,14 @@ def plain_breaks(text: Column) -> Column:
 
 
 def sequence(text: Column, pattern: str, known: Column) -> Column:
-    """The identifiers of the known sentences in text order, as ``;a;;b;``."""
+    """The identifiers of the known sentences in text order, as ``;a;;b;``, with ``~`` for each gap; without any known
+    sentence it is empty."""
     sentences = F.split(text, pattern)
     plain = F.transform(sentences, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    ids = F.filter(F.transform(plain, lambda s: F.element_at(known, s)), lambda i: i.isNotNull())
-    return F.array_join(F.transform(ids, lambda i: F.concat(F.lit(";"), i, F.lit(";"))), "")
+    gap = lambda s: F.when(F.size(F.split(s, " ")) > GAP_WORDS, "~").otherwise("")
+    marks = F.transform(plain, lambda s: F.coalesce(F.concat(F.lit(";"), F.element_at(known, s), F.lit(";")), gap(s)))
+    found = F.array_join(marks, "")
+    return F.when(found.contains(";"), found).otherwise("")
 
 
 def matches(identifiers: Column, rules: Column) -> Column:
@@ -172,10 +178,10 @@ def oracle() -> str:
     sql = f"WITH known(sentence, ident) AS (VALUES {known})"
     for cut, pattern in (("by_line", BY_LINE), ("across", ACROSS_LINES)):
         sql += f""", {cut}_s AS (
-  SELECT doc_id, generate_subscripts(s, 1) AS k, unnest(s) AS x FROM (SELECT doc_id, regexp_split_to_array(text, {_quoted(pattern)}) AS s FROM documents)
+  SELECT doc_id, generate_subscripts(s, 1) AS k, unnest(s) AS x FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[^\\S\\n]', ' ', 'g'), {_quoted(pattern)}) AS s FROM documents)
 ), {cut}_0 AS (
-  SELECT doc_id, string_agg(';' || ident || ';', '' ORDER BY k) AS q
-  FROM {cut}_s JOIN known ON sentence = trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) GROUP BY doc_id
+  SELECT doc_id, string_agg(CASE WHEN ident IS NOT NULL THEN ';' || ident || ';' WHEN len(string_split(plain, ' ')) > {GAP_WORDS} THEN '~' ELSE '' END, '' ORDER BY k) AS q
+  FROM (SELECT *, trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) AS plain FROM {cut}_s) LEFT JOIN known ON sentence = plain GROUP BY doc_id
 )"""
         for k, (_, ids) in enumerate(rule_sequences()):
             sql += f", {cut}_{k + 1} AS (SELECT doc_id, replace(q, {_quoted(ids)}, '|') AS q, (length(q) - length(replace(q, {_quoted(ids)}, '|'))) // {len(ids) - 1} AS n FROM {cut}_{k})"

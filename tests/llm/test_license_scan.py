@@ -32,7 +32,7 @@ def test_rules_in_order(spark):
     ]
     docs = spark.createDataFrame([(*t, "x") for t in texts], "doc_id bigint, text string, license string")
     got = sorted(((r.doc_id or -1), r.license, r.n_matches) for r in ls.scan(docs).collect())
-    # what stands between known sentences, the numbers of clauses for one, parts nothing
+    # the numbers of clauses part nothing
     assert got == [
         (-1, "CC-BY-4.0", 1), (1, "MIT", 1), (2, "BSD-2-Clause", 1), (3, "BSD-3-Clause", 1), (5, "GPL-2.0-or-later", 1),
         (6, "Apache-2.0", 1), (6, "CC-BY-NC-4.0", 2), (6, "MIT", 1),
@@ -50,3 +50,14 @@ def test_line_ends_and_white_space(spark):
         lambda x: x, lambda x: x.replace("\n", "\r\n"), lambda x: x.replace("\n", "\r"), lambda x: x.replace(".\n", ".\t\n").replace(":\n", ":\t\n").replace("; ", ";\t")))]
     got = sorted((r.doc_id, r.license, r.n_matches) for r in ls.scan(spark.createDataFrame(texts, "doc_id bigint, text string")).collect())
     assert got == [(k, "MIT" if k < 4 else "GPL-2.0-or-later", 1) for k in range(8)]
+
+
+def test_gaps_part_a_rule(spark):
+    """Sentences of a rule with another one between them aren't that rule; a short one doesn't matter."""
+    S = ls.SENTENCES
+    texts = [
+        (1, f"{S['mit_grant']}. This is an unrelated sentence. {S['mit_condition']}."), (2, f"{S['mit_grant']}. Note well. {S['mit_condition']}."),
+        (3, f"{S['gpl2_free']}. Something else stands here today. {S['gpl_hope']}."), (4, "An unrelated sentence with the license in it. Nothing more than that here."),
+    ]
+    got = sorted(tuple(r) for r in ls.scan(spark.createDataFrame(texts, "doc_id bigint, text string")).collect())
+    assert got == [(2, "MIT", 1), (3, "GPL-2.0-or-later", 1)]
