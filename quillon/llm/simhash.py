@@ -3,13 +3,15 @@
 Fingerprint: for each bit, whether more than half of the hashes of the text's word shingles have it.
 Two fingerprints are linked if they differ in at most ``threshold`` bits.
 
-The anchors are the code words of one or two binary Golay codes on the first 23 (46) bits. A Golay code
-is perfect: each 23-bit word has exactly one code word within 3 bits, so the covering radius is 3 for
-each code. A fingerprint's home is its nearest anchor, at most the radius away; a fingerprint within the
+The anchors are the code words of a binary Golay code on the first 23 bits. A Golay code
+is perfect: each 23-bit word has exactly one code word within 3 bits, so the covering radius is 3. A fingerprint's home
+is its nearest anchor, at most the radius away; a fingerprint within the
 threshold of it is then within radius + threshold of that home. So every fingerprint is copied to all
 anchors within radius + threshold, and at each anchor the fingerprints at home there are compared with
-all that came. Each linked pair meets at the home of either. The result doesn't depend on the number of
-codes; two are taken beyond ``TWO_CODES`` distinct fingerprints, where 4096 anchors would be crowded.
+all that came. Each linked pair meets at the home of either. An anchor that more than ``CROWDED`` fingerprints are at
+home at is covered again by the same code on the next 23 bits: what comes there goes on to the pairs of anchors within
+twice the radius + threshold in all. The result doesn't depend on which anchors are. There are 4096 anchors, whose counts
+reach the driver.
 
 Copies travel as packed arrays, one row for each bucket of anchors and block of fingerprints. Each anchor
 hands on a spanning forest of its links, not all pairs.
@@ -36,7 +38,8 @@ from quillon.storage import materialize, read_table, release
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-TWO_CODES = 4_000_000
+#: Fingerprints at home at an anchor beyond which it is covered again.
+CROWDED = 4_000
 BITS, RADIUS = 23, 3
 #: Generator polynomial of the binary Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
@@ -85,7 +88,7 @@ def _syndrome(words: np.ndarray) -> np.ndarray:
     return left
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=3)
 def near_anchors(reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each syndrome the offsets to all anchors within ``reach``, nearest first: offsets[at[s]:at[s + 1]]
     with their distances. word XOR offset is the anchor."""
@@ -104,28 +107,46 @@ def _ragged(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def anchors_of(fps: np.ndarray, codes: int, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All (row, anchor, is home) within the covering radius plus threshold of each fingerprint."""
-    reach = codes * RADIUS + threshold
+def anchors_of(fps: np.ndarray, threshold: int, crowded: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All (row, anchor, is home) within the covering radius plus threshold of each fingerprint; of anchors that are
+    ``crowded`` instead the pairs of anchors within twice the radius plus threshold, the second one above the first."""
+    reach = 2 * RADIUS + threshold if len(crowded) else RADIUS + threshold
     at, offsets, weights = near_anchors(reach)
-    words = [(fps >> np.uint64(BITS * c) & np.uint64((1 << BITS) - 1)).astype(np.uint32) for c in range(codes)]
-    syndromes = [_syndrome(w) for w in words]
-    starts, sizes = at[:-1], np.diff(at)
+    word = lambda k: (fps >> np.uint64(BITS * k) & np.uint64((1 << BITS) - 1)).astype(np.uint32)
     # number of anchors of each syndrome within each distance
     within = np.zeros((2048, reach + 1), np.int64)
-    np.add.at(within, (np.repeat(np.arange(2048), sizes), weights), 1)
+    np.add.at(within, (np.repeat(np.arange(2048), np.diff(at)), weights), 1)
     within = within.cumsum(1)
-    if codes == 1:
-        rows, k = _ragged(sizes[syndromes[0]])
-        pick = starts[syndromes[0][rows]] + k
-        return rows, (words[0][rows] ^ offsets[pick]).astype(np.uint64), k == 0
-    first, k0 = _ragged(sizes[syndromes[0]])
-    pick0 = starts[syndromes[0][first]] + k0
-    second, k1 = _ragged(within[syndromes[1][first], reach - weights[pick0]])
-    rows = first[second]
-    pick1 = starts[syndromes[1][rows]] + k1
-    low, high = words[0][rows] ^ offsets[pick0[second]], words[1][rows] ^ offsets[pick1]
-    return rows, low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(BITS), (k0[second] == 0) & (k1 == 0)
+    first, second = word(0), word(1)
+    syndrome = _syndrome(first)
+    row, nth = _ragged(within[syndrome, RADIUS + threshold])
+    pick = at[syndrome[row]] + nth
+    anchor, home = first[row] ^ offsets[pick], nth == 0
+    again = np.isin(anchor, crowded)
+    if not again.any():
+        return row, anchor.astype(np.uint64), home
+    split, left = np.flatnonzero(again), np.flatnonzero(~again)
+    other = _syndrome(second)[row[split]]
+    k, nth = _ragged(within[other, reach - weights[pick[split]]])
+    above = second[row[split[k]]] ^ offsets[at[other[k]] + nth]
+    key = anchor[split[k]].astype(np.uint64) | (above.astype(np.uint64) + np.uint64(1)) << np.uint64(BITS)
+    return np.concatenate([row[left], row[split[k]]]), np.concatenate([anchor[left].astype(np.uint64), key]), np.concatenate([home[left], home[split[k]] & (nth == 0)])
+
+
+def crowded_anchors(distinct: DataFrame, crowded: int = CROWDED) -> np.ndarray:
+    """The anchors that more than ``crowded`` distinct fingerprints (fp) are at home at."""
+
+    def run(batches):
+        at, offsets, _ = near_anchors(RADIUS)
+        total = {}
+        for batch in batches:
+            word = (batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64((1 << BITS) - 1)).astype(np.uint32)
+            for a, n in zip(*np.unique(word ^ offsets[at[_syndrome(word)]], return_counts=True), strict=True):
+                total[int(a)] = total.get(int(a), 0) + int(n)
+        yield pa.RecordBatch.from_pydict({"anchor": pa.array(list(total), pa.int64()), "n": pa.array(list(total.values()), pa.int64())})
+
+    counts = distinct.select("fp").mapInArrow(run, "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n"))
+    return np.array([r["anchor"] for r in counts.filter(F.col("n") > crowded).collect()], np.uint32)
 
 
 def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,21 +186,20 @@ def _links(home: np.ndarray, came: np.ndarray, threshold: int, block: int = 1 <<
     return _forest(np.concatenate(u), np.concatenate(v)) if len(u) > 1 else (u[0], v[0])
 
 
-def near_links(distinct: DataFrame, threshold: int = 3, codes: int | None = None, n_fps: int | None = None) -> DataFrame:
+def near_links(distinct: DataFrame, threshold: int = 3, crowded: int = CROWDED, n_fps: int | None = None) -> DataFrame:
     """From distinct fingerprints (fp) to links (u, v) that connect all pairs within the threshold."""
-    spark = distinct.sparkSession
     n_fps = distinct.count() if n_fps is None else n_fps
-    codes = codes or (2 if n_fps > TWO_CODES else 1)
+    full = crowded_anchors(distinct, crowded)
     blocks = max(1, n_fps // 50_000)
-    buckets = min(4096, max(64, n_fps // 2_000)) if codes == 1 else max(64, n_fps // 2_000)
+    buckets = max(64, n_fps // 2_000)
     placed = distinct.withColumn("block", F.pmod(F.xxhash64("fp"), F.lit(blocks)))
 
     def copies(batches):
         for batch in batches:
             all_fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            for k in range(0, len(all_fps), 10_000 // (1 if codes == 1 else 4)):
-                fps = all_fps[k : k + 10_000 // (1 if codes == 1 else 4)]
-                rows, anchor, home = anchors_of(fps, codes, threshold)
+            for k in range(0, len(all_fps), 2_500 if len(full) else 10_000):
+                fps = all_fps[k : k + (2_500 if len(full) else 10_000)]
+                rows, anchor, home = anchors_of(fps, threshold, full)
                 # a multiplier spreads the anchors over the buckets
                 bucket = ((anchor * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
@@ -206,11 +226,11 @@ def near_links(distinct: DataFrame, threshold: int = 3, codes: int | None = None
     return packed.groupBy("bucket").applyInArrow(compare, "u bigint, v bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, threshold: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", codes: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED) -> DataFrame:
     """One row per input row: doc_id, fp, component_id (the least doc_id of the documents that are linked, in any number of steps)."""
     rows = materialize(fingerprints(docs, shingle, 42, id_col, text_col), "fingerprints")
     classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    found = components(near_links(classes.select("fp"), threshold, codes, classes.count()))
+    found = components(near_links(classes.select("fp"), threshold, crowded, classes.count()))
     found = found.select(F.col("node").alias("fp"), "component")
     classes = classes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     heads = classes.groupBy("component").agg(F.min("least").alias("component_id"))

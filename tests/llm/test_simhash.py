@@ -62,8 +62,8 @@ def test_links_against_brute_force(spark):
     fps = list(dict.fromkeys(fps))
     frame = spark.createDataFrame([(x - 2**64 if x >> 63 else x,) for x in fps], "fp bigint")
     want = brute_components(list(enumerate(fps)))
-    for codes in (1, 2):
-        found = {unsigned(r.node): unsigned(r.component) for r in components(simhash.near_links(frame, codes=codes)).collect()}
+    for crowded in (simhash.CROWDED, 1, 0):
+        found = {unsigned(r.node): unsigned(r.component) for r in components(simhash.near_links(frame, crowded=crowded)).collect()}
         groups, expected = {}, {}
         for i, f in enumerate(fps):
             groups.setdefault(found.get(f, f), set()).add(f)
