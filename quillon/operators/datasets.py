@@ -118,3 +118,14 @@ def kept_share(carried: DataFrame) -> DataFrame:
     """Session, kept, candidates (labels that agreed before) and their share."""
     out = carried.groupBy("session").agg(F.count_if("agree").alias("kept"), F.count_if("was").alias("candidates"))
     return out.withColumn("share", F.when(F.col("candidates") > 0, F.col("kept") / F.col("candidates")))
+
+
+def kept_topics(facts: DataFrame, keys: list[str], segments: int) -> DataFrame:
+    """Facts (keys, topic, discussed, segment from 0) to what each of a session's segments must not bring up: keys,
+    segment, never (topics that aren't discussed at all) and later (those of the segments after it), each topic once."""
+    per = facts.groupBy(*keys).agg(
+        F.array_sort(F.collect_set(F.when(~F.col("discussed"), F.col("topic")))).alias("never"), F.collect_set(F.when(F.col("discussed"), F.struct("segment", "topic"))).alias("said")
+    )
+    rows = per.select("*", F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("segment"))
+    later = F.array_sort(F.array_distinct(F.transform(F.filter("said", lambda x: x["segment"] > F.col("segment")), lambda x: x["topic"])))
+    return rows.select(*keys, "segment", "never", later.alias("later"))

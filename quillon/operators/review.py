@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from quillon.functions.text import NUMBER_WORDS, word_error_rate
+from quillon.operators.timeline import overlapping
 
 
 def review_rows(results: DataFrame, reports: DataFrame, fields: DataFrame, keys: list[str], field_key: str) -> DataFrame:
@@ -170,15 +171,43 @@ def entity_error_rate(reference: pa.Array, heard: pa.Array) -> pa.Array:
     return pa.array([entity_error(a, b) for a, b in zip(reference.to_pylist(), heard.to_pylist(), strict=True)], pa.float64())
 
 
-def transcript_errors(reference: DataFrame, heard: DataFrame, keys: list[str], engine: str, text: str) -> DataFrame:
-    """Word and entity error rates of each engine's text for each key; a key that an engine lacks has null rates."""
-    engines = heard.select(engine).distinct()  # a handful of names
-    rows = reference.select(*keys, F.col(text).alias("__reference")).join(F.broadcast(engines)).join(heard.select(*keys, engine, F.col(text).alias("__heard")), [*keys, engine], "left")
+#: Engines that are compared at once.
+MOST_ENGINES = 100
+
+
+def transcript_errors(reference: DataFrame, heard: DataFrame, keys: list[str], engine: str, text: str, engines: list[str] | None = None) -> DataFrame:
+    """Word and entity error rates of each engine's text for each key; a key that an engine lacks has null rates.
+    ``engines`` are those that were heard if none are given, MOST_ENGINES at most."""
+    if engines is None:
+        engines = [r[0] for r in heard.select(engine).filter(F.col(engine).isNotNull()).distinct().limit(MOST_ENGINES + 1).collect()]
+    if len(engines) > MOST_ENGINES:
+        raise ValueError(f"more than {MOST_ENGINES} engines")
+    each = F.explode(F.array(*[F.lit(e) for e in engines]).cast("array<string>")).alias(engine)
+    rows = reference.select(*keys, F.col(text).alias("__reference"), each).join(heard.select(*keys, engine, F.col(text).alias("__heard")), [*keys, engine], "left")
     missing = F.col("__heard").isNull()
     rates = F.when(~missing, word_error_rate("__reference", "__heard")).alias("wer"), F.when(~missing, entity_error_rate("__reference", "__heard")).alias("entity_error")
     return rows.select(*keys, engine, *rates)
 
 
+def probe_errors(reference: DataFrame, heard: DataFrame, session: str, shift: float, seconds: float, slack: float = 0.5) -> DataFrame:
+    """Reference lines and heard segments (session, speaker, start, end, text) to word error rate and missed lines of
+    each speaker. Reference times are those of a file: lines that end by ``seconds`` count, ``shift`` later on the session's
+    clock. A line is missed if nothing of its speaker was heard within ``slack`` of it."""
+    keys = [session, "speaker"]
+    lines = reference.filter(F.col("end") < seconds).withColumn("start", F.col("start") + shift).withColumn("end", F.col("end") + shift)
+    strictly = (F.col("r.start") < F.col("l.end") + slack) & (F.col("r.end") > F.col("l.start") - slack)
+    lost = overlapping(lines, heard, keys, 60.0, slack, "left_anti", strictly).groupBy(*keys).agg(F.count("*").alias("missed"))
+    joined = lambda df, name: df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end", "text"))).alias("x")).select(*keys, F.array_join(F.transform("x", lambda s: s["text"]), " ").alias(name))
+    rows = joined(lines, "__wanted").join(joined(heard, "__heard"), keys, "left").join(lost, keys, "left")
+    return rows.select(*keys, word_error_rate("__wanted", F.coalesce("__heard", F.lit(""))).alias("wer"), F.coalesce("missed", F.lit(0)).alias("missed"))
+
+
+def worst_backlog(lanes: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """Seconds that wait in the lane where most do; no lane is nothing waiting."""
+    each = lanes.groupBy(*keys, "lane").agg(F.sum(F.col(end) - F.col(start)).alias("__waiting"))
+    return each.groupBy(*keys).agg(F.coalesce(F.max("__waiting"), F.lit(0)).alias("backlog"))
+
+
 def status_histogram(results: DataFrame) -> DataFrame:
     """Results by status and reason, every row counted."""
     return results.groupBy("status", "reason").agg(F.count("*").alias("n"))

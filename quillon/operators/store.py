@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.values import is_safe_path
+
 
 def upsert(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of ``new`` take the place of stored rows with their key."""
@@ -96,3 +98,16 @@ def live_digests(*registrations: DataFrame) -> DataFrame:
     for more in registrations[1:]:
         out = out.unionByName(more.select("sha256"))
     return out.filter("sha256 is not null").distinct()
+
+
+def custom_manifests(models: DataFrame) -> DataFrame:
+    """Manifests for models that users bring: models (url, sha256, size, display_name, format, min_ram_gb) to the columns
+    of a manifest with one file; those without a url are local and have none. A file's name is that of the url if it may be
+    a part of a path, else the format's."""
+    name = F.regexp_extract("url", r"([^/?#]*)(?:[?#].*)?$", 1)
+    path = F.when(is_safe_path(name) & (name != ""), name).otherwise(F.concat(F.lit("model."), "format"))
+    return models.filter(F.col("url").isNotNull()).select(
+        F.concat(F.lit("custom-"), F.substring("sha256", 1, 16)).alias("id"), "display_name", "format", F.regexp_extract("url", "^[a-z]+://([^/?#:]+)", 1).alias("source"),
+        F.concat(F.lit("sha256-"), "sha256").alias("revision"), F.lit("unknown (user-supplied)").alias("license"), F.coalesce("min_ram_gb", F.lit(0)).alias("min_ram_gb"),
+        path.alias("path"), "url", "sha256", "size", F.lit(False).alias("validated"),
+    )

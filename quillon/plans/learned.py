@@ -8,7 +8,7 @@ from quillon.functions import dynamic as D
 from quillon.functions import patterns as P
 from quillon.functions import text as T
 from quillon.functions import values as V
-from quillon.operators import datasets, forms, heads, placement, verifier
+from quillon.operators import datasets, heads, placement, review, store, verifier
 from quillon.plans.verification import _segments
 from quillon.sources import records
 from quillon.storage import new_path, read_table
@@ -266,11 +266,41 @@ def k14_ordered_json(spark, sf):
     return rows.select("l_orderkey", F.md5("document").alias("digest"), F.array_join(F.map_keys(back), "|").alias("keys"), F.array_join(F.transform(F.map_values(parts), lambda p: p["part"].cast("string")), "|").alias("parts"))
 
 
+# --- R09, A29, R22, P27: smaller operators --------------------------------------------------------------------------------
+
+
+def r09_probe(spark, sf):
+    """Turns as lines of a reference file; heard two seconds later, every third one late and every third not at all: the missed lines."""
+    rows = read_table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("role") == "assistant", "worker").otherwise("client").alias("speaker"), "text")
+    lines = rows.select("conv_id", "speaker", (F.col("turn") * 5.0).alias("start"), (F.col("turn") * 5.0 + 4).alias("end"), "text")
+    late = F.when(F.col("turn") % 3 == 1, 60.0).otherwise(0.0)
+    heard = rows.filter("turn % 3 < 2").select("conv_id", "speaker", (F.col("turn") * 5.0 + 2 + late).alias("start"), (F.col("turn") * 5.0 + 6 + late).alias("end"), "text")
+    return review.probe_errors(lines, heard, "conv_id", 2.0, 40.0).select("conv_id", "speaker", "missed")
+
+
+def a29_backlog(spark, sf):
+    rows = read_table(spark, sf, "events").select("user_id", F.col("event_type").alias("lane"), F.lit(0).alias("start"), (F.col("event_id") % 30).alias("end"))
+    return review.worst_backlog(rows, ["user_id"], "start", "end")
+
+
+def r22_manifests(spark, sf):
+    """Pages as models that users bring, by their address; some names can't be file names."""
+    name = F.when(F.col("page_id") % 5 == 0, F.concat("url", F.lit("/.."))).when(F.col("page_id") % 7 > 0, F.concat("url", F.lit("/m.gguf?x=1")))
+    rows = read_table(spark, sf, "pages").select(name.alias("url"), F.sha2("url", 256).alias("sha256"), F.octet_length("html").alias("size"), F.concat(F.lit("Model "), "page_id").alias("display_name"), F.lit("gguf").alias("format"), F.when(F.col("page_id") % 2 == 0, F.lit(8)).alias("min_ram_gb"))
+    return store.custom_manifests(rows).select("display_name", "id", "source", "path", "min_ram_gb")
+
+
+def p27_topics(spark, sf):
+    rows = read_table(spark, sf, "lineitem").select("l_orderkey", F.concat("l_returnflag", F.col("l_partkey") % 5).alias("topic"), (F.col("l_suppkey") % 3 > 0).alias("discussed"), (F.col("l_linenumber") % 4).alias("segment"))
+    out = datasets.kept_topics(rows, ["l_orderkey"], 3)
+    return out.select("l_orderkey", "segment", F.array_join("never", "|").alias("never"), F.array_join("later", "|").alias("later"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         s13_typed_json, verify_types, f14_hits, f16_patterns, t09_placement, t19_pieces, t01_t03_voice, r31_heads, s20_policies, s19_folders, s14_r13_library, r13_lookup, r33_records, k06_manifest_counts,
-        g11_carry_over, k14_ordered_json,
+        g11_carry_over, k14_ordered_json, r09_probe, a29_backlog, r22_manifests, p27_topics,
     )
 }
 _BASE = "(epoch_us(ts) // 1000 - 1704067200000)"
@@ -341,4 +371,13 @@ b AS (SELECT page_id, arg_min(form, {'name': name, 'form': form}) AS by_fingerpr
 SELECT a.session, seq AS field, was AND same OR found AS agree, CASE WHEN found THEN 'targeted L' || (seq + 1) END AS verified, kept, candidates, CASE WHEN candidates > 0 THEN round(kept / candidates, 6) END AS share FROM a JOIN s USING (session)""",
     "k14_ordered_json": """WITH l AS (SELECT l_orderkey, l_linenumber AS n, max(l_partkey) AS part FROM lineitem GROUP BY ALL), o AS (SELECT *, CASE WHEN n % 2 = 0 THEN -n ELSE n END AS place FROM l)
 SELECT l_orderkey, md5('{' || string_agg('"p\\"' || n || '":{"part":' || part || ',"x":"é"}', ',' ORDER BY place) || '}') AS digest, string_agg('p"' || n, '|' ORDER BY place) AS keys, string_agg(CAST(part AS VARCHAR), '|' ORDER BY place) AS parts FROM o GROUP BY l_orderkey""",
+    "r09_probe": r"""WITH t AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'worker' ELSE 'client' END AS speaker, len(list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}'']'), lambda x: x <> '')) AS n FROM conversations),
+l AS (SELECT *, turn * 5.0 + 2 AS st, turn * 5.0 + 6 AS en FROM t WHERE turn * 5 + 4 < 40), h AS (SELECT *, turn * 5.0 + 2 + CASE WHEN turn % 3 = 1 THEN 60 ELSE 0 END AS st, turn * 5.0 + 6 + CASE WHEN turn % 3 = 1 THEN 60 ELSE 0 END AS en FROM t WHERE turn % 3 < 2)
+SELECT conv_id, speaker, count_if(NOT EXISTS (SELECT 1 FROM h WHERE h.conv_id = l.conv_id AND h.speaker = l.speaker AND h.st < l.en + 0.5 AND h.en > l.st - 0.5)) AS missed FROM l GROUP BY ALL""",
+    "a29_backlog": "SELECT user_id, max(n)::BIGINT AS backlog FROM (SELECT user_id, event_type, sum(event_id % 30) AS n FROM events GROUP BY ALL) GROUP BY user_id",
+    "r22_manifests": r"""WITH m AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN url || '/..' WHEN page_id % 7 > 0 THEN url || '/m.gguf?x=1' END AS u, url FROM pages)
+SELECT 'Model ' || page_id AS display_name, 'custom-' || substr(sha256(url), 1, 16) AS id, regexp_extract(u, '^[a-z]+://([^/?#:]+)', 1) AS source,
+CASE WHEN regexp_matches(regexp_extract(u, '([^/?#]*)(?:[?#].*)?$', 1), '^[A-Za-z0-9._-]+$') AND regexp_extract(u, '([^/?#]*)(?:[?#].*)?$', 1) NOT IN ('.', '..') THEN regexp_extract(u, '([^/?#]*)(?:[?#].*)?$', 1) ELSE 'model.gguf' END AS path, CASE WHEN page_id % 2 = 0 THEN 8 ELSE 0 END AS min_ram_gb FROM m WHERE u IS NOT NULL""",
+    "p27_topics": """WITH f AS (SELECT l_orderkey, l_returnflag || l_partkey % 5 AS topic, l_suppkey % 3 > 0 AS discussed, l_linenumber % 4 AS segment FROM lineitem), o AS (SELECT DISTINCT l_orderkey, s.segment FROM f, (VALUES (0), (1), (2)) s(segment))
+SELECT l_orderkey, o.segment, coalesce(string_agg(DISTINCT topic, '|' ORDER BY topic) FILTER (NOT discussed), '') AS never, coalesce(string_agg(DISTINCT topic, '|' ORDER BY topic) FILTER (discussed AND f.segment > o.segment), '') AS later FROM o JOIN f USING (l_orderkey) GROUP BY ALL""",
 }

@@ -221,7 +221,7 @@ def s09_dialogues(spark, sf):
 
 def s11_grid(spark, sf):
     rows = read_table(spark, sf, "conversations")
-    each = F.array(F.concat(F.lit("  xmin = "), F.col("turn") * 1.5), F.lit("  xmax = 9"), F.concat(F.lit('  text = "'), F.when(F.col("turn") % 3 == 2, "").otherwise(F.concat(F.substring_index("text", ".", 1), F.lit(" <UNIN/> <UNSURE>so</UNSURE> <x>"))), F.lit('"')))
+    each = F.array(F.concat(F.lit("  xmin = "), F.col("turn") * 1.5), F.lit("  xmax = 9"), F.concat(F.lit('  text = "'), F.when(F.col("turn") % 3 == 2, "").otherwise(F.concat(F.regexp_replace("text", r"\s+", " "), F.lit(" <UNIN/> <UNSURE>so</UNSURE> <x>"))), F.lit('"')))
     lines = rows.select(F.col("conv_id").alias("session"), "turn", F.posexplode(each).alias("n", "line")).withColumn("line_no", F.col("turn") * 3 + F.col("n"))
     return transcripts.interval_grid(lines).select(F.col("session").alias("conv_id"), "line_no", "start", F.md5("text").alias("digest"))
 
@@ -262,7 +262,7 @@ def j21_a11_u03_evaluation(spark, sf):
 
 def a19_fixpoint(spark, sf):
     """Totals, bands of totals, and a band of a band, which never comes about."""
-    values = read_table(spark, sf, "lineitem").filter("l_linenumber <= 3").select(F.col("l_orderkey").alias("session"), F.concat(F.lit("phq9_"), "l_linenumber").alias("key"), F.when(F.col("l_quantity") < 40, F.floor(F.col("l_quantity") / 6).cast("string")).otherwise("n/a").alias("value"))
+    values = read_table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("session"), F.concat(F.lit("phq9_"), "l_linenumber").alias("key"), F.when(F.col("l_quantity") < 40, F.floor(F.col("l_quantity") / 6).cast("string")).otherwise("n/a").alias("value"))
     derived = [("phq9_total", "phq9_total", ["phq9_1", "phq9_2"]), ("phq9_band", "phq9_band", ["phq9_total"]), ("grand", "phq9_total", ["phq9_total", "phq9_3"]), ("never", "gad7_band", ["phq9_band"])]
     return scoring.derive_all(values, derived, ["session"])
 
@@ -438,7 +438,7 @@ SELECT conv_id, seq, 's' || lpad(seq::VARCHAR, 4, '0') AS segment_id, CASE WHEN
 round(coalesce(following * 40.0, turn * 40.0 + greatest(1.0, len(string_split(text, ' ')) * 0.4)), 4) AS end, md5(text) AS digest FROM n""",
     "s09_dialogues": r"""WITH l AS (SELECT conv_id, turn, role, list_filter(list_transform(string_split_regex(text, '\r?\n'), lambda x: trim(x)), lambda x: x <> '') AS x FROM conversations)
 SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn, role AS speaker, md5(array_to_string(x, ' ')) AS digest FROM l""",
-    "s11_grid": r"""SELECT conv_id, (turn * 3 + 2)::INT AS line_no, turn * 1.5 AS start, md5(regexp_replace(trim(split_part(split_part(text, '.', 1), chr(10), 1)) || ' [inaudible] so', '^\s+', '')) AS digest FROM conversations WHERE turn % 3 <> 2""",
+    "s11_grid": r"""SELECT conv_id, (turn * 3 + 2)::INT AS line_no, turn * 1.5 AS start, md5(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')) || ' [inaudible] so', '^\s+', '')) AS digest FROM conversations WHERE turn % 3 <> 2""",
     "s15_audit": """WITH n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1)
 SELECT conv_id, n - CASE WHEN conv_id % 10 = 3 THEN 1 ELSE 0 END AS entries, CASE WHEN conv_id % 10 = 3 THEN 1 WHEN conv_id % 10 = 5 AND n >= 2 THEN 2 END AS broken_at,
 CASE WHEN conv_id % 10 = 3 THEN 'sequence gap' WHEN conv_id % 10 = 5 AND n >= 2 THEN 'contents changed' END AS reason FROM n WHERE n > CASE WHEN conv_id % 10 = 3 THEN 1 ELSE 0 END""",
@@ -447,7 +447,7 @@ CASE WHEN conv_id % 10 = 3 THEN 'sequence gap' WHEN conv_id % 10 = 5 AND n >= 2
 c AS (SELECT doc_id, CASE WHEN lang = 'de' AND n_chars > 100 THEN 'ok' WHEN n_chars > 300 THEN CASE WHEN quality = 1 THEN 'ok' ELSE 'unsafe' END WHEN n_chars > 100 THEN CASE WHEN quality = 0 THEN 'ok' ELSE 'unsafe' END ELSE 'blank' END AS o FROM d
 UNION ALL SELECT doc_id, CASE WHEN toxic = 1 THEN 'blank' ELSE 'ok' END FROM d)
 SELECT CASE WHEN doc_id % 2 = 0 THEN 'stated' ELSE 'implied' END AS mode, round(avg((o = 'ok')::INT), 6) AS ok, round(avg((o = 'unsafe')::INT), 6) AS unsafe, round(avg((o = 'blank')::INT), 6) AS blank, count_if(o = 'ok') AS good, count(*) AS n FROM c GROUP BY 1""",
-    "a19_fixpoint": """WITH v AS (SELECT l_orderkey, l_linenumber, min(CASE WHEN l_quantity < 40 THEN floor(l_quantity / 6)::BIGINT::VARCHAR ELSE 'n/a' END) AS v FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL),
+    "a19_fixpoint": """WITH v AS (SELECT l_orderkey, l_linenumber, min(CASE WHEN l_quantity < 40 THEN floor(l_quantity / 6)::BIGINT::VARCHAR ELSE 'n/a' END) AS v FROM lineitem GROUP BY ALL),
 w AS (SELECT l_orderkey, max(try_cast(v AS BIGINT)) FILTER (l_linenumber = 1) AS a, max(try_cast(v AS BIGINT)) FILTER (l_linenumber = 2) AS b, max(try_cast(v AS BIGINT)) FILTER (l_linenumber = 3) AS c FROM v GROUP BY 1)
 SELECT l_orderkey AS session, 'phq9_total' AS key, (a + b)::VARCHAR AS value FROM w WHERE a + b IS NOT NULL UNION ALL SELECT l_orderkey, 'grand', (a + b + c)::VARCHAR FROM w WHERE a + b + c IS NOT NULL
 UNION ALL SELECT l_orderkey, 'phq9_band', CASE WHEN a + b <= 4 THEN 'MINIMAL' WHEN a + b <= 9 THEN 'MILD' ELSE 'MODERATE' END FROM w WHERE a + b <= 14""",

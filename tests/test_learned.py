@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillon.functions import dynamic as D
 from quillon.functions import patterns as P
 from quillon.functions import text as T
-from quillon.operators import datasets, heads, placement, verifier
+from quillon.operators import datasets, heads, placement, review, verifier
 from quillon.plans import learned
 from quillon.sources import audit, records
 from quillon.streaming import stateful, voice
@@ -240,3 +240,11 @@ def test_voice_query_against_the_rule(spark):
     for user, db in by.items():
         want += [(user, *span) for span in segments_by_rule(list(enumerate(db)))]
     assert want and sorted((r.user_id, r.start, r.end) for r in learned.t01_t03_voice(spark, SF).collect()) == sorted(want)
+
+
+def test_probe_errors(spark):
+    schema = "s int, speaker string, start double, end double, text string"
+    lines = spark.createDataFrame([(1, "client", 0.0, 1.0, "one two three four"), (1, "client", 2.0, 3.0, "five six"), (1, "client", 9.0, 10.0, "too late"), (1, "worker", 0.0, 1.0, "hello"), (2, "client", 0.0, 1.0, "x")], schema)
+    heard = spark.createDataFrame([(1, "client", 5.2, 6.0, "one two three"), (1, "client", 8.5, 9.0, "six"), (1, "worker", 20.0, 21.0, "hello")], schema)
+    got = {(r.s, r.speaker): (round(r.wer, 4), r.missed) for r in review.probe_errors(lines, heard, "s", 5.0, 10.0).collect()}
+    assert got == {(1, "client"): (0.3333, 1), (1, "worker"): (0.0, 1), (2, "client"): (1.0, 1)}
