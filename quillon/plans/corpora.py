@@ -232,9 +232,9 @@ def f05_f06_clock(spark, sf):
 
 
 def u05_except(spark, sf):
-    """Customers without orders."""
+    """Customers without an urgent order."""
     c = read_table(spark, sf, "customer").select("c_custkey")
-    return c.exceptAll(read_table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct())
+    return c.exceptAll(read_table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")).distinct())
 
 
 def a32_fingerprint(spark, sf):
@@ -330,6 +330,6 @@ SELECT * FROM r WHERE NOT l_linenumber > 1 UNION ALL SELECT l_orderkey, l_linenu
 SELECT array_to_string(list_transform(s, lambda p: CASE WHEN regexp_matches(p, '^\d+$') OR regexp_matches(p, '^[0-9a-fA-F-]{16,}$') OR (regexp_matches(p, '\d') AND length(p) >= 12) THEN '*' ELSE p END), '/') AS path, count(*) AS n FROM p GROUP BY ALL""",
     "f07_f04_dates": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS parsed, true AS is_iso FROM orders",
     "f05_f06_clock": "WITH s AS (SELECT o_orderkey, o_orderkey % 10000 AS s FROM orders) SELECT o_orderkey, lpad((s // 60)::VARCHAR, greatest(2, length((s // 60)::VARCHAR))::INT, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS clock, s::DOUBLE AS seconds FROM s",
-    "u05_except": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "u05_except": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
     "a32_fingerprint": "SELECT item_id, substring(sha256(item_id::VARCHAR || chr(10) || text), 1, 12) AS fingerprint FROM benchmark",
 }

@@ -85,11 +85,11 @@ def f28_to_f44_values(spark, sf):
         "p_partkey",
         R.answer_agrees(_pick(["", "x", "y"], n), F.array(F.lit(None).cast("string"), F.lit("x"))).alias("agrees"),
         T.normalize_label(F.concat(F.lit("  *"), "p_name", F.lit(" :* "))).alias("label"),
-        T.contains_token(F.col("p_name"), parts[1]).alias("has_token"), T.contains_token(F.col("p_name"), F.substring(parts[1], 2, 3)).alias("has_part"),
-        T.same_values(parts, F.reverse(parts)).alias("same"), T.schema_name(F.concat_ws(".", "p_brand", "p_type")).alias("schema_name"),
-        V.json_object_in(F.concat(F.lit("```json {\"a\": "), n, F.lit("} ```"))).alias("json"),
+        T.contains_token(F.col("p_name"), F.when(n % 3 == 0, F.concat(parts[1], F.lit("q"))).when(n % 3 == 1, F.upper(parts[1])).otherwise(parts[1])).alias("has_token"), T.contains_token(F.col("p_name"), F.substring(parts[1], 2, 3)).alias("has_part"),
+        T.same_values(parts, F.when(n % 2 == 0, F.reverse(parts)).otherwise(F.slice(parts, 1, 1))).alias("same"), T.schema_name(F.concat_ws(".", "p_brand", "p_type")).alias("schema_name"),
+        V.json_object_in(F.concat(F.lit("```json "), F.when(n % 4 > 0, F.concat(F.lit("{\"a\": {\"b\": "), n, F.lit("}}"))).otherwise("none"), F.lit(" ```"))).alias("json"),
         T.is_newer(F.concat_ws(".", n, F.col("p_partkey") % 7), F.concat_ws(".", F.lit("25"), F.lit("3"), F.lit("0"))).alias("newer"),
-        V.same_address(F.concat("p_brand", F.lit("/")), F.col("p_brand")).alias("same_address"), V.same_address(F.concat("p_brand", F.lit("//")), F.col("p_brand")).alias("other_address"),
+        V.same_address(F.concat("p_brand", F.when(n % 3 == 0, "/").when(n % 3 == 1, "?").otherwise("")), F.col("p_brand")).alias("same_address"), V.same_address(F.concat("p_brand", F.lit("//")), F.col("p_brand")).alias("other_address"),
         R.step_title(F.concat(F.lit("step-"), F.lower(F.element_at(parts, 1)), F.lit("_"), F.lower(F.element_at(parts, 2)))).alias("title"),
         R.low_confidence(F.when(n % 5 > 0, n / 60)).alias("unsure"),
     )
@@ -375,9 +375,9 @@ ORACLE_SQL = {
     "f20_validation": "SELECT c_custkey, ('0x' || substring(sha256(c_name), 1, 8))::BIGINT % 1000 < 150 AS is_val FROM customer",
     "f21_client_tag": f"SELECT c_custkey, 'ct:' || substring(sha256({_blob(_KEYS[1])} || unhex(sha256({_blob(_KEYS[0])} || encode(upper(trim(c_name)))))), 1, 32) AS tag FROM customer",
     "f22_energy": "SELECT vec_id, round(greatest(10 * log10(list_sum(list_transform(embedding, lambda x: (x * x)::DOUBLE)) / len(embedding)), -90), 4) AS db FROM embeddings",
-    "f28_to_f44_values": r"""SELECT p_partkey, p_size % 3 <> 2 AS agrees, regexp_replace(lower(p_name), '\s+', ' ', 'g') AS label, true AS has_token,
-regexp_matches(p_name, '(^|[^\p{L}\p{N}])' || substring(t[2], 2, 3) || '([^\p{L}\p{N}]|$)') AS has_part, true AS same, regexp_replace(p_brand || '.' || p_type, '[^A-Za-z0-9_-]', '_', 'g') AS schema_name, '{"a": ' || p_size || '}' AS json,
-p_size > 25 OR (p_size = 25 AND p_partkey % 7 > 3) AS newer, true AS same_address, false AS other_address,
+    "f28_to_f44_values": r"""SELECT p_partkey, p_size % 3 <> 2 AS agrees, regexp_replace(lower(p_name), '\s+', ' ', 'g') AS label, p_size % 3 = 2 AS has_token,
+regexp_matches(p_name, '(^|[^\p{L}\p{N}])' || substring(t[2], 2, 3) || '([^\p{L}\p{N}]|$)') AS has_part, p_size % 2 = 0 AS same, regexp_replace(p_brand || '.' || p_type, '[^A-Za-z0-9_-]', '_', 'g') AS schema_name, CASE WHEN p_size % 4 > 0 THEN '{"a": {"b": ' || p_size || '}}' END AS json,
+p_size > 25 OR (p_size = 25 AND p_partkey % 7 > 3) AS newer, p_size % 3 <> 1 AS same_address, false AS other_address,
 upper(t[1][1]) || lower(t[1][2:]) || ' ' || upper(t[2][1]) || lower(t[2][2:]) AS title, p_size % 5 > 0 AND p_size < 30 AS unsure FROM (SELECT *, string_split(p_name, ' ') AS t FROM part)""",
     "p07_attestations": """SELECT p_partkey, regexp_matches(lower(l || ' ' || CASE WHEN p_partkey % 3 = 0 THEN 'Yes Electronically signed' ELSE p_brand END), 'attest|signature|sign here|i certify|e-sign|esign|electronically sign') AS attests,
 regexp_matches(lower(l), 'attest|signature|sign here|i certify|e-sign|esign|electronically sign') AS label_attests
