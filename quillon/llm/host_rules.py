@@ -9,7 +9,8 @@ carriage return. Rules of a document (``base_failed``): fewer than ``min_words``
 ``max_repeat_pct`` per cent of its words inside three-word windows that occur at least twice.
 
 Nulls: a null text has no words and fails; a null host is one host of its own; a null id stays null.
-Repeated rows count and come back as often as they occur. Empty tables give empty results.
+Repeated rows count and come back as often as they occur. Empty tables give empty results. Other columns may
+have any names that don't begin with two underscores.
 """
 
 from __future__ import annotations

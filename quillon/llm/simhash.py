@@ -18,7 +18,7 @@ hands on a spanning forest of its links, not all pairs.
 
 Nulls and texts without words have the fingerprint zero, which is linked like any other. A null id joins
 its class but names none; a class of null ids only has a null component. Repeated rows give repeated
-results. An empty table gives an empty result.
+results. An empty table gives an empty result. Other columns may have any names that don't begin with two underscores.
 """
 
 from __future__ import annotations
