@@ -73,18 +73,42 @@ def verify(segments: DataFrame, answers: DataFrame, evidence: DataFrame) -> Data
     return a.select("answer_id", F.when(reason.isNull(), "filled").otherwise("rejected").alias("status"), reason.alias("reason"))
 
 
+def _runs_of_words(size, words):
+    """Hashes of all runs of ``size`` words, each once."""
+    hashed = F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, size), " ")))
+    return F.when(F.size(words) >= size, F.array_distinct(hashed)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _counted(wanted: DataFrame, runs: DataFrame) -> DataFrame:
+    """``wanted`` (session, hash, ...) with how many of ``runs`` (session, at, hash) are equal, and the first place."""
+    places = runs.groupBy("session", "hash").agg(F.count("*").alias("n"), F.min("at").alias("to"))
+    return wanted.join(places.hint("merge"), ["session", "hash"])  # files are many times smaller than their runs of words, so no broadcast
+
+
 def relocate(segments: DataFrame, evidence: DataFrame, least_words: int = 6) -> DataFrame:
     """A quote of ``least_words`` or more that isn't where it is cited moves to the only segment of its
-    session that has it. evidence (answer_id, ordinal, session, seq, quote). Quotes meet only segments of
-    their own session that share their rarest long word, not all segments."""
-    s = segments.select("session", F.col("seq").alias("at"), normalize(F.col("text")).alias("plain"))
+    session that has it. evidence (answer_id, ordinal, session, seq, quote). Hashes of runs of ``least_words`` words
+    are counted by session before they meet the quotes' first words; only quotes that go on after first words said
+    more than once are looked up by runs of their own length. So rows grow with words, not with pairs or copies of
+    texts, and where one place is left the words themselves are compared."""
+    s = segments.filter("session is not null").select("session", F.col("seq").alias("at"), normalize(F.col("text")).alias("plain"))
+    s = materialize(s, "plain").withColumn("words", words_of(F.col("plain")))
     e = evidence.withColumn("needle", normalize(strip_line_prefix(F.col("quote"))))
-    longest = F.element_at(F.array_sort(words_of(F.col("needle")), lambda a, b: F.when(F.length(a) != F.length(b), F.length(a) - F.length(b)).when(a < b, -1).when(a > b, 1).otherwise(0)), -1)
-    wanted = e.filter(F.size(words_of(F.col("needle"))) >= least_words).withColumn("word", longest)
-    words = s.select("session", "at", "plain", F.explode(F.array_distinct(words_of(F.col("plain")))).alias("word"))
-    hits = wanted.join(words, ["session", "word"]).filter(contains_words(F.col("plain"), F.col("needle")))
-    only = hits.groupBy("answer_id", "ordinal").agg(F.count("*").alias("n"), F.min("at").alias("to"), F.bool_or(F.col("at").eqNullSafe(F.col("seq"))).alias("there"))
-    out = e.join(only, ["answer_id", "ordinal"], "left")
+    wanted = e.filter(F.size(words_of(F.col("needle"))) >= least_words)
+    each = wanted.select("session", "needle").distinct().withColumn("words", words_of(F.col("needle")))
+    each = each.select("session", "needle", F.size("words").alias("n_words"), F.xxhash64(F.array_join(F.slice("words", 1, least_words), " ")).alias("hash"))
+    short = materialize(_counted(each, s.select("session", "at", F.explode(_runs_of_words(F.lit(least_words), F.col("words"))).alias("hash"))), "first-words")
+    again = (F.col("n") > 1) & (F.col("n_words") > least_words)
+    longer = short.filter(again).select("session", "needle", "n_words", F.xxhash64("needle").alias("hash"))
+    sizes = longer.groupBy("session").agg(F.collect_set("n_words").alias("sizes"))
+    runs = s.join(sizes.hint("merge"), "session").select("session", "at", F.explode("sizes").alias("size"), "words")
+    runs = runs.select("session", "at", F.explode(_runs_of_words(F.col("size"), F.col("words"))).alias("hash"))
+    found = short.filter(~again).unionByName(_counted(longer, runs)).select("session", "needle", "n", "to")
+    same = (F.col("f.session") == F.col("s.session")) & F.col("f.to").eqNullSafe(F.col("s.at"))
+    single = found.filter("n = 1").alias("f").join(s.hint("merge").alias("s"), same).filter(contains_words(F.col("s.plain"), F.col("f.needle"))).select("f.*")
+    hits = wanted.join(single.unionByName(found.filter("n > 1")).hint("merge"), ["session", "needle"])
+    only = hits.groupBy("answer_id", "ordinal").agg(F.sum("n").alias("n"), F.min("to").alias("to"), F.bool_or(F.col("to").eqNullSafe(F.col("seq"))).alias("there"))
+    out = e.join(only.hint("merge"), ["answer_id", "ordinal"], "left")
     moved = F.when(~F.col("there") & (F.col("n") == 1), F.col("to")).otherwise(F.col("seq"))
     return out.select("answer_id", "ordinal", "session", moved.alias("seq"), "quote")
 

@@ -1,4 +1,5 @@
 import json
+import random
 import time
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 from quillon.functions import values as V
 from quillon.operators import forms, review, scoring, timeline, verifier
+from quillon.plans import verification
 from quillon.sources import transcripts
 from quillon.streaming import live, stateful
 
@@ -253,6 +255,38 @@ def test_verify_outputs(spark):
     assert [e.segment for e in got["raised"].evidence] == ["s0007", "s0008"] and [e.segment for e in got["boxes"].evidence] == ["s0009", "s0009"] and got["no_boxes"].evidence == []
 
 
+def relocation_case():
+    """Quotes said once, twice, by a copy, only in part, and with first words that many texts share."""
+    rng = random.Random(5)
+    same = "you said the last time that we"
+    texts = [f"{same} {' '.join(rng.choice('abcd') for _ in range(6))}" for _ in range(60)] + ["Über die Straße's end, we walked on and on", "short words only", "", None] * 2
+    talk = [(n, i, "client", texts[(i * (n + 1)) % len(texts)]) for n in range(3) for i in range(70)] + [(9, 1, "client", "alone here are six words exactly"), (9, None, "client", "a place that has no number at all"), (None, 3, "client", "no session has this very text ever")]
+    said = [(f"{n}-{i}", 0, n, i + 1, " ".join((t or "").split()[k % 4 : k % 4 + 6 + k % 6])) for k, (n, i, _, t) in enumerate(talk) if n is not None and i is not None]
+    said += [("a", 0, 9, 4, "alone here are six words exactly"), ("a", 1, 9, 1, "alone here are six words exactly"), ("b", 0, 9, None, "alone here are six words exactly"), ("c", 0, 9, 4, "alone here are six words inexactly"), ("d", 0, 9, 4, None), ("e", 0, None, 4, "no session has this very text ever"),
+             ("f", 0, 9, 4, "CLIENT: a place that has no number at all"), ("g", 0, 8, 4, "alone here are six words exactly"), ("h", 0, 9, 4, "are six words exactly")]
+    return talk, said
+
+
+def test_relocate_against_all_pairs(spark):
+    talk, said = relocation_case()
+    segments = spark.createDataFrame(talk, "session long, seq int, speaker string, text string")
+    evidence = spark.createDataFrame(said, "answer_id string, ordinal int, session long, seq int, quote string")
+    e = evidence.withColumn("needle", T.normalize(verifier.strip_line_prefix(F.col("quote")))).filter("size(split(needle, ' ')) >= 6")
+    pairs = e.join(segments.select("session", F.col("seq").alias("at"), T.normalize(F.col("text")).alias("plain")), "session").filter(T.contains_words(F.col("plain"), F.col("needle")))
+    hits = {}
+    for r in pairs.collect():
+        hits.setdefault((r.answer_id, r.ordinal), []).append(r.at)
+    want = {(a, o): hits[a, o][0] if len(hits.get((a, o), [])) == 1 else at for a, o, _, at, _ in said}
+    got = {(r.answer_id, r.ordinal): r.seq for r in verifier.relocate(segments, evidence).collect()}
+    assert got == want and len({len(h) for h in hits.values()}) > 2 and sum(want[a, o] != at for a, o, _, at, _ in said) > 20
+
+
+def test_relocation_sends_no_words_to_the_driver(spark):
+    """Files of text are small beside their words, one row each; those of sf0.1 tripled didn't fit a broadcast."""
+    plan = verification.j18_j19_relocation(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
 def test_entities():
     text = "So Dr. Okafor saw Maria Lopez on March 3rd. She takes Zoloft, twenty mg, at the VA. I'm told It works."
     assert review.entities_of(text) == ["okafor", "maria", "lopez", "march", "3rd", "zoloft", "20", "va", "it"]
