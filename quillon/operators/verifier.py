@@ -49,9 +49,9 @@ def cited_runs(evidence: DataFrame) -> DataFrame:
 def verify(segments: DataFrame, answers: DataFrame, evidence: DataFrame) -> DataFrame:
     """answer_id, status (filled or rejected), reason (null where filled)."""
     s = prepared_segments(segments)
-    e = evidence.join(answers.select("answer_id", "session"), "answer_id").join(s, ["session", "seq"], "left")
+    e = evidence.join(answers.select("answer_id", "session").hint("merge"), "answer_id").join(s.hint("merge"), ["session", "seq"], "left")
     e = e.withColumn("quote", strip_line_prefix(F.col("quote"))).withColumn("needle", normalize(F.col("quote")))
-    e = e.join(cited_runs(e), ["answer_id", "seq"], "left")
+    e = e.join(cited_runs(e).hint("merge"), ["answer_id", "seq"], "left")
     e = e.withColumn("found", contains_words(F.col("plain"), F.col("needle")) | contains_words(F.coalesce("run_text", F.lit("")), F.col("needle")))
     client = F.col("speaker") == "client"
     per = e.groupBy("answer_id").agg(
@@ -60,7 +60,7 @@ def verify(segments: DataFrame, answers: DataFrame, evidence: DataFrame) -> Data
         F.count_if(client & is_negated_short_answer(F.col("quote"))).alias("n_negated"), F.count_if(client & is_bare_affirmation(F.col("quote"))).alias("n_bare"),
         F.collect_set("seq").alias("cited"), F.collect_set(F.when(client, F.coalesce("question_seq", F.lit(-1)))).alias("needed"),
     )
-    a = answers.join(per, "answer_id", "left")
+    a = answers.join(per.hint("merge"), "answer_id", "left")
     all_negated = (F.col("n_negated") == F.col("n_client")) & (F.col("n_client") > 0)
     short = ((F.col("n_bare") == F.col("n_client")) & (F.col("n_client") > 0)) | (~F.col("questionnaire") & all_negated)
     reason = (
@@ -161,14 +161,14 @@ def output_of(text):
 def _cite(segments: DataFrame, evidence: DataFrame) -> DataFrame:
     """evidence (answer_id, ordinal, session, segment, quote) with seq, null where the segment is unknown."""
     ids = segments.select("session", F.col("segment_id").alias("segment"), "seq")
-    return evidence.join(ids, ["session", "segment"], "left").select("answer_id", "ordinal", "session", "segment", "seq", "quote")
+    return evidence.join(ids.hint("merge"), ["session", "segment"], "left").select("answer_id", "ordinal", "session", "segment", "seq", "quote")
 
 
 def find_quotes(segments: DataFrame, evidence: DataFrame) -> DataFrame:
     """Evidence (answer_id, ordinal, session, seq, quote) with ``found``: the quote is in its segment, or in
     the run of neighbouring cited segments of one speaker that its segment is in."""
-    e = evidence.join(prepared_segments(segments), ["session", "seq"], "left").withColumn("needle", normalize(strip_line_prefix(F.col("quote"))))
-    e = e.join(cited_runs(e), ["answer_id", "seq"], "left")
+    e = evidence.join(prepared_segments(segments).hint("merge"), ["session", "seq"], "left").withColumn("needle", normalize(strip_line_prefix(F.col("quote"))))
+    e = e.join(cited_runs(e).hint("merge"), ["answer_id", "seq"], "left")
     found = contains_words(F.col("plain"), F.col("needle")) | contains_words(F.coalesce("run_text", F.lit("")), F.col("needle"))
     return e.withColumn("found", F.coalesce(found, F.lit(False))).select(*evidence.columns, "found")
 
@@ -181,12 +181,12 @@ def relocate_all(segments: DataFrame, evidence: DataFrame) -> DataFrame:
     plain = segments.select("session", "seq", "speaker", normalize(F.col("text")).alias("plain"))
     here = plain.select("session", "seq", F.col("speaker").alias("here"))
     following = plain.select("session", (F.col("seq") - 1).alias("seq"), F.col("speaker").alias("next"), F.col("plain").alias("next_plain"))
-    e = e.join(here, ["session", "seq"], "left").join(following, ["session", "seq"], "left")
+    e = e.join(here.hint("merge"), ["session", "seq"], "left").join(following.hint("merge"), ["session", "seq"], "left")
     answers = (F.col("here") == "worker") & (F.col("next") == "client") & contains_words(F.col("next_plain"), normalize(strip_line_prefix(F.col("quote"))))
     e = e.withColumn("answers", F.coalesce(answers, F.lit(False)))
     lost = e.filter(~F.col("found") & ~F.col("answers") & ~F.coalesce(is_negated_short_answer(strip_line_prefix(F.col("quote"))) | is_bare_affirmation(strip_line_prefix(F.col("quote"))), F.lit(False)))
     moved = relocate(segments, lost.select("answer_id", "ordinal", "session", "seq", "quote")).select("answer_id", "ordinal", F.col("seq").alias("to"))
-    e = e.join(moved, ["answer_id", "ordinal"], "left")
+    e = e.join(moved.hint("merge"), ["answer_id", "ordinal"], "left")
     seq = F.when(F.col("found"), F.col("seq")).when(F.col("answers"), F.col("seq") + 1).otherwise(F.coalesce("to", "seq"))
     return e.select("answer_id", "ordinal", "session", seq.alias("seq"), "quote")
 
@@ -200,10 +200,10 @@ def _gate(segments: DataFrame, a: DataFrame) -> DataFrame:
     """Outputs of gated fields: ``gate`` says how one fails, ``raised`` is the cited place where it was discussed."""
     raised = a.filter("out.discussed = 'yes'").select("answer_id", F.lit(0).alias("ordinal"), "session", F.col("out.raised_at.segment").alias("segment"), F.col("out.raised_at.quote").alias("quote"))
     found = find_quotes(segments, relocate_all(segments, _cite(segments, raised.filter("segment is not null and quote is not null")).drop("segment")))
-    found = found.filter("found").join(segments.select("session", "seq", "segment_id"), ["session", "seq"])
+    found = found.filter("found").join(segments.select("session", "seq", "segment_id").hint("merge"), ["session", "seq"])
     found = found.select("answer_id", F.struct(F.col("segment_id").alias("segment"), strip_line_prefix(F.col("quote")).alias("quote")).alias("raised"))
     gate = F.when(F.col("out.discussed") != "yes", "insufficient_evidence").when((F.col("out.discussed") == "yes") & F.col("raised").isNull(), "quote_not_found")
-    return a.join(found, "answer_id", "left").withColumn("gate", gate)
+    return a.join(found.hint("merge"), "answer_id", "left").withColumn("gate", gate)
 
 
 def _groups(a: DataFrame) -> DataFrame:
@@ -244,7 +244,8 @@ def verify_outputs(segments: DataFrame, fields: DataFrame, outputs: DataFrame, q
     Returns answer_id, key, status (filled, rejected, insufficient_evidence), reason, value (array) and evidence. The first
     rule that fails names the reason. Of checkboxes and narratives, parts that fail are left out, and the first
     reason is kept; "none" options go once a positive one stays; a narrative ends before the first sentence that
-    would make it too long. Steps that are read more than once are written to the shared folder."""
+    would make it too long. Steps that are read more than once are written to the shared folder. Only ``fields`` may
+    be broadcast: files of text are many times smaller than their rows, so the other joins are merges."""
     a = outputs.select("answer_id", "session", "key", output_of(F.col("output")).alias("out")).join(fields, "key")
     a = _gate(segments, a)
     band = F.when(F.col("bands").isNotNull() & (F.col("out.status") == "filled"), F.coalesce(frequency_band(F.col("out.count"), F.col("out.period"), F.col("bands")), F.lit("")))
@@ -255,7 +256,7 @@ def verify_outputs(segments: DataFrame, fields: DataFrame, outputs: DataFrame, q
     a = a.withColumn("early_reason", F.when(F.col("gate") == "quote_not_found", "quote_not_found").when(F.col("gate").isNotNull(), F.lit(None)).when(F.col("band") == "", "invalid_option").when(~known_status, "malformed_output"))
     a = a.withColumn("shape", F.when(F.col("early_status").isNotNull(), "none").when(F.col("mode") == "narrative", "narrative").when(F.col("kind") == "checkbox_group", "checkbox").otherwise("discrete"))
     a = materialize(a.withColumn("questionnaire", (F.col("shape") == "discrete") & F.col("key").isin([k for k, _ in questions or []])), "outputs")
-    groups = _groups(a).filter(~F.col("skip")).join(a.select("answer_id", "session", "key", "wanted_speaker", "questionnaire"), "answer_id")
+    groups = _groups(a).filter(~F.col("skip")).join(a.select("answer_id", "session", "key", "wanted_speaker", "questionnaire").hint("merge"), "answer_id")
     groups = materialize(groups, "output-parts")
     held = [groups]
     # pieces of evidence, one row each, under their group
@@ -267,21 +268,21 @@ def verify_outputs(segments: DataFrame, fields: DataFrame, outputs: DataFrame, q
     found = judged.select(F.col("answer_id").alias("group"), F.col("reason").alias("late"))
     if questions:
         asked = question_answered(segments, questions).withColumnRenamed("item", "asked")
-        near = moved.join(asked, ["session", "seq"]).join(groups.select(F.col("group").alias("answer_id"), "key"), "answer_id")
+        near = moved.join(asked.hint("merge"), ["session", "seq"]).join(groups.select(F.col("group").alias("answer_id"), "key").hint("merge"), "answer_id")
         near = near.groupBy(F.col("answer_id").alias("group")).agg(F.bool_or(F.coalesce(F.col("asked") == F.col("key"), F.lit(False))).alias("same"), F.count("asked").alias("n_asked"))
-        found = found.join(near, "group", "left")
+        found = found.join(near.hint("merge"), "group", "left")
         wrong = F.when(F.col("same"), F.lit(None)).when(F.coalesce("n_asked", F.lit(0)) == 0, "question_not_asked").otherwise("question_mismatch")
     else:
         wrong = F.lit(None).cast("string")
-    groups = groups.join(found.withColumn("wrong", wrong), "group", "left")
+    groups = groups.join(found.withColumn("wrong", wrong).hint("merge"), "group", "left")
     groups = materialize(groups.withColumn("reason", F.coalesce("early", "late", F.when(F.col("questionnaire"), F.col("wrong")))), "judged-parts")
-    quoted = moved.join(segments.select("session", "seq", "segment_id"), ["session", "seq"], "left").join(cited.select("answer_id", "ordinal", "segment"), ["answer_id", "ordinal"])
+    quoted = moved.join(segments.select("session", "seq", "segment_id").hint("merge"), ["session", "seq"], "left").join(cited.select("answer_id", "ordinal", "segment").hint("merge"), ["answer_id", "ordinal"])
     quoted = quoted.groupBy(F.col("answer_id").alias("group")).agg(F.array_sort(F.collect_list(F.struct("ordinal", F.coalesce("segment_id", "segment").alias("segment"), "quote"))).alias("q"))
-    groups = groups.join(quoted, "group", "left").withColumn("q", F.coalesce(F.transform("q", lambda x: F.struct(x["segment"].alias("segment"), x["quote"].alias("quote"))), F.array().cast(_EVIDENCE)))
+    groups = groups.join(quoted.hint("merge"), "group", "left").withColumn("q", F.coalesce(F.transform("q", lambda x: F.struct(x["segment"].alias("segment"), x["quote"].alias("quote"))), F.array().cast(_EVIDENCE)))
     # a narrative's sentences while they fit; what comes after the first that doesn't isn't looked at
     so_far = Window.partitionBy("answer_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
     shape = a.select("answer_id", "shape", F.coalesce("max_chars", F.lit(NARRATIVE_CHARS)).alias("most"), "options")
-    groups = groups.join(shape, "answer_id").withColumn("ok", F.col("reason").isNull())
+    groups = groups.join(shape.hint("merge"), "answer_id").withColumn("ok", F.col("reason").isNull())
     length = F.sum(F.when(F.col("ok"), F.length("part") + 1).otherwise(0)).over(so_far) - 1
     groups = groups.withColumn("over", F.max(F.when(F.col("ok") & (length > F.col("most")), 1).otherwise(0)).over(so_far)).filter("shape <> 'narrative' or over = 0")
     some_positive = F.max(F.when(F.col("ok") & F.col("positive"), 1).otherwise(0)).over(Window.partitionBy("answer_id")) == 1
@@ -289,7 +290,7 @@ def verify_outputs(segments: DataFrame, fields: DataFrame, outputs: DataFrame, q
     place = F.when(F.col("shape") == "checkbox", F.array_position(F.transform("options", lambda o: o["value"]), F.col("part"))).otherwise(F.col("ordinal").cast("bigint"))
     kept = F.array_sort(F.collect_list(F.when(F.col("stays") | (F.col("shape") == "discrete"), F.struct(place.alias("place"), "part", "q"))))
     per = groups.groupBy("answer_id").agg(kept.alias("kept"), F.min_by("reason", F.when(~F.col("ok"), F.col("ordinal"))).alias("first_reason"), F.bool_or("stays").alias("any_stays"))
-    out = a.join(per, "answer_id", "left")
+    out = a.join(per.hint("merge"), "answer_id", "left")
     stays = F.coalesce("any_stays", F.lit(False))
     status = F.coalesce("early_status", F.when(stays, "filled").when((F.col("shape") == "discrete") & F.col("first_reason").isNotNull(), "rejected").otherwise("insufficient_evidence"))
     parts = F.filter(F.transform("kept", lambda k: k["part"]), lambda p: p.isNotNull())

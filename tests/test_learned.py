@@ -248,3 +248,12 @@ def test_probe_errors(spark):
     heard = spark.createDataFrame([(1, "client", 5.2, 6.0, "one two three"), (1, "client", 8.5, 9.0, "six"), (1, "worker", 20.0, 21.0, "hello")], schema)
     got = {(r.s, r.speaker): (round(r.wer, 4), r.missed) for r in review.probe_errors(lines, heard, "s", 5.0, 10.0).collect()}
     assert got == {(1, "client"): (0.3333, 1), (1, "worker"): (0.0, 1), (2, "client"): (1.0, 1)}
+
+
+def test_verifier_broadcasts_no_text(spark):
+    """Of its joins only that with the fields may go through the driver, whatever the files' size says."""
+    s = spark.createDataFrame([(1, "s0001", 0, "client", "one two three four five six seven")], "session long, segment_id string, seq int, speaker string, text string")
+    e = spark.createDataFrame([("a", 0, 1, 0, "two three four five six seven")], "answer_id string, ordinal int, session long, seq int, quote string")
+    for out in (verifier.find_quotes(s, e), verifier.relocate_all(s, e), verifier.verify(s, spark.createDataFrame([("a", 1, "client", True, False)], "answer_id string, session long, wanted_speaker string, positive boolean, questionnaire boolean"), e.drop("session"))):
+        assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.count() == 1
