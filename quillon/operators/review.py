@@ -183,7 +183,7 @@ def transcript_errors(reference: DataFrame, heard: DataFrame, keys: list[str], e
     if len(engines) > MOST_ENGINES:
         raise ValueError(f"more than {MOST_ENGINES} engines")
     each = F.explode(F.array(*[F.lit(e) for e in engines]).cast("array<string>")).alias(engine)
-    rows = reference.select(*keys, F.col(text).alias("__reference"), each).join(heard.select(*keys, engine, F.col(text).alias("__heard")), [*keys, engine], "left")
+    rows = reference.select(*keys, F.col(text).alias("__reference"), each).join(heard.select(*keys, engine, F.col(text).alias("__heard")).hint("merge"), [*keys, engine], "left")
     missing = F.col("__heard").isNull()
     rates = F.when(~missing, word_error_rate("__reference", "__heard")).alias("wer"), F.when(~missing, entity_error_rate("__reference", "__heard")).alias("entity_error")
     return rows.select(*keys, engine, *rates)

@@ -255,6 +255,32 @@ def test_verify_outputs(spark):
     assert [e.segment for e in got["raised"].evidence] == ["s0007", "s0008"] and [e.segment for e in got["boxes"].evidence] == ["s0009", "s0009"] and got["no_boxes"].evidence == []
 
 
+def test_edits_against_the_whole_table():
+    def table(r, h):
+        row = list(range(len(h) + 1))
+        for i, a in enumerate(r, 1):
+            diagonal, row[0] = row[0], i
+            for j, b in enumerate(h, 1):
+                diagonal, row[j] = row[j], diagonal if a == b else 1 + min(diagonal, row[j], row[j - 1])
+        return row[-1]
+
+    rng = random.Random(1)
+    for k in range(3000):
+        a = [rng.choice("abcdef"[: 1 + k % 6]) for _ in range(rng.randrange(90 if k % 10 == 0 else 12))]
+        b = [w for w in a if rng.random() < 0.8] if k % 2 else [rng.choice("abcdef"[: 1 + k % 6]) for _ in range(rng.randrange(12))]
+        b = [rng.choice("abxy") if rng.random() < 0.1 else w for w in b]
+        assert T.edits(a, b) == table(a, b)
+
+
+def test_edits_of_long_texts_take_no_whole_table():
+    """16 million places of a table took over a second; bits of words take a few hundredths."""
+    rng = random.Random(2)
+    a = [str(rng.randrange(500)) for _ in range(4000)]
+    began = time.process_time()
+    assert T.edits(a, a[1::2] + a[::2]) > 1000
+    assert time.process_time() - began < 0.5
+
+
 def relocation_case():
     """Quotes said once, twice, by a copy, only in part, and with first words that many texts share."""
     rng = random.Random(5)
