@@ -73,7 +73,8 @@ def f24_f25_temper_decide(spark, sf):
     z = scoring.temper(F.col("p"), 1.5)
     options = F.transform("p", lambda p, i: F.struct(F.concat(F.lit("o"), i).alias("name"), (p * 3).alias("prob")))
     chosen = F.array_join(scoring.decide_options(options, 0.6, ["o0", "o1"]), "|")
-    return e.select("vec_id", F.round(F.array_max(z), 6).alias("top"), F.array_position(z, F.array_max(z)).alias("option"), chosen.alias("chosen"))
+    top = scoring.once(z, lambda z: scoring.once(F.array_max(z), lambda top: F.struct(top.alias("top"), F.array_position(z, top).alias("option"))))
+    return e.select("vec_id", top.alias("x"), chosen.alias("chosen")).select("vec_id", F.round("x.top", 6).alias("top"), "x.option", "chosen")
 
 
 def o06_top_similar(spark, sf):
