@@ -200,15 +200,16 @@ def verify_outputs(spark, sf):
 
 
 def s01_transcripts(spark, sf):
-    """Conversations written as transcript files and parsed again."""
+    """Conversations written as transcript files and parsed again; a file holds many transcripts, so that files grow with
+    the partitions and not with the conversations."""
     rows = read_table(spark, sf, "conversations").filter("role <> 'system'")
     line = F.concat(F.lit("["), T.format_clock(F.col("turn") * 40), F.lit("] "), F.when(F.col("role") == "user", "CLIENT").otherwise("Worker"), F.lit(": "), F.trim(F.regexp_replace("text", r"\s+", " ")))
-    text = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("x"))  # one file is one transcript
-    text = text.select("conv_id", F.concat(F.lit("# session_date: 2026-01-02\n\n"), F.array_join(F.transform("x", lambda l: l["line"]), "\n")).alias("value"))
+    text = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("x"))  # one block is one transcript
+    session = F.coalesce(F.col("conv_id").cast("string"), F.lit(""))
+    text = text.select(F.concat(F.lit("# session: "), session, F.lit("\n# session_date: 2026-01-02\n\n"), F.array_join(F.transform("x", lambda l: l["line"]), "\n")).alias("value"))
     path = new_path(spark, "transcripts")
-    text.repartition("conv_id").write.partitionBy("conv_id").text(path)
-    lines = spark.read.option("wholetext", "true").text(path)
-    lines = lines.select(F.col("conv_id").cast("string").alias("session"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    text.write.option("lineSep", transcripts.BETWEEN).text(path)
+    lines = transcripts.many_lines(spark, path)
     return transcripts.parse_strict(lines).select(F.col("session").cast("bigint").alias("conv_id"), "seq", "segment_id", "speaker", "start", F.round("end", 4).alias("end"), F.md5("text").alias("digest"))
 
 

@@ -10,6 +10,9 @@ from quillon.operators.timeline import segment_ends
 
 LINE = r"^\[([^\]]*)\]\s*([^:]*):\s*(.*)$"
 
+#: Parts transcripts that share a file: a form feed, which is white space to S01's lines.
+BETWEEN = "\f"
+
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """session (file name without its ending), line_no, line of all text files below ``path``."""
@@ -18,6 +21,13 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return files.select(name.alias("session"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
 
 
+def many_lines(spark: SparkSession, path: str) -> DataFrame:
+    """session, line_no, line of files that hold many transcripts, each of which begins with ``# session: name``."""
+    files = spark.read.option("lineSep", BETWEEN).text(path)
+    name = F.nullif(F.regexp_extract("value", r"^# session: ([^\n]*)", 1), F.lit(""))
+    return files.select(name.alias("session"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+
+
 def parse_strict(text_lines: DataFrame, speakers: tuple[str, ...] = ("worker", "client")) -> DataFrame:
     """Session, seq, segment_id, speaker, start, end, text. Bad timestamps, unknown speakers and times that
     go backwards raise an error that names the line; ``#`` headers and blank lines are left out."""

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 import time
@@ -293,6 +294,17 @@ def test_temper_of_long_arrays(spark):
     assert got[0] == pytest.approx(list(e / e.sum())) and got[1:3] == [[], None] and sum(got[3]) == pytest.approx(1)
 
 
+def test_transcripts_share_files(spark, monkeypatch, tmp_path):
+    """Each transcript had a folder and a file of its own."""
+    monkeypatch.setattr(verification, "new_path", lambda *_: str(tmp_path / "out"))
+    rows = [(n, t, "user" if t % 2 else "assistant", f"said\f by\n {n}  {t}") for n in [*range(60), None] for t in range(3)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = verification.s01_transcripts(spark, str(tmp_path)).collect()
+    want = {(n, t + 1, hashlib.md5(f"said by {n} {t}".encode()).hexdigest()) for n, t, _, _ in rows}
+    assert {(r.conv_id, r.seq, r.digest) for r in got} == want and len(got) == len(rows)
+    assert len(list((tmp_path / "out").rglob("part-*"))) < 20
+
+
 def relocation_case():
     """Quotes said once, twice, by a copy, only in part, and with first words that many texts share."""
     rng = random.Random(5)
