@@ -51,7 +51,7 @@ def made(tmp_path_factory):
     return folder, con
 
 
-@pytest.mark.parametrize("name", ["a02_status_reasons"])
+@pytest.mark.parametrize("name", ["verify_outputs", "a02_status_reasons"])
 def test_short_answers(spark, made, name):
     folder, con = made
     got = queries.QUERIES[name](spark, folder)
