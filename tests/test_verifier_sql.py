@@ -7,7 +7,7 @@ import pytest
 
 from quillon import queries
 from quillon.functions import text as T
-from quillon.plans.verification import _list
+from quillon.plans.verification import _list, _norm
 
 TALK = [
     ("assistant", "Do you take any of these medicines every single day of the week, or not at all?"),
@@ -33,11 +33,19 @@ def with_rules(name: str) -> str:
     if name == "a02_status_reasons":
         return f"SELECT status, reason, count(*) AS n FROM ({with_rules('verify_outputs')}) GROUP BY ALL"
     sql = queries.ORACLE_SQL[name]
+    if name == "verify_outputs":
+        negated, bare = short("q")
+        last = "WHEN kind = 'one' AND speaker <> 'client' THEN 'speaker_mismatch' END AS reason FROM found"
+        assert sql.count(last) == 1
+        rules = f"WHEN speaker = 'client' AND part IN ('YES', 'A', 'B') AND kind <> 'prose' AND {negated} THEN 'negated_answer' WHEN speaker = 'client' AND ({negated} OR {bare}) THEN 'missing_question_context'"
+        return sql.replace(last, last.replace("END AS reason", f"{rules} END AS reason"))
+    # every answer of verify_types cites its own turn's first words
+    quote = r"array_to_string(string_split(trim(regexp_replace(text, '\s+', ' ', 'g'))[1:1000], ' ')[1:8], ' ')"
     negated, bare = short("q")
-    last = "WHEN kind = 'one' AND speaker <> 'client' THEN 'speaker_mismatch' END AS reason FROM found"
-    assert sql.count(last) == 1
-    rules = f"WHEN speaker = 'client' AND part IN ('YES', 'A', 'B') AND kind <> 'prose' AND {negated} THEN 'negated_answer' WHEN speaker = 'client' AND ({negated} OR {bare}) THEN 'missing_question_context'"
-    return sql.replace(last, last.replace("END AS reason", f"{rules} END AS reason"))
+    fails = f"status = 'filled' AND role <> 'assistant' AND ({negated} OR {bare})"
+    return f"""WITH c AS (SELECT conv_id || '-' || turn AS place, role, {_norm(quote)} AS q FROM conversations), x AS (SELECT v.*, role, q FROM ({sql}) v JOIN c ON place = substr(answer_id, position('-' IN answer_id) + 1))
+SELECT answer_id, CASE WHEN {fails} THEN 'rejected' ELSE status END AS status,
+CASE WHEN {fails} THEN CASE WHEN {negated} AND (answer_id LIKE 'often-%' OR answer_id LIKE 'which-%') THEN 'negated_answer' ELSE 'missing_question_context' END ELSE reason END AS reason, value FROM x"""
 
 
 @pytest.fixture(scope="module")
@@ -51,7 +59,7 @@ def made(tmp_path_factory):
     return folder, con
 
 
-@pytest.mark.parametrize("name", ["verify_outputs", "a02_status_reasons"])
+@pytest.mark.parametrize("name", ["verify_outputs", "a02_status_reasons", "verify_types"])
 def test_short_answers(spark, made, name):
     folder, con = made
     got = queries.QUERIES[name](spark, folder)
